@@ -162,3 +162,355 @@ def q_forest_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_prompt_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L2: task template + prompt."""
     return L.apply_template(L.chain_prompts(V.conv(spark, sf_dir)), TEMPLATE).select("chain_id", "id", "model_input")
+
+
+# ------------------------------------------------------------------ HTML and text
+from threadspark.functions import html as H  # noqa: E402
+from threadspark.functions import text as X  # noqa: E402
+from threadspark.operators import corpus as C  # noqa: E402
+from threadspark.operators import lexicon as LX  # noqa: E402
+from threadspark.operators import pages as P  # noqa: E402
+from threadspark.operators import ranking as R  # noqa: E402
+from threadspark.plans import duck as D  # noqa: E402
+
+
+@register(
+    "html_paragraphs",
+    f"""SELECT page_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS para_idx, unnest(p) AS paragraph
+FROM (SELECT page_id, {D.html_to_paragraphs('html')} AS p FROM pages)""",
+)
+def q_html_paragraphs(spark, sf_dir):
+    """Every paragraph of every page, in order (empty paragraphs kept)."""
+    pages = V.table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.posexplode(H.html_to_paragraphs(F.col("html"))).alias("para_idx", "paragraph"))
+
+
+@register("html_source", f"SELECT page_id, {D.html_to_source('html')} AS source FROM pages")
+def q_html_source(spark, sf_dir):
+    """Page HTML -> source text."""
+    return V.table(spark, sf_dir, "pages").select("page_id", H.html_to_source(F.col("html")).alias("source"))
+
+
+@register("source_cleanup", f"SELECT page_id, {D.clean_source(D.html_to_source('html'))} AS clean FROM pages")
+def q_source_cleanup(spark, sf_dir):
+    """X3 over X2."""
+    return V.table(spark, sf_dir, "pages").select("page_id", H.clean_source(H.html_to_source(F.col("html"))).alias("clean"))
+
+
+@register(
+    "tokens",
+    f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS token_text
+FROM (SELECT doc_id, {D.tokenize('text')} AS t FROM documents)""",
+)
+def q_tokens(spark, sf_dir):
+    """Word tokens of every document."""
+    t = X.tokenize(F.col("text"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("token_text"))
+
+
+def _duck_lemmas() -> str:
+    rules = " UNION ALL ".join(
+        f"SELECT form, {i} AS i, substr(form, 1, length(form) - {len(s)}) || '{r}' AS cand FROM words WHERE suffix(form, '{s}')"
+        for i, (s, r) in enumerate(LX.NOUN_RULES, start=1)
+    )
+    return f"""WITH toks AS (
+  SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
+  FROM (SELECT doc_id, {D.tokenize('lower(text)')} AS t FROM documents)),
+words AS (SELECT DISTINCT token AS form FROM toks),
+cands AS (SELECT form, 0 AS i, form AS cand FROM words UNION ALL {rules}),
+known AS (SELECT c.* FROM cands c WHERE c.cand IN (SELECT form FROM words)),
+lex AS (SELECT form, arg_min(cand, length(cand) * 100 + i) AS lemma FROM known GROUP BY form),
+lem AS (SELECT t.doc_id, t.pos, coalesce(l.lemma, t.token) AS lemma FROM toks t LEFT JOIN lex l ON l.form = t.token),
+agg AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY pos) AS lemma_text FROM lem GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a.lemma_text, '') AS lemma_text FROM documents d LEFT JOIN agg a ON a.doc_id = d.doc_id"""
+
+
+@register("lemmas", _duck_lemmas())
+def q_lemmas(spark, sf_dir):
+    """Lower-case, tokenise and lemmatise every document (lexicon derived from the corpus)."""
+    return LX.lemmatize_text(V.table(spark, sf_dir, "documents"))
+
+
+@register("ascii_replace", f"SELECT doc_id, {D.ascii_replace('text')} AS ascii_text FROM documents")
+def q_ascii_replace(spark, sf_dir):
+    """Encode to ASCII with '?' replacement."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.ascii_replace(F.col("text")).alias("ascii_text"))
+
+
+@register(
+    "nonalnum_count",
+    f"SELECT doc_id, {D.nonalnum_distinct('text')} AS nonalnum, CAST(length(text) AS INTEGER) AS char_len FROM documents",
+)
+def q_nonalnum_count(spark, sf_dir):
+    """Distinct non-alphanumeric characters and length of every document."""
+    d = V.table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.nonalnum_distinct(F.col("text")).alias("nonalnum"), X.char_length(F.col("text")).alias("char_len"))
+
+
+@register("vote_parse", f"SELECT doc_id, {D.first_integer('text')} AS upvotes FROM documents")
+def q_vote_parse(spark, sf_dir):
+    """P5: first integer of the text, else null."""
+    return V.table(spark, sf_dir, "documents").select("doc_id", X.first_integer(F.col("text")).alias("upvotes"))
+
+
+@register(
+    "prefix_strip",
+    "SELECT doc_id, replace('t1_' || CAST(doc_id AS VARCHAR), 't1_', '') AS post_id, "
+    "CAST(length(replace(text, 't1_', '')) AS INTEGER) AS stripped_len FROM documents",
+)
+def q_prefix_strip(spark, sf_dir):
+    """Remove every fullname prefix."""
+    d = V.table(spark, sf_dir, "documents")
+    return d.select(
+        "doc_id",
+        X.strip_fullname(F.concat(F.lit("t1_"), F.col("doc_id").cast("string"))).alias("post_id"),
+        F.length(X.strip_fullname(F.col("text"))).alias("stripped_len"),
+    )
+
+
+@register("url_keys", f"SELECT page_id, {D.url_post_id('url')} AS post_id, {D.url_community('url')} AS community FROM pages")
+def q_url_keys(spark, sf_dir):
+    """Post id and community from page URLs."""
+    p = V.table(spark, sf_dir, "pages")
+    return p.select("page_id", X.url_post_id(F.col("url")).alias("post_id"), X.url_community(F.col("url")).alias("community"))
+
+
+# ------------------------------------------------------------------ links and work-lists
+
+
+def _duck_anchors() -> str:
+    head = f"regexp_extract(tag, {D.q(r'(?is)^<a\b(' + H.ATTRS + r')>')}, 1)"
+    raw = " || ".join(f"regexp_extract({head}, {D.q(H.HREF_RE)}, {i})" for i in (1, 2, 3))
+    href = D.decode(raw)
+    inner = f"regexp_extract(tag, {D.q(r'(?is)^<a\b' + H.ATTRS + r'>(.*?)</a\s*>\z')}, 1)"
+    text = D.strip(f"regexp_replace({D.decode(f'regexp_replace({inner}, {D.q(chr(60) + H.ATTRS + chr(62))}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, {D.q(H.WS + '+')}, ' ', 'g')")
+    origin = f"regexp_extract(url, {D.q(r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)')}, 1)"
+    scheme = f"regexp_extract(url, {D.q(r'^([A-Za-z][A-Za-z0-9+.-]*):')}, 1)"
+    directory = f"regexp_extract(url, {D.q(r'^([^?#]*/)')}, 1)"
+    resolved = (
+        f"CASE WHEN regexp_matches(h, {D.q(r'^[A-Za-z][A-Za-z0-9+.-]*:')}) THEN h "
+        f"WHEN starts_with(h, '//') THEN {scheme} || ':' || h "
+        f"WHEN starts_with(h, '/') THEN {origin} || h WHEN h = '' THEN NULL ELSE {directory} || h END"
+    )
+    return f"""(SELECT page_id, pos, CASE WHEN has_href THEN {resolved} END AS href, text FROM (
+  SELECT page_id, url, pos, regexp_matches({head}, {D.q(H.HREF_RE)}) AS has_href, {href} AS h, {text} AS text FROM (
+    SELECT page_id, url, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS tag
+    FROM (SELECT page_id, url, regexp_extract_all(html, {D.q(P.ANCHOR_RE)}, 0) AS a FROM pages))))"""
+
+
+@register("extract_links", "SELECT * FROM " + _duck_anchors())
+def q_extract_links(spark, sf_dir):
+    """Every anchor of every stored page with resolved href and visible text."""
+    return P.anchors(V.table(spark, sf_dir, "pages"))
+
+
+@register(
+    "harvest_post_links",
+    f"""SELECT *, {D.url_post_id('href')} AS post_id FROM {_duck_anchors()} a
+WHERE href IS NOT NULL AND href <> '' AND contains(href, 'comments') AND contains(text, 'comments') AND NOT contains(text, 'Can')
+  AND TRY_CAST(replace(regexp_extract(text, '^\\s*(\\S+)', 1), ',', '') AS INTEGER) >= 50""",
+)
+def q_harvest_post_links(spark, sf_dir):
+    """Thread links as the listing harvest keeps them (needle 'comments', count >= 50)."""
+    return P.harvest_post_links(P.anchors(V.table(spark, sf_dir, "pages")))
+
+
+@register(
+    "link_upsert",
+    f"""SELECT post_id, url FROM (
+  SELECT lower(text) AS post_id, href AS url,
+    row_number() OVER (PARTITION BY lower(text) ORDER BY page_id % 2 DESC, page_id * 1000000 + pos DESC) AS rn
+  FROM {_duck_anchors()} a) WHERE rn = 1""",
+)
+def q_link_upsert(spark, sf_dir):
+    """Link map from even pages, upserted with links from odd pages (key = anchor text)."""
+    a = P.anchors(V.table(spark, sf_dir, "pages")).select(
+        F.lower("text").alias("post_id"), F.col("href").alias("url"), (F.col("page_id") * 1000000 + F.col("pos")).alias("seq"), "page_id"
+    )
+    return P.upsert_links(a.where(F.col("page_id") % 2 == 0), a.where(F.col("page_id") % 2 == 1))
+
+
+_DUCK_WORK = """WITH links AS (SELECT page_id AS post_id, url FROM pages),
+done AS (SELECT page_id AS post_id FROM pages WHERE page_id % 3 = 0),
+saved AS (SELECT page_id AS post_id FROM pages WHERE page_id % 2 = 0),
+skip AS (SELECT post_id FROM done WHERE post_id NOT IN (SELECT post_id FROM saved))
+SELECT post_id, url FROM links WHERE post_id NOT IN (SELECT post_id FROM skip)"""
+
+
+def _work_inputs(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    links = p.select(F.col("page_id").alias("post_id"), "url")
+    done = p.where(F.col("page_id") % 3 == 0).select(F.col("page_id").alias("post_id"))
+    saved = p.where(F.col("page_id") % 2 == 0).select(F.col("page_id").alias("post_id"))
+    return links, done, saved
+
+
+@register("page_worklist", _DUCK_WORK)
+def q_page_worklist(spark, sf_dir):
+    """Posts to (re)process given finished outputs and saved pages."""
+    return P.worklist(*_work_inputs(spark, sf_dir))
+
+
+@register("page_worklist_cached", _DUCK_WORK + " AND post_id IN (SELECT post_id FROM saved)")
+def q_page_worklist_cached(spark, sf_dir):
+    """P7 with cached_only: only posts whose page is saved."""
+    return P.worklist(*_work_inputs(spark, sf_dir), cached_only=True)
+
+
+LISTING_SEED, LISTING_N = 7, 10
+
+
+@register(
+    "listing_urls",
+    "WITH names AS (SELECT DISTINCT source AS name FROM documents), urls AS ("
+    + " UNION ".join(
+        "SELECT " + " || ".join(x for x in (D.q(t.split('{}')[0]), "name", D.q(t.split('{}')[1]) if t.split('{}')[1] else None) if x)
+        + " AS url FROM names"
+        for t in P.LISTING_TEMPLATES
+    )
+    + f") SELECT url FROM urls ORDER BY md5('{LISTING_SEED}:' || url), url LIMIT {LISTING_N}",
+)
+def q_listing_urls(spark, sf_dir):
+    """Listing URLs for every community name found in the data, seeded sample of 10."""
+    names = V.table(spark, sf_dir, "documents").select(F.col("source").alias("name")).distinct()
+    return P.listing_urls(names, n=LISTING_N, seed=LISTING_SEED)
+
+
+@register(
+    "doc_sample",
+    "SELECT doc_id, lang, n_chars FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 25",
+)
+def q_doc_sample(spark, sf_dir):
+    """Deterministic sample of 25 documents without replacement."""
+    return P.sample_rows(V.table(spark, sf_dir, "documents"), "doc_id", 25, seed=42).select("doc_id", "lang", "n_chars")
+
+
+# ------------------------------------------------------------------ corpora
+
+
+@register(
+    "corpus_paragraph",
+    f"""WITH u AS ({V.duck_page_units()}),
+d AS (SELECT unnest({D.html_to_paragraphs('text')}) AS doc FROM u UNION SELECT title FROM u WHERE title IS NOT NULL)
+SELECT doc FROM d WHERE length(doc) > 50 AND length(doc) < 1000""",
+)
+def q_corpus_paragraph(spark, sf_dir):
+    """Paragraph corpus over stored pages."""
+    return C.paragraph_corpus(V.page_units(spark, sf_dir))
+
+
+@register(
+    "corpus_html",
+    f"WITH u AS ({V.duck_forest()}) SELECT id, text AS doc FROM u WHERE length(text) BETWEEN 50 AND 1000",
+)
+def q_corpus_html(spark, sf_dir):
+    """HTML corpus over the forest."""
+    return C.html_corpus(V.forest(spark, sf_dir))
+
+
+@register(
+    "corpus_source",
+    f"""WITH u AS ({V.duck_forest()}),
+d AS (SELECT DISTINCT CASE WHEN title IS NOT NULL THEN title || ' ' || chr(10) || ' ' || {D.html_to_source('text')} ELSE {D.html_to_source('text')} END AS doc FROM u)
+SELECT doc FROM d WHERE length(doc) BETWEEN 50 AND 1000""",
+)
+def q_corpus_source(spark, sf_dir):
+    """Source corpus over the forest."""
+    return C.source_corpus(V.forest(spark, sf_dir))
+
+
+@register(
+    "corpus_chain",
+    _duck_walk(V.duck_conv())
+    + f""",
+pieces AS (SELECT m.chain_id, m.chain_rank, u."user",
+  CASE WHEN u.title IS NOT NULL THEN chr(10) || ' ' || u.title ELSE '' END || chr(10) || ' ' || {D.html_to_source('u.text')} AS piece
+  FROM members m JOIN u ON u.id = m.member),
+docs AS (SELECT chain_id, coalesce(arg_min("user", chain_rank), 'None') || ' says:' || string_agg(piece, '' ORDER BY chain_rank) AS doc
+  FROM pieces GROUP BY chain_id)
+SELECT chain_id, doc FROM docs WHERE length(doc) BETWEEN 50 AND 1000""",
+)
+def q_corpus_chain(spark, sf_dir):
+    """C4: chain corpus over conversation threads."""
+    return C.chain_corpus(V.conv(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ ranking
+
+
+def _v5(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    p = V.table(spark, sf_dir, "pages")
+    return d.join(p, d["doc_id"] == p["page_id"]).select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("source_text"), F.col("html").alias("text")
+    )
+
+
+_RANKS4 = ["source_text_char_rank", "text_char_rank", "source_text_nonalnum_rank", "text_nonalnum_rank"]
+
+
+@register(
+    "quality_rank",
+    f"""WITH v AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, d.text AS source_text, p.html AS text FROM documents d JOIN pages p ON d.doc_id = p.page_id),
+f AS (SELECT *, length(source_text) AS sl, length(text) AS tl, {D.nonalnum_distinct('source_text')} AS sn, {D.nonalnum_distinct('text')} AS tn
+      FROM v WHERE source_text IS NOT NULL AND length(source_text) > 25),
+r AS (SELECT *, CAST(rank() OVER (ORDER BY sl) AS DOUBLE) AS source_text_char_rank, CAST(rank() OVER (ORDER BY tl) AS DOUBLE) AS text_char_rank,
+      CAST(rank() OVER (ORDER BY sn DESC) AS DOUBLE) AS source_text_nonalnum_rank, CAST(rank() OVER (ORDER BY tn DESC) AS DOUBLE) AS text_nonalnum_rank FROM f),
+g AS (SELECT *, source_text_char_rank * text_char_rank * source_text_nonalnum_rank * text_nonalnum_rank AS prod FROM r WHERE text_char_rank < 50)
+SELECT id, {', '.join(_RANKS4)}, CAST(rank() OVER (ORDER BY prod) AS DOUBLE) AS rank FROM g""",
+)
+def q_quality_rank(spark, sf_dir):
+    """source/HTML quality ranking (distributed histogram ranks)."""
+    return R.quality_rank(_v5(spark, sf_dir), X.nonalnum_distinct).select("id", *_RANKS4, "rank")
+
+
+def _duck_avg_rank(expr: str, asc: bool) -> str:
+    d = "" if asc else " DESC"
+    return f"(CAST(rank() OVER (ORDER BY {expr}{d}) AS DOUBLE) + CAST(count(*) OVER (PARTITION BY {expr}) - 1 AS DOUBLE) / 2)"
+
+
+def _duck_trial_rank() -> str:
+    fills = ", ".join(
+        f"coalesce({m}, (SELECT {'min' if f == 'min' else 'max'}({m}) FROM t)) AS f_{m}" for m, _, f, _ in R.TRIAL_RANKS
+    )
+    ranks = ", ".join(f"{_duck_avg_rank('f_' + m, asc)} AS {out}" for m, out, _, asc in R.TRIAL_RANKS)
+    prod = " * ".join(out for _, out, _, _ in R.TRIAL_RANKS)
+    outs = ", ".join(out for _, out, _, _ in R.TRIAL_RANKS)
+    return f"""WITH t AS ({V.DUCK_TRIALS}),
+f AS (SELECT trial_id, {fills} FROM t),
+r AS (SELECT trial_id, {ranks} FROM f),
+p AS (SELECT *, {prod} AS prod FROM r)
+SELECT trial_id, {outs}, {_duck_avg_rank('prod', True)} AS total_score FROM p"""
+
+
+@register("trial_rank", _duck_trial_rank())
+def q_trial_rank(spark, sf_dir):
+    """Trial scoring over the trial-log stand-in."""
+    out = [o for _, o, _, _ in R.TRIAL_RANKS]
+    return R.rank_trials(V.trials(spark, sf_dir)).select("trial_id", *out, "total_score")
+
+
+@register(
+    "trial_rank_histogram",
+    _duck_trial_rank(),
+)
+def q_trial_rank_histogram(spark, sf_dir):
+    """R5 with the distributed (histogram) rank form, for trial logs of any size."""
+    out = [o for _, o, _, _ in R.TRIAL_RANKS]
+    return R.rank_trials(V.trials(spark, sf_dir), bounded=False).select("trial_id", *out, "total_score")
+
+
+_METRICS = [m for m, *_ in R.TRIAL_RANKS]
+
+
+@register(
+    "column_bounds",
+    f"WITH t AS ({V.DUCK_TRIALS}) "
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS \"column\", CAST(min({m}) AS DOUBLE) AS min_value, CAST(max({m}) AS DOUBLE) AS max_value, count(DISTINCT {m}) AS n_distinct FROM t"
+        for m in _METRICS
+    ),
+)
+def q_column_bounds(spark, sf_dir):
+    """Min, max and distinct count of every trial metric."""
+    return R.column_bounds(V.trials(spark, sf_dir), _METRICS)

@@ -106,3 +106,38 @@ def html_title(html: str) -> str:
 
 def wrap_paragraphs(text: str) -> str:
     return f"('<p>' || replace({text}, chr(10), '</p><p>') || '</p>')"
+
+
+# ---------------------------------------------------------------- text functions
+from threadspark.functions import text as X  # noqa: E402
+
+
+def _java_to_re2_repl(rep: str) -> str:
+    return rep.replace("$1", "\\1").replace("$2", "\\2")
+
+
+def tokenize(text: str) -> str:
+    t = f"regexp_replace({text}, {q(X.CONTRACTION_RE)}, {q(_java_to_re2_repl('$1 $2'))}, 'g')"
+    t = f"regexp_replace({t}, {q(X.CLITIC_RE)}, {q(_java_to_re2_repl('$1 $2'))}, 'g')"
+    return f"regexp_extract_all({t}, {q(X.TOKEN_RE)}, 0)"
+
+
+def ascii_replace(text: str) -> str:
+    return f"regexp_replace({text}, {q(r'[^\x00-\x7F]')}, '?', 'g')"
+
+
+def nonalnum_distinct(text: str) -> str:
+    rest = f"regexp_replace({text}, {q(r'[\p{L}\p{N}]')}, '', 'g')"
+    return f"CAST(len(list_distinct(regexp_extract_all({rest}, '(?s).', 0))) AS INTEGER)"
+
+
+def first_integer(text: str) -> str:
+    return f"TRY_CAST(regexp_extract({text}, '-?[0-9]+', 0) AS BIGINT)"
+
+
+def url_post_id(url: str) -> str:
+    return f"string_split({url}, '/')[-3]"
+
+
+def url_community(url: str) -> str:
+    return f"string_split({url}, '/')[5]"
