@@ -142,7 +142,12 @@ def rejects(units: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     return units.join(reached, units["id"] == reached["_rid"], "left_anti")
 
 
+def ordered_list(order: Column, value: Column) -> Column:
+    """Aggregate expression: the group's ``value``s as an ARRAY sorted by ``order``."""
+    packed = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
+    return F.transform(packed, lambda s: s["v"])
+
+
 def ordered_join(order: Column, value: Column, sep: str = "") -> Column:
     """Aggregate expression: the group's ``value``s concatenated in ``order``."""
-    packed = F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))
-    return F.array_join(F.transform(packed, lambda s: s["v"]), sep)
+    return F.array_join(ordered_list(order, value), sep)

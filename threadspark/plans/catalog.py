@@ -514,3 +514,219 @@ _METRICS = [m for m, *_ in R.TRIAL_RANKS]
 def q_column_bounds(spark, sf_dir):
     """Min, max and distinct count of every trial metric."""
     return R.column_bounds(V.trials(spark, sf_dir), _METRICS)
+
+
+# ------------------------------------------------------------------ phrases, vocabulary, bag of words
+from pyspark.sql import Window  # noqa: E402
+
+from threadspark.operators import phrases as PH  # noqa: E402
+from threadspark.operators import topics as TP  # noqa: E402
+from threadspark.operators import vocab as VB  # noqa: E402
+
+
+def _doc_tokens(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", "source", X.tokenize(F.col("text")).alias("tokens"))
+
+
+def _duck_doc_tokens() -> str:
+    return f"SELECT doc_id, lang, source, {D.tokenize('text')} AS t FROM documents"
+
+
+def _duck_phrase_base() -> str:
+    return f"""d AS ({_duck_doc_tokens()}),
+uni AS (SELECT w, count(*) AS n FROM (SELECT unnest(t) AS w FROM d) GROUP BY w),
+pairs AS (SELECT doc_id, generate_subscripts(list_slice(t, 1, len(t) - 1), 1) - 1 AS pos,
+                 unnest(list_slice(t, 1, len(t) - 1)) AS a, unnest(list_slice(t, 2, len(t))) AS b FROM d WHERE len(t) > 1),
+bi AS (SELECT a, b, count(*) AS n_ab FROM pairs GROUP BY a, b),
+vs AS (SELECT count(DISTINCT k) AS v FROM (SELECT w AS k FROM uni UNION ALL SELECT a || '_' || b FROM bi)),
+tot AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM uni),
+s AS (SELECT bi.a, bi.b, n_ab, ua.n AS n_a, ub.n AS n_b FROM bi JOIN uni ua ON ua.w = bi.a JOIN uni ub ON ub.w = bi.b)"""
+
+
+def _duck_default_score(min_count: int) -> str:
+    return f"CAST(n_ab - {min_count} AS DOUBLE) / CAST(n_a * n_b AS DOUBLE) * (SELECT v FROM vs)"
+
+
+def _duck_npmi_score(min_count: int) -> str:
+    tot = "(SELECT total FROM tot)"
+    pab, pa, pb = (f"(CAST({c} AS DOUBLE) / {tot})" for c in ("n_ab", "n_a", "n_b"))
+    return f"CASE WHEN n_ab >= {min_count} THEN ln({pab} / ({pa} * {pb})) / -ln({pab}) END"
+
+
+PHRASE_DEFAULT = dict(min_count=1, threshold=10.0, scoring="default")
+PHRASE_NPMI = dict(min_count=5, threshold=0.5, scoring="npmi")
+PHRASE_APPLY = dict(min_count=5, threshold=10.0, scoring="default")
+
+
+def _phrase_query(params):
+    def q(spark, sf_dir):
+        s = PH.learn_phrases(_doc_tokens(spark, sf_dir), **params)
+        return s.select("a", "b", "phrase", "n_ab", "n_a", "n_b", F.round("score", 6).alias("score"))
+
+    return q
+
+
+def _duck_phrase_scores(params) -> str:
+    score = (_duck_default_score if params["scoring"] == "default" else _duck_npmi_score)(params["min_count"])
+    return f"""WITH {_duck_phrase_base()}
+SELECT a, b, a || '_' || b AS phrase, n_ab, n_a, n_b, round(score, 6) AS score
+FROM (SELECT *, {score} AS score FROM s) WHERE score > {params['threshold']}"""
+
+
+register("phrase_scores_default", _duck_phrase_scores(PHRASE_DEFAULT))(_phrase_query(PHRASE_DEFAULT))
+register("phrase_scores_npmi", _duck_phrase_scores(PHRASE_NPMI))(_phrase_query(PHRASE_NPMI))
+
+
+@register(
+    "phrase_apply",
+    f"""WITH {_duck_phrase_base()},
+phr AS (SELECT a, b FROM (SELECT *, {_duck_default_score(PHRASE_APPLY['min_count'])} AS score FROM s) WHERE score > {PHRASE_APPLY['threshold']}),
+flag AS (SELECT p.doc_id, p.pos, p.a, p.b FROM pairs p WHERE EXISTS (SELECT 1 FROM phr WHERE phr.a = p.a AND phr.b = p.b)),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS grp FROM flag),
+st AS (SELECT doc_id, pos, a || '_' || b AS phrase FROM (SELECT *, pos - min(pos) OVER (PARTITION BY doc_id, grp) AS off FROM runs) WHERE off % 2 = 0),
+toks AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM d),
+kept AS (SELECT t.doc_id, t.pos, coalesce(st.phrase, t.token) AS tok FROM toks t
+         LEFT JOIN st ON st.doc_id = t.doc_id AND st.pos = t.pos
+         WHERE NOT EXISTS (SELECT 1 FROM st s2 WHERE s2.doc_id = t.doc_id AND s2.pos + 1 = t.pos))
+SELECT d.doc_id, CAST(count(k.tok) AS INTEGER) AS n_tokens, coalesce(string_agg(k.tok, ' ' ORDER BY k.pos), '') AS phrased_text
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id""",
+)
+def q_phrase_apply(spark, sf_dir):
+    """M2: greedy phrase merge of every document with the learned phrases."""
+    toks = _doc_tokens(spark, sf_dir)
+    phr = PH.learn_phrases(toks, **PHRASE_APPLY)
+    out = PH.apply_phrases(toks, phr)
+    return out.select("doc_id", F.size("phrased").alias("n_tokens"), F.array_join("phrased", " ").alias("phrased_text"))
+
+
+VOCAB = dict(no_below=5, no_above=0.2)
+
+
+def _duck_vocab() -> str:
+    return f"""d AS ({_duck_doc_tokens()}),
+dfs AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM d) GROUP BY term),
+vocab AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, df FROM dfs
+          WHERE df >= {VOCAB['no_below']} AND df <= floor({VOCAB['no_above']} * (SELECT count(*) FROM documents))
+          ORDER BY df DESC, term LIMIT {VB.KEEP_N})"""
+
+
+@register("vocabulary", f"WITH {_duck_vocab()} SELECT term, CAST(term_id AS INTEGER) AS term_id, df FROM vocab")
+def q_vocabulary(spark, sf_dir):
+    """M3: document-frequency filtered vocabulary with deterministic term ids."""
+    return VB.build_vocabulary(_doc_tokens(spark, sf_dir), **VOCAB)
+
+
+@register(
+    "bag_of_words",
+    f"""WITH {_duck_vocab()}
+SELECT doc_id, CAST(term_id AS INTEGER) AS term_id, count(*) AS cnt
+FROM (SELECT doc_id, unnest(list_slice(t, 1, {VB.MAX_TOKENS})) AS term FROM d) x JOIN vocab USING (term) GROUP BY doc_id, term_id""",
+)
+def q_bag_of_words(spark, sf_dir):
+    """M4: bag of words over the first 5000 tokens of every document."""
+    toks = _doc_tokens(spark, sf_dir)
+    return VB.bag_of_words(toks, VB.build_vocabulary(toks, **VOCAB))
+
+
+# ------------------------------------------------------------------ topic metrics on data-derived topics
+# "Topics" are languages (top terms by document frequency within the language);
+# the second run for stability are sources. Weights = share of the group's tokens.
+
+
+def _group_top_terms(spark, sf_dir, group: str, n: int, weight: bool = False):
+    t = _doc_tokens(spark, sf_dir)
+    if weight:
+        cnt = t.select(group, F.explode("tokens").alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("c"))
+        tot = cnt.groupBy(group).agg(F.sum("c").alias("n"))
+        order = [F.desc("c"), F.asc("term")]
+    else:
+        cnt = t.select(group, "doc_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy(group, "term").agg(
+            F.count(F.lit(1)).alias("c")
+        )
+    ranked = cnt.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), F.asc("term"))) - 1)
+    top = ranked.where(F.col("rank") < n)  # planned as a per-partition top-n before the shuffle
+    if weight:
+        top = top.join(tot, group).withColumn("weight", F.col("c") / F.col("n"))
+    return top.withColumnRenamed(group, "topic")
+
+
+def _duck_group_top(group: str, n: int, weight: bool = False) -> str:
+    if weight:
+        base = f"SELECT {group} AS topic, term, count(*) AS c FROM (SELECT {group}, unnest(t) AS term FROM d) GROUP BY {group}, term"
+    else:
+        base = f"SELECT {group} AS topic, term, count(*) AS c FROM (SELECT DISTINCT {group}, doc_id, unnest(t) AS term FROM d) GROUP BY {group}, term"
+    sel = "topic, term, c, rank" + (", CAST(c AS DOUBLE) / (SELECT sum(c) FROM b2 WHERE b2.topic = r.topic) AS weight" if weight else "")
+    return f"""(WITH b2 AS ({base})
+SELECT {sel} FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY c DESC, term) - 1 AS rank FROM b2) r WHERE rank < {n})"""
+
+
+@register(
+    "coherence_umass",
+    f"""WITH d AS ({_duck_doc_tokens()}),
+top AS {_duck_group_top('lang', TP.COHERENCE_TOPN)},
+occ AS (SELECT DISTINCT doc_id, unnest(t) AS term FROM d),
+dfq AS (SELECT term, count(*) AS df FROM occ WHERE term IN (SELECT term FROM top) GROUP BY term),
+pairs AS (SELECT i.topic, i.term AS wi, j.term AS wj FROM top i JOIN top j ON i.topic = j.topic AND j.rank < i.rank),
+co AS (SELECT p.topic, p.wi, p.wj, count(*) AS co FROM pairs p JOIN occ oi ON oi.term = p.wi JOIN occ oj ON oj.doc_id = oi.doc_id AND oj.term = p.wj GROUP BY ALL),
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM documents)
+SELECT p.topic, round(avg(ln((CAST(coalesce(co.co, 0) AS DOUBLE) / (SELECT n FROM n) + {TP.UMASS_EPSILON}) / (CAST(dfq.df AS DOUBLE) / (SELECT n FROM n)))), 9) AS coherence
+FROM pairs p LEFT JOIN co USING (topic, wi, wj) JOIN dfq ON dfq.term = p.wj GROUP BY p.topic""",
+)
+def q_coherence_umass(spark, sf_dir):
+    """M7: UMass coherence of each language's top-20 terms over all documents."""
+    top = _group_top_terms(spark, sf_dir, "lang", TP.COHERENCE_TOPN)
+    occ = _doc_tokens(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    n = V.table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    c = TP.umass_coherence(top, occ, n, id_col="doc_id", term_col="term")
+    return c.select("topic", F.round("coherence", 9).alias("coherence"))
+
+
+@register(
+    "topic_diversity",
+    f"""WITH d AS ({_duck_doc_tokens()}), top AS {_duck_group_top('source', TP.TOPIC_TOPN)}
+SELECT count(DISTINCT term) / count(*) AS diversity FROM top""",
+)
+def q_topic_diversity(spark, sf_dir):
+    """Diversity of the sources' top-10 terms."""
+    return TP.topic_diversity(_group_top_terms(spark, sf_dir, "source", TP.TOPIC_TOPN), term_col="term")
+
+
+@register(
+    "doc_entropy",
+    f"""WITH d AS ({_duck_doc_tokens()}),
+c AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+p AS (SELECT doc_id, CAST(c AS DOUBLE) / sum(c) OVER (PARTITION BY doc_id) AS p FROM c)
+SELECT d0.doc_id, round(coalesce(-sum(CASE WHEN p >= {TP.MIN_TOPIC_PROB} THEN p * ln(p) END), 0), 9) AS entropy
+FROM documents d0 LEFT JOIN p ON p.doc_id = d0.doc_id GROUP BY d0.doc_id""",
+)
+def q_doc_entropy(spark, sf_dir):
+    """Entropy of every document's term distribution (probabilities below 0.01 dropped)."""
+    t = _doc_tokens(spark, sf_dir)
+    c = t.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
+    p = c.groupBy("doc_id").agg(F.collect_list("c").alias("cs"))  # one row per document
+    p = p.select("doc_id", F.transform("cs", lambda x: x / F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("p"))
+    e = V.table(spark, sf_dir, "documents").select("doc_id").join(
+        p.select("doc_id", TP.distribution_entropy(F.col("p")).alias("entropy")), "doc_id", "left"
+    )
+    return e.select("doc_id", F.round(F.coalesce("entropy", F.lit(0.0)), 9).alias("entropy"))
+
+
+@register(
+    "topic_stability",
+    f"""WITH d AS ({_duck_doc_tokens()}),
+ra AS {_duck_group_top('lang', TP.TOPIC_TOPN, True)},
+rb AS {_duck_group_top('source', TP.TOPIC_TOPN, True)},
+pairs AS (SELECT a.topic AS t1, b.topic AS t2 FROM (SELECT DISTINCT topic FROM ra) a CROSS JOIN (SELECT DISTINCT topic FROM rb) b),
+terms AS (SELECT t1, t2, term FROM pairs JOIN ra ON ra.topic = t1 UNION SELECT t1, t2, term FROM pairs JOIN rb ON rb.topic = t2),
+h AS (SELECT t1, t2, sqrt(0.5 * sum(pow(sqrt(coalesce(ra.weight, 0)) - sqrt(coalesce(rb.weight, 0)), 2))) AS h
+      FROM terms LEFT JOIN ra ON ra.topic = t1 AND ra.term = terms.term LEFT JOIN rb ON rb.topic = t2 AND rb.term = terms.term
+      GROUP BY t1, t2)
+SELECT t1 AS topic, round(min(h), 9) AS min_hellinger FROM h GROUP BY t1""",
+)
+def q_topic_stability(spark, sf_dir):
+    """Per language topic, min Hellinger distance to any source topic (top-10 sparse)."""
+    a = _group_top_terms(spark, sf_dir, "lang", TP.TOPIC_TOPN, weight=True)
+    b = _group_top_terms(spark, sf_dir, "source", TP.TOPIC_TOPN, weight=True)
+    h = TP.hellinger_min(a, b, term_col="term")
+    return h.select("topic", F.round("min_hellinger", 9).alias("min_hellinger"))
