@@ -730,3 +730,200 @@ def q_topic_stability(spark, sf_dir):
     b = _group_top_terms(spark, sf_dir, "source", TP.TOPIC_TOPN, weight=True)
     h = TP.hellinger_min(a, b, term_col="term")
     return h.select("topic", F.round("min_hellinger", 9).alias("min_hellinger"))
+
+
+# ------------------------------------------------------------------ topic models (rows-only: stochastic)
+from threadspark.operators import search as S  # noqa: E402
+
+LDA_PARAMS = dict(k=5, chunksize=1000, passes=2, decay=0.7, alpha="asymmetric", eta="auto")
+
+
+def _lda_inputs(spark, sf_dir):
+    toks = _doc_tokens(spark, sf_dir).where(F.col("lang") == "en").select("doc_id", "tokens")
+    vocab = VB.build_vocabulary(toks, no_below=5, no_above=0.5).checkpoint(eager=True)
+    vectors = VB.bow_vectors(toks, vocab).checkpoint(eager=True)
+    return vocab, vectors
+
+
+def _lda_model(spark, sf_dir, seed=0):
+    vocab, vectors = _lda_inputs(spark, sf_dir)
+    est = TP.lda_estimator(n_docs=vectors.count(), seed=seed, **LDA_PARAMS)
+    return est.fit(vectors), vocab, vectors
+
+
+@register("lda_topics")
+def q_lda_topics(spark, sf_dir):
+    """M5/M9: online LDA on English documents, top-10 terms per topic."""
+    model, vocab, _ = _lda_model(spark, sf_dir)
+    return TP.topic_terms(model, vocab, TP.TOPIC_TOPN)
+
+
+@register("lda_doc_topics")
+def q_lda_doc_topics(spark, sf_dir):
+    """Per-document topic entropy under the fitted model."""
+    model, _, vectors = _lda_model(spark, sf_dir)
+    return TP.doc_entropy(model, vectors)
+
+
+@register("lda_metrics")
+def q_lda_metrics(spark, sf_dir):
+    """Two fits with different seeds; coherence, perplexity, diversity, entropy, stability."""
+    vocab, vectors = _lda_inputs(spark, sf_dir)
+    n = vectors.count()
+    m1 = TP.lda_estimator(n_docs=n, seed=0, **LDA_PARAMS).fit(vectors)
+    m2 = TP.lda_estimator(n_docs=n, seed=1, **LDA_PARAMS).fit(vectors)
+    toks = _doc_tokens(spark, sf_dir).where(F.col("lang") == "en").select("doc_id", "tokens")
+    occ = TP.doc_terms(VB.bag_of_words(toks, vocab))
+    k = LDA_PARAMS["k"]
+    coh = TP.umass_coherence(TP.topic_terms(m1, vocab, TP.COHERENCE_TOPN), occ, n).agg(F.sum("coherence") / k)
+    div = TP.topic_diversity(TP.topic_terms(m1, vocab))
+    ent = TP.doc_entropy(m1, vectors).agg(F.avg("entropy"))
+    stab = TP.hellinger_min(TP.topic_terms(m1, vocab), TP.topic_terms(m2, vocab)).agg(F.sum("min_hellinger") / k)
+    return spark.range(1).select(
+        coh.scalar().alias("avg_topic_coherence"),
+        F.lit(-m1.logPerplexity(vectors)).alias("perplexity"),
+        div.scalar().alias("diversity"),
+        ent.scalar().alias("avg_entropy"),
+        stab.scalar().alias("stability_score"),
+    )
+
+
+TRIAL_PARAMS_Q = dict(
+    lda_num_topics=4, chunksize=500, passes=2, iterations=50, decay=0.7, alpha="symmetric", eta="symmetric",
+    no_below=2, no_above=0.5, min_len=50, max_len=20000, phraser_min_count=5, phraser_threshold=10,
+    phraser_scorer="default", dataset="post", max_input_jsons=40,
+)
+
+
+@register("lda_trial")
+def q_lda_trial(spark, sf_dir):
+    """One full trial (corpus -> tokens -> phrases -> vocabulary -> 2 LDA fits -> 6 metrics)."""
+    units = S.thread_ids(V.forest(spark, sf_dir)).checkpoint(eager=True)
+    rec = S.run_trial(units, TRIAL_PARAMS_Q, seed=0)
+    return S.trial_frame(spark, [rec])
+
+
+# ------------------------------------------------------------------ parameter search over a trial-log stand-in
+
+
+def _trial_params(spark, sf_dir):
+    """Parameters per supplier (numeric and categorical) + the trial score of R5."""
+    li = V.table(spark, sf_dir, "lineitem")
+    params = li.groupBy(F.col("l_suppkey").alias("trial_id")).agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.round(F.avg("l_extendedprice"), 2).alias("avg_price"),
+        F.max("l_quantity").alias("max_qty"),
+        F.min("l_returnflag").alias("flag"),
+    )
+    scores = R.rank_trials(V.trials(spark, sf_dir)).select("trial_id", "total_score")
+    return params.join(scores, "trial_id")
+
+
+SEARCH_PARAMS = ["n_lines", "avg_price", "max_qty", "flag"]
+_NUMERIC_V4 = ["avg_topic_coherence", "perplexity", "diversity", "avg_entropy", "stability_score", "model_training_time"]
+
+
+@register(
+    "interactions",
+    f"WITH t AS ({V.DUCK_TRIALS}) SELECT *, "
+    + ", ".join(f"{a} * {b} AS {a}_x_{b}" for i, a in enumerate(_NUMERIC_V4) for b in _NUMERIC_V4[i + 1:])
+    + " FROM t",
+)
+def q_interactions(spark, sf_dir):
+    """H3: pairwise products of the numeric trial columns."""
+    return S.interactions(V.trials(spark, sf_dir), _NUMERIC_V4)
+
+
+@register("trial_candidates")
+def q_trial_candidates(spark, sf_dir):
+    """H6: 1000 candidates drawn from the observed parameter ranges and categories."""
+    return S.candidates(_trial_params(spark, sf_dir), SEARCH_PARAMS, 1000, seed=3)
+
+
+@register("param_search")
+def q_param_search(spark, sf_dir):
+    """H5-H8: GBT on parameters + interactions -> scored, sorted candidates."""
+    return S.predictive_search(
+        _trial_params(spark, sf_dir), {"flag": "N"}, "total_score", SEARCH_PARAMS, iterations=1000,
+        max_iter=10, max_depth=4,
+    )
+
+
+@register("seed_trials")
+def q_seed_trials(spark, sf_dir):
+    """The first 5 predicted parameter sets without score columns."""
+    pred = S.predictive_search(_trial_params(spark, sf_dir), {}, "total_score", SEARCH_PARAMS, iterations=500,
+                               max_iter=5, max_depth=3)
+    return S.seed_trials(pred, 5)
+
+
+# ------------------------------------------------------------------ nested thread documents
+from threadspark.operators import nesting as N  # noqa: E402
+from threadspark.schemas import CONTENT_COLUMNS  # noqa: E402
+
+
+@register("nest_threads")
+def q_nest_threads(spark, sf_dir):
+    """One nested JSON document per forest thread."""
+    return N.nest_threads(V.forest(spark, sf_dir))
+
+
+@register("flatten_threads", V.duck_conv())
+def q_flatten_threads(spark, sf_dir):
+    """T1 over T2: conversation threads nested to JSON, parsed as VARIANT and flattened back."""
+    docs = N.nest_threads(V.conv(spark, sf_dir)).withColumnRenamed("id", "thread")
+    return N.flatten_threads(docs, json_col="json", key_col="thread").select(*CONTENT_COLUMNS)
+
+
+@register("flatten_forest", V.duck_forest())
+def q_flatten_forest(spark, sf_dir):
+    """T1 over T2 on branching threads (four levels)."""
+    docs = N.nest_threads(V.forest(spark, sf_dir)).withColumnRenamed("id", "thread")
+    return N.flatten_threads(docs, json_col="json", key_col="thread").select(*CONTENT_COLUMNS)
+
+
+# ------------------------------------------------------------------ batch scoring and incremental ingest
+import uuid  # noqa: E402
+
+from threadspark.session import ensure_checkpoint_dir  # noqa: E402
+from threadspark.streaming import ingest as Z  # noqa: E402
+
+N_ANSWERS = 20
+
+
+def stub_model(texts: list[str]) -> list[str]:
+    """Deterministic stand-in for a text model: answers A1..A20 derived from the input length."""
+    return ["\n".join(f"A{i}: {((len(t) * i) % 101) / 100}" for i in range(1, N_ANSWERS + 1)) for t in texts]
+
+
+def _scored(spark, sf_dir):
+    inputs = L.apply_template(L.chain_prompts(V.conv(spark, sf_dir)), TEMPLATE)
+    return L.score_prompts(inputs, stub_model)
+
+
+@register("stub_scoring")
+def q_stub_scoring(spark, sf_dir):
+    """L3: every templated prompt scored in Arrow batches by a caller-supplied model."""
+    return _scored(spark, sf_dir)
+
+
+@register(
+    "answer_parse",
+    "SELECT chain_id, id, "
+    + ", ".join(f"((length(model_input) * {i}) % 101) / 100.0 AS a{i}" for i in range(1, N_ANSWERS + 1))
+    + " FROM ("
+    + "SELECT chain_id, id, " + f"'{TEMPLATE}' || ' ' || chr(10) || ' ' || prompt AS model_input FROM ("
+    + _duck_prompts(V.duck_conv())
+    + "))",
+)
+def q_answer_parse(spark, sf_dir):
+    """L4: the A1..A20 answer lines of every model output as DOUBLE columns."""
+    return L.parse_answers(_scored(spark, sf_dir), n=N_ANSWERS).select("chain_id", "id", *[f"a{i}" for i in range(1, N_ANSWERS + 1)])
+
+
+@register("incremental_pages", "SELECT page_id, url, html FROM pages")
+def q_incremental_pages(spark, sf_dir):
+    """Stored pages ingested by an availableNow stream, de-duplicated by page id."""
+    base = f"{ensure_checkpoint_dir(spark)}/incremental-pages-{uuid.uuid4().hex}"
+    Z.ingest_pages(spark, sf_dir, f"{base}/out", f"{base}/state", glob="pages.parquet")
+    return spark.read.parquet(f"{base}/out")
