@@ -927,3 +927,23 @@ def q_incremental_pages(spark, sf_dir):
     base = f"{ensure_checkpoint_dir(spark)}/incremental-pages-{uuid.uuid4().hex}"
     Z.ingest_pages(spark, sf_dir, f"{base}/out", f"{base}/state", glob="pages.parquet")
     return spark.read.parquet(f"{base}/out")
+
+
+# ------------------------------------------------------------------ thread pages
+from threadspark.operators import threadpages as TPG  # noqa: E402
+
+
+def _thread_pages(spark, sf_dir):
+    return TPG.render_thread_pages(V.forest_units_for_pages(spark, sf_dir)).checkpoint(eager=True)
+
+
+@register("thread_pages", V.duck_thread_page_rows())
+def q_thread_pages(spark, sf_dir):
+    """Post and comment rows parsed from rendered thread pages (parse(render(forest)) = forest)."""
+    return TPG.parse_thread_pages(_thread_pages(spark, sf_dir))
+
+
+@register("thread_pages_subtree", V.duck_thread_page_rows())
+def q_thread_pages_subtree(spark, sf_dir):
+    """P9 with sub-tree selector scope (every comment here carries its own fields, so the result is the same)."""
+    return TPG.parse_thread_pages(_thread_pages(spark, sf_dir), scope="subtree")

@@ -180,3 +180,57 @@ DUCK_TRIALS = """SELECT l_suppkey AS trial_id,
   round(max(l_discount), 6) AS stability_score,
   round(sum(l_quantity), 6) AS model_training_time
 FROM lineitem GROUP BY l_suppkey"""
+
+
+# ---------------------------------------------------------------- V6: forest as thread pages
+SITE = "https://old.reddit.com"
+
+
+def forest_units_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest with the fields a thread page carries (url, votes, date, flair defaults)."""
+    d = table(spark, sf_dir, "documents")
+    local = F.col("doc_id") % THREAD_SIZE
+    root = (F.col("doc_id") - local).cast("string")
+    parent = F.col("doc_id") - local + F.floor((local - 1) / FANOUT).cast("bigint")
+    sid = F.col("doc_id").cast("string")
+    url = F.when(local == 0, F.concat(F.lit(SITE + "/r/forest/comments/"), sid, F.lit("/thread/"))).otherwise(
+        F.concat(F.lit(SITE + "/r/forest/comments/"), root, F.lit("/thread/"), sid, F.lit("/"))
+    )
+    return _content(
+        d,
+        url=url,
+        source_text=F.when(local == 0, F.lit("")),
+        subreddit=F.lit("forest"),
+        author_tag=F.lit(""),
+        user=F.col("source"),
+        text=wrap_paragraphs(F.col("text")),
+        date=F.concat(F.lit("d"), sid),
+        upvotes=(F.col("doc_id") % 50 - 10).cast("bigint"),
+        id=sid,
+        parent_id=F.when(local != 0, parent.cast("string")),
+        is_post=local == 0,
+        title=F.when(local == 0, F.concat(F.lit("thread "), sid)),
+    )
+
+
+def duck_thread_page_rows() -> str:
+    """Expected parse of the rendered forest pages."""
+    local = f"(doc_id % {THREAD_SIZE})"
+    sid = "CAST(doc_id AS VARCHAR)"
+    root = f"CAST(doc_id - {local} AS VARCHAR)"
+    return _duck_content(
+        "documents",
+        url=f"CASE WHEN {local} = 0 THEN '{SITE}/r/forest/comments/' || {sid} || '/thread/' "
+        f"ELSE '{SITE}/r/forest/comments/' || {root} || '/thread/' || {sid} || '/' END",
+        source_text=f"CASE WHEN {local} = 0 THEN '' END",
+        subreddit="'forest'",
+        author_tag="''",
+        user="source",
+        text=f"'<div class=\"md\">' || {D.wrap_paragraphs('text')} || '</div>'",
+        date=f"'d' || {sid}",
+        upvotes="CAST(doc_id % 50 - 10 AS BIGINT)",
+        id=sid,
+        parent_id=f"CASE WHEN {local} <> 0 THEN CAST(doc_id - {local} + CAST(floor(({local} - 1) / {FANOUT}) AS BIGINT) AS VARCHAR) END",
+        is_post=f"{local} = 0",
+        title=f"CASE WHEN {local} = 0 THEN 'thread ' || {sid} END",
+    )
