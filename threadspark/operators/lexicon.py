@@ -1,11 +1,11 @@
 """Token-level operators: long token tables, a vocabulary-checked lemma lexicon, lemmatisation.
 
 Lemmas follow the noun detachment rules of WordNet's morphological processor:
-a word's candidates are the word itself and every rule rewrite of it; only
-candidates present in a *known-word table* survive, and the shortest wins
-(ties: the word itself, then rule order). The known-word table is a DataFrame
--- by default the corpus' own vocabulary -- so the lexicon is derived by Spark
-from the data and joined, never shipped through the driver.
+a word's candidates are its rule rewrites; only candidates present in a
+*known-word table* survive, the shortest wins (ties: rule order), and a word
+without a surviving candidate is its own lemma. The known-word table is a
+DataFrame -- by default the corpus' own vocabulary -- so the lexicon is derived
+by Spark from the data and joined, never shipped through the driver.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ def token_rows(docs: DataFrame, id_col: str, text: Column, lower: bool = False)
 def lemma_lexicon(known: DataFrame, word_col: str = "token") -> DataFrame:
     """``(form, lemma)`` for every known word whose lemma differs from itself."""
     words = known.select(F.col(word_col).alias("form")).distinct()
-    cands = [F.struct(F.lit(0).alias("i"), F.col("form").alias("c"))]
+    cands = []
     for i, (suffix, repl) in enumerate(NOUN_RULES, start=1):
         stem = F.expr(f"substring(form, 1, length(form) - {len(suffix)})")
         cands.append(

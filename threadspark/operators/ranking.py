@@ -20,7 +20,7 @@ from threadspark.session import ensure_checkpoint_dir
 
 
 def _order(c: Column, ascending: bool) -> Column:
-    return c.asc() if ascending else c.desc()
+    return c.asc_nulls_last() if ascending else c.desc_nulls_last()
 
 
 def value_ranks(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
@@ -59,7 +59,7 @@ def add_rank(
     h = value_ranks(df, col, ascending)
     r = F.col("below") + 1.0 if method == "min" else F.col("below") + (F.col("cnt") + 1) / 2.0
     h = h.select(F.col("value").alias("_rv"), r.cast("double").alias(out))
-    return df.join(h, df[col].eqNullSafe(h["_rv"]), "left").drop("_rv")
+    return df.join(h, df[col] == h["_rv"], "left").drop("_rv")  # nulls get no rank
 
 
 def fill_nulls(df: DataFrame, col: str, how: str) -> Column:

@@ -217,7 +217,7 @@ def _duck_lemmas() -> str:
   SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token
   FROM (SELECT doc_id, {D.tokenize('lower(text)')} AS t FROM documents)),
 words AS (SELECT DISTINCT token AS form FROM toks),
-cands AS (SELECT form, 0 AS i, form AS cand FROM words UNION ALL {rules}),
+cands AS ({rules}),
 known AS (SELECT c.* FROM cands c WHERE c.cand IN (SELECT form FROM words)),
 lex AS (SELECT form, arg_min(cand, length(cand) * 100 + i) AS lemma FROM known GROUP BY form),
 lem AS (SELECT t.doc_id, t.pos, coalesce(l.lemma, t.token) AS lemma FROM toks t LEFT JOIN lex l ON l.form = t.token),
