@@ -27,8 +27,10 @@ WS = (
     r"[\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
-# A tag, tolerating '>' inside quoted attribute values.
-ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+# A tag, tolerating '>' inside quoted attribute values. The alternatives start with
+# disjoint characters, so possessive quantifiers match the same strings while keeping
+# Java's matcher from recursing once per character on long inputs.
+ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 TAG = "<" + ATTRS + ">"
 MARK = "\x01"  # boundary between text pieces produced by replacements
 MARK_RE = r"\x01"
@@ -57,8 +59,8 @@ ENTITIES = [
 
 
 def _tail(arr: Column) -> Column:
-    """All elements but the first."""
-    return F.slice(arr, 2, F.greatest(F.size(arr) - 1, F.lit(0)))
+    """All elements but the first (``arr`` is referenced once, so it is evaluated once)."""
+    return F.filter(arr, lambda x, i: i > 0)
 
 
 def strip(c: Column) -> Column:
@@ -91,8 +93,8 @@ def _element_pieces(body: Column, split_re: str, close_tag: str, render) -> Colu
         rest = F.when(closed, F.regexp_replace(piece, close_re, "")).otherwise(F.lit(""))
         return render(attrs, inner, rest)
 
-    tail = F.transform(_tail(parts), one)
-    return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+    # one pass over the pieces: the first is kept as is, every later one is rendered
+    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(one(x))), "")
 
 
 def _joined_text(inner: Column, extra_boundary: str = "") -> Column:
@@ -102,12 +104,12 @@ def _joined_text(inner: Column, extra_boundary: str = "") -> Column:
 
 
 def _render_link(attrs: Column, inner: Column, rest: Column) -> Column:
-    text = _joined_text(inner)
     href = F.concat(
         F.regexp_extract(attrs, HREF_RE, 1),
         F.regexp_extract(attrs, HREF_RE, 2),
         F.regexp_extract(attrs, HREF_RE, 3),
     )
+    text = _joined_text(inner)
     link = F.concat(F.lit(MARK + "["), text, F.lit("]("), href, F.lit(")" + MARK))
     return F.when(text != "", F.concat(link, rest)).otherwise(rest)
 

@@ -36,9 +36,10 @@ def html_corpus(units: DataFrame, min_len: int = 50, max_len: int = 1000) -> Dat
 
 def source_corpus(units: DataFrame, min_len: int = 50, max_len: int = 1000) -> DataFrame:
     """Posts -> ``title + ' \\n ' + source``, others -> source; inclusive bounds; distinct, sorted."""
-    src = html_to_source(F.col("text"))
+    rendered = units.select("title", html_to_source(F.col("text")).alias("_src"))  # once per unit
+    src = F.col("_src")
     doc = F.when(F.col("title").isNotNull(), F.concat(F.col("title"), F.lit(TITLE_SEP), src)).otherwise(src)
-    docs = units.select(doc.alias("doc")).distinct()
+    docs = rendered.select(doc.alias("doc")).distinct()
     n = F.length("doc")
     return docs.where((n >= min_len) & (n <= max_len)).orderBy("doc")
 

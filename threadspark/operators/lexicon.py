@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from threadspark.functions.text import tokenize
 from threadspark.operators.threads import ordered_join
+from threadspark.session import materialize
 
 # Noun suffix rules (suffix, replacement), in rule order.
 NOUN_RULES = [
@@ -67,8 +68,10 @@ def lemmatize_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents without tokens get an empty string.
     """
-    toks = token_rows(docs, id_col, F.col(text_col), lower=True)
-    lex = lemma_lexicon(known if known is not None else toks)
+    # tokenise once: the token arrays feed both the lexicon and the lookup
+    arrays = materialize(docs.select(F.col(id_col), tokenize(F.lower(F.col(text_col))).alias("_toks")))
+    toks = arrays.select(F.col(id_col), F.posexplode("_toks").alias("pos", "token"))
+    lex = lemma_lexicon(known if known is not None else arrays.select(F.explode(F.array_distinct("_toks")).alias("token")))
     lem = lemmatize_rows(toks, lex)
     joined = lem.groupBy(id_col).agg(ordered_join(F.col("pos"), F.col("lemma"), " ").alias("lemma_text"))
     return docs.select(id_col).join(joined, id_col, "left").select(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadspark.schemas import CONTENT_FIELDS, REQUIRED_FIELDS
-from threadspark.session import ensure_checkpoint_dir
+from threadspark.session import ensure_checkpoint_dir, materialize
 
 
 def _fields(v: Column) -> list[Column]:
@@ -39,7 +39,7 @@ def flatten_threads(docs: DataFrame, json_col: str = "value", key_col: str = "th
     level = level.where(F.col("_v").isNotNull() & ~F.is_variant_null("_v"))
     out = []
     for _ in range(max_depth):
-        level = level.checkpoint(eager=True)
+        level = materialize(level)
         if level.isEmpty():
             break
         out.append(level.select("thread", "path", *_fields(F.col("_v"))))
@@ -91,7 +91,7 @@ def nest_threads(units: DataFrame, order_col: str | None = None, max_depth: int
         else:
             lvl = lvl.withColumn("_kids", F.lit(None).cast("string"))
         doc = F.concat(head, F.lit(',"replies":['), F.coalesce(F.col("_kids"), F.lit("")), F.lit("]}"))
-        lvl = lvl.select("id", "parent_id", "_ord", doc.alias("json")).checkpoint(eager=True)
+        lvl = materialize(lvl.select("id", "parent_id", "_ord", doc.alias("json")))
         if d > 0:
             below = lvl.groupBy(F.col("parent_id").alias("_pid")).agg(
                 F.array_join(

@@ -2,8 +2,8 @@
 
 Input: a DataFrame with a document id and an ``ARRAY<STRING>`` of tokens.
 
-Learning counts unigrams and adjacent bigrams (bigrams come from zipping each
-token array with itself shifted by one, so no window or Python is needed),
+Learning counts unigrams and adjacent bigrams in one pass (each token array is
+zipped with itself shifted by one, so no window or Python is needed),
 scores every bigram and keeps those scoring above the threshold:
 
 * ``default``: ``(n_ab - min_count) / (n_a * n_b) * V`` with ``V`` the number of
@@ -23,20 +23,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadspark.operators.threads import ordered_list
+from threadspark.session import materialize
 
 DELIMITER = "_"
 
 
-def bigram_rows(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """``(id, pos, a, b)`` for every adjacent token pair (pos = position of ``a``)."""
+def _successor_pairs(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """``(id, pos, a, b)`` for every token ``a`` with its successor ``b`` (null after the last token)."""
     toks = F.col(tokens_col)
-    nxt = F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0)))
-    pairs = F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))).alias("a"), nxt.alias("b"))
+    nxt = F.filter(toks, lambda x, i: i > 0)
+    pairs = F.arrays_zip(toks.alias("a"), nxt.alias("b"))  # the shorter array is padded with null
     return docs.select(F.col(id_col), F.posexplode(pairs).alias("pos", "p")).select(
         id_col, "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b")
     )
 
 
+def bigram_rows(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """``(id, pos, a, b)`` for every adjacent token pair (pos = position of ``a``)."""
+    return _successor_pairs(docs, id_col, tokens_col).where(F.col("b").isNotNull())
+
+
 def _check_params(scoring: str, threshold: float) -> None:
     if scoring == "default" and threshold <= 0:
         raise ValueError("threshold should be positive for default scoring")
@@ -52,8 +58,12 @@ def learn_phrases(
 ) -> DataFrame:
     """M1: ``(a, b, phrase, n_ab, n_a, n_b, score)`` for every bigram with score > threshold."""
     _check_params(scoring, threshold)
-    uni = docs.select(F.explode(F.col(tokens_col)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    bi = bigram_rows(docs, id_col, tokens_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    # one pass over the tokens: (token, successor) counts; successor null = last token of a document
+    counts = materialize(
+        _successor_pairs(docs, id_col, tokens_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    )
+    uni = counts.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n"))
+    bi = counts.where(F.col("b").isNotNull()).select("a", "b", F.col("n").alias("n_ab"))
     keys = uni.select(F.col("w").alias("k")).unionByName(
         bi.select(F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("k"))
     )

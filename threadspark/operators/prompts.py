@@ -24,11 +24,11 @@ def _txt(c: Column, null_text: str) -> Column:
 
 def unit_lines(units: DataFrame, null_text: str = "nan") -> DataFrame:
     """Both prompt lines of every unit, with the HTML rendered to source once per unit."""
-    src = html_to_source(F.col("text"))
     a, b, c, d = ROOT_LINE
     e, f, g = REPLY_LINE
-    user = _txt(F.col("user"), null_text)
-    return units.select(
+    rendered = units.select("id", "user", "title", html_to_source(F.col("text")).alias("_src"))  # once per unit
+    user, src = _txt(F.col("user"), null_text), F.col("_src")
+    return rendered.select(
         F.col("id").alias("_lid"),
         F.concat(F.lit(a), user, F.lit(b), _txt(F.col("title"), null_text), F.lit(c), src, F.lit(d)).alias("_root"),
         F.concat(F.lit(e), user, F.lit(f), src, F.lit(g)).alias("_reply"),

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadspark.session import ensure_checkpoint_dir
+from threadspark.session import ensure_checkpoint_dir, materialize
 
 
 def _order(c: Column, ascending: bool) -> Column:
@@ -34,7 +34,7 @@ def value_ranks(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
     hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     # Range bounds come from a sample; checkpoint so partition ids stay fixed on recompute.
     hist = hist.repartitionByRange(n, _order(F.col("_v"), ascending)).withColumn("_pid", F.spark_partition_id())
-    hist = hist.checkpoint(eager=True)
+    hist = materialize(hist)
     w = Window.partitionBy("_pid").orderBy(_order(F.col("_v"), ascending)).rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("_local", F.coalesce(F.sum("_c").over(w), F.lit(0)))
     totals = hist.groupBy("_pid").agg(F.sum("_c").alias("_t"))

@@ -30,6 +30,7 @@ from threadspark.operators import vocab as VB
 from threadspark.operators.pages import hash_order
 from threadspark.operators.threads import reach_paths
 from threadspark.schemas import TRIAL_METRICS, TRIAL_PARAM_FIELDS, TRIAL_PARAMS, TRIAL_SCHEMA
+from threadspark.session import materialize
 
 # The random search space (inclusive integer ranges, real ranges, choices).
 INT_RANGES = {
@@ -115,12 +116,12 @@ def train_and_measure(tokens: DataFrame, p: dict, seed: int = 0, bow_source: str
     """M5-M13 on a tokenised corpus ``(doc_key, tokens)``: returns the six metrics."""
     t0 = time.perf_counter()
     phrases = PH.learn_phrases(tokens, "doc_key", "tokens", p["phraser_min_count"], p["phraser_threshold"], p["phraser_scorer"])
-    phrased = PH.apply_phrases(tokens, phrases, "doc_key", "tokens", "phrased").checkpoint(eager=True)
-    vocab = VB.build_vocabulary(phrased, "phrased", p["no_below"], p["no_above"]).checkpoint(eager=True)
+    phrased = materialize(PH.apply_phrases(tokens, phrases, "doc_key", "tokens", "phrased"))
+    vocab = materialize(VB.build_vocabulary(phrased, "phrased", p["no_below"], p["no_above"]))
     if vocab.isEmpty():
         raise _TrialFailure("empty_vocab", "no term passed the frequency filter")
     source = tokens if bow_source == "raw" else phrased.withColumnRenamed("phrased", "tokens")
-    vectors = VB.bow_vectors(source, vocab, "doc_key", "tokens").checkpoint(eager=True)
+    vectors = materialize(VB.bow_vectors(source, vocab, "doc_key", "tokens"))
     n_docs = vectors.count()
     k = int(p["lda_num_topics"])
     est = dict(k=k, n_docs=n_docs, chunksize=int(p["chunksize"]), passes=int(p["passes"]), decay=float(p["decay"]),
@@ -172,7 +173,7 @@ def run_trial(units: DataFrame, params: dict, seed: int = 0, thread_col: str = "
             raise _TrialFailure("invalid_params", "decay must be in (0.5, 1.0]")
         sampled = sample_threads(units, int(p["max_input_jsons"]), seed, thread_col)
         docs = corpus_docs(sampled, p["dataset"], int(p["min_len"]), int(p["max_len"]))
-        tokens = docs.select("doc_key", tokenize(F.col("doc")).alias("tokens")).checkpoint(eager=True)
+        tokens = materialize(docs.select("doc_key", tokenize(F.col("doc")).alias("tokens")))
         if tokens.isEmpty():
             raise _TrialFailure("empty_corpus", "no document passed the length filter")
         rec.update(train_and_measure(tokens, p, seed, bow_source))
@@ -210,7 +211,7 @@ def run_search(units: DataFrame, log_path: str, n_trials: int = SEARCH_BUDGET, s
     Each trial is a set of Spark jobs; the loop itself only proposes parameters.
     """
     spark = units.sparkSession
-    units = thread_ids(units).checkpoint(eager=True)
+    units = materialize(thread_ids(units))
     seed_rows = []
     if seeds is not None and seed_count:
         seed_rows = [r.asDict() for r in seeds.limit(seed_count).collect()]  # bounded by seed_count

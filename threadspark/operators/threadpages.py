@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from threadspark.functions.html import ATTRS, NOISE_RE, decode_entities, strip
 from threadspark.functions.text import first_integer, url_community, url_post_id
 from threadspark.schemas import CONTENT_COLUMNS
+from threadspark.session import materialize
 
 # Constants of the page format.
 NO_USER = "User deleted or not found"
@@ -88,7 +89,7 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     """Content rows (post + comments) of every stored thread page ``(page_id, url, html)``."""
     if scope not in ("own", "subtree"):
         raise ValueError("scope must be 'own' or 'subtree'")
-    s = element_stream(pages).checkpoint(eager=True)
+    s = materialize(element_stream(pages))
     page_order = Window.partitionBy("page_id").orderBy("pos")
     is_div = (F.col("name") == "div") & F.col("lvl").isNotNull()
     is_copen = is_div & ~F.col("closing") & (F.lower(F.coalesce(_attr(F.col("tag"), "data-type"), F.lit(""))) == "comment")
@@ -105,7 +106,7 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     bd = F.sum(F.when(bad_open, 1).when(F.col("bclose"), -1).otherwise(0)).over(
         page_order.rowsBetween(Window.unboundedPreceding, 0)
     )
-    s = s.withColumn("open_c", cd).withColumn("open_bad", bd).checkpoint(eager=True)
+    s = materialize(s.withColumn("open_c", cd).withColumn("open_bad", bd))
 
     comments = s.where("copen").select(
         "page_id", "pos", "fin", "fullname", (F.col("open_c") - 1).alias("depth"),
@@ -328,7 +329,7 @@ def render_thread_pages(units: DataFrame, site: str = SITE) -> DataFrame:
                 F.lit('<div class="md">'), F.coalesce(F.col("text"), F.lit("")), F.lit("</div>"),
                 F.lit('<div id="siteTable_t1_'), _esc(F.col("id")), F.lit('">'), kids, F.lit("</div></div>"),
             )
-            lvl = lvl.select("id", "parent_id", html.alias("html")).checkpoint(eager=True)
+            lvl = materialize(lvl.select("id", "parent_id", html.alias("html")))
             below = lvl.groupBy(F.col("parent_id").alias("_kpid")).agg(
                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id"), F.col("html")))), lambda s: s["html"]), "").alias("_kids")
             )

@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.session import ensure_checkpoint_dir
+from threadspark.session import ensure_checkpoint_dir, materialize
 
 
 def dedupe_units(units: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
@@ -94,17 +94,17 @@ def reach_paths(units: DataFrame, max_depth: int = 10_000) -> DataFrame:
     ensure_checkpoint_dir(units.sparkSession)
     nodes = units.select("id", "parent_id", "is_post")
     edges = nodes.where(~F.col("is_post") & F.col("parent_id").isNotNull()).select("id", "parent_id")
-    edges = edges.checkpoint(eager=True)
-    frontier = nodes.where(F.col("is_post")).select(
-        "id", F.array(F.col("id")).alias("path"), F.lit(0).alias("depth")
-    ).checkpoint(eager=True)
+    edges = materialize(edges)
+    frontier = materialize(
+        nodes.where(F.col("is_post")).select("id", F.array(F.col("id")).alias("path"), F.lit(0).alias("depth"))
+    )
     levels = [frontier]
     for depth in range(1, max_depth + 1):
         up = frontier.select(F.col("id").alias("_pid"), F.col("path").alias("_ppath"))
-        nxt = (
-            edges.join(up, edges["parent_id"] == up["_pid"])
-            .select("id", F.concat(F.col("_ppath"), F.array(F.col("id"))).alias("path"), F.lit(depth).alias("depth"))
-            .checkpoint(eager=True)
+        nxt = materialize(
+            edges.join(up, edges["parent_id"] == up["_pid"]).select(
+                "id", F.concat(F.col("_ppath"), F.array(F.col("id"))).alias("path"), F.lit(depth).alias("depth")
+            )
         )
         if nxt.isEmpty():
             break

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from threadspark.operators import prompts as L
 from threadspark.operators import threads as T
 from threadspark.plans import views as V
+from threadspark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -594,7 +595,7 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def q_phrase_apply(spark, sf_dir):
     """M2: greedy phrase merge of every document with the learned phrases."""
-    toks = _doc_tokens(spark, sf_dir)
+    toks = materialize(_doc_tokens(spark, sf_dir).select("doc_id", "tokens"))  # read by three passes
     phr = PH.learn_phrases(toks, **PHRASE_APPLY)
     out = PH.apply_phrases(toks, phr)
     return out.select("doc_id", F.size("phrased").alias("n_tokens"), F.array_join("phrased", " ").alias("phrased_text"))
@@ -625,7 +626,7 @@ FROM (SELECT doc_id, unnest(list_slice(t, 1, {VB.MAX_TOKENS})) AS term FROM d) x
 )
 def q_bag_of_words(spark, sf_dir):
     """M4: bag of words over the first 5000 tokens of every document."""
-    toks = _doc_tokens(spark, sf_dir)
+    toks = materialize(_doc_tokens(spark, sf_dir).select("doc_id", "tokens"))  # read twice
     return VB.bag_of_words(toks, VB.build_vocabulary(toks, **VOCAB))
 
 
@@ -634,8 +635,8 @@ def q_bag_of_words(spark, sf_dir):
 # the second run for stability are sources. Weights = share of the group's tokens.
 
 
-def _group_top_terms(spark, sf_dir, group: str, n: int, weight: bool = False):
-    t = _doc_tokens(spark, sf_dir)
+def _group_top_terms(t, group: str, n: int, weight: bool = False):
+    """Top-``n`` terms per ``group`` of the token table ``t`` (by document frequency, or by count with weights)."""
     if weight:
         cnt = t.select(group, F.explode("tokens").alias("term")).groupBy(group, "term").agg(F.count(F.lit(1)).alias("c"))
         tot = cnt.groupBy(group).agg(F.sum("c").alias("n"))
@@ -675,8 +676,9 @@ FROM pairs p LEFT JOIN co USING (topic, wi, wj) JOIN dfq ON dfq.term = p.wj GROU
 )
 def q_coherence_umass(spark, sf_dir):
     """M7: UMass coherence of each language's top-20 terms over all documents."""
-    top = _group_top_terms(spark, sf_dir, "lang", TP.COHERENCE_TOPN)
-    occ = _doc_tokens(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    toks = materialize(_doc_tokens(spark, sf_dir))  # read twice
+    top = _group_top_terms(toks, "lang", TP.COHERENCE_TOPN)
+    occ = toks.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
     n = V.table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
     c = TP.umass_coherence(top, occ, n, id_col="doc_id", term_col="term")
     return c.select("topic", F.round("coherence", 9).alias("coherence"))
@@ -689,7 +691,7 @@ SELECT count(DISTINCT term) / count(*) AS diversity FROM top""",
 )
 def q_topic_diversity(spark, sf_dir):
     """Diversity of the sources' top-10 terms."""
-    return TP.topic_diversity(_group_top_terms(spark, sf_dir, "source", TP.TOPIC_TOPN), term_col="term")
+    return TP.topic_diversity(_group_top_terms(_doc_tokens(spark, sf_dir), "source", TP.TOPIC_TOPN), term_col="term")
 
 
 @register(
@@ -704,8 +706,8 @@ def q_doc_entropy(spark, sf_dir):
     """Entropy of every document's term distribution (probabilities below 0.01 dropped)."""
     t = _doc_tokens(spark, sf_dir)
     c = t.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
-    p = c.groupBy("doc_id").agg(F.collect_list("c").alias("cs"))  # one row per document
-    p = p.select("doc_id", F.transform("cs", lambda x: x / F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("p"))
+    p = c.groupBy("doc_id").agg(F.collect_list("c").alias("cs"), F.sum("c").alias("n"))  # one row per document
+    p = p.select("doc_id", F.transform("cs", lambda x: x / F.col("n")).alias("p"))
     e = V.table(spark, sf_dir, "documents").select("doc_id").join(
         p.select("doc_id", TP.distribution_entropy(F.col("p")).alias("entropy")), "doc_id", "left"
     )
@@ -726,8 +728,9 @@ SELECT t1 AS topic, round(min(h), 9) AS min_hellinger FROM h GROUP BY t1""",
 )
 def q_topic_stability(spark, sf_dir):
     """Per language topic, min Hellinger distance to any source topic (top-10 sparse)."""
-    a = _group_top_terms(spark, sf_dir, "lang", TP.TOPIC_TOPN, weight=True)
-    b = _group_top_terms(spark, sf_dir, "source", TP.TOPIC_TOPN, weight=True)
+    toks = materialize(_doc_tokens(spark, sf_dir))  # read by both runs
+    a = _group_top_terms(toks, "lang", TP.TOPIC_TOPN, weight=True)
+    b = _group_top_terms(toks, "source", TP.TOPIC_TOPN, weight=True)
     h = TP.hellinger_min(a, b, term_col="term")
     return h.select("topic", F.round("min_hellinger", 9).alias("min_hellinger"))
 
@@ -740,8 +743,8 @@ LDA_PARAMS = dict(k=5, chunksize=1000, passes=2, decay=0.7, alpha="asymmetric",
 
 def _lda_inputs(spark, sf_dir):
     toks = _doc_tokens(spark, sf_dir).where(F.col("lang") == "en").select("doc_id", "tokens")
-    vocab = VB.build_vocabulary(toks, no_below=5, no_above=0.5).checkpoint(eager=True)
-    vectors = VB.bow_vectors(toks, vocab).checkpoint(eager=True)
+    vocab = materialize(VB.build_vocabulary(toks, no_below=5, no_above=0.5))
+    vectors = materialize(VB.bow_vectors(toks, vocab))
     return vocab, vectors
 
 
@@ -798,7 +801,7 @@ TRIAL_PARAMS_Q = dict(
 @register("lda_trial")
 def q_lda_trial(spark, sf_dir):
     """One full trial (corpus -> tokens -> phrases -> vocabulary -> 2 LDA fits -> 6 metrics)."""
-    units = S.thread_ids(V.forest(spark, sf_dir)).checkpoint(eager=True)
+    units = materialize(S.thread_ids(V.forest(spark, sf_dir)))
     rec = S.run_trial(units, TRIAL_PARAMS_Q, seed=0)
     return S.trial_frame(spark, [rec])
 
@@ -934,7 +937,7 @@ from threadspark.operators import threadpages as TPG  # noqa: E402
 
 
 def _thread_pages(spark, sf_dir):
-    return TPG.render_thread_pages(V.forest_units_for_pages(spark, sf_dir)).checkpoint(eager=True)
+    return materialize(TPG.render_thread_pages(V.forest_units_for_pages(spark, sf_dir)))
 
 
 @register("thread_pages", V.duck_thread_page_rows())

@@ -10,9 +10,14 @@ from __future__ import annotations
 from threadspark.functions import html as H
 
 
+def re2(pattern: str) -> str:
+    """RE2 has no possessive quantifiers (and needs none: it never backtracks)."""
+    return pattern.replace("++", "+").replace("*+", "*")
+
+
 def q(s: str) -> str:
-    """Quote a Python string as a SQL string literal."""
-    return "'" + s.replace("'", "''") + "'"
+    """Quote a Python string (a literal or a pattern, made RE2-compatible) as a SQL string literal."""
+    return "'" + re2(s).replace("'", "''") + "'"
 
 
 def strip(x: str) -> str:

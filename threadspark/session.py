@@ -46,3 +46,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="threadspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint, computing the plan only once.
+
+    ``checkpoint()`` alone runs the plan twice (once for the action, once for the
+    write); persisting first lets the write read the cached blocks. The cache is
+    released as soon as the checkpoint files exist, so executor loss afterwards
+    only needs the shared checkpoint files.
+    """
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
