@@ -45,7 +45,11 @@ def _attr(tag: Column, name: str) -> Column:
 def element_stream(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, el, tag, text, name, closing, cls, lvl, fin, ...)`` for every tag of every page."""
     clean = F.regexp_replace(F.col("html"), NOISE_RE, "")
-    s = pages.select("page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(ELEMENT_RE), 0)).alias("pos", "el"))
+    # One shuffle of whole pages by page id: every later window is partitioned by
+    # page_id (plus other keys), which this partitioning already satisfies.
+    s = pages.repartition("page_id").select(
+        "page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(ELEMENT_RE), 0)).alias("pos", "el")
+    )
     tag = F.regexp_extract("el", "^(<" + ATTRS + ">)", 1)
     s = s.select(
         "page_id", "pos", "el", tag.alias("tag"),
