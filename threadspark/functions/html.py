@@ -136,9 +136,16 @@ def paragraph_bodies(html: Column) -> Column:
     return F.transform(_tail(parts), lambda x: F.regexp_replace(x, P_CLOSE_TAIL_RE, ""))
 
 
+def _paragraph(body: Column) -> Column:
+    # A body without markup (and without the internal boundary mark) is a single
+    # text piece: decoding and stripping it gives the same result without the tag machinery.
+    plain = ~body.contains("<") & ~body.contains(MARK)
+    return F.when(plain, strip(decode_entities(body))).otherwise(strip(paragraph_text(body)))
+
+
 def html_to_paragraphs(html: Column) -> Column:
     """ARRAY<STRING> of paragraph texts (empty paragraphs kept as '')."""
-    return F.transform(paragraph_bodies(html), lambda b: strip(paragraph_text(b)))
+    return F.transform(paragraph_bodies(html), _paragraph)
 
 
 def html_to_source(html: Column) -> Column:

@@ -97,14 +97,17 @@ def apply_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
     w = Window.partitionBy(id_col, "_grp")
     runs = flagged.withColumn("_grp", F.col("pos") - F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
     runs = runs.withColumn("_off", F.col("pos") - F.min("pos").over(w))
-    starts = runs.where(F.col("_off") % 2 == 0).select(
+    starts = runs.where(F.col("_off") % 2 == 0)
+    # one rewrite row per touched position: a phrase start (merged token) or the swallowed next token
+    rewrites = starts.select(
         F.col(id_col).alias("_sid"), F.col("pos").alias("_spos"),
         F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("_phrase"),
+    ).unionByName(
+        starts.select(F.col(id_col).alias("_sid"), (F.col("pos") + 1).alias("_spos"), F.lit(None).cast("string").alias("_phrase"))
     )
-    consumed = starts.select(F.col("_sid"), (F.col("_spos") + 1).alias("_cpos"))
     toks = docs.select(id_col, F.posexplode(F.col(tokens_col)).alias("pos", "token"))
-    kept = toks.join(consumed, (F.col(id_col) == F.col("_sid")) & (F.col("pos") == F.col("_cpos")), "left_anti")
-    kept = kept.join(starts, (F.col(id_col) == F.col("_sid")) & (F.col("pos") == F.col("_spos")), "left")
+    kept = toks.join(rewrites, (F.col(id_col) == F.col("_sid")) & (F.col("pos") == F.col("_spos")), "left")
+    kept = kept.where(F.col("_sid").isNull() | F.col("_phrase").isNotNull())
     merged = kept.groupBy(id_col).agg(ordered_list(F.col("pos"), F.coalesce(F.col("_phrase"), F.col("token"))).alias("_j"))
     out = docs.select(id_col).join(merged, id_col, "left")
     return out.select(id_col, F.coalesce(F.col("_j"), F.array().cast("array<string>")).alias(out_col))
