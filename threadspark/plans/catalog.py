@@ -645,8 +645,9 @@ def _group_top_terms(t, group: str, n: int, weight: bool = False):
         cnt = t.select(group, "doc_id", F.explode(F.array_distinct("tokens")).alias("term")).groupBy(group, "term").agg(
             F.count(F.lit(1)).alias("c")
         )
-    ranked = cnt.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), F.asc("term"))) - 1)
-    top = ranked.where(F.col("rank") < n)  # planned as a per-partition top-n before the shuffle
+    ranked = cnt.withColumn("_rn", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("c"), F.asc("term"))))
+    # a filter directly on the row number is planned as a per-partition top-n before the shuffle
+    top = ranked.where(F.col("_rn") <= n).withColumn("rank", F.col("_rn") - 1).drop("_rn")
     if weight:
         top = top.join(tot, group).withColumn("weight", F.col("c") / F.col("n"))
     return top.withColumnRenamed(group, "topic")
