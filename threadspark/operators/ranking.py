@@ -4,6 +4,8 @@ Two physical forms of a rank over a whole table:
 
 * ``bounded=True``: a window over the whole table (one partition) -- only for
   tables with a proven size bound, such as trial logs (at most the search budget).
+  ``bounded=None`` checks the row count and uses the window only up to
+  ``WINDOW_ROW_LIMIT`` rows.
 * ``bounded=False`` (default): a distributed value histogram. Distinct values are
   counted (partial aggregation), range-partitioned, prefix-summed inside each
   partition, offset by the per-partition totals (one row per partition, a
@@ -19,6 +21,15 @@ from pyspark.sql import functions as F
 from threadspark.session import ensure_checkpoint_dir, materialize
 
 
+# Largest table ranked with a single-partition window (the trial search budget).
+WINDOW_ROW_LIMIT = 10_000
+
+
+def fits_one_partition(df: DataFrame, limit: int = WINDOW_ROW_LIMIT) -> bool:
+    """Size check before a single-partition window: at most ``limit`` rows (reads at most limit + 1)."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def _order(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_last() if ascending else c.desc_nulls_last()
 
@@ -79,14 +90,17 @@ TRIAL_RANKS = [
 ]
 
 
-def rank_trials(trials: DataFrame, directions: dict[str, bool] | None = None, bounded: bool = True) -> DataFrame:
+def rank_trials(trials: DataFrame, directions: dict[str, bool] | None = None, bounded: bool | None = None) -> DataFrame:
     """Trial scoring.
 
     Each metric's nulls are filled with its column min or max, ranked (average
     rank, per-metric direction), the six ranks multiplied, and the product
     average-ranked ascending into ``total_score`` (high = good), sorted ascending.
+    With ``bounded=None`` the rank form is chosen by :func:`fits_one_partition`.
     """
     directions = directions or {}
+    if bounded is None:
+        bounded = fits_one_partition(trials)
     df = trials
     for metric, out, fill, asc in TRIAL_RANKS:
         df = df.withColumn("_f_" + metric, fill_nulls(trials, metric, fill))

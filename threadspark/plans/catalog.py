@@ -486,7 +486,7 @@ SELECT trial_id, {outs}, {_duck_avg_rank('prod', True)} AS total_score FROM p"""
 
 @register("trial_rank", _duck_trial_rank())
 def q_trial_rank(spark, sf_dir):
-    """Trial scoring over the trial-log stand-in."""
+    """Trial scoring over the trial-log stand-in (window form behind a row-count check)."""
     out = [o for _, o, _, _ in R.TRIAL_RANKS]
     return R.rank_trials(V.trials(spark, sf_dir)).select("trial_id", *out, "total_score")
 
