@@ -37,9 +37,12 @@ ELEMENT_RE = "<" + ATTRS + ">[^<]*"
 
 
 def _attr(tag: Column, name: str) -> Column:
-    pat = r"""(?is)\s""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    val = F.concat(*[F.regexp_extract(tag, pat, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(pat), decode_entities(val))
+    """Decoded value of attribute ``name`` (null when absent), found with one regex scan:
+    the raw value keeps its quotes, so an empty quoted value differs from a missing one."""
+    raw = F.regexp_extract(tag, r"""(?is)\s""" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    quoted = raw.startswith('"') | raw.startswith("'")
+    unquoted = F.when(quoted, raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
+    return F.when(raw != "", decode_entities(unquoted))
 
 
 def element_stream(pages: DataFrame) -> DataFrame:
