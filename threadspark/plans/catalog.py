@@ -951,3 +951,42 @@ def q_thread_pages(spark, sf_dir):
 def q_thread_pages_subtree(spark, sf_dir):
     """P9 with sub-tree selector scope (every comment here carries its own fields, so the result is the same)."""
     return TPG.parse_thread_pages(_thread_pages(spark, sf_dir), scope="subtree")
+
+
+# ------------------------------------------------------------------ sink -> source round trips
+from threadspark.sources import readers as RD  # noqa: E402
+from threadspark.sources import writers as WR  # noqa: E402
+
+_RT_COLS = ["id", "parent_id", "is_post", "user", "title", "text", "child_count", "chain_id", "chain_rank"]
+
+
+def _duck_chain_children(units_sql: str) -> str:
+    return (
+        _duck_walk(units_sql)
+        + """,
+kids AS (SELECT parent_id, string_agg(id, ',' ORDER BY id) AS children FROM u WHERE parent_id IS NOT NULL GROUP BY parent_id)
+SELECT u.id, u.parent_id, u.is_post, u."user", u.title, u.text, coalesce(k.child_count, 0) AS child_count, m.chain_id, m.chain_rank,
+       coalesce(kd.children, '') AS children
+FROM members m JOIN u ON u.id = m.member LEFT JOIN counts k ON k.parent_id = u.id LEFT JOIN kids kd ON kd.parent_id = u.id"""
+    )
+
+
+@register("chain_csv_roundtrip", _duck_chain_children(V.duck_conv()))
+def q_chain_csv_roundtrip(spark, sf_dir):
+    """K1 + S6: the conversation chain table (with children ids) written as CSV and read back."""
+    chains = T.chain_table(V.conv(spark, sf_dir), with_children_ids=True)
+    path = f"{ensure_checkpoint_dir(spark)}/chain-csv-{uuid.uuid4().hex}"
+    WR.write_chain_table(chains, path, fmt="csv")
+    back = RD.read_chain_table(spark, path, fmt="csv")
+    return back.select(*_RT_COLS, F.array_join("children_ids", ",").alias("children"))
+
+
+@register(
+    "chain_head",
+    "SELECT chain_id, chain_rank, id FROM ("
+    + _duck_chain_table(V.duck_conv())
+    + ") ORDER BY chain_id, chain_rank LIMIT 100",
+)
+def q_chain_head(spark, sf_dir):
+    """S6 head: the first 100 chain rows in (chain_id, chain_rank) order."""
+    return RD.chain_head(T.chain_table(V.conv(spark, sf_dir)), 100).select("chain_id", "chain_rank", "id")
