@@ -114,13 +114,15 @@ def rank_trials(trials: DataFrame, directions: dict[str, bool] | None = None, bo
     return df.drop("_prod", *["_f_" + m for m, *_ in TRIAL_RANKS]).orderBy("total_score")
 
 
-def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_rank: int = 50) -> DataFrame:
+def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_rank: int = 50,
+                 bounded: bool | None = None) -> DataFrame:
     """Rank units whose source text and HTML look alike.
 
     Keeps non-null ``source_text`` longer than ``min_source_len``; min-ranks both
     lengths (ascending) and both distinct-non-alphanumeric counts (descending) over
     those rows; keeps ``text_char_rank < max_text_rank``; ``rank`` = min rank of the
-    product of the four ranks; sorted by ``rank``.
+    product of the four ranks; sorted by ``rank``. With ``bounded=None`` the rank form is
+    chosen by :func:`fits_one_partition` on the filtered rows.
     """
     df = units.where(F.col("source_text").isNotNull() & (F.length("source_text") > min_source_len))
     df = df.select(
@@ -130,16 +132,18 @@ def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_
         nonalnum(F.col("source_text")).alias("_sn"),
         nonalnum(F.col("text")).alias("_tn"),
     )
-    df = add_rank(df, "_sl", "source_text_char_rank", True)
-    df = add_rank(df, "_tl", "text_char_rank", True)
-    df = add_rank(df, "_sn", "source_text_nonalnum_rank", False)
-    df = add_rank(df, "_tn", "text_nonalnum_rank", False)
+    if bounded is None:
+        bounded = fits_one_partition(df)
+    df = add_rank(df, "_sl", "source_text_char_rank", True, bounded=bounded)
+    df = add_rank(df, "_tl", "text_char_rank", True, bounded=bounded)
+    df = add_rank(df, "_sn", "source_text_nonalnum_rank", False, bounded=bounded)
+    df = add_rank(df, "_tn", "text_nonalnum_rank", False, bounded=bounded)
     df = df.where(F.col("text_char_rank") < max_text_rank)
     df = df.withColumn(
         "_prod",
         F.col("source_text_char_rank") * F.col("text_char_rank") * F.col("source_text_nonalnum_rank") * F.col("text_nonalnum_rank"),
     )
-    df = add_rank(df, "_prod", "rank", True)
+    df = add_rank(df, "_prod", "rank", True, bounded=bounded)
     return df.drop("_sl", "_tl", "_sn", "_tn", "_prod").orderBy("rank")
 
 

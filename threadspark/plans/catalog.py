@@ -461,10 +461,18 @@ g AS (SELECT *, source_text_char_rank * text_char_rank * source_text_nonalnum_ra
 SELECT id, {', '.join(_RANKS4)}, CAST(rank() OVER (ORDER BY prod) AS DOUBLE) AS rank FROM g""",
 )
 def q_quality_rank(spark, sf_dir):
-    """source/HTML quality ranking (distributed histogram ranks)."""
+    """source/HTML quality ranking (window ranks behind a row-count check, else histogram ranks)."""
     return R.quality_rank(_v5(spark, sf_dir), X.nonalnum_distinct).select("id", *_RANKS4, "rank")
 
 
+def q_quality_rank_histogram(spark, sf_dir):
+    """R4 with the distributed histogram rank form forced (the form used beyond the size bound)."""
+    return R.quality_rank(_v5(spark, sf_dir), X.nonalnum_distinct, bounded=False).select("id", *_RANKS4, "rank")
+
+
+register("quality_rank_histogram", ORACLES["quality_rank"])(q_quality_rank_histogram)
+
+
 def _duck_avg_rank(expr: str, asc: bool) -> str:
     d = "" if asc else " DESC"
     return f"(CAST(rank() OVER (ORDER BY {expr}{d}) AS DOUBLE) + CAST(count(*) OVER (PARTITION BY {expr}) - 1 AS DOUBLE) / 2)"
