@@ -713,7 +713,8 @@ FROM documents d0 LEFT JOIN p ON p.doc_id = d0.doc_id GROUP BY d0.doc_id""",
 )
 def q_doc_entropy(spark, sf_dir):
     """Entropy of every document's term distribution (probabilities below 0.01 dropped)."""
-    t = _doc_tokens(spark, sf_dir)
+    # one shuffle of the per-document token arrays by doc_id; both aggregations below are then local
+    t = _doc_tokens(spark, sf_dir).select("doc_id", "tokens").repartition("doc_id")
     c = t.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("c"))
     p = c.groupBy("doc_id").agg(F.collect_list("c").alias("cs"), F.sum("c").alias("n"))  # one row per document
     p = p.select("doc_id", F.transform("cs", lambda x: x / F.col("n")).alias("p"))
