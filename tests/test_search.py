@@ -28,7 +28,7 @@ def test_search_loop_records_failures(spark):
         ", ".join(f"{n} {t.simpleString()}" for n, t in S.TRIAL_PARAM_FIELDS),
     )
     log = tempfile.mkdtemp(prefix="ts-log-") + "/trials"
-    S.run_search(V.forest(spark, "/root/testdata/sf0.001"), log, n_trials=2, seeds=seeds, seed_count=2)
+    S.run_search(V.forest(spark, "/root/testdata/sf0.001"), log, n_trials=2, seeds=seeds, seed_count=2, parallel=2)
     rows = RD.read_trials(spark, log).collect()
     assert sorted(r.status for r in rows) == ["invalid_params", "ok"]
     ok = [r for r in rows if r.status == "ok"][0]

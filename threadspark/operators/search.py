@@ -205,22 +205,48 @@ def trial_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 
 def run_search(units: DataFrame, log_path: str, n_trials: int = SEARCH_BUDGET, seeds: DataFrame | None = None,
-               seed_count: int = 0, seed: int = 0) -> None:
-    """H2: seeds first, then random trials; every record is appended to ``log_path`` (Parquet).
+               seed_count: int = 0, seed: int = 0, parallel: int = 1) -> None:
+    """H2: seeds first, then random trials; every record is written under ``log_path`` (Parquet).
 
     Each trial is a set of Spark jobs; the loop itself only proposes parameters.
+    With ``parallel > 1`` up to that many trials run at once from a bounded thread
+    pool, each worker in its own scheduler pool (``spark.scheduler.pool``; fair
+    sharing needs ``spark.scheduler.mode=FAIR``). Every trial then writes its own
+    sub-folder, because concurrent appends into one folder are not safe with the
+    default file committer; :func:`threadspark.sources.readers.read_trials` reads both layouts.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = units.sparkSession
     units = materialize(thread_ids(units))
     seed_rows = []
     if seeds is not None and seed_count:
         seed_rows = [r.asDict() for r in seeds.limit(seed_count).collect()]  # bounded by seed_count
     proposals = random_trials(spark, max(n_trials - len(seed_rows), 0), seed)
-    for i, params in enumerate(itertools.chain(seed_rows, (r.asDict() for r in proposals.toLocalIterator()))):
-        if i >= n_trials:
-            break
+    plan = itertools.islice(itertools.chain(seed_rows, (r.asDict() for r in proposals.toLocalIterator())), n_trials)
+
+    def one(i: int, params: dict) -> None:
+        if parallel > 1:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trials-{i % parallel}")
         rec = run_trial(units, params, seed=seed + i)
-        trial_frame(spark, [rec]).write.mode("append").parquet(log_path)
+        out = trial_frame(spark, [rec])
+        if parallel > 1:
+            out.write.mode("overwrite").parquet(f"{log_path}/trial-{seed + i:06d}")
+        else:
+            out.write.mode("append").parquet(log_path)
+
+    if parallel <= 1:
+        for i, params in enumerate(plan):
+            one(i, params)
+        return
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        pending = []
+        for i, params in enumerate(plan):
+            pending.append(pool.submit(one, i, params))
+            if len(pending) >= 2 * parallel:  # keep the queue bounded
+                pending.pop(0).result()
+        for f in pending:
+            f.result()
 
 
 # ------------------------------------------------------------------ H3-H8: model-guided search

@@ -75,10 +75,13 @@ def chain_head(chains: DataFrame, n: int = 100) -> DataFrame:
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trial log with the fixed schema; a missing log is an empty table."""
+    """Trial log with the fixed schema; a missing log is an empty table.
+
+    Reads appended files and per-trial sub-folders (parallel search) alike.
+    """
     if not _path_exists(spark, path):
         return spark.createDataFrame([], TRIAL_SCHEMA)
-    return spark.read.schema(TRIAL_SCHEMA).parquet(path)
+    return spark.read.schema(TRIAL_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def read_link_map(spark: SparkSession, path: str) -> DataFrame:
