@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadspark.session import ensure_checkpoint_dir
@@ -31,11 +32,21 @@ def page_stream(spark: SparkSession, source_dir: str, glob: str = "*.parquet", s
 
 def ingest_pages(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str | None = None,
                  glob: str = "*.parquet", key: str = "page_id", event_time: str | None = None,
-                 watermark: str = "1 day") -> None:
-    """Append every not-yet-seen page of ``source_dir`` to ``out_dir`` (runs until caught up)."""
-    stream = page_stream(spark, source_dir, glob)
+                 watermark: str = "1 day", schema: T.StructType = PAGES_SCHEMA) -> None:
+    """Append every not-yet-seen record of ``source_dir`` to ``out_dir`` (runs until caught up).
+
+    With ``event_time`` the de-duplication state is bounded by a watermark
+    (``dropDuplicatesWithinWatermark``); without it every seen key is kept.
+    """
+    stream = page_stream(spark, source_dir, glob, schema)
     if event_time:
-        stream = stream.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark([key])
+        # watermarks need TIMESTAMP; TIMESTAMP_NTZ sources are read in the session time zone
+        stream = (
+            stream.withColumn("_event_ts", F.col(event_time).cast("timestamp"))
+            .withWatermark("_event_ts", watermark)
+            .dropDuplicatesWithinWatermark([key])
+            .drop("_event_ts")
+        )
     else:
         stream = stream.dropDuplicates([key])
     checkpoint = checkpoint or f"{ensure_checkpoint_dir(spark)}/ingest-{hashlib.md5(out_dir.encode()).hexdigest()}"
