@@ -99,23 +99,23 @@ def q_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "orphans",
-    f"""WITH RECURSIVE u AS ({V.duck_forest(True)}),
+    f"""WITH RECURSIVE u AS ({V.duck_forest(broken_parents=True)}),
 walk(id) AS (SELECT id FROM u WHERE is_post UNION ALL SELECT c.id FROM u c JOIN walk w ON c.parent_id = w.id WHERE NOT c.is_post)
 SELECT id, parent_id FROM u WHERE id NOT IN (SELECT id FROM walk)""",
 )
 def q_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units never reached from a post once some rows are missing."""
-    return T.rejects(V.forest(spark, sf_dir, drop_orphan_rows=True)).select("id", "parent_id")
+    """Units never reached from a post when some comments point to missing parents."""
+    return T.rejects(V.forest(spark, sf_dir, broken_parents=True)).select("id", "parent_id")
 
 
 @register(
     "orphan_chains",
-    _duck_walk(V.duck_forest(True))
+    _duck_walk(V.duck_forest(broken_parents=True))
     + "\nSELECT chain_id, count(*) AS chain_len, CAST(max(chain_rank) AS INTEGER) AS max_rank FROM members GROUP BY chain_id",
 )
 def q_orphan_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T6 with missing rows: chains exist only for leaves reached from a post."""
-    m = T.chain_members(V.forest(spark, sf_dir, drop_orphan_rows=True))
+    """T6 with broken parent links: chains exist only for leaves reached from a post."""
+    m = T.chain_members(V.forest(spark, sf_dir, broken_parents=True))
     return m.groupBy("chain_id").agg(F.count(F.lit(1)).alias("chain_len"), F.max("chain_rank").alias("max_rank"))
 
 

@@ -18,7 +18,7 @@ from threadspark.functions.html import html_title, wrap_paragraphs
 from threadspark.plans import duck as D
 from threadspark.schemas import CONTENT_COLUMNS
 
-# Shape of the derived forest.
+# Shape of the derived forest; which comments get a missing parent in the orphan variant.
 THREAD_SIZE = 40
 FANOUT = 3
 ORPHAN_MOD, ORPHAN_REM = 97, 5
@@ -42,12 +42,15 @@ def _content(df: DataFrame, **cols) -> DataFrame:
     return df.select(*[defaults[c].alias(c) for c in CONTENT_COLUMNS])
 
 
-def forest(spark: SparkSession, sf_dir: str, drop_orphan_rows: bool = False) -> DataFrame:
+def forest(spark: SparkSession, sf_dir: str, broken_parents: bool = False) -> DataFrame:
+    """V1. With ``broken_parents`` every row is kept, but the comments whose doc_id is
+    ORPHAN_REM mod ORPHAN_MOD point to a parent id that does not exist (orphans)."""
     d = table(spark, sf_dir, "documents")
-    if drop_orphan_rows:
-        d = d.where(F.col("doc_id") % ORPHAN_MOD != ORPHAN_REM)
     local = F.col("doc_id") % THREAD_SIZE
     parent = F.col("doc_id") - local + F.floor((local - 1) / FANOUT).cast("bigint")
+    parent_id = parent.cast("string")
+    if broken_parents:
+        parent_id = F.when(F.col("doc_id") % ORPHAN_MOD == ORPHAN_REM, F.concat(F.lit("missing-"), parent_id)).otherwise(parent_id)
     return _content(
         d,
         url=F.concat(F.lit("doc:"), F.col("doc_id").cast("string")),
@@ -56,7 +59,7 @@ def forest(spark: SparkSession, sf_dir: str, drop_orphan_rows: bool = False) ->
         text=wrap_paragraphs(F.col("text")),
         date=F.lit(""),
         id=F.col("doc_id").cast("string"),
-        parent_id=F.when(local != 0, parent.cast("string")),
+        parent_id=F.when(local != 0, parent_id),
         is_post=local == 0,
         title=F.when(local == 0, F.concat(F.lit("thread "), F.col("doc_id").cast("string"))),
     )
@@ -125,9 +128,12 @@ def _duck_content(src: str, **cols: str) -> str:
     return "SELECT " + ", ".join(f'{merged[c]} AS "{c}"' for c in CONTENT_COLUMNS) + f" FROM {src}"
 
 
-def duck_forest(drop_orphan_rows: bool = False) -> str:
-    src = "documents" + (f" WHERE doc_id % {ORPHAN_MOD} <> {ORPHAN_REM}" if drop_orphan_rows else "")
+def duck_forest(broken_parents: bool = False) -> str:
+    src = "documents"
     local = f"(doc_id % {THREAD_SIZE})"
+    parent = f"CAST(doc_id - {local} + CAST(floor(({local} - 1) / {FANOUT}) AS BIGINT) AS VARCHAR)"
+    if broken_parents:
+        parent = f"CASE WHEN doc_id % {ORPHAN_MOD} = {ORPHAN_REM} THEN 'missing-' || {parent} ELSE {parent} END"
     return _duck_content(
         src,
         url="'doc:' || CAST(doc_id AS VARCHAR)",
@@ -136,7 +142,7 @@ def duck_forest(drop_orphan_rows: bool = False) -> str:
         text=D.wrap_paragraphs("text"),
         date="''",
         id="CAST(doc_id AS VARCHAR)",
-        parent_id=f"CASE WHEN {local} <> 0 THEN CAST(doc_id - {local} + CAST(floor(({local} - 1) / {FANOUT}) AS BIGINT) AS VARCHAR) END",
+        parent_id=f"CASE WHEN {local} <> 0 THEN {parent} END",
         is_post=f"{local} = 0",
         title=f"CASE WHEN {local} = 0 THEN 'thread ' || CAST(doc_id AS VARCHAR) END",
     )
