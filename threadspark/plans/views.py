@@ -189,7 +189,7 @@ FROM lineitem GROUP BY l_suppkey"""
 
 
 # ---------------------------------------------------------------- V6: forest as thread pages
-SITE = "https://old.reddit.com"
+from threadspark.operators.threadpages import SITE  # noqa: E402
 
 
 def forest_units_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
