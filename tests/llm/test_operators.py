@@ -364,17 +364,17 @@ def test_quality(spark):
     assert quality.judge(build(spark, [])).collect() == []
 
 
-def test_label_model_recovers_accuracies():
+def test_label_model_recovers_shares():
     rnd = random.Random(4)
-    acc = [0.95, 0.9, 0.7, 0.85]
+    share = [((0.02, 0.3, 0.68), (0.5, 0.3, 0.2)), ((0.01, 0.99, 0.0), (0.4, 0.6, 0.0)), ((0.03, 0.97, 0.0), (0.6, 0.4, 0.0)), ((0.05, 0.15, 0.8), (0.55, 0.25, 0.2))]
     votes = Counter()
     for _ in range(20000):
-        good = rnd.random() < 0.75
-        votes[tuple(0 if rnd.random() < 0.2 else (1 if (rnd.random() < a) == good else -1) for a in acc)] += 1
+        y = int(rnd.random() >= 0.75)
+        votes[tuple(rnd.choices((-1, 0, 1), s[y])[0] for s in share)] += 1
     m = quality.fit_label_model(sorted(votes.items()), 4, 100)
     assert abs(m["prior"] - 0.75) < 0.05
-    for a, g, b in zip(acc, m["good"], m["bad"]):
-        assert math.isclose(g, a, abs_tol=0.05) and math.isclose(b, 1 - a, abs_tol=0.06)
+    for s, g, b in zip(share, m["good"], m["bad"]):
+        assert all(math.isclose(x, y, abs_tol=0.06) for x, y in zip((*s[0], *s[1]), (*g, *b)))
 
 
 def test_sha_of_nothing():

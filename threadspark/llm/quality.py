@@ -3,7 +3,7 @@
 Every rule looks at one document and votes good (1), bad (-1) or abstains (0).
 Votes are counted per combination over *all* documents (at most 3^rules rows,
 whatever the corpus size) and expectation-maximisation on those counts
-estimates how often each rule votes good on good and on bad documents. The
+estimates how each rule votes on good and on bad documents. The
 posterior probability of "good" then replaces the usual all-must-pass filter.
 
 Only built-in column functions are used: no Python runs on the executors.
@@ -11,7 +11,7 @@ Only built-in column functions are used: no Python runs on the executors.
 Edge cases: a null or empty text has no words (all counts 0); repeated rows are
 scored independently; a null document id is passed through; extra columns of the
 input are ignored by ``document_metrics`` and kept by ``keep_good``. An empty
-table gives an empty result (EM then keeps its starting accuracies).
+table gives an empty result (EM then keeps its starting shares).
 """
 
 from __future__ import annotations
@@ -103,60 +103,63 @@ def base_failed() -> Column:
 def rule_votes() -> dict[str, Column]:
     """Rule name -> vote column (1 good, -1 bad, 0 abstains) over the ``METRICS`` columns."""
 
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
     n, chars = F.col("n_words"), F.col("word_chars")
+    bad = lambda c: F.when(c, -1).otherwise(0)  # noqa: E731  a detector that stays silent says nothing for "good"
+    both = lambda good, c: F.when(c, -1).when(good, 1).otherwise(0)
     return {
-        "length": vote(n >= 50, n < 20),
-        "word_length": vote((chars >= 3 * n) & (chars <= 8 * n), (chars < 2 * n) | (chars > 12 * n)),
-        "symbols": vote(100 * F.col("n_symbols") <= 2 * n, 100 * F.col("n_symbols") > 25 * n),
-        "dup_lines": vote(F.col("n_dup_lines") == 0, 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
-        "repeats": vote(100 * F.col("n_repeat_words") <= 5 * n, 100 * F.col("n_repeat_words") > 25 * n),
-        "stop_words": vote(F.col("n_stop") >= 2, (F.col("n_stop") == 0) & (n >= 50)),
-        "upper_case": vote(100 * F.col("n_upper") <= 10 * chars, 100 * F.col("n_upper") > 40 * chars),
+        "length": both(n >= 50, n < 20),
+        "word_length": both((chars >= 3 * n) & (chars <= 8 * n), (chars < 2 * n) | (chars > 12 * n)),
+        "stop_words": both(F.col("n_stop") >= 2, (F.col("n_stop") == 0) & (n >= 50)),
+        "symbols": bad(100 * F.col("n_symbols") > 25 * n),
+        "symbol_chars": bad(100 * F.col("n_symbols") > 4 * chars),
+        "dup_lines": bad(100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        "repeats": bad(100 * F.col("n_repeat_words") > 25 * n),
+        "upper_case": bad(100 * F.col("n_upper") > 40 * chars),
     }
 
 
+#: Starting shares of the votes -1, 0, 1 on good and on bad documents; they fix what "good" means.
+START_GOOD, START_BAD, START_PRIOR = (0.01, 0.39, 0.60), (0.30, 0.50, 0.20), 0.8
+
+
+def weights(model: dict) -> list[tuple[float, float, float]]:
+    """Log-likelihood ratio good : bad of the votes -1, 0, 1 of each rule; a rule never counts against its own vote."""
+    out = []
+    for g, b in zip(model["good"], model["bad"]):
+        w = [math.log(x / y) for x, y in zip(g, b)]
+        out.append((min(0.0, w[0]), w[1], max(0.0, w[2])))
+    return out
+
+
 def fit_label_model(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, iterations: int = 25) -> dict:
     """EM on counted vote patterns (bounded by 3^rules rows).
 
-    ``good[r]`` / ``bad[r]``: probability that rule r, when it votes, votes good on a
-    good / bad document. They start at 0.8 / 0.2, which fixes what "good" means;
-    one pseudo-count per cell keeps rules that never vote at one half.
+    ``good[r]`` / ``bad[r]``: shares of rule r's votes (-1, 0, 1) on good / bad documents. One
+    pseudo-count, spread like the starting shares, keeps every share positive.
     """
-    prior, good, bad = 0.8, [0.8] * n_rules, [0.2] * n_rules
+    model = {"prior": START_PRIOR, "good": [START_GOOD] * n_rules, "bad": [START_BAD] * n_rules}
     total = sum(c for _, c in patterns)
     for _ in range(iterations if total else 0):
-        g = [[1.0, 2.0] for _ in range(n_rules)]
-        b = [[1.0, 2.0] for _ in range(n_rules)]
+        w, base = weights(model), math.log(model["prior"] / (1 - model["prior"]))
+        good, bad = [list(START_GOOD) for _ in range(n_rules)], [list(START_BAD) for _ in range(n_rules)]
         sure = 0.0
         for votes, count in patterns:
-            z = math.log(prior / (1 - prior))
-            for r, v in enumerate(votes):
-                if v:
-                    z += math.log(good[r] / bad[r]) if v > 0 else math.log((1 - good[r]) / (1 - bad[r]))
+            z = base + sum(w[r][v + 1] for r, v in enumerate(votes))
             p = 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
             sure += p * count
             for r, v in enumerate(votes):
-                if v:
-                    g[r][0] += p * count * (v > 0)
-                    g[r][1] += p * count
-                    b[r][0] += (1 - p) * count * (v > 0)
-                    b[r][1] += (1 - p) * count
-        prior = (sure + 1) / (total + 2)
-        good = [x / n for x, n in g]
-        bad = [x / n for x, n in b]
-    return {"prior": prior, "good": good, "bad": bad}
+                good[r][v + 1] += p * count
+                bad[r][v + 1] += (1 - p) * count
+        share = lambda x: tuple(c / sum(x) for c in x)
+        model = {"prior": (sure + 1) / (total + 2), "good": [share(x) for x in good], "bad": [share(x) for x in bad]}
+    return model
 
 
 def log_odds(model: dict) -> Column:
     """Posterior log-odds of "good" as a sum of literals chosen by the votes."""
     z = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for r, vote in enumerate(rule_votes().values()):
-        up = math.log(model["good"][r] / model["bad"][r])
-        down = math.log((1 - model["good"][r]) / (1 - model["bad"][r]))
-        z = z + F.when(vote == 1, F.lit(up)).when(vote == -1, F.lit(down)).otherwise(F.lit(0.0))
+    for (down, silent, up), vote in zip(weights(model), rule_votes().values()):
+        z = z + F.when(vote == 1, F.lit(up)).when(vote == -1, F.lit(down)).otherwise(F.lit(silent))
     return z
 
 
