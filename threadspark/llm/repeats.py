@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from threadspark.llm.anchors import Segments, byte_grams, gather, prefix_hash, range_hash, shard_key, super_windows, symbol_grams
 from threadspark.llm.common import shuffle_parts
 
+#: Buckets of documents and shards of anchors per shuffle partition. There is at most one row per pair, so
+#: shards are few; a large shard is indexed in portions.
 BUCKETS_PER_PARTITION = 4
+SHARDS_PER_PARTITION = 1
 MOST_SYMBOLS = 1 << 21
 LAST_ID = 2**63 - 1
 
@@ -282,9 +285,10 @@ def remove_repeats(docs: DataFrame, index, words: bool, length: int, gram: int,
 
     ``index``: class with (symbols, ends, owners, length) and ``matching()``.
     """
-    n = BUCKETS_PER_PARTITION * shuffle_parts(docs.sparkSession)
+    parts = shuffle_parts(docs.sparkSession)
+    n = SHARDS_PER_PARTITION * parts
     base = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(n)).cast("int").alias("bucket")
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(BUCKETS_PER_PARTITION * parts)).cast("int").alias("bucket")
     )
     prints = base.groupBy("bucket").applyInArrow(
         lambda t: send_fingerprints(t, n, words, length, gram), "shard int, bucket int, once binary, many binary"
