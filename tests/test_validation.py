@@ -21,3 +21,10 @@ def test_dedupe_with_order(spark):
     got = {r.id: r.v for r in T.dedupe_units(df, order=["seq"]).collect()}
     assert got == {"a": "early", "b": "only"}
     assert T.dedupe_units(df, order=["seq"]).columns == df.columns
+
+
+def test_bad_documents_do_not_stop_the_load(spark):
+    good = '{"id": "p1", "upvotes": "n/a", "replies": 5}'
+    docs = spark.createDataFrame([("a", good), ("b", "{oops"), ("c", None)], "thread string, value string")
+    assert [r.id for r in N.flatten_threads(docs, validate=False).collect()] == ["p1"]
+    assert {(r.thread, r.reason) for r in N.unreadable_documents(docs).collect()} == {("b", "not JSON"), ("c", "missing document")}

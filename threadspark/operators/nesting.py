@@ -22,29 +22,30 @@ from threadspark.session import ensure_checkpoint_dir, materialize
 
 
 def _fields(v: Column) -> list[Column]:
-    return [F.variant_get(v, f"$.{name}", dtype.simpleString()).alias(name) for name, dtype in CONTENT_FIELDS]
+    return [F.try_variant_get(v, f"$.{name}", dtype.simpleString()).alias(name) for name, dtype in CONTENT_FIELDS]
 
 
-def flatten_threads(docs: DataFrame, json_col: str = "value", key_col: str = "thread", max_depth: int = 10_000,
+def flatten_threads(docs: DataFrame, json_col: str = "value", key_col: str = "thread",
                     validate: bool = True) -> DataFrame:
     """One row per unit (content columns + ``thread``, ``path``), nulls in replies dropped.
 
     ``docs`` holds one JSON document per row in ``json_col`` and a thread key in
     ``key_col``. With ``validate`` rows missing a required field are removed
-    (see :func:`invalid_units` for the complement).
+    (see :func:`invalid_units` for the complement). A document that is not JSON gives no
+    row (see :func:`unreadable_documents`); an ill-typed field is null.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    level = docs.select(F.col(key_col).alias("thread"), F.parse_json(F.col(json_col)).alias("_v"),
+    level = docs.select(F.col(key_col).alias("thread"), F.try_parse_json(F.col(json_col)).alias("_v"),
                         F.array().cast("array<int>").alias("path"))
     level = level.where(F.col("_v").isNotNull() & ~F.is_variant_null("_v"))
     out = []
-    for _ in range(max_depth):
+    while True:  # one round per tree level, until a level is empty
         level = materialize(level)
-        if level.isEmpty():
+        if out and level.isEmpty():
             break
         out.append(level.select("thread", "path", *_fields(F.col("_v"))))
         kids = level.select(
-            "thread", "path", F.posexplode(F.variant_get("_v", "$.replies", "array<variant>")).alias("_i", "_c")
+            "thread", "path", F.posexplode(F.try_variant_get("_v", "$.replies", "array<variant>")).alias("_i", "_c")
         )
         level = kids.where(F.col("_c").isNotNull() & ~F.is_variant_null("_c")).select(
             "thread", F.array_append("path", F.col("_i").cast("int")).alias("path"), F.col("_c").alias("_v")
@@ -64,7 +65,14 @@ def invalid_units(flat: DataFrame) -> DataFrame:
     return flat.where(~_valid())
 
 
-def nest_threads(units: DataFrame, order_col: str | None = None, max_depth: int = 10_000) -> DataFrame:
+def unreadable_documents(docs: DataFrame, json_col: str = "value", key_col: str = "thread") -> DataFrame:
+    """Rejects of the load: ``(thread, reason)`` of documents that are null or not JSON."""
+    bad = docs.where(F.try_parse_json(F.col(json_col)).isNull())
+    reason = F.when(F.col(json_col).isNull(), F.lit("missing document")).otherwise(F.lit("not JSON"))
+    return bad.select(F.col(key_col).alias("thread"), reason.alias("reason"))
+
+
+def nest_threads(units: DataFrame, order_col: str | None = None) -> DataFrame:
     """``(id, json)`` -- one nested document per post (the inverse of :func:`flatten_threads`).
 
     Children are ordered by ``order_col`` (default: id). ``units`` must be unique per id;
@@ -73,7 +81,7 @@ def nest_threads(units: DataFrame, order_col: str | None = None, max_depth: int
     from threadspark.operators.threads import reach_paths
 
     ensure_checkpoint_dir(units.sparkSession)
-    paths = reach_paths(units, max_depth)
+    paths = reach_paths(units)
     depth = paths.select(F.col("id").alias("_did"), "depth")
     u = units.join(depth, units["id"] == depth["_did"]).drop("_did")
     order = F.col(order_col) if order_col else F.col("id")

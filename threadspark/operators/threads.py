@@ -16,6 +16,7 @@ parent is as large as that parent's fan-out.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,13 +84,13 @@ def leaves(units: DataFrame) -> DataFrame:
     return units.join(parents, units["id"] == parents["_pid"], "left_anti")
 
 
-def reach_paths(units: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def reach_paths(units: DataFrame) -> DataFrame:
     """Root-to-node path of every unit reachable from a post.
 
     Returns ``(id, path ARRAY<STRING>, depth INT)``. Level 0 are the posts; level
     d+1 are the non-post units whose parent is on level d. Each level is
     materialised with a reliable checkpoint, and the loop stops at the first
-    empty level (cycles are never reached from a post, so they cannot loop).
+    empty level, however deep (ids are unique, so cycles are never reached from a post).
     """
     ensure_checkpoint_dir(units.sparkSession)
     nodes = units.select("id", "parent_id", "is_post")
@@ -99,7 +100,7 @@ def reach_paths(units: DataFrame, max_depth: int = 10_000) -> DataFrame:
         nodes.where(F.col("is_post")).select("id", F.array(F.col("id")).alias("path"), F.lit(0).alias("depth"))
     )
     levels = [frontier]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         up = frontier.select(F.col("id").alias("_pid"), F.col("path").alias("_ppath"))
         nxt = materialize(
             edges.join(up, edges["parent_id"] == up["_pid"]).select(
