@@ -1,16 +1,10 @@
 """Ranking operators (R2-R6): min/average ranks, quality ranking, trial scoring.
 
-Two physical forms of a rank over a whole table:
-
-* ``bounded=True``: a window over the whole table (one partition) -- only for
-  tables with a proven size bound, such as trial logs (at most the search budget).
-  ``bounded=None`` checks the row count and uses the window only up to
-  ``WINDOW_ROW_LIMIT`` rows.
-* ``bounded=False`` (default): a distributed value histogram. Distinct values are
-  counted (partial aggregation), range-partitioned, prefix-summed inside each
-  partition, offset by the per-partition totals (one row per partition, a
-  broadcast of proven size) and joined back on the value. No step holds the
-  whole table in one task, and a value shared by many rows is one histogram row.
+A rank over a whole table is a distributed value histogram, at every size. Distinct
+values are counted (partial aggregation), range-partitioned, prefix-summed inside
+each partition, offset by the per-partition totals (one row per partition, a
+broadcast of proven size) and joined back on the value. No step holds the whole table
+in one task, and a value shared by many rows is one histogram row.
 """
 
 from __future__ import annotations
@@ -21,15 +15,6 @@ from pyspark.sql import functions as F
 from threadspark.session import ensure_checkpoint_dir, materialize
 
 
-# Largest table ranked with a single-partition window (the trial search budget).
-WINDOW_ROW_LIMIT = 10_000
-
-
-def fits_one_partition(df: DataFrame, limit: int = WINDOW_ROW_LIMIT) -> bool:
-    """Size check before a single-partition window: at most ``limit`` rows (reads at most limit + 1)."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def _order(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_last() if ascending else c.desc_nulls_last()
 
@@ -56,17 +41,11 @@ def value_ranks(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
 
 
 def add_rank(
-    df: DataFrame, col: str, out: str, ascending: bool = True, method: str = "min", bounded: bool = False
+    df: DataFrame, col: str, out: str, ascending: bool = True, method: str = "min"
 ) -> DataFrame:
     """Add ``out`` = rank of ``col`` (``method`` 'min' or 'average'; null stays null)."""
     if method not in ("min", "average"):
         raise ValueError(f"unknown rank method {method!r}")
-    if bounded:
-        w = Window.orderBy(_order(F.col(col), ascending))
-        r = F.rank().over(w).cast("double")
-        if method == "average":
-            r = r + (F.count(F.lit(1)).over(Window.partitionBy(col)) - 1) / 2.0
-        return df.withColumn(out, F.when(F.col(col).isNotNull(), r))
     h = value_ranks(df, col, ascending)
     r = F.col("below") + 1.0 if method == "min" else F.col("below") + (F.col("cnt") + 1) / 2.0
     h = h.select(F.col("value").alias("_rv"), r.cast("double").alias(out))
@@ -90,39 +69,34 @@ TRIAL_RANKS = [
 ]
 
 
-def rank_trials(trials: DataFrame, directions: dict[str, bool] | None = None, bounded: bool | None = None) -> DataFrame:
+def rank_trials(trials: DataFrame, directions: dict[str, bool] | None = None) -> DataFrame:
     """Trial scoring.
 
     Each metric's nulls are filled with its column min or max, ranked (average
     rank, per-metric direction), the six ranks multiplied, and the product
     average-ranked ascending into ``total_score`` (high = good), sorted ascending.
-    With ``bounded=None`` the rank form is chosen by :func:`fits_one_partition`.
     """
     directions = directions or {}
-    if bounded is None:
-        bounded = fits_one_partition(trials)
     df = trials
     for metric, out, fill, asc in TRIAL_RANKS:
         df = df.withColumn("_f_" + metric, fill_nulls(trials, metric, fill))
     for metric, out, fill, asc in TRIAL_RANKS:
-        df = add_rank(df, "_f_" + metric, out, directions.get(metric, asc), "average", bounded)
+        df = add_rank(df, "_f_" + metric, out, directions.get(metric, asc), "average")
     prod = None
     for _, out, _, _ in TRIAL_RANKS:
         prod = F.col(out) if prod is None else prod * F.col(out)
     df = df.withColumn("_prod", prod)
-    df = add_rank(df, "_prod", "total_score", True, "average", bounded)
+    df = add_rank(df, "_prod", "total_score", True, "average")
     return df.drop("_prod", *["_f_" + m for m, *_ in TRIAL_RANKS]).orderBy("total_score")
 
 
-def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_rank: int = 50,
-                 bounded: bool | None = None) -> DataFrame:
+def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_rank: int = 50) -> DataFrame:
     """Rank units whose source text and HTML look alike.
 
     Keeps non-null ``source_text`` longer than ``min_source_len``; min-ranks both
     lengths (ascending) and both distinct-non-alphanumeric counts (descending) over
     those rows; keeps ``text_char_rank < max_text_rank``; ``rank`` = min rank of the
-    product of the four ranks; sorted by ``rank``. With ``bounded=None`` the rank form is
-    chosen by :func:`fits_one_partition` on the filtered rows.
+    product of the four ranks; sorted by ``rank``.
     """
     df = units.where(F.col("source_text").isNotNull() & (F.length("source_text") > min_source_len))
     df = df.select(
@@ -132,18 +106,16 @@ def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_
         nonalnum(F.col("source_text")).alias("_sn"),
         nonalnum(F.col("text")).alias("_tn"),
     )
-    if bounded is None:
-        bounded = fits_one_partition(df)
-    df = add_rank(df, "_sl", "source_text_char_rank", True, bounded=bounded)
-    df = add_rank(df, "_tl", "text_char_rank", True, bounded=bounded)
-    df = add_rank(df, "_sn", "source_text_nonalnum_rank", False, bounded=bounded)
-    df = add_rank(df, "_tn", "text_nonalnum_rank", False, bounded=bounded)
+    df = add_rank(df, "_sl", "source_text_char_rank", True)
+    df = add_rank(df, "_tl", "text_char_rank", True)
+    df = add_rank(df, "_sn", "source_text_nonalnum_rank", False)
+    df = add_rank(df, "_tn", "text_nonalnum_rank", False)
     df = df.where(F.col("text_char_rank") < max_text_rank)
     df = df.withColumn(
         "_prod",
         F.col("source_text_char_rank") * F.col("text_char_rank") * F.col("source_text_nonalnum_rank") * F.col("text_nonalnum_rank"),
     )
-    df = add_rank(df, "_prod", "rank", True, bounded=bounded)
+    df = add_rank(df, "_prod", "rank", True)
     return df.drop("_sl", "_tl", "_sn", "_tn", "_prod").orderBy("rank")
 
 

@@ -117,7 +117,7 @@ def train_and_measure(tokens: DataFrame, p: dict, seed: int = 0, bow_source: str
     t0 = time.perf_counter()
     phrases = PH.learn_phrases(tokens, "doc_key", "tokens", p["phraser_min_count"], p["phraser_threshold"], p["phraser_scorer"])
     phrased = materialize(PH.apply_phrases(tokens, phrases, "doc_key", "tokens", "phrased"))
-    vocab = materialize(VB.build_vocabulary(phrased, "phrased", p["no_below"], p["no_above"]))
+    vocab = materialize(VB.build_vocabulary(phrased, "phrased", p["no_below"], p["no_above"], VB.KEEP_N))
     if vocab.isEmpty():
         raise _TrialFailure("empty_vocab", "no term passed the frequency filter")
     source = tokens if bow_source == "raw" else phrased.withColumnRenamed("phrased", "tokens")
@@ -181,7 +181,7 @@ def run_trial(units: DataFrame, params: dict, seed: int = 0, thread_col: str = "
     except _TrialFailure as e:
         rec["status"], rec["error"] = e.status, str(e)
     except Exception as e:  # a failed trial is recorded, the search goes on
-        rec["status"], rec["error"] = "error", f"{type(e).__name__}: {e}"[:2000]
+        rec["status"], rec["error"] = "error", f"{type(e).__name__}: {e}"
         traceback.print_exc()
     return rec
 
@@ -276,8 +276,10 @@ def fit_score_model(score_df: DataFrame, score_column: str, parameter_columns: l
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep") for c in categorical]
     features = numeric + [f"{c}__idx" for c in categorical] + inter
     stages.append(VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"))
+    # a split needs a bin per level of the widest categorical column ("keep" adds one for unseen values)
+    levels = fit_df.agg(*[F.countDistinct(c) for c in categorical]).first() if categorical else ()
     stages.append(GBTRegressor(featuresCol="features", labelCol=score_column, maxIter=max_iter, stepSize=step_size,
-                               maxDepth=max_depth, seed=seed, maxBins=64))
+                               maxDepth=max_depth, seed=seed, maxBins=max([64, *(n + 1 for n in levels)])))
     model = Pipeline(stages=stages).fit(fit_df)
     return model, numeric, categorical
 

@@ -1,10 +1,11 @@
 """Vocabulary and bag-of-words (M3-M4).
 
 The vocabulary keeps terms with ``no_below <= df <= floor(no_above * N)`` (df =
-number of documents containing the term, N = number of documents), then the
-``keep_n`` most frequent by df (ties by term). Term ids are assigned by that
-order, so they are deterministic. ``keep_n`` bounds the vocabulary, which is
-what makes it safe to hand to a vectoriser as a broadcast list.
+number of documents containing the term, N = number of documents), then, when
+``keep_n`` is given, that many most frequent by df (ties by term). Term ids are
+assigned by that order, so they are deterministic. All tokens of a document count
+unless ``max_tokens`` is given. A vectoriser holds the vocabulary as a list: callers
+of the vector form pass ``keep_n`` to bound it.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Library defaults (vocabulary cap, BoW token prefix).
+from threadspark.session import materialize
+
+# Library defaults a caller may pass (vocabulary cap, BoW token prefix).
 KEEP_N = 100_000
 MAX_TOKENS = 5000
 
@@ -26,21 +29,37 @@ def doc_freq(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
 
 
 def build_vocabulary(
-    docs: DataFrame, tokens_col: str = "tokens", no_below: int = 5, no_above: float = 0.2, keep_n: int = KEEP_N
+    docs: DataFrame, tokens_col: str = "tokens", no_below: int = 5, no_above: float = 0.2, keep_n: int | None = None
 ) -> DataFrame:
-    """M3: ``(term, term_id, df)`` after the extremes filter and the top-``keep_n`` cut."""
+    """M3: ``(term, term_id, df)`` after the extremes filter and, if asked for, the top-``keep_n`` cut.
+
+    Terms are numbered by range partition plus offsets, so no task holds them all.
+    """
     n_docs = docs.select(F.count(F.lit(1))).scalar()
     dfs = doc_freq(docs, tokens_col)
     kept = dfs.where((F.col("df") >= no_below) & (F.col("df") <= F.floor(F.lit(no_above) * n_docs)))
-    top = kept.orderBy(F.desc("df"), F.asc("term")).limit(keep_n)
-    # the cut is at most keep_n rows, so numbering them in one window is bounded
-    return top.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), F.asc("term"))) - 1).alias("term_id"), "df")
+    if keep_n is not None:
+        kept = kept.orderBy(F.desc("df"), F.asc("term")).limit(keep_n)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc("df"), F.asc("term")]
+    # range bounds come from a sample; the checkpoint keeps partition ids fixed
+    parts = materialize(kept.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    totals = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_t"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order)) - 1
+    numbered = parts.withColumn("_local", local).join(F.broadcast(offsets), "_pid")  # one row per partition id
+    return numbered.select("term", (F.col("_off") + F.col("_local")).cast("int").alias("term_id"), "df")
+
+
+def _tokens(tokens_col: str, max_tokens: int | None):
+    return F.col(tokens_col) if max_tokens is None else F.slice(F.col(tokens_col), 1, max_tokens)
 
 
 def bag_of_words(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
-                 max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """M4 (relational): ``(id, term_id, cnt)`` over the first ``max_tokens`` tokens; unknown terms dropped."""
-    toks = docs.select(F.col(id_col), F.explode(F.slice(F.col(tokens_col), 1, max_tokens)).alias("term"))
+                 max_tokens: int | None = None) -> DataFrame:
+    """M4 (relational): ``(id, term_id, cnt)`` over all tokens (or the first ``max_tokens``); unknown terms dropped."""
+    toks = docs.select(F.col(id_col), F.explode(_tokens(tokens_col, max_tokens)).alias("term"))
     return toks.join(vocab.select("term", "term_id"), "term").groupBy(id_col, "term_id").agg(
         F.count(F.lit(1)).alias("cnt")
     )
@@ -49,16 +68,15 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", toke
 def vectorizer(vocab: DataFrame, tokens_col: str = "bow_tokens", out_col: str = "features") -> CountVectorizerModel:
     """M4 (vector): a CountVectorizerModel whose index i is term_id i.
 
-    The vocabulary is at most ``keep_n`` terms (see :func:`build_vocabulary`), so
-    the list handed to the model has a proven size bound.
+    The model holds the vocabulary as a list: build it with ``keep_n``.
     """
     terms = [r.term for r in vocab.orderBy("term_id").select("term").collect()]
     return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens_col, outputCol=out_col)
 
 
 def bow_vectors(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
-                max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """M4 (vector): ``(id, features SparseVector)`` over the first ``max_tokens`` tokens."""
+                max_tokens: int | None = None) -> DataFrame:
+    """M4 (vector): ``(id, features SparseVector)`` over all tokens (or the first ``max_tokens``)."""
     model = vectorizer(vocab)
-    clipped = docs.select(F.col(id_col), F.slice(F.col(tokens_col), 1, max_tokens).alias("bow_tokens"))
+    clipped = docs.select(F.col(id_col), _tokens(tokens_col, max_tokens).alias("bow_tokens"))
     return model.transform(clipped).select(id_col, "features")

@@ -442,8 +442,9 @@ def q_corpus_chain(spark, sf_dir):
 def _v5(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
     p = V.table(spark, sf_dir, "pages")
-    return d.join(p, d["doc_id"] == p["page_id"]).select(
-        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("source_text"), F.col("html").alias("text")
+    html = F.coalesce(F.col("html"), F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>")))
+    return d.join(p, d["doc_id"] == p["page_id"], "left").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("source_text"), html.alias("text")
     )
 
 
@@ -452,7 +453,7 @@ _RANKS4 = ["source_text_char_rank", "text_char_rank", "source_text_nonalnum_rank
 
 @register(
     "quality_rank",
-    f"""WITH v AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, d.text AS source_text, p.html AS text FROM documents d JOIN pages p ON d.doc_id = p.page_id),
+    f"""WITH v AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, d.text AS source_text, coalesce(p.html, '<p>' || d.text || '</p>') AS text FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id),
 f AS (SELECT *, length(source_text) AS sl, length(text) AS tl, {D.nonalnum_distinct('source_text')} AS sn, {D.nonalnum_distinct('text')} AS tn
       FROM v WHERE source_text IS NOT NULL AND length(source_text) > 25),
 r AS (SELECT *, CAST(rank() OVER (ORDER BY sl) AS DOUBLE) AS source_text_char_rank, CAST(rank() OVER (ORDER BY tl) AS DOUBLE) AS text_char_rank,
@@ -461,13 +462,13 @@ g AS (SELECT *, source_text_char_rank * text_char_rank * source_text_nonalnum_ra
 SELECT id, {', '.join(_RANKS4)}, CAST(rank() OVER (ORDER BY prod) AS DOUBLE) AS rank FROM g""",
 )
 def q_quality_rank(spark, sf_dir):
-    """source/HTML quality ranking (window ranks behind a row-count check, else histogram ranks)."""
+    """source/HTML quality ranking over every document (its page, or its text as one paragraph)."""
     return R.quality_rank(_v5(spark, sf_dir), X.nonalnum_distinct).select("id", *_RANKS4, "rank")
 
 
 def q_quality_rank_histogram(spark, sf_dir):
-    """R4 with the distributed histogram rank form forced (the form used beyond the size bound)."""
-    return R.quality_rank(_v5(spark, sf_dir), X.nonalnum_distinct, bounded=False).select("id", *_RANKS4, "rank")
+    """R4 under its earlier name: the histogram form is the only one."""
+    return R.quality_rank(_v5(spark, sf_dir), X.nonalnum_distinct).select("id", *_RANKS4, "rank")
 
 
 register("quality_rank_histogram", ORACLES["quality_rank"])(q_quality_rank_histogram)
@@ -494,7 +495,7 @@ SELECT trial_id, {outs}, {_duck_avg_rank('prod', True)} AS total_score FROM p"""
 
 @register("trial_rank", _duck_trial_rank())
 def q_trial_rank(spark, sf_dir):
-    """Trial scoring over the trial-log stand-in (window form behind a row-count check)."""
+    """Trial scoring over the trial-log stand-in."""
     out = [o for _, o, _, _ in R.TRIAL_RANKS]
     return R.rank_trials(V.trials(spark, sf_dir)).select("trial_id", *out, "total_score")
 
@@ -504,9 +505,9 @@ def q_trial_rank(spark, sf_dir):
     _duck_trial_rank(),
 )
 def q_trial_rank_histogram(spark, sf_dir):
-    """R5 with the distributed (histogram) rank form, for trial logs of any size."""
+    """R5 under its earlier name: the histogram form is the only one."""
     out = [o for _, o, _, _ in R.TRIAL_RANKS]
-    return R.rank_trials(V.trials(spark, sf_dir), bounded=False).select("trial_id", *out, "total_score")
+    return R.rank_trials(V.trials(spark, sf_dir)).select("trial_id", *out, "total_score")
 
 
 _METRICS = [m for m, *_ in R.TRIAL_RANKS]
@@ -616,8 +617,7 @@ def _duck_vocab() -> str:
     return f"""d AS ({_duck_doc_tokens()}),
 dfs AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(t) AS term FROM d) GROUP BY term),
 vocab AS (SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS term_id, df FROM dfs
-          WHERE df >= {VOCAB['no_below']} AND df <= floor({VOCAB['no_above']} * (SELECT count(*) FROM documents))
-          ORDER BY df DESC, term LIMIT {VB.KEEP_N})"""
+          WHERE df >= {VOCAB['no_below']} AND df <= floor({VOCAB['no_above']} * (SELECT count(*) FROM documents)))"""
 
 
 @register("vocabulary", f"WITH {_duck_vocab()} SELECT term, CAST(term_id AS INTEGER) AS term_id, df FROM vocab")
@@ -630,10 +630,10 @@ def q_vocabulary(spark, sf_dir):
     "bag_of_words",
     f"""WITH {_duck_vocab()}
 SELECT doc_id, CAST(term_id AS INTEGER) AS term_id, count(*) AS cnt
-FROM (SELECT doc_id, unnest(list_slice(t, 1, {VB.MAX_TOKENS})) AS term FROM d) x JOIN vocab USING (term) GROUP BY doc_id, term_id""",
+FROM (SELECT doc_id, unnest(t) AS term FROM d) x JOIN vocab USING (term) GROUP BY doc_id, term_id""",
 )
 def q_bag_of_words(spark, sf_dir):
-    """M4: bag of words over the first 5000 tokens of every document."""
+    """M4: bag of words over all tokens of every document."""
     toks = materialize(_doc_tokens(spark, sf_dir).select("doc_id", "tokens"))  # read twice
     return VB.bag_of_words(toks, VB.build_vocabulary(toks, **VOCAB))
 
@@ -753,7 +753,7 @@ LDA_PARAMS = dict(k=5, chunksize=1000, passes=2, decay=0.7, alpha="asymmetric",
 
 def _lda_inputs(spark, sf_dir):
     toks = _doc_tokens(spark, sf_dir).where(F.col("lang") == "en").select("doc_id", "tokens")
-    vocab = materialize(VB.build_vocabulary(toks, no_below=5, no_above=0.5))
+    vocab = materialize(VB.build_vocabulary(toks, no_below=5, no_above=0.5, keep_n=VB.KEEP_N))
     vectors = materialize(VB.bow_vectors(toks, vocab))
     return vocab, vectors
 
