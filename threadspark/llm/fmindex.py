@@ -54,6 +54,9 @@ class WaveletMatrix:
 class FMIndex:
     """Index of strings of integers >= 1; ``ends``: where each ends (exclusive) in ``symbols``, a 0 stands there."""
 
+    #: Bytes indexed at a time.
+    portion = 1 << 21
+
     def __init__(self, symbols: np.ndarray, ends: np.ndarray, owners: np.ndarray, length: int):
         self.symbols, self.ends, self.length = symbols, ends, length
         self.left = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(len(symbols))

@@ -36,7 +36,6 @@ from threadspark.llm.common import shuffle_parts
 #: shards are few; a large shard is indexed in portions.
 BUCKETS_PER_PARTITION = 4
 SHARDS_PER_PARTITION = 1
-MOST_SYMBOLS = 1 << 21
 LAST_ID = 2**63 - 1
 
 _SPACE = np.zeros(256, bool)
@@ -190,7 +189,7 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     begin = (np.cumsum(size) - size)[first]
     size, prints = size[first], prints[first]
     seg, start, stop, owner = [], [], [], []
-    for a, b in _portions(size, prints):
+    for a, b in _portions(size, prints, index.portion):
         text = gather(data, begin[a:b], size[a:b])
         if words:
             w0, w1 = split_words(text)
@@ -205,7 +204,9 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
         symbols[spot] = codes
         found = index(symbols, ends, owners[a:b], length).matching()
         begins = np.concatenate(([0], ends[:-1] + 1))
-        cut = np.flatnonzero((found >= 0) & (np.concatenate(([-1], found[:-1])) != found) | np.isin(np.arange(len(found)), begins) & (found >= 0))
+        turn = np.concatenate(([True], found[1:] != found[:-1]))
+        turn[begins] = True
+        cut = np.flatnonzero(turn & (found >= 0))
         until = np.minimum(np.append(cut[1:], len(found)), ends[np.searchsorted(ends, cut)] - length + 1)
         which = np.searchsorted(ends, cut)
         seg.append(which + a)
@@ -227,12 +228,12 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     return _table(rows, names, kinds)
 
 
-def _portions(sizes: np.ndarray, prints: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of about ``MOST_SYMBOLS`` bytes that keep equal fingerprints together, each indexed for itself."""
+def _portions(sizes: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of about ``most`` bytes that keep equal fingerprints together, each indexed for itself."""
     edges = np.append(np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1]))), len(sizes))
     done, out, a = np.concatenate(([0], np.cumsum(sizes + 1))), [], 0
     while a < len(sizes):
-        fits = edges[np.searchsorted(done[edges], done[a] + MOST_SYMBOLS, "right") - 1]
+        fits = edges[np.searchsorted(done[edges], done[a] + most, "right") - 1]
         b = int(fits if fits > a else edges[np.searchsorted(edges, a, "right")])
         out.append((a, b))
         a = b
