@@ -114,6 +114,14 @@ def _table(rows: list[tuple], names: list[str], kinds: list) -> pa.Table:
     return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
+def _pack(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, count: int, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, decompressed_size=count * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def send_fingerprints(table: pa.Table, shards: int, words: bool, length: int, gram: int) -> pa.Table:
     """Step 1: (shard, bucket, fingerprints seen in one document, in several)."""
     bucket, names = table.column("bucket")[0].as_py(), ["shard", "bucket", "once", "many"]
@@ -146,7 +154,7 @@ def answer_fingerprints(table: pa.Table) -> pa.Table:
 
 
 def send_segments(docs: pa.Table, answers: pa.Table, shards: int, words: bool, length: int, gram: int) -> pa.Table:
-    """Step 3: (shard, bucket, distinct segments: anchor fingerprints, hashes, smallest and largest id, byte lengths, bytes)."""
+    """Step 3: (shard, bucket, distinct segments: anchor fingerprints, hashes, smallest and largest id, byte lengths, bytes; the last four compressed)."""
     names = ["shard", "bucket", "prints", "hashes", "low", "high", "sizes", "content"]
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
     if not len(docs) or not len(answers):
@@ -168,7 +176,7 @@ def send_segments(docs: pa.Table, answers: pa.Table, shards: int, words: bool, l
     prints = keys.astype(np.uint32)
     stops = np.concatenate(([0], np.cumsum(sizes)))
     rows = [
-        (p, number, prints[a:b].tobytes(), hashes[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes(), sizes[a:b].astype(np.int32).tobytes(), content[stops[a] : stops[b]].tobytes())
+        (p, number, prints[a:b].tobytes(), hashes[a:b].tobytes(), _pack(low[a:b]), _pack(high[a:b]), _pack(sizes[a:b].astype(np.int32)), _pack(content[stops[a] : stops[b]]))
         for p, a, b in _by_shard(keys)
     ]
     return _table(rows, names, kinds)
@@ -178,7 +186,10 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     """Step 4: (bucket, hashes, from, to, owner): windows from..to of a segment also start in document ``owner``."""
     names, kinds = ["bucket", "hashes", "from", "to", "owner"], [pa.int32(), *[pa.binary()] * 4]
     read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-    own, low, high, sizes, content = read("hashes", np.uint64), read("low", np.int64), read("high", np.int64), read("sizes", np.int32), read("content", np.uint8)
+    own = read("hashes", np.uint64)
+    unpacked = lambda c, t, counts: [_unpack(x, k, t) for x, k in zip(table.column(c).to_pylist(), counts)]
+    low, high, sizes = (unpacked(c, t, map(len, own)) for c, t in (("low", np.int64), ("high", np.int64), ("sizes", np.int32)))
+    content = unpacked("content", np.uint8, (int(x.sum(dtype=np.int64)) for x in sizes))
     prints, every = np.concatenate(read("prints", np.uint32)), np.concatenate(own)
     order = np.lexsort((every, prints))
     new = np.concatenate(([True], (every[order][1:] != every[order][:-1]) | (prints[order][1:] != prints[order][:-1])))
