@@ -83,6 +83,9 @@ def test_sinks_and_sources(spark):
     assert [r.page_id for r in RD.read_saved_pages(spark, f"{tmp}/pages").collect()] == ["abc"]
     WR.write_thread_documents(V.conv(spark, "/root/testdata/sf0.001"), f"{tmp}/threads")
     assert spark.read.text(f"{tmp}/threads").count() == V.conv(spark, "/root/testdata/sf0.001").where("is_post").count()
+    back = RD.read_threads(spark, f"{tmp}/threads", fmt="lines")
+    key = lambda d: sorted((r.id, r.parent_id or "") for r in d.select("id", "parent_id").collect())
+    assert key(back) == key(V.conv(spark, "/root/testdata/sf0.001")) and back.where("thread IS NULL").isEmpty()
 
 
 F6 = """<html><body>

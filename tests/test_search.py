@@ -19,6 +19,28 @@ def test_random_trials_ranges(spark):
         assert {x[0] for x in t.select(name).distinct().collect()} <= set(opts)
 
 
+def test_draws_do_not_depend_on_partitioning(spark):
+    whole = S.random_trials(spark, 50, seed=2)
+    cut = whole.sparkSession.range(50, numPartitions=7).select(S.uniform_draw(F.col("id"), 2, "x").alias("r"))
+    one = whole.sparkSession.range(50, numPartitions=1).select(S.uniform_draw(F.col("id"), 2, "x").alias("r"))
+    assert sorted(cut.collect()) == sorted(one.collect()) and cut.where("r < 0 OR r >= 1").isEmpty()
+    assert 45 <= cut.distinct().count()
+
+
+def test_search_loop_keeps_earlier_runs(spark):
+    from threadspark.plans import views as V
+
+    bad = spark.createDataFrame(  # parameters that are rejected before any training
+        [(4, 500, 1, 20, 0.7, "symmetric", "symmetric", 2, 0.6, 20, 20000, 2, 0, "default", "post", 5)] * 2,
+        ", ".join(f"{n} {t.simpleString()}" for n, t in S.TRIAL_PARAM_FIELDS),
+    ).withColumn("phraser_scorer", F.lit("default")).withColumn("phraser_threshold", F.lit(-1).cast("double"))
+    bad = bad.select(*[F.col(n).cast(t) for n, t in S.TRIAL_PARAM_FIELDS])
+    log = tempfile.mkdtemp(prefix="ts-log-") + "/trials"
+    for _ in range(2):
+        S.run_search(V.forest(spark, "/root/testdata/sf0.001"), log, n_trials=2, seeds=bad, seed_count=2, parallel=2)
+    assert RD.read_trials(spark, log).count() == 4
+
+
 def test_search_loop_records_failures(spark):
     from threadspark.plans import views as V
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadspark.functions.text import tokenize
 from threadspark.operators import topics as TP
 from threadspark.operators import vocab as VB
+from threadspark.sources import readers as RD
 from threadspark.sources import writers as WR
 
 
@@ -25,13 +26,16 @@ def test_model_and_table_sinks(spark):
 
     pred = spark.createDataFrame([(1.0, "post", 0.5)], "x double, dataset string, predicted_score double")
     WR.write_predictions(pred, f"{tmp}/pred.csv", fmt="csv")
-    assert spark.read.option("header", True).csv(f"{tmp}/pred.csv").count() == 1
+    WR.write_predictions(pred, f"{tmp}/pred")
+    assert [RD.read_predictions(spark, f"{tmp}/pred{x}", pred.schema, f).collect() for x, f in ((".csv", "csv"), ("", "parquet"))] == [pred.collect()] * 2
 
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumn("batch", F.col("page_id") % 3)
     WR.write_pages(pages, f"{tmp}/pages", partition_col="batch")
     assert spark.read.parquet(f"{tmp}/pages").where("batch = 1").count() == pages.where("batch = 1").count()
+    stored = RD.read_saved_pages(spark, f"{tmp}/pages", fmt="parquet")
+    assert sorted(map(tuple, stored.collect())) == sorted((str(r.page_id), r.html) for r in pages.select("page_id", "html").collect())
 
     links = spark.createDataFrame([("a", "u1"), ("b", "u2")], "post_id string, url string")
     WR.write_link_map(links, f"{tmp}/links")
     WR.write_link_map(links.where("post_id = 'a'"), f"{tmp}/links")  # replaced as a whole
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp}/links").collect()] == [("a", "u1")]
+    assert [tuple(r) for r in RD.read_link_map(spark, f"{tmp}/links", fmt="parquet").collect()] == [("a", "u1")]

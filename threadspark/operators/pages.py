@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 from threadspark.functions.html import ATTRS, HREF_RE, WS, decode_entities, strip
 from threadspark.functions.text import url_post_id
 
-# Community names of the listing crawl (as configured, with its duplicate).
-COMMUNITIES = [
-    "DebateAnAtheist", "DebateAChristian", "DebateAVegan", "DebateReligion", "PoliticalDebate",
-    "DebateACatholic", "changemyview", "debatemeateaters", "DebateEvolution", "DebateCommunism",
-    "DebateAnarchism", "DebateFeminism", "LeftvsRightDebate", "PurplePillDebate", "DebateVaccines",
-    "DebateSocialism", "DebateVaccines", "China_Debate", "policydebate", "DebateNihilisms",
-    "DebateMonarchy", "CapitalismVSocialism", "DebateAMuslim", "debateAMR", "DebateAntinatalism",
-    "DebateJudaism", "Congressional_Debate", "DebatePolitics", "DebateTranshumanism", "excatholicDebate",
-    "DebateIt",
-]
 # Listing URL templates ({} = community name), in crawl order.
 LISTING_TEMPLATES = [
     "https://old.reddit.com/r/{}",

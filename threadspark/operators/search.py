@@ -14,11 +14,12 @@ import itertools
 import math
 import time
 import traceback
+import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,12 +65,18 @@ SEARCH_BUDGET = 10_000
 # ------------------------------------------------------------------ H1: random trials
 
 
+def uniform_draw(key: Column, seed: int, name: str) -> Column:
+    """Uniform real in [0, 1) from (seed, name, key): the same on any cluster and partitioning."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{name}:"), key.cast("string")))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+
+
 def random_trials(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """H1: ``n`` random parameter sets (uniform integers inclusive, uniform reals, uniform choices)."""
     base = spark.range(n).withColumnRenamed("id", "trial")
     cols = []
-    for i, (name, dtype) in enumerate(TRIAL_PARAM_FIELDS):
-        r = F.rand(seed * 1000 + i)
+    for name, dtype in TRIAL_PARAM_FIELDS:
+        r = uniform_draw(F.col("trial"), seed, name)
         if name in INT_RANGES:
             lo, hi = INT_RANGES[name]
             c = (F.floor(r * (hi - lo + 1)) + lo).cast("bigint")
@@ -206,18 +213,22 @@ def trial_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
 
 def run_search(units: DataFrame, log_path: str, n_trials: int = SEARCH_BUDGET, seeds: DataFrame | None = None,
                seed_count: int = 0, seed: int = 0, parallel: int = 1) -> None:
-    """H2: seeds first, then random trials; every record is written under ``log_path`` (Parquet).
+    """H2: seeds first, then random trials; every record is added under ``log_path`` (Parquet).
+
+    The log is append-only: earlier runs' records stay, also when the same seed is used again.
 
     Each trial is a set of Spark jobs; the loop itself only proposes parameters.
     With ``parallel > 1`` up to that many trials run at once from a bounded thread
     pool, each worker in its own scheduler pool (``spark.scheduler.pool``; fair
     sharing needs ``spark.scheduler.mode=FAIR``). Every trial then writes its own
-    sub-folder, because concurrent appends into one folder are not safe with the
+    sub-folder, named by a run id, because concurrent appends into one folder are not safe with the
     default file committer; :func:`threadspark.sources.readers.read_trials` reads both layouts.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    spark = units.sparkSession
+    from threadspark.sources.writers import append_trials
+
+    spark, run_id = units.sparkSession, uuid.uuid4().hex
     units = materialize(thread_ids(units))
     seed_rows = []
     if seeds is not None and seed_count:
@@ -230,10 +241,7 @@ def run_search(units: DataFrame, log_path: str, n_trials: int = SEARCH_BUDGET, s
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trials-{i % parallel}")
         rec = run_trial(units, params, seed=seed + i)
         out = trial_frame(spark, [rec])
-        if parallel > 1:
-            out.write.mode("overwrite").parquet(f"{log_path}/trial-{seed + i:06d}")
-        else:
-            out.write.mode("append").parquet(log_path)
+        append_trials(out, f"{log_path}/run-{run_id}-trial-{i:06d}" if parallel > 1 else log_path)
 
     if parallel <= 1:
         for i, params in enumerate(plan):
@@ -292,9 +300,12 @@ def candidates(score_df: DataFrame, parameter_columns: list[str], n: int, set_in
     numeric, categorical = split_columns(score_df, parameter_columns)
     spark = score_df.sparkSession
     base = spark.range(n)
+    drawn = [c for c in parameter_columns if c not in set_inputs and c not in categorical]
+    ends = [f(F.col(c).cast("double")) for c in drawn for f in (F.min, F.max)]
+    bounds = score_df.agg(*ends).first() if drawn else ()  # one row for all columns
     cols = []
-    for i, c in enumerate(parameter_columns):
-        r = F.rand(seed * 1000 + i)
+    for c in parameter_columns:
+        r = uniform_draw(F.col("id"), seed, c)
         if c in set_inputs:
             cols.append(F.lit(set_inputs[c]).alias(c))
         elif c in categorical:
@@ -302,8 +313,7 @@ def candidates(score_df: DataFrame, parameter_columns: list[str], n: int, set_in
             vals = sorted(v[0] for v in score_df.select(c).where(F.col(c).isNotNull()).distinct().collect())
             cols.append(F.element_at(F.array(*[F.lit(v) for v in vals]), (F.floor(r * len(vals)) + 1).cast("int")).alias(c))
         else:
-            lo = score_df.select(F.min(F.col(c).cast("double"))).scalar()
-            hi = score_df.select(F.max(F.col(c).cast("double"))).scalar()
+            lo, hi = (F.lit(bounds[2 * drawn.index(c) + k]).cast("double") for k in (0, 1))
             cols.append((lo + r * (hi - lo)).alias(c))
     return base.select(*cols)
 

@@ -43,14 +43,25 @@ def sample_files(files: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
     return files.orderBy(hash_order(F.col("path"), seed), "path").limit(n)
 
 
-def read_threads(spark: SparkSession, directory: str, max_docs: int | None = None, seed: int = 0) -> DataFrame:
-    """All (or a sample of) thread files, flattened and validated.
+def thread_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S1 for JSON Lines (what K4 writes): ``(path, value)``, one document per line; ``path`` is the post's id.
 
-    Rows carry ``thread`` (the file path) and ``path`` (child ordinals from the
+    Lines without a readable id share a null ``path``; ``unreadable_documents`` reports those that are not JSON.
+    """
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    return lines.select(F.try_variant_get(F.try_parse_json("value"), "$.id", "string").alias("path"), "value")
+
+
+def read_threads(spark: SparkSession, directory: str, max_docs: int | None = None, seed: int = 0, fmt: str = "files") -> DataFrame:
+    """All (or a sample of) thread documents, flattened and validated.
+
+    ``fmt``: ``files`` (one document per ``*.json`` file) or ``lines`` (JSON Lines, as K4 writes them).
+    Rows carry ``thread`` (the file path, or the post's id) and ``path`` (child ordinals from the
     root); ordering by both gives the pre-order of every tree. An empty
     directory gives an empty table.
     """
-    files = sample_files(thread_files(spark, directory), max_docs, seed)
+    source = {"files": thread_files, "lines": thread_lines}[fmt]
+    files = sample_files(source(spark, directory), max_docs, seed)
     if files.isEmpty():
         return spark.createDataFrame([], CONTENT_SCHEMA).select(
             "*", F.lit(None).cast("string").alias("thread"), F.array().cast("array<int>").alias("path")
@@ -84,17 +95,34 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRIAL_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
-def read_link_map(spark: SparkSession, path: str) -> DataFrame:
-    """Link map files (JSON objects post id -> url) as ``(post_id, url)``; missing -> empty."""
+def read_link_map(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Link map as ``(post_id, url)``; missing -> empty.
+
+    ``fmt``: ``json`` (objects post id -> url) or ``parquet`` (the table K6 writes).
+    """
     if not _path_exists(spark, path):
         return spark.createDataFrame([], "post_id string, url string")
+    if fmt == "parquet":
+        return spark.read.schema("post_id string, url string").parquet(path)
     raw = spark.read.option("wholetext", "true").text(path)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("post_id", "url"))
 
 
-def read_saved_pages(spark: SparkSession, directory: str, suffix: str = ".html") -> DataFrame:
-    """Saved page files as ``(page_id, html)``; the page id is the file name without suffix."""
+def read_saved_pages(spark: SparkSession, directory: str, suffix: str = ".html", fmt: str = "files") -> DataFrame:
+    """Saved pages as ``(page_id, html)``.
+
+    ``fmt``: ``files`` (the page id is the file name without suffix) or ``parquet`` (the table K5 writes).
+    """
+    if fmt == "parquet":
+        return spark.read.parquet(directory).select(F.col("page_id").cast("string").alias("page_id"), "html")
     files = thread_files(spark, directory, suffix)
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     page_id = F.regexp_replace(name, r"\Q" + suffix + r"\E$", "")
     return files.select(page_id.alias("page_id"), F.col("value").alias("html"))
+
+
+def read_predictions(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet") -> DataFrame:
+    """The prediction table K3 writes (Parquet or CSV); :func:`search.seed_trials` takes the seeds from it."""
+    if fmt == "csv":
+        return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).parquet(path)
