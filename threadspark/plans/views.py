@@ -23,6 +23,24 @@ THREAD_SIZE = 40
 FANOUT = 3
 ORPHAN_MOD, ORPHAN_REM = 97, 5
 
+# Paragraphs put before the pages' own markup (nested elements, links, emphasis, character references).
+MARKUP = [
+    "<p>a <span>b<span>c</span>d</span> e</p>",
+    "<p>one &mdash; two&hellip; it&#8217;s &#x2014; &amp;lt; &copy 3 &nosuch; &</p>",
+    '<p>see <a href="/q?a=1&amp;b=2">the <b>big</b> <span>no</span> page</a>, <em>very <span>x</span>good</em></p>',
+    "<p>before<div>in <span>deep <div>er</div></span></div>after <div class='x'><em>gone</em></div> end</p>",
+    "<p>x <SPAN title=\"a > b\">y</SPAN> z</p><p>   </p>",
+]
+# The listing put before a page's own markup; None stands for the page id, 0 for a count of 40 to 59.
+LISTING = [
+    '<div id="side"><a href="https://h/r/S/comments/side/t/">99 comments</a></div><div class="x" id="siteTable">'
+    '<div><div><a href="https://h/r/S/comments/p', None, '/t/">', 0, " comments</a></div>"
+    '<a href="https://h/r/S/comments/q', None, '/t/">1,2', 0, " <b>comments</b></a></div>"
+    '<a href="https://h/r/S/comments/can/t/">60 comments Can</a><a href="https://h/r/S/comments/word/t/">many comments</a>'
+    '<a href="https://h/r/S/other/">70 comments</a><a>80 comments</a></div>'
+    '<div><a href="https://h/r/S/comments/after/t/">77 comments</a></div>',
+]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,8 +99,21 @@ def conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with one of the MARKUP paragraphs (by page id) before its own markup."""
+    extra = F.element_at(F.array(*[F.lit(m) for m in MARKUP]), (F.col("page_id") % len(MARKUP) + 1).cast("int"))
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(extra, F.col("html")))
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a listing: links before, inside and after its ``#siteTable``, with counts around 50."""
+    pid = F.col("page_id").cast("string")
+    parts = [pid if x is None else (40 + F.col("page_id") % 20).cast("string") if x == 0 else F.lit(x) for x in LISTING]
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(*parts, F.col("html")))
+
+
 def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = marked_pages(spark, sf_dir)
     is_post = F.col("page_id") % 2 == 0
     return _content(
         p,
@@ -163,10 +194,15 @@ def duck_conv() -> str:
     )
 
 
+def duck_marked_pages() -> str:
+    extra = ", ".join(D.q(m) for m in MARKUP)
+    return f"(SELECT page_id, url, ([{extra}])[page_id % {len(MARKUP)} + 1] || html AS html FROM pages)"
+
+
 def duck_page_units() -> str:
     is_post = "page_id % 2 = 0"
     return _duck_content(
-        "pages",
+        duck_marked_pages(),
         url="url",
         text="html",
         date="''",
