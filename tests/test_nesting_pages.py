@@ -133,10 +133,34 @@ def test_thread_page_f6(spark):
     assert sub["k1"].user == "replier" and sub["k1"].author_tag == "F"  # selectors see the replies too
 
 
+F6_MARKUP = """<html><body><div class="side"><a class="author">sidebarmod</a></div>
+<div class="top-matter"><p class="title"><a class="title" href="/x">Is <b>this <i>real</i></b>&#8212;yes</a>
+<span class="flairrichtext flaircolorlight linkflairlabel"><span class="emoji">:x:</span> News</span></p>
+<p class="tagline">by <b><a class="author">o<i>p</i></a></b><span class="flair"><span>in</span>ner</span></p></div>
+<span class="score unvoted"><b>7</b> points</span><time title="T0">t</time>
+<div id="thing_t3_abc"><form id="form-t3_abc"><div class="md"><div class="md">a</div>b</div></form></div>
+<div id="siteTable_t3_abc">
+ <div data-type="comment" data-fullname="t1_k1"><div class="tagline"><time title="T1">t</time></div>
+  <div class="md"><p>c1 body</p><div class="md">quoted</div> tail &amp; end</div>
+  <div class="usertext-edit viewSource"><div><textarea>src &lt;1&gt;</textarea></div> x</div></div>
+</div></body></html>"""
+
+
+def test_thread_page_nested_markup(spark):
+    pages = spark.createDataFrame([(1, "https://h/r/S/comments/abc/t/", F6_MARKUP)], "page_id long, url string, html string")
+    for scope in ("own", "subtree"):
+        rows = {r.id: r for r in TPG.parse_thread_pages(pages, scope=scope).collect()}
+        post, k1 = rows["abc"], rows["k1"]
+        assert (post.title, post.user, post.tag, post.author_tag, post.upvotes) == ("Is this real—yes", "op", ":x: News", "inner", 7)
+        assert post.text == '<form id="form-t3_abc"><div class="md"><div class="md">a</div>b</div></form>'
+        assert k1.text == '<div class="md"><p>c1 body</p><div class="md">quoted</div> tail &amp; end</div>'
+        assert (k1.source_text, k1.user, k1.date) == ("src <1> x", TPG.NO_USER, "T1")
+
+
 def test_render_parse_roundtrip(spark):
     from threadspark.plans import views as V
 
     u = V.forest_units_for_pages(spark, "/root/testdata/sf0.001")
     back = TPG.parse_thread_pages(TPG.render_thread_pages(u))
-    expected = u.withColumn("text", F.concat(F.lit('<div class="md">'), F.col("text"), F.lit("</div>")))
+    expected = u.withColumn("user", F.coalesce("user", F.lit(TPG.NO_USER))).withColumn("text", F.concat(F.lit('<div class="md">'), F.col("text"), F.lit("</div>")))
     assert back.exceptAll(expected).count() == 0 and expected.exceptAll(back).count() == 0

@@ -12,7 +12,10 @@ is window functions over that stream, partitioned by page:
   (open comments - 1). Both are *as-of* lookups (union of openers and queries,
   then ``last(..., ignorenulls)`` over the page order), so no comment x comment
   or element x tag pairs are formed;
-* fields are the first matching tag in the comment's own tags
+* the text and markup of an element come from all tags up to its end: per kind of field (title,
+  author, flair ...) a running maximum of (end, start) over the page order says which outermost
+  element a tag lies in, and one aggregation joins their pieces;
+* fields are the first matching element in the comment's own tags
   (``scope='own'``, default) or anywhere in its sub-tree (``scope='subtree'``,
   which is how the original selectors behaved);
 * comments without ``data-fullname`` are dropped with their sub-trees, and a
@@ -36,20 +39,19 @@ VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ELEMENT_RE = "<" + ATTRS + ">[^<]*"
 
 
-def _attr(tag: Column, name: str) -> Column:
-    """Decoded value of attribute ``name`` (null when absent), found with one regex scan:
+def _attr(tag: Column, name: str, decode: bool = True) -> Column:
+    """Value of attribute ``name`` (null when absent), found with one regex scan:
     the raw value keeps its quotes, so an empty quoted value differs from a missing one."""
     raw = F.regexp_extract(tag, r"""(?is)\s""" + name + r"""\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
     quoted = raw.startswith('"') | raw.startswith("'")
     unquoted = F.when(quoted, raw.substr(F.lit(2), F.length(raw) - 2)).otherwise(raw)
-    return F.when(raw != "", decode_entities(unquoted))
+    return F.when(raw != "", decode_entities(unquoted) if decode else unquoted)
 
 
 def element_stream(pages: DataFrame) -> DataFrame:
     """``(page_id, pos, el, tag, text, name, closing, cls, lvl, fin, ...)`` for every tag of every page."""
     clean = F.regexp_replace(F.col("html"), NOISE_RE, "")
-    # One shuffle of whole pages by page id: every later window is partitioned by
-    # page_id (plus other keys), which this partitioning already satisfies.
+    # One shuffle of whole pages by page id, before they grow into tags.
     s = pages.repartition("page_id").select(
         "page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(ELEMENT_RE), 0)).alias("pos", "el")
     )
@@ -63,7 +65,7 @@ def element_stream(pages: DataFrame) -> DataFrame:
         F.lower(F.regexp_extract("tag", r"^<\s*/?\s*([A-Za-z][A-Za-z0-9-]*)", 1)).alias("name"),
         F.col("tag").rlike(r"^<\s*/").alias("closing"),
         F.col("tag").rlike(r"/\s*>$").alias("selfclosing"),
-        F.split(F.trim(F.coalesce(_attr(F.col("tag"), "class"), F.lit(""))), r"\s+").alias("cls"),
+        F.split(F.trim(F.coalesce(_attr(F.col("tag"), "class", decode=False), F.lit(""))), r"\s+").alias("cls"),
         _attr(F.col("tag"), "id").alias("id_attr"),
     )
     tracked = (F.col("name") != "") & ~F.col("name").isin(VOID) & ~F.col("selfclosing")
@@ -92,6 +94,38 @@ def _asof_last(openers: DataFrame, queries: DataFrame, value: str) -> DataFrame:
     )
 
 
+def _inside(cond: Column) -> Column:
+    """(end, start) of the outermost element with ``cond`` open at this tag (its own tags included), else null.
+
+    Elements nest, so among those opened so far the outermost open one has the largest end.
+    """
+    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.coalesce(F.col("fin"), F.col("pos") + 1)  # an unclosed element is its own tag and the text after it
+    span = F.max(F.when(cond & ~F.col("closing"), F.struct(end.alias("fin"), F.col("pos").alias("start")))).over(w)
+    return F.when(span["fin"] >= F.col("pos"), span)
+
+
+def _with_element_text(s: DataFrame, kinds: list[Column]) -> DataFrame:
+    """``s`` with ``el_text`` (decoded, stripped text) and ``el_html`` (outer markup) on the open tag of every
+    outermost element matching one of ``kinds``."""
+    spans = F.array_distinct(F.filter(F.array(*[_inside(k) for k in kinds]), lambda x: x.isNotNull()))
+    piece = F.struct(
+        "pos",
+        F.when(F.col("pos") < F.col("span.fin"), F.col("text")).otherwise(F.lit("")).alias("text"),
+        F.when(F.col("pos") < F.col("span.fin"), F.col("el")).otherwise(F.col("tag")).alias("el"),
+    )
+    parts = s.select("page_id", "pos", "el", "tag", "text", spans.alias("spans")).select(
+        "page_id", "pos", "el", "tag", "text", F.explode("spans").alias("span")
+    )
+    whole = parts.groupBy("page_id", F.col("span.start").alias("pos")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    whole = whole.select(
+        "page_id", "pos",
+        strip(decode_entities(F.array_join(F.transform("p", lambda r: r["text"]), ""))).alias("el_text"),
+        F.array_join(F.transform("p", lambda r: r["el"]), "").alias("el_html"),
+    )
+    return s.join(whole, ["page_id", "pos"], "left")
+
+
 def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -> DataFrame:
     """Content rows (post + comments) of every stored thread page ``(page_id, url, html)``."""
     if scope not in ("own", "subtree"):
@@ -99,7 +133,7 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     s = materialize(element_stream(pages))
     page_order = Window.partitionBy("page_id").orderBy("pos")
     is_div = (F.col("name") == "div") & F.col("lvl").isNotNull()
-    is_copen = is_div & ~F.col("closing") & (F.lower(F.coalesce(_attr(F.col("tag"), "data-type"), F.lit(""))) == "comment")
+    is_copen = is_div & ~F.col("closing") & (F.lower(F.coalesce(_attr(F.col("tag"), "data-type", decode=False), F.lit(""))) == "comment")
     s = s.withColumn("copen", is_copen).withColumn("fullname", F.when(is_copen, _attr(F.col("tag"), "data-fullname")))
     opener = Window.partitionBy("page_id", "name", "lvl").orderBy("pos")
     s = s.withColumn("cclose", F.col("closing") & F.coalesce(F.lag("copen").over(opener), F.lit(False)) & is_div)
@@ -113,7 +147,30 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     bd = F.sum(F.when(bad_open, 1).when(F.col("bclose"), -1).otherwise(0)).over(
         page_order.rowsBetween(Window.unboundedPreceding, 0)
     )
-    s = materialize(s.withColumn("open_c", cd).withColumn("open_bad", bd))
+    s = s.withColumn("open_c", cd).withColumn("open_bad", bd)
+
+    m_title = (F.col("name") == "a") & _has("title")
+    m_author = (F.col("name") == "a") & _has("author")
+    m_score = (F.col("name") == "span") & _has("score", "unvoted")
+    m_time = (F.col("name") == "time") & _attr(F.col("tag"), "title").isNotNull()
+    m_flair = (F.col("name") == "span") & _has("flair")
+    m_label = _has("linkflairlabel") & ~F.col("closing")
+    m_source = _has("usertext-edit", "viewSource") & ~F.col("closing")
+    closed = ~F.col("closing") & F.col("fin").isNotNull()
+    m_md = (F.col("name") == "div") & _has("md") & closed
+    m_body = _has("usertext", "warn-on-unload") & closed
+    m_form = F.coalesce(F.col("id_attr").startswith("form-t3_"), F.lit(False)) & closed
+    # the page's first top-matter element and first post element, and whether a tag lies inside them
+    first_so_far = page_order.rowsBetween(Window.unboundedPreceding, -1)
+
+    def in_first(cond: Column) -> Column:
+        return F.coalesce(F.first(F.when(cond & closed, F.col("fin")), ignorenulls=True).over(first_so_far) > F.col("pos"), F.lit(False))
+
+    s = _with_element_text(s, [m_title, m_author, m_score, m_flair, m_label, m_source, m_md, m_body, m_form])
+    s = s.withColumn("in_top", in_first(_has("top-matter"))).withColumn(
+        "in_thing", in_first(F.coalesce(F.col("id_attr").startswith("thing_t3_"), F.lit(False)))
+    ).withColumn("in_tagline", _inside(_has("tagline")).isNotNull())
+    s = materialize(s)
 
     comments = s.where("copen").select(
         "page_id", "pos", "fin", "fullname", (F.col("open_c") - 1).alias("depth"),
@@ -135,27 +192,18 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     ).select("page_id", F.col("qid").alias("pos"), F.col("found").alias("owner"))
     tags = s.join(owners, ["page_id", "pos"], "left")
 
-    # first matches
-    m_author = (F.col("name") == "a") & _has("author")
-    m_score = (F.col("name") == "span") & _has("score", "unvoted")
-    m_time = (F.col("name") == "time") & _attr(F.col("tag"), "title").isNotNull()
-    m_flair = (F.col("name") == "span") & _has("flair")
-    m_source = _has("usertext-edit", "viewSource") & ~F.col("closing")
-    m_md = (F.col("name") == "div") & _has("md") & ~F.col("closing") & F.col("fin").isNotNull()
-
     def first(cond: Column, val: Column) -> Column:
         return F.min_by(F.when(cond, val), F.when(cond, F.col("pos")))
 
-    txt = strip(decode_entities(F.col("text")))
-    # source text: text of the tags inside the view-source element (first one per owner/page)
+    txt, markup = F.col("el_text"), F.col("el_html")
     if scope == "own":
         own = tags.where(F.col("owner").isNotNull()).groupBy("page_id", "owner").agg(
             first(m_author, txt).alias("c_user"),
             first(m_score, txt).alias("c_score"),
             first(m_time, _attr(F.col("tag"), "title")).alias("c_date"),
             first(m_flair, txt).alias("c_flair"),
-            first(m_source, F.col("pos")).alias("c_src_pos"),
-            first(m_md, F.col("pos")).alias("c_md_pos"),
+            first(m_source, txt).alias("src_text"),
+            first(m_md, markup).alias("md_html"),
         )
     else:
         after = page_order.rowsBetween(0, Window.unboundedFollowing)
@@ -167,7 +215,7 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
             "page_id", "pos", "fin", "copen",
             nxt(m_author, txt).alias("n_user"), nxt(m_score, txt).alias("n_score"),
             nxt(m_time, _attr(F.col("tag"), "title")).alias("n_date"), nxt(m_flair, txt).alias("n_flair"),
-            nxt(m_source, F.col("pos")).alias("n_src"), nxt(m_md, F.col("pos")).alias("n_md"),
+            nxt(m_source, txt).alias("n_src"), nxt(m_md, markup).alias("n_md"),
         ).where("copen")
 
         def inside(c: str) -> Column:
@@ -175,81 +223,32 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
 
         own = sub.select(
             "page_id", F.col("pos").alias("owner"), inside("n_user").alias("c_user"), inside("n_score").alias("c_score"),
-            inside("n_date").alias("c_date"), inside("n_flair").alias("c_flair"), inside("n_src").alias("c_src_pos"),
-            inside("n_md").alias("c_md_pos"),
+            inside("n_date").alias("c_date"), inside("n_flair").alias("c_flair"), inside("n_src").alias("src_text"),
+            inside("n_md").alias("md_html"),
         )
 
-    # outer HTML of md divs (they do not nest): owner md = last md opened at or before the tag
-    md_w = page_order.rowsBetween(Window.unboundedPreceding, 0)
-    md_open = F.when(m_md, F.struct(F.col("pos").alias("p"), F.col("fin").alias("f")))
-    md_tags = s.withColumn("_md", F.last(md_open, ignorenulls=True).over(md_w)).where(
-        F.col("_md").isNotNull() & (F.col("pos") <= F.col("_md.f"))
-    )
-    piece = F.when(F.col("pos") == F.col("_md.f"), F.col("tag")).otherwise(F.col("el"))
-    md_html = md_tags.groupBy("page_id", F.col("_md.p").alias("md_pos")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", piece.alias("x")))), lambda r: r["x"]), "").alias("md_html")
-    )
-    # view-source text: concatenated text of the tags from the element's open to its end
-    src_w = page_order.rowsBetween(Window.unboundedPreceding, 0)
-    src_open = F.when(m_source & F.col("fin").isNotNull(), F.struct(F.col("pos").alias("p"), F.col("fin").alias("f")))
-    src_tags = s.withColumn("_sv", F.last(src_open, ignorenulls=True).over(src_w)).where(
-        F.col("_sv").isNotNull() & (F.col("pos") < F.col("_sv.f"))
-    )
-    src_text = src_tags.groupBy("page_id", F.col("_sv.p").alias("src_pos")).agg(
-        strip(decode_entities(F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("text").alias("x")))), lambda r: r["x"]), ""
-        ))).alias("src_text")
-    )
-
     # ---- comment rows
     own = own.withColumnRenamed("page_id", "_op")
-    md_html = md_html.withColumnRenamed("page_id", "_mp")
-    src_text = src_text.withColumnRenamed("page_id", "_sp")
     c = comments.join(parents, ["page_id", "pos"], "left")
     c = c.join(own, (F.col("page_id") == F.col("_op")) & (F.col("pos") == F.col("owner")), "left").drop("_op")
-    c = c.join(md_html, (F.col("page_id") == F.col("_mp")) & (F.col("c_md_pos") == F.col("md_pos")), "left").drop("_mp")
-    c = c.join(src_text, (F.col("page_id") == F.col("_sp")) & (F.col("c_src_pos") == F.col("src_pos")), "left").drop("_sp")
     c = c.where((F.coalesce(F.col("fullname"), F.lit("")) != "") & (F.col("bad_above") == 0))
 
     # ---- post fields: first match anywhere on the page
-    top = s.where(_has("top-matter") & ~F.col("closing") & F.col("fin").isNotNull()).groupBy("page_id").agg(
-        F.min_by(F.struct(F.col("pos").alias("p"), F.col("fin").alias("f")), F.col("pos")).alias("_tm")
-    )
-    in_top = F.col("_tm").isNotNull() & (F.col("pos") > F.col("_tm.p")) & (F.col("pos") < F.col("_tm.f"))
-    form_body = (F.col("id_attr").startswith("form-t3_")) & F.col("fin").isNotNull()
-    thing = s.where(F.col("id_attr").startswith("thing_t3_") & F.col("fin").isNotNull()).groupBy("page_id").agg(
-        F.min_by(F.struct(F.col("pos").alias("p"), F.col("fin").alias("f")), F.col("pos")).alias("_th")
-    )
-    pt = s.join(top, "page_id", "left").join(thing, "page_id", "left")
-    in_thing = F.col("_th").isNotNull() & (F.col("pos") > F.col("_th.p")) & (F.col("pos") < F.col("_th.f"))
-    post = pt.groupBy("page_id").agg(
-        first((F.col("name") == "a") & _has("title"), txt).alias("title"),
-        first(m_author, txt).alias("p_user"),
+    post = s.groupBy("page_id").agg(
+        first(m_title, txt).alias("title"),
+        first(m_author & F.col("in_tagline"), txt).alias("p_user"),
         first(m_time, _attr(F.col("tag"), "title")).alias("date"),
         first(m_score, txt).alias("p_score"),
-        first(m_source, F.col("pos")).alias("p_src_pos"),
-        first(_has("usertext", "warn-on-unload") & ~F.col("closing") & F.col("fin").isNotNull(), F.struct("pos", "fin")).alias("b1"),
-        first(form_body & ~F.col("closing"), F.struct("pos", "fin")).alias("b2"),
-        first(m_md & in_thing, F.struct("pos", "fin")).alias("b3"),
-        first(in_top & _has("flairrichtext", "flaircolorlight", "linkflairlabel"), txt).alias("t1"),
-        first(in_top & _has("flairrichtext", "flaircolorlight", "linkflairlabel", "res-flairSearch"), txt).alias("t2"),
-        first(in_top & _has("linkflairlabel"), txt).alias("t3"),
-        first(in_top & m_flair, txt).alias("p_flair"),
-    )
-    body = F.coalesce(F.col("b1"), F.col("b2"), F.col("b3"))
-    post = post.withColumn("body_pos", body["pos"]).withColumn("body_fin", body["fin"]).where(F.col("body_pos").isNotNull())
-    # outer HTML of the chosen body element (one element per page)
-    chosen = post.select(F.col("page_id").alias("_bp"), "body_pos", "body_fin")
-    body_tags = s.join(chosen, F.col("page_id") == F.col("_bp")).where(
-        (F.col("pos") >= F.col("body_pos")) & (F.col("pos") <= F.col("body_fin"))
-    )
-    bpiece = F.when(F.col("pos") == F.col("body_fin"), F.col("tag")).otherwise(F.col("el"))
-    body_html = body_tags.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", bpiece.alias("x")))), lambda r: r["x"]), "").alias("body_html")
+        first(m_source, txt).alias("src_text"),
+        F.coalesce(first(m_body, markup), first(m_form, markup), first(m_md & F.col("in_thing"), markup)).alias("body_html"),
+        first(F.col("in_top") & m_label & _has("flairrichtext", "flaircolorlight"), txt).alias("t1"),
+        first(F.col("in_top") & m_label & _has("flairrichtext", "flaircolorlight", "res-flairSearch"), txt).alias("t2"),
+        first(F.col("in_top") & m_label, txt).alias("t3"),
+        first(F.col("in_top") & m_flair, txt).alias("p_flair"),
     )
+    post = post.where(F.col("body_html").isNotNull())
     meta = pages.select("page_id", "url")
-    post = post.join(body_html, "page_id").join(meta, "page_id")
-    post = post.join(src_text, (F.col("page_id") == F.col("_sp")) & (F.col("p_src_pos") == F.col("src_pos")), "left").drop("_sp")
+    post = post.join(meta, "page_id")
     post_id = F.replace(url_post_id(F.col("url")), F.lit("t1_"), F.lit(""))
     post_rows = post.select(
         F.col("url"),

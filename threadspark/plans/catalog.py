@@ -952,13 +952,13 @@ def _thread_pages(spark, sf_dir):
 
 @register("thread_pages", V.duck_thread_page_rows())
 def q_thread_pages(spark, sf_dir):
-    """Post and comment rows parsed from rendered thread pages (parse(render(forest)) = forest)."""
+    """Post and comment rows parsed from rendered thread pages (parse(render(forest)) = forest, with defaults for missing fields)."""
     return TPG.parse_thread_pages(_thread_pages(spark, sf_dir))
 
 
-@register("thread_pages_subtree", V.duck_thread_page_rows())
+@register("thread_pages_subtree", V.duck_thread_page_rows("subtree"))
 def q_thread_pages_subtree(spark, sf_dir):
-    """P9 with sub-tree selector scope (every comment here carries its own fields, so the result is the same)."""
+    """P9 with sub-tree selector scope: a comment without an author, votes or flair takes those of its first reply that has them."""
     return TPG.parse_thread_pages(_thread_pages(spark, sf_dir), scope="subtree")
 
 

@@ -228,8 +228,14 @@ FROM lineitem GROUP BY l_suppkey"""
 from threadspark.operators.threadpages import SITE  # noqa: E402
 
 
+# An md element inside a body, and what follows it.
+INNER_MD = ['<div class="md">', "</div><p>after &amp; <div>more</div></p>"]
+NO_USER = "User deleted or not found"
+
+
 def forest_units_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forest with the fields a thread page carries (url, votes, date, flair defaults)."""
+    """The forest with the fields a thread page carries; by id, comments lack an author or votes, units carry a
+    flair, and bodies hold an ``md`` element of their own."""
     d = table(spark, sf_dir, "documents")
     local = F.col("doc_id") % THREAD_SIZE
     root = (F.col("doc_id") - local).cast("string")
@@ -243,11 +249,13 @@ def forest_units_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         url=url,
         source_text=F.when(local == 0, F.lit("")),
         subreddit=F.lit("forest"),
-        author_tag=F.lit(""),
-        user=F.col("source"),
-        text=wrap_paragraphs(F.col("text")),
+        author_tag=F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("flair & "), (F.col("doc_id") % 5).cast("string"))).otherwise(""),
+        user=F.when((local == 0) | (F.col("doc_id") % 7 != 3), F.col("source")),
+        text=F.when(
+            F.col("doc_id") % 5 == 2, F.concat(F.lit(INNER_MD[0]), wrap_paragraphs(F.col("text")), F.lit(INNER_MD[1]))
+        ).otherwise(wrap_paragraphs(F.col("text"))),
         date=F.concat(F.lit("d"), sid),
-        upvotes=(F.col("doc_id") % 50 - 10).cast("bigint"),
+        upvotes=F.when((local == 0) | (F.col("doc_id") % 11 != 5), (F.col("doc_id") % 50 - 10).cast("bigint")),
         id=sid,
         parent_id=F.when(local != 0, parent.cast("string")),
         is_post=local == 0,
@@ -255,24 +263,43 @@ def forest_units_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def duck_thread_page_rows() -> str:
-    """Expected parse of the rendered forest pages."""
+def duck_thread_page_rows(scope: str = "own") -> str:
+    """Expected parse of the rendered forest pages; with scope 'subtree' a comment's missing fields come from
+    the first reply below it, in page order, that has them."""
     local = f"(doc_id % {THREAD_SIZE})"
     sid = "CAST(doc_id AS VARCHAR)"
     root = f"CAST(doc_id - {local} AS VARCHAR)"
-    return _duck_content(
-        "documents",
-        url=f"CASE WHEN {local} = 0 THEN '{SITE}/r/forest/comments/' || {sid} || '/thread/' "
-        f"ELSE '{SITE}/r/forest/comments/' || {root} || '/thread/' || {sid} || '/' END",
+    parent = f"CAST(doc_id - {local} + CAST(floor(({local} - 1) / {FANOUT}) AS BIGINT) AS VARCHAR)"
+    body = D.wrap_paragraphs("text")
+    rows = f"""SELECT *, {sid} AS id, CASE WHEN {local} <> 0 THEN {parent} END AS up,
+  CASE WHEN {local} = 0 OR doc_id % 7 <> 3 THEN source END AS own_user,
+  CASE WHEN {local} = 0 OR doc_id % 11 <> 5 THEN CAST(doc_id % 50 - 10 AS BIGINT) END AS own_votes,
+  CASE WHEN doc_id % 3 = 1 THEN 'flair & ' || (doc_id % 5) END AS own_flair FROM documents"""
+    own = _duck_content(
+        "fields",
+        url=f"CASE WHEN {local} = 0 THEN '{SITE}/r/forest/comments/' || id || '/thread/' "
+        f"ELSE '{SITE}/r/forest/comments/' || {root} || '/thread/' || id || '/' END",
         source_text=f"CASE WHEN {local} = 0 THEN '' END",
         subreddit="'forest'",
-        author_tag="''",
-        user="source",
-        text=f"'<div class=\"md\">' || {D.wrap_paragraphs('text')} || '</div>'",
-        date=f"'d' || {sid}",
-        upvotes="CAST(doc_id % 50 - 10 AS BIGINT)",
-        id=sid,
-        parent_id=f"CASE WHEN {local} <> 0 THEN CAST(doc_id - {local} + CAST(floor(({local} - 1) / {FANOUT}) AS BIGINT) AS VARCHAR) END",
+        author_tag="coalesce(flair, '')",
+        user=f"coalesce(author, {D.q(NO_USER)})",
+        text=f"'<div class=\"md\">' || CASE WHEN doc_id % 5 = 2 THEN {D.q(INNER_MD[0])} || {body} || {D.q(INNER_MD[1])} ELSE {body} END || '</div>'",
+        date="'d' || id",
+        upvotes="votes",
+        id="id",
+        parent_id="up",
         is_post=f"{local} = 0",
-        title=f"CASE WHEN {local} = 0 THEN 'thread ' || {sid} END",
+        title=f"CASE WHEN {local} = 0 THEN 'thread ' || id END",
     )
+    if scope == "own":
+        return f"WITH r AS ({rows}), fields AS (SELECT *, own_user AS author, own_votes AS votes, own_flair AS flair FROM r) {own}"
+    # paths of ids joined by a character below the digits sort like the page order
+    return f"""WITH RECURSIVE r AS ({rows}),
+walk AS (SELECT id, id AS path, [id] AS above FROM r WHERE up IS NULL
+  UNION ALL SELECT r.id, walk.path || chr(1) || r.id, list_append(walk.above, r.id) FROM r JOIN walk ON r.up = walk.id),
+below AS (SELECT id, path, unnest(above) AS holder FROM walk),
+found AS (SELECT holder, arg_min(own_user, path) FILTER (own_user IS NOT NULL) AS f_user,
+  arg_min(own_votes, path) FILTER (own_votes IS NOT NULL) AS f_votes, arg_min(own_flair, path) FILTER (own_flair IS NOT NULL) AS f_flair
+  FROM below JOIN r USING (id) GROUP BY holder),
+fields AS (SELECT r.*, coalesce(own_user, f_user) AS author, coalesce(own_votes, f_votes) AS votes,
+  CASE WHEN up IS NULL THEN own_flair ELSE f_flair END AS flair FROM r JOIN found ON holder = id) {own}"""
