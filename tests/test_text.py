@@ -55,3 +55,17 @@ def test_lemmatize_rules(spark):
     docs = spark.createDataFrame([(1, "Cats and boxes"), (2, "cat box wolves wolf men man")], "doc_id long, text string")
     got = {r.doc_id: r.lemma_text for r in LX.lemmatize_text(docs).collect()}
     assert got == {1: "cat and box", 2: "cat box wolf wolf man man"}
+
+
+def test_splice_edits(spark):
+    rows = [
+        (1, list("abcdef"), [(0, 2, "AB"), (3, 1, "D"), (4, 2, "EF")], ["AB", "c", "D", "EF"]),
+        (2, list("abc"), [(2, 1, "C")], ["a", "b", "C"]),
+        (3, list("abc"), None, ["a", "b", "c"]),
+        (4, [], None, []),
+        (5, None, None, None),
+        (6, ["x"] * 30000, [(i, 2, "y") for i in range(0, 30000, 2)], ["y"] * 15000),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "k int, t array<string>, e array<struct<pos:int,width:int,value:string>>")
+    got = {r.k: r.o for r in df.select("k", X.splice(F.col("t"), F.col("e")).alias("o")).collect()}
+    assert {k: None if v is None else list(v) for k, v in got.items()} == {k: o for k, _, _, o in rows}

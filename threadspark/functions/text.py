@@ -28,6 +28,31 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(TOKEN_RE), 0)
 
 
+def splice(tokens: Column, edits: Column) -> Column:
+    """``tokens`` with every edit ``(pos, width, value)`` replacing ``width`` items from ``pos`` (from 0) by ``value``.
+
+    ``edits`` is sorted by position and its edits do not overlap; null edits change nothing. The edits are laid
+    out along the token positions and both arrays zipped, so the work is linear in the tokens.
+    """
+    kept = F.lit(None).cast("struct<value:string>")
+    swallowed = F.struct(F.lit(None).cast("string").alias("value"))
+
+    def end_before(i: Column) -> Column:
+        last = F.get(edits, i - 1)
+        return F.when(i == 0, 0).otherwise(last["pos"] + last["width"])
+
+    layout = F.transform(
+        edits,
+        lambda e, i: F.concat(
+            F.array_repeat(kept, e["pos"] - end_before(i)),
+            F.array(F.struct(e["value"].alias("value"))),
+            F.array_repeat(swallowed, e["width"] - 1),
+        ),
+    )
+    merged = F.zip_with(tokens, F.flatten(layout), lambda t, e: F.when(e.isNull(), t).otherwise(e["value"]))
+    return F.when(edits.isNull(), tokens).otherwise(F.filter(merged, lambda t: t.isNotNull()))
+
+
 def ascii_replace(text: Column) -> Column:
     """X7 (ASCII): every non-ASCII code point becomes '?'."""
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")

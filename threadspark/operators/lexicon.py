@@ -10,11 +10,13 @@ by Spark from the data and joined, never shipped through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.functions.text import tokenize
-from threadspark.operators.threads import ordered_join
+from threadspark.functions.text import splice, tokenize
 from threadspark.session import materialize
 
 # Noun suffix rules (suffix, replacement), in rule order.
@@ -31,12 +33,6 @@ NOUN_RULES = [
 ]
 
 
-def token_rows(docs: DataFrame, id_col: str, text: Column, lower: bool = False) -> DataFrame:
-    """Long form ``(id, pos, token)`` of tokenised text (pos from 0)."""
-    t = F.lower(text) if lower else text
-    return docs.select(F.col(id_col), F.posexplode(tokenize(t)).alias("pos", "token"))
-
-
 def lemma_lexicon(known: DataFrame, word_col: str = "token") -> DataFrame:
     """``(form, lemma)`` for every known word whose lemma differs from itself."""
     words = known.select(F.col(word_col).alias("form")).distinct()
@@ -70,10 +66,13 @@ def lemmatize_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     # tokenise once: the token arrays feed both the lexicon and the lookup
     arrays = materialize(docs.select(F.col(id_col), tokenize(F.lower(F.col(text_col))).alias("_toks")))
-    toks = arrays.select(F.col(id_col), F.posexplode("_toks").alias("pos", "token"))
     lex = lemma_lexicon(known if known is not None else arrays.select(F.explode(F.array_distinct("_toks")).alias("token")))
-    lem = lemmatize_rows(toks, lex)
-    joined = lem.groupBy(id_col).agg(ordered_join(F.col("pos"), F.col("lemma"), " ").alias("lemma_text"))
-    return docs.select(id_col).join(joined, id_col, "left").select(
-        id_col, F.coalesce(F.col("lemma_text"), F.lit("")).alias("lemma_text")
-    )
+    # Only tokens with a rule's suffix can change: the others never leave their document.
+    toks = arrays.select(F.col(id_col), F.posexplode("_toks").alias("pos", "token"))
+    able = reduce(or_, (F.col("token").endswith(suffix) for suffix, _ in NOUN_RULES))
+    changed = lemmatize_rows(toks.where(able), lex).where(F.col("lemma") != F.col("token"))
+    edit = F.struct("pos", F.lit(1).alias("width"), F.col("lemma").alias("value"))
+    edits = changed.groupBy(F.col(id_col).alias("_eid")).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    joined = arrays.join(edits, F.col(id_col) == F.col("_eid"), "left")
+    text = F.array_join(splice(F.col("_toks"), F.col("_edits")), " ")
+    return joined.select(id_col, F.coalesce(text, F.lit("")).alias("lemma_text"))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadspark.operators.threads import ordered_list
+from threadspark.functions.text import splice
 from threadspark.session import materialize
 
 DELIMITER = "_"
@@ -98,16 +98,11 @@ def apply_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", t
     runs = flagged.withColumn("_grp", F.col("pos") - F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
     runs = runs.withColumn("_off", F.col("pos") - F.min("pos").over(w))
     starts = runs.where(F.col("_off") % 2 == 0)
-    # one rewrite row per touched position: a phrase start (merged token) or the swallowed next token
-    rewrites = starts.select(
-        F.col(id_col).alias("_sid"), F.col("pos").alias("_spos"),
-        F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("_phrase"),
-    ).unionByName(
-        starts.select(F.col(id_col).alias("_sid"), (F.col("pos") + 1).alias("_spos"), F.lit(None).cast("string").alias("_phrase"))
+    # the starts of a document meet its tokens once, in one row
+    edit = F.struct(
+        "pos", F.lit(2).alias("width"), F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("value")
     )
-    toks = docs.select(id_col, F.posexplode(F.col(tokens_col)).alias("pos", "token"))
-    kept = toks.join(rewrites, (F.col(id_col) == F.col("_sid")) & (F.col("pos") == F.col("_spos")), "left")
-    kept = kept.where(F.col("_sid").isNull() | F.col("_phrase").isNotNull())
-    merged = kept.groupBy(id_col).agg(ordered_list(F.col("pos"), F.coalesce(F.col("_phrase"), F.col("token"))).alias("_j"))
-    out = docs.select(id_col).join(merged, id_col, "left")
-    return out.select(id_col, F.coalesce(F.col("_j"), F.array().cast("array<string>")).alias(out_col))
+    edits = starts.groupBy(F.col(id_col).alias("_eid")).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    joined = docs.select(id_col, tokens_col).join(edits, F.col(id_col) == F.col("_eid"), "left")
+    merged = splice(F.col(tokens_col), F.col("_edits"))
+    return joined.select(id_col, F.coalesce(merged, F.array().cast("array<string>")).alias(out_col))

@@ -97,13 +97,15 @@ def umass_coherence(topics: DataFrame, occurrences: DataFrame, n_docs, id_col: s
         F.col("i.topic").alias("topic"), F.col("i.w").alias("wi"), F.col("j.w").alias("wj")
     )  # at most k * topn*(topn-1)/2 rows: bounded by the model
     occ = occurrences.select(F.col(id_col).alias("d"), F.col(term_col).alias("w"))
-    top_terms = t.select("w").distinct()
-    occ = occ.join(F.broadcast(top_terms), "w", "left_semi")
-    dfreq = occ.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    with_i = occ.join(F.broadcast(pairs), occ["w"] == pairs["wi"]).select("d", "topic", "wi", "wj")
-    both = with_i.join(occ.select(F.col("d").alias("d2"), F.col("w").alias("w2")),
-                       (F.col("d") == F.col("d2")) & (F.col("wj") == F.col("w2")), "left_semi")
-    co = both.groupBy("topic", "wi", "wj").agg(F.count(F.lit(1)).alias("co"))
+    dfreq = occ.join(t.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    # the top terms of a topic that a document holds meet in one row (at most top-n of them); pairs form inside it
+    held = occ.join(t, "w").groupBy("d", "topic").agg(F.collect_list(F.struct("r", "w")).alias("ws"))
+    inside = F.flatten(F.transform("ws", lambda i: F.transform(
+        F.filter("ws", lambda j: j["r"] < i["r"]), lambda j: F.struct(i["w"].alias("wi"), j["w"].alias("wj"))
+    )))
+    co = held.select("topic", F.explode(inside).alias("p")).groupBy(
+        "topic", F.col("p.wi").alias("wi"), F.col("p.wj").alias("wj")
+    ).agg(F.count(F.lit(1)).alias("co"))
     n = F.lit(n_docs).cast("double") if not hasattr(n_docs, "cast") else n_docs.cast("double")
     scored = (
         pairs.join(co, ["topic", "wi", "wj"], "left")
