@@ -113,7 +113,7 @@ def corpus_docs(units: DataFrame, dataset: str, min_len: int, max_len: int) -> D
     elif dataset == "chain":
         d = C.chain_corpus(units, min_len, max_len).select(F.col("chain_id").alias("doc_key"), "doc")
     elif dataset in ("post", "paragraph"):
-        d = C.build_corpus(units, dataset, min_len, max_len).select(F.col("doc").alias("doc_key"), "doc")
+        d = C.build_corpus(units, dataset, min_len, max_len).select(F.md5("doc").alias("doc_key"), "doc")
     else:
         raise ValueError(f"unknown dataset {dataset!r}")
     return d
@@ -178,7 +178,8 @@ def run_trial(units: DataFrame, params: dict, seed: int = 0, thread_col: str = "
             raise _TrialFailure("invalid_params", "threshold should be between -1 and 1 for npmi scoring")
         if not (0.5 < float(p["decay"]) <= 1.0):
             raise _TrialFailure("invalid_params", "decay must be in (0.5, 1.0]")
-        sampled = sample_threads(units, int(p["max_input_jsons"]), seed, thread_col)
+        limit = p["max_input_jsons"]
+        sampled = units if limit is None else sample_threads(units, int(limit), seed, thread_col)
         docs = corpus_docs(sampled, p["dataset"], int(p["min_len"]), int(p["max_len"]))
         tokens = materialize(docs.select("doc_key", tokenize(F.col("doc")).alias("tokens")))
         if tokens.isEmpty():

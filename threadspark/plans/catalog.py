@@ -752,7 +752,7 @@ LDA_PARAMS = dict(k=5, chunksize=1000, passes=2, decay=0.7, alpha="asymmetric",
 
 
 def _lda_inputs(spark, sf_dir):
-    toks = _doc_tokens(spark, sf_dir).where(F.col("lang") == "en").select("doc_id", "tokens")
+    toks = _doc_tokens(spark, sf_dir).select("doc_id", "tokens")
     vocab = materialize(VB.build_vocabulary(toks, no_below=5, no_above=0.5, keep_n=VB.KEEP_N))
     vectors = materialize(VB.bow_vectors(toks, vocab))
     return vocab, vectors
@@ -766,7 +766,7 @@ def _lda_model(spark, sf_dir, seed=0):
 
 @register("lda_topics")
 def q_lda_topics(spark, sf_dir):
-    """M5/M9: online LDA on English documents, top-10 terms per topic."""
+    """M5/M9: online LDA on all documents, top-10 terms per topic."""
     model, vocab, _ = _lda_model(spark, sf_dir)
     return TP.topic_terms(model, vocab, TP.TOPIC_TOPN)
 
@@ -785,7 +785,7 @@ def q_lda_metrics(spark, sf_dir):
     n = vectors.count()
     m1 = TP.lda_estimator(n_docs=n, seed=0, **LDA_PARAMS).fit(vectors)
     m2 = TP.lda_estimator(n_docs=n, seed=1, **LDA_PARAMS).fit(vectors)
-    toks = _doc_tokens(spark, sf_dir).where(F.col("lang") == "en").select("doc_id", "tokens")
+    toks = _doc_tokens(spark, sf_dir).select("doc_id", "tokens")
     occ = TP.doc_terms(VB.bag_of_words(toks, vocab))
     k = LDA_PARAMS["k"]
     coh = TP.umass_coherence(TP.topic_terms(m1, vocab, TP.COHERENCE_TOPN), occ, n).agg(F.sum("coherence") / k)
@@ -804,13 +804,13 @@ def q_lda_metrics(spark, sf_dir):
 TRIAL_PARAMS_Q = dict(
     lda_num_topics=4, chunksize=500, passes=2, iterations=50, decay=0.7, alpha="symmetric", eta="symmetric",
     no_below=2, no_above=0.5, min_len=50, max_len=20000, phraser_min_count=5, phraser_threshold=10,
-    phraser_scorer="default", dataset="post", max_input_jsons=40,
+    phraser_scorer="default", dataset="post", max_input_jsons=None,
 )
 
 
 @register("lda_trial")
 def q_lda_trial(spark, sf_dir):
-    """One full trial (corpus -> tokens -> phrases -> vocabulary -> 2 LDA fits -> 6 metrics)."""
+    """One full trial over every thread (corpus -> tokens -> phrases -> vocabulary -> 2 LDA fits -> 6 metrics)."""
     units = materialize(S.thread_ids(V.forest(spark, sf_dir)))
     rec = S.run_trial(units, TRIAL_PARAMS_Q, seed=0)
     return S.trial_frame(spark, [rec])
