@@ -340,6 +340,34 @@ def test_revealing_terms(spark):
     assert counts[b"quixo"] == 6 and counts[b"people"] == 6 + 80 * 3 and counts[b""] == sum(len(re.findall(r"[0-9a-z]+", t.lower())) for _, t in rows)
 
 
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_revealing_terms_everywhere(spark, monkeypatch, bound):
+    monkeypatch.setattr(pii, "BROADCAST_TERMS", bound)
+    rows = [(k, f"met Quillon Zorbl\nat 4111 1111 1111 1111, +1 212 555 0187, a@b.com today {k}\nand then QUILLON went on") for k in range(4)]
+    rows += [(10 + k, "one line with quillon and no entity " + "the people went on and then met today at the rest of it " * 3) for k in range(3)]
+    rows += [(30 + k, "the people went on and then met today at the rest of it " * 3) for k in range(60)]
+    got = {r["doc_id"]: r for r in pii.personal_data(build(spark, rows)).collect()}
+    text = dict(rows)
+    flagged = lambda d: [text[d][s["start"] : s["end"]] for s in got[d]["spans"] if s["kind"] == 4]
+    assert flagged(0) == ["Quillon", "Zorbl", "QUILLON"] and flagged(10) == ["quillon"] and flagged(30) == []
+    assert [pii.KINDS[s["kind"]] for s in got[0]["base"]] == ["card", "phone", "email"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(build(spark, rows)).collect()}
+    assert not any("quillon" in t.lower() for t in clean.values()) and clean[30] == text[30]
+
+
+def test_revealing_terms_of_whole_documents(spark):
+    far = "the people went on and then met today at the rest of it " * 3
+    rows = [(k, f"{far}Quillon {far}\n\n{far}met at zo@b.com") for k in range(4)]
+    rows += [(10 + k, f"{far}{far}{far}") for k in range(60)]
+    rows += [(80 + k, f"{far}plain {far}") for k in range(9)]
+    found = pii.personal_data(build(spark, rows)).collect()
+    flagged = {dict(rows)[r["doc_id"]][s["start"] : s["end"]] for r in found for s in r["spans"] if s["kind"] == 4}
+    words = lambda t: set(re.findall("[a-z]+", re.sub(r"\S+@\S+", "", t.lower())))
+    held = {w: [d for d, t in rows if w in words(t)] for w in set().union(*(words(t) for _, t in rows))}
+    want = {w for w, ds in held.items() if (c := sum(d < 4 for d in ds)) >= 3 and 2 * c >= len(ds) and math.log2(c * len(rows) / (len(ds) * 4)) >= 3}
+    assert {w.lower() for w in flagged} == want == {"quillon"}
+
+
 def brute_metrics(t):
     t = t or ""
     w = SPACES.findall(t)

@@ -1,18 +1,19 @@
 """Personal data: patterns find protected entities, corpus co-occurrence finds terms that reveal them.
 
-Emails, addresses, cards and phone numbers are the protected entities. Words within
-``CONTEXT`` words of an entity on its line are its context. Over all documents
-the operator counts how often each word occurs at all and how often in the context of an
-entity (one value) or of a kind of entity. A word reveals a target when it
-is seen with it at least ``MIN_SEEN`` times, in at least ``MIN_SHARE`` of all its
-occurrences, and with at least ``MIN_BITS`` bits of pointwise mutual information. Those
-words are spans of kind "term" wherever they stand in such a context; a text without
-entities is never changed. ``sanitise`` replaces entities by their kind and generalises
+Emails, addresses, cards and phone numbers are the protected entities. A word is seen with
+a target, one entity (its value) or a kind of entity, in two ways: place by place, when it
+is one of the ``CONTEXT`` words before or after such an entity (words of entities are skipped,
+line breaks are not a border), and document by document, when it stands anywhere outside the
+entities of a document that holds the target. A word reveals a target when in
+either way it is seen with it at least ``MIN_SEEN`` times, in at least ``MIN_SHARE`` of all its
+occurrences (or documents), and with at least ``MIN_BITS`` bits of pointwise mutual information.
+Those words are spans of kind "term" at all their occurrences outside entities, in all documents, with
+entities or without. ``sanitise`` replaces entities by their kind and generalises
 (words with digits: digits masked) or removes (others) the terms.
 
-Counts, candidate words and flagged places are DataFrames joined on the word; the only
-thing a task is handed is the set of words to count, and only when it was counted and
-found at most ``BROADCAST_TERMS`` (beyond that every word's count is shuffled).
+Counts and candidate words are DataFrames joined on the word. A task is handed a set
+of words, to count or to find, only when that set was counted and found at most ``BROADCAST_TERMS``;
+beyond that every word is shuffled, with its count or its places.
 
 Edge cases: null or empty texts have no spans; repeated rows each count and all get the
 same spans; null ids are kept; ties sort by start, then kind; an empty table gives an empty result;
@@ -22,6 +23,7 @@ other columns are carried by ``sanitise``.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,85 +79,134 @@ def entities(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda x: (x[0], x[2]))
 
 
-def context_terms(text: str, found: list[tuple[int, int, int]], width: int = CONTEXT) -> list[tuple[bytes, int, int, int, int]]:
-    """(term, kind, value hash, start, end) of the words around each entity, entities themselves left out."""
-    from xxhash import xxh64_intdigest
+def outer_words(text: str, found: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of every word that shares no place with an entity."""
+    borders: list[int] = []  # starts and ends of the entities, overlapping ones as one
+    for s, e, _ in sorted(found):
+        if borders and s < borders[-1]:
+            borders[-1] = max(borders[-1], e)
+        else:
+            borders += [s, e]
+    words = ((m.start(), m.end()) for m in TERM.finditer(text))
+    return [(a, b) for a, b in words if (k := bisect_right(borders, a)) % 2 == 0 and (k == len(borders) or borders[k] >= b)]
+
 
+def context_terms(text: str, found: list[tuple[int, int, int]], outer: list[tuple[int, int]], width: int = CONTEXT) -> list[tuple[bytes, int, int]]:
+    """(term, kind, value hash) of the ``width`` words outside entities before and after each entity."""
+    starts = [a for a, _ in outer]
     out = []
     for start, end, kind in found:
-        value = xxh64_intdigest(text[start:end].lower()) - 2**63
-        line = (text.rfind("\n", 0, start) + 1, n if (n := text.find("\n", end)) >= 0 else len(text))
-        before = [(m.start(), m.end()) for m in TERM.finditer(text, line[0], start)][-width:]
-        after = []
-        for m in TERM.finditer(text, end, line[1]):
-            after.append((m.start(), m.end()))
-            if len(after) == width:
-                break
-        for a, b in before + after:
-            if b - a > 1 and not any(a < e and s < b for s, e, _ in found):
-                out.append((text[a:b].encode().lower(), kind, value, a, b))
+        k = bisect_left(starts, start)
+        out += [(text[a:b].encode().lower(), kind, value_hash(text[start:end])) for a, b in outer[max(0, k - width) : k + width] if b - a > 1]
     return out
 
 
+def value_hash(value: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(value.lower()) - 2**63
+
+
+def term_spans(text: str, found: list[tuple[int, int, int]], known: frozenset) -> list[tuple[int, int, int]]:
+    """(start, end, kind number) of every known term outside the entities."""
+    if known.isdisjoint(text.encode().translate(_FOLD).split()):
+        return []
+    return [(a, b, KINDS.index("term")) for a, b in outer_words(text, found) if b - a > 1 and text[a:b].encode().lower() in known]
+
+
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.int32())])
-_TERM = pa.struct([("term", pa.binary()), ("kind", pa.int32()), ("value", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+_TARGET = [("kind", pa.int32()), ("value", pa.int64())]
+_NEAR = pa.struct([("term", pa.binary()), *_TARGET])
 _SCHEMA = (
     "doc_id long, key binary, spans array<struct<start: long, end: long, kind: int>>, "
-    "near array<struct<term: binary, kind: int, value: long, start: long, end: long>>"
+    "near array<struct<term: binary, kind: int, value: long>>, holds array<struct<kind: int, value: long>>, words array<binary>"
 )
 
 
+def _span_rows(spans: list) -> list[dict]:
+    return [dict(zip(("start", "end", "kind"), x)) for x in spans]
+
+
+def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(t).alias("key"), t.alias("t"))
+
+
 def find_entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, key (hash of the text), entity spans and the words near them."""
+    """Per document: doc_id, key (hash of the text), entity spans, the words near them, the distinct entities, and the distinct words outside them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, near, holds, words = [], [], [], []
             for t in batch.column("t").to_pylist():
-                found = entities(t or "")
-                spans.append([{"start": s, "end": e, "kind": k} for s, e, k in found])
-                near.append([dict(zip(("term", "kind", "value", "start", "end"), x)) for x in context_terms(t, found)] if found else [])
+                found = entities(t)
+                outer = outer_words(t, found) if found else []
+                spans.append(_span_rows(found))
+                near.append([dict(zip(("term", "kind", "value"), x)) for x in context_terms(t, found, outer)])
+                holds.append([{"kind": k, "value": v} for k, v in {(k, value_hash(t[s:e])) for s, e, k in found}])
+                words.append(list({t[a:b].encode().lower() for a, b in outer if b - a > 1}))
+            made = (spans, pa.list_(_SPAN)), (near, pa.list_(_NEAR)), (holds, pa.list_(pa.struct(_TARGET))), (words, pa.list_(pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(spans, pa.list_(_SPAN)), pa.array(near, pa.list_(_TERM))],
-                ["doc_id", "key", "spans", "near"],
+                [batch.column("doc_id"), batch.column("key"), *[pa.array(x, kind) for x, kind in made]],
+                ["doc_id", "key", "spans", "near", "holds", "words"],
             )
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(t).alias("key"), t.alias("t")).mapInArrow(run, _SCHEMA)
+    return _texts(docs, id_col, text).mapInArrow(run, _SCHEMA)
 
 
 def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _known(terms: DataFrame):
+    """The terms as a broadcast set, of None when there are too many of them."""
+    few = terms.count() <= BROADCAST_TERMS
+    return terms.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in terms.collect()) if few else None)
+
+
 def term_counts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(term, n): occurrences over all documents of the wanted terms; the empty term counts all words."""
-    few = wanted.count() <= BROADCAST_TERMS
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in wanted.collect()) if few else None)
+    """(term, n, docs): occurrences over all documents of the wanted terms, and documents they stand in; the empty term counts all words and documents."""
+    known = _known(wanted)
+
+    def rows(seen: Counter, held: Counter) -> pa.RecordBatch:
+        counts = [list(seen), list(seen.values()), [held[w] for w in seen]]
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(counts, (pa.binary(), pa.int64(), pa.int64()))], ["term", "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, ask = Counter(), 0, known.value
+        seen, held, total, read, ask = Counter(), Counter(), 0, 0, known.value
         for batch in batches:
             for t in batch.column("t").to_pylist():
                 words = (t or "").encode().translate(_FOLD).split()
-                total += len(words)
-                seen.update(words if ask is None else filter(ask.__contains__, words))
+                total, read = total + len(words), read + 1
+                hits = words if ask is None else [w for w in words if w in ask]
+                seen.update(hits)
+                held.update(set(hits))
             if len(seen) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-                seen = Counter()
-        seen[b""] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                yield rows(seen, held)
+                seen, held = Counter(), Counter()
+        seen[b""], held[b""] = total, read
+        yield rows(seen, held)
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = docs.select(F.col(text).alias("t")).mapInArrow(run, "term binary, n long, docs long")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """(term, target, share, bits) of the words that reveal a kind (target "0".."3") or one entity (target "kind:value")."""
-    seen = _contexts(found).groupBy("term", "target").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= MIN_SEEN)
-    seen = materialize(seen)
-    counts = materialize(term_counts(docs, seen.select("term").distinct(), text))
+    """(term, target, share, bits) of the words that reveal a kind (target "0".."3") or one entity (target "kind:value").
+
+    A pair may come twice, found place by place and document by document.
+    """
+    places = materialize(_contexts(found).groupBy("term", "target").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= MIN_SEEN))
+    around = _contexts(found).groupBy("target").agg(F.count(F.lit(1)).alias("ct"))
+    holders, whole = _holders(found)
+    whole = materialize(whole)
+    counts = materialize(term_counts(docs, places.select("term").union(whole.select("term")).distinct(), text))
+    by_place = _revealing(places, around, counts.select("term", "n"))
+    return by_place.union(_revealing(whole, holders, counts.select("term", F.col("docs").alias("n"))))
+
+
+def _revealing(seen: DataFrame, targets: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.filter(F.length("term") == 0).select(F.col("n").alias("total"))
-    targets = _contexts(found).groupBy("target").agg(F.count(F.lit(1)).alias("ct"))
     bits = F.log2(F.col("c") * F.col("total") / (F.col("n") * F.col("ct")))
     return (
         seen.join(counts, "term").join(targets, "target").join(F.broadcast(total))  # one row
@@ -164,23 +215,73 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> Da
     )
 
 
+def _targets(kind: Column, value: Column) -> Column:
+    kind = kind.cast("string")
+    return F.array(kind, F.concat(kind, F.lit(":"), value.cast("string")))
+
+
 def _contexts(found: DataFrame) -> DataFrame:
     near = found.select("key", F.explode("near").alias("w")).select("key", "w.*")
-    kind = F.col("kind").cast("string")
-    return near.withColumn("target", F.explode(F.array(kind, F.concat(kind, F.lit(":"), F.col("value").cast("string")))))
+    return near.withColumn("target", F.explode(_targets(F.col("kind"), F.col("value"))))
+
+
+def _holders(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(target, ct): documents that hold it, and (term, target, c): those with the term too. Targets held and pairs seen less than ``MIN_SEEN`` times are out, as they reveal nothing."""
+    texts = materialize(  # equal texts once
+        found.filter(F.size("spans") > 0).groupBy("key")
+        .agg(F.count(F.lit(1)).alias("copies"), F.first("holds").alias("holds"), F.first("words").alias("words"))
+    )
+    targets = F.array_distinct(F.flatten(F.transform("holds", lambda h: _targets(h["kind"], h["value"]))))
+    held = texts.select("key", "copies", F.explode(targets).alias("target"))
+    holders = materialize(held.groupBy("target").agg(F.sum("copies").alias("ct")).filter(F.col("ct") >= MIN_SEEN))
+    own = held.join(holders.select("target"), "target", "left_semi").groupBy("key").agg(F.collect_list("target").alias("targets"))
+    pairs = texts.join(own, "key").select("copies", "targets", F.explode("words").alias("term")).select("term", "copies", F.explode("targets").alias("target"))
+    return holders, pairs.groupBy("term", "target").agg(F.sum("copies").alias("c")).filter(F.col("c") >= MIN_SEEN)
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, key, base (entity spans) and spans (with the revealing terms), both sorted."""
     found = materialize(find_entities(docs, id_col, text))
-    reveal = revealing_terms(docs, found, text).select("term", "target")
-    term = F.lit(KINDS.index("term"))
-    flagged = (
-        _contexts(found).join(reveal, ["term", "target"], "left_semi")
-        .groupBy("key").agg(F.collect_set(F.struct("start", "end", term.alias("kind"))).alias("terms"))
-    )
-    joined = found.join(flagged, "key", "left")
-    return joined.select(
+    reveal = materialize(revealing_terms(docs, found, text).select("term").distinct())
+    known = _known(reveal)
+    if known.value is None:
+        return _joined_spans(found, _texts(docs, id_col, text), reveal)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, spans = [], []
+            for t in batch.column("t").to_pylist():
+                own = entities(t)
+                base.append(_span_rows(own))
+                spans.append(_span_rows(sorted(own + term_spans(t, own, known.value), key=lambda x: (x[0], x[2], x[1]))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(base, pa.list_(_SPAN)), pa.array(spans, pa.list_(_SPAN))],
+                ["doc_id", "key", "base", "spans"],
+            )
+
+    spans = "array<struct<start: long, end: long, kind: int>>"
+    return _texts(docs, id_col, text).mapInArrow(run, f"doc_id long, key binary, base {spans}, spans {spans}")
+
+
+def _joined_spans(found: DataFrame, texts: DataFrame, reveal: DataFrame) -> DataFrame:
+    """``personal_data`` when the terms are too many for a task: every word's places are joined with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, terms, at = [], [], []
+            for key, t in zip(batch.column("key").to_pylist(), batch.column("t").to_pylist()):
+                own: dict[bytes, list] = {}
+                for a, b in outer_words(t, entities(t)):
+                    if b - a > 1:
+                        own.setdefault(t[a:b].encode().lower(), []).append({"start": a, "end": b, "kind": KINDS.index("term")})
+                keys += [key] * len(own)
+                terms += own.keys()
+                at += own.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(terms, pa.binary()), pa.array(at, pa.list_(_SPAN))], ["key", "term", "at"])
+
+    places = texts.select("key", "t").mapInArrow(run, "key binary, term binary, at array<struct<start: long, end: long, kind: int>>")
+    flagged = places.join(reveal, "term", "left_semi").groupBy("key").agg(F.flatten(F.collect_set("at")).alias("terms"))
+    return found.join(flagged, "key", "left").select(
         "doc_id", "key", F.col("spans").alias("base"),
         F.array_sort(F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.concat("spans", "terms")), _by_start).alias("spans"),
     )
