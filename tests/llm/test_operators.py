@@ -212,6 +212,15 @@ def test_url_templates_reject_impure_branches(spark):
     assert {r["template"] for r in urltree.judge_urls(pages, same).collect()} == {"/*/<n>"}
 
 
+@pytest.mark.parametrize("known", [600, 50])
+def test_url_templates_keep_a_heavy_branch_apart(spark, known):
+    rows = [(k, f"http://h/x/slug{chr(97 + k % 26)}{'abcdefghijklmnopqrstuvwxyz'[k // 26 % 26]}") for k in range(600)]
+    rows += [(k, f"http://h/x/hot/{k}") for k in range(600, 1000)]
+    labels = spark.createDataFrame([(k, int(k < 600), 0) for k in [*range(known), *range(600, 1000)]], "doc_id long, quality int, toxic int")
+    got = urltree.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()
+    assert {(r["page_id"] < 600, r["template"], r["verdict"]) for r in got} == {(True, "/x/*", "allow"), (False, "/x/hot/<n>", "block")}
+
+
 def test_containment(spark):
     rnd = random.Random(9)
     items = [(k, " ".join(f"i{rnd.randint(0, 400)}" for _ in range(rnd.randint(3, 40)))) for k in range(15)] + [(15, None), (16, ""), (None, "one two three four five six")]

@@ -1,10 +1,11 @@
 """URL filtering: explicit rules first, then a path-template tree per host.
 
 Segments of a path become tree levels. Digits are variable by nature and fold
-into ``<n>``; a node with very many children of few pages each is variable too
-and becomes ``*``. Sibling branches whose labelled purity does not differ
-significantly (two-proportion test) merge into ``*``. A template is rejected when
-its smoothed share of good labelled pages is too low.
+into ``<n>``; where a node has very many children of one page, those are variable too
+and become ``*`` (the label of one page is no share that a test could compare). Of all other
+siblings, those whose labelled purity does not differ significantly (two-proportion test)
+merge into ``*``, however many children the node has; the rest stay apart. A template is
+rejected when its smoothed share of good labelled pages is too low.
 
 All steps are aggregations over (host, shape) counts and equi-joins, so a host
 holding a third of the pages is pre-aggregated before any shuffle; the only join of
@@ -69,14 +70,15 @@ def template_tree(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         t = t.withColumn("seg", seg)
         kids = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("good").alias("kg"))
+        few = F.col("kn") < 2
         node = kids.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("kids"), F.sum("kn").alias("nn"), F.sum("kl").alias("nl"), F.sum("kg").alias("ng")
+            F.count(F.lit(1)).alias("kids"), F.count(F.when(few, 1)).alias("few"), F.sum("kl").alias("nl"), F.sum("kg").alias("ng")
         )
         rate, rest = F.col("kg") / F.nullif(F.col("kl"), F.lit(0)), (F.col("ng") - F.col("kg")) / F.nullif(F.col("nl") - F.col("kl"), F.lit(0))
         pool = F.col("ng") / F.nullif(F.col("nl"), F.lit(0))
         spread = Z2 * pool * (1 - pool) * (1 / F.nullif(F.col("kl"), F.lit(0)) + 1 / F.nullif(F.col("nl") - F.col("kl"), F.lit(0)))
         similar = F.coalesce((rate - rest) * (rate - rest) <= spread, F.lit(True))
-        variable = (F.col("kids") > MANY_CHILDREN) & (2 * F.col("kids") > F.col("nn"))
+        variable = few & (F.col("few") > MANY_CHILDREN)
         name = F.when(F.col("seg") == "", F.lit("")).when((F.col("kids") > 1) & (variable | similar), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
         step = kids.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", name).alias("next"))
         # t feeds two branches of each level: without the checkpoint the plan would double five times
