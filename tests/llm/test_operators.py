@@ -221,6 +221,16 @@ def test_url_templates_keep_a_heavy_branch_apart(spark, known):
     assert {(r["page_id"] < 600, r["template"], r["verdict"]) for r in got} == {(True, "/x/*", "allow"), (False, "/x/hot/<n>", "block")}
 
 
+@pytest.mark.parametrize("prefix", ["en/2024/05/12", "a/b/c/d/e/f/g/h/i"])
+def test_url_templates_follow_deep_paths(spark, prefix):
+    topic = lambda k: "casino" if k % 2 else "science"
+    pages = spark.createDataFrame([(k, f"http://h/{prefix}/{topic(k)}/{k}") for k in range(400)] + [(400, "http://h"), (401, f"http://h/{prefix}")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = urltree.judge_urls(pages, labels).collect()
+    assert len(got) == 402
+    assert {(topic(r["page_id"]), r["template"].split("/")[-2], r["verdict"]) for r in got if r["page_id"] < 400} == {("casino", "casino", "block"), ("science", "science", "allow")}
+
+
 def test_containment(spark):
     rnd = random.Random(9)
     items = [(k, " ".join(f"i{rnd.randint(0, 400)}" for _ in range(rnd.randint(3, 40)))) for k in range(15)] + [(15, None), (16, ""), (None, "one two three four five six")]

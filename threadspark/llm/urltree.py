@@ -20,6 +20,8 @@ repeated pages are all returned; empty tables give empty results.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from threadspark.session import materialize
 #: (action, rule); a rule is host + path prefix.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-#: Tree depth; what lies deeper is one ``**`` level.
+#: Levels the SQL oracle is written out to; the operator follows every path to its end.
 DEPTH = 4
 MANY_CHILDREN = 20
 Z2 = 3.8416
@@ -56,17 +58,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, action
 
 
-def path_shape(path: Column, depth: int = DEPTH) -> Column:
-    """Path segments with digit runs folded, joined by ``/``; levels below ``depth`` become ``**``."""
-    segs = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/"), lambda s: s != "")
-    cut = F.when(F.size(segs) > depth, F.concat(F.slice(segs, 1, depth), F.array(F.lit("**")))).otherwise(segs)
-    return F.array_join(cut, "/")
+def path_shape(path: Column) -> Column:
+    """Path segments with digit runs folded, joined by ``/``."""
+    return F.array_join(F.filter(F.split(F.regexp_replace(path, "[0-9]+", "<n>"), "/"), lambda s: s != ""), "/")
+
 
+def template_tree(shapes: DataFrame) -> DataFrame:
+    """(host, shape, n, lab, good) -> the same with ``template``, level by level to the end of the deepest path.
 
-def template_tree(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, shape, n, lab, good) -> the same with ``template``, level by level."""
+    A path takes part in the levels of its segments and, as the empty segment, in the next one.
+    """
     t = shapes.withColumn("segs", F.split("shape", "/")).withColumn("template", F.lit(""))
-    for level in range(depth + 1):
+    depth = t.agg(F.max(F.size("segs"))).first()[0] or 0
+    ended = []
+    for level in range(depth):
         seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
         t = t.withColumn("seg", seg)
         kids = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("good").alias("kg"))
@@ -81,15 +86,17 @@ def template_tree(shapes: DataFrame, depth: int = DEPTH) -> DataFrame:
         variable = few & (F.col("few") > MANY_CHILDREN)
         name = F.when(F.col("seg") == "", F.lit("")).when((F.col("kids") > 1) & (variable | similar), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
         step = kids.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", name).alias("next"))
-        # t feeds two branches of each level: without the checkpoint the plan would double five times
+        # t feeds two branches of each level: without the checkpoint the plan would double at each
         t = materialize(t.join(step, ["host", "template", "seg"]).drop("template").withColumnRenamed("next", "template"))
-    return t.select("host", "shape", "template", "n", "lab", "good")
+        ended.append(t.filter(F.size("segs") <= level))
+        t = t.filter(F.size("segs") > level)
+    return reduce(DataFrame.union, ended, t).select("host", "shape", "template", "n", "lab", "good")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", rules=RULES, depth: int = DEPTH) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", rules=RULES) -> DataFrame:
     """One row per page: id, host, path, template, purity, rule, verdict."""
     host, path = url_parts(F.col("url"))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("shape", path_shape(F.col("path"), depth))
+    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("shape", path_shape(F.col("path")))
     lab = (
         labels.filter(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("page_id"))
@@ -100,7 +107,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", rul
         .groupBy("host", "shape")
         .agg(F.count(F.lit(1)).alias("n"), F.count("good").alias("lab"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     )
-    tree = template_tree(shapes, depth)
+    tree = template_tree(shapes)
     prior = shapes.agg((F.sum("good") / F.nullif(F.sum("lab"), F.lit(0))).alias("prior"))
     stats = (
         tree.groupBy("host", "template")
