@@ -185,6 +185,39 @@ def test_license_join_is_lossless(spark):
             assert {(b["line"], b["label"]) for b in r["blocks"]} == want
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed"
+    bsd = "x = 1\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that"
+    rows = [(1, mpl), (2, bsd), (3, mpl.replace("Public\n", "Public\n *\n")), (4, "released under\nplenty of other words\nthe mit license"), (5, f"a\n{mpl}\n{bsd}")]
+    got = {r["doc_id"]: r for r in license.scan_licenses(build(spark, rows)).collect()}
+    view = lambda k: [(b["line"], b["last"], b["label"], b["containment"]) for b in got[k]["wrapped"]]
+    assert view(1) == [(0, 1, "mpl", 1.0)] and view(2) == [(1, 2, "bsd", 1.0)] and view(3) == view(4) == []
+    assert [got[k]["labels"] for k in range(1, 6)] == [["mpl"], ["bsd"], [], [], ["bsd", "mpl"]] and got[1]["score"] == 1.0 and not got[1]["blocks"]
+    assert sorted(view(5), key=lambda x: x[0]) == [(1, 2, "mpl", 1.0), (4, 5, "bsd", 1.0)]
+
+
+def test_wrapped_license_runs_are_lossless(spark):
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(12)]
+    templates = [(f"t{k}", " ".join(rnd.choices(words, k=rnd.randint(1, 8)))) for k in range(12)]
+    texts = ["\n".join(" ".join(rnd.choices(words + ["zz"], k=rnd.randint(0, 6))) for _ in range(8)) for _ in range(60)]
+    for percent in (50, 80, 100):
+        for r in license.scan_licenses(build(spark, list(enumerate(texts))), templates=templates, percent=percent).collect():
+            want: dict = {}
+            for part in re.split(r"(?:^|\n)(?=\n|$)", texts[r["doc_id"]]):
+                of = [(n, w) for n, line in enumerate(part.split("\n")) for w in line.split()]
+                for label, t in templates:
+                    size = min(len(t.split()), len(of))
+                    for run in windows(of, size) if of else []:
+                        hit = len(set(t.split()) & {w for _, w in run}) / len(set(t.split()))
+                        if 100 * hit >= percent - 1e-9 and run[0][0] != run[-1][0]:
+                            want[label] = max(want.get(label, 0), hit)
+            best: dict = {}
+            for b in r["wrapped"]:
+                best[b["label"]] = max(best.get(b["label"], 0), b["containment"])
+            assert best == want
+
+
 def test_urls(spark):
     urls = [
         ("http://A.Example.NET/en/1?x", "a.example.net", "/en/1", "example.net/en/", "allow"), ("ftp://x.net", "x.net", "", None, None), ("http://net/", "net", "/", "net/", "block"),

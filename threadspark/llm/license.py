@@ -1,6 +1,7 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template is found in a block when at least ``percent`` % of the
+A block is a line or, for notices that wrap, a run over neighbouring lines: as many consecutive words
+as the template has, within lines that hold words and are not parted by one without any. A template is found in a block when at least ``percent`` % of the
 template's distinct words occur in it (containment). Words are ordered by how many
 blocks of the whole corpus hold them, rare first; a block is a candidate only when
 it shares a word with a template's prefix (prefix filter), has enough words (length
@@ -55,11 +56,13 @@ _FOLD = bytes(
 
 SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, "
-    "labels array<string>, score double, blocks array<struct<line: long, label: string, containment: double>>"
+    "labels array<string>, score double, blocks array<struct<line: long, label: string, containment: double>>, "
+    "wrapped array<struct<line: long, last: long, label: string, containment: double>>"
 )
-_NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"]
+_NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks", "wrapped"]
 _BLOCK = pa.struct([("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
-_TYPES = [*[pa.int64()] * 4, *[pa.list_(pa.string())] * 2, pa.float64(), pa.list_(_BLOCK)]
+_WRAPPED = pa.struct([("line", pa.int64()), ("last", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
+_TYPES = [*[pa.int64()] * 4, *[pa.list_(pa.string())] * 2, pa.float64(), pa.list_(_BLOCK), pa.list_(_WRAPPED)]
 
 
 def fold(text: str | None) -> bytes:
@@ -72,6 +75,7 @@ class TemplateIndex:
     def __init__(self, templates, percent: int, frequency: dict[bytes, int]):
         self.labels = [label for label, _ in templates]
         self.sets = [frozenset(fold(t).split()) for _, t in templates]
+        self.lengths = [len(fold(t).split()) for _, t in templates]
         if not all(self.sets):
             raise ValueError("a template has no words")
         vocabulary = sorted(set().union(*self.sets), key=lambda w: (frequency.get(w, 0), w))
@@ -97,6 +101,71 @@ class TemplateIndex:
                     candidates.add(k)
         return [(k, n) for k in sorted(candidates) if (n := len(self.sets[k].intersection(own))) >= self.need[k]]
 
+    def wrapped_matches(self, lines: list[tuple[int, list[bytes]]]) -> list[tuple[int, int, int, int]]:
+        """(first line, last line, template, overlap) of every template contained in a run over neighbouring lines.
+
+        Overlapping runs of a template count as one, with its best run. ``lines``: number and words of the lines of a paragraph.
+        """
+        words = [w for _, own in lines for w in own]
+        if len(lines) < 2 or self.starters.isdisjoint(words):
+            return []
+        of = [number for number, own in lines for _ in own]
+        near: dict[int, list[int]] = {}  # a run that holds enough of a template holds a word of its prefix
+        for at, w in enumerate(words):
+            for k, _ in self.prefix.get(w, ()):
+                near.setdefault(k, []).append(at)
+        out = []
+        for k, places in sorted(near.items()):
+            size, known = min(self.lengths[k], len(words)), self.sets[k]
+            if len(known.intersection(words)) < self.need[k]:
+                continue
+            best, start, reached = None, 0, -1
+            held: Counter = Counter()
+            for at in places:
+                first, final = max(at - size + 1, reached + 1, 0), min(at, len(words) - size)
+                if first > final:
+                    continue
+                if first != reached + 1 or reached < 0:
+                    held = Counter(w for w in words[first : first + size] if w in known)
+                else:
+                    self._slide(held, words, first, size, known)
+                for i in range(first, final + 1):
+                    if i > first:
+                        self._slide(held, words, i, size, known)
+                    if len(held) >= self.need[k] and of[i] != of[i + size - 1]:
+                        if best is not None and i >= start + size:
+                            out.append(best)
+                            best = None
+                        if best is None or len(held) > best[3]:
+                            best, start = (of[i], of[i + size - 1], k, len(held)), i
+                reached = final
+            if best is not None:
+                out.append(best)
+        return out
+
+    @staticmethod
+    def _slide(held: Counter, words: list[bytes], i: int, size: int, known: frozenset) -> None:
+        """From the run before ``i`` to the run at ``i``."""
+        if (gone := words[i - 1]) in known:
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+        if (new := words[i + size - 1]) in known:
+            held[new] += 1
+
+
+def paragraphs(lines: list[list[bytes]]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Neighbouring lines with words, numbered."""
+    own: list[tuple[int, list[bytes]]] = []
+    for number, words in enumerate(lines):
+        if words:
+            own.append((number, words))
+        elif own:
+            yield own
+            own = []
+    if own:
+        yield own
+
 
 def block_frequencies(docs: DataFrame, vocabulary: list[bytes], text: str = "text") -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template word occurs."""
@@ -121,7 +190,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     doc_id, n_words, n_base (places of base phrases), first_word, last_word (smallest and
     largest start of one, else null), base_labels and labels (sorted, distinct), score
     (best containment found; 1 with a base phrase; 0 without any), blocks (line, label,
-    containment of every match).
+    containment of every match within a line), wrapped (line, last line, label, containment of every match over lines).
     """
     vocabulary = sorted(set().union(*[fold(t).split() for _, t in templates]))
     frequency = block_frequencies(docs, vocabulary, text)
@@ -129,18 +198,22 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text: str = "text", t
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates, percent, frequency)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(9)]
             for t in batch.column("t").to_pylist():
                 folded, n, blocks = fold(t), 0, []
-                for number, line in enumerate(folded.split(b"\n")):
-                    words = line.split()
+                lines = [line.split() for line in folded.split(b"\n")]
+                for number, words in enumerate(lines):
                     n += len(words)
                     for k, hit in () if index.starters.isdisjoint(words) else index.matches(set(words)):
                         blocks.append({"line": number, "label": index.labels[k], "containment": hit / len(index.sets[k])})
+                wrapped = [
+                    {"line": a, "last": b, "label": index.labels[k], "containment": hit / len(index.sets[k])}
+                    for part in paragraphs(lines) for a, b, k, hit in index.wrapped_matches(part)
+                ]
                 starts, base = phrase_starts(folded)
-                labels = sorted(base | {b["label"] for b in blocks})
-                score = 1.0 if starts else max((b["containment"] for b in blocks), default=0.0)
-                for out, v in zip(rows, (n, len(starts), min(starts, default=None), max(starts, default=None), sorted(base), labels, score, blocks)):
+                labels = sorted(base | {b["label"] for b in blocks + wrapped})
+                score = 1.0 if starts else max((b["containment"] for b in blocks + wrapped), default=0.0)
+                for out, v in zip(rows, (n, len(starts), min(starts, default=None), max(starts, default=None), sorted(base), labels, score, blocks, wrapped)):
                     out.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, rows, _TYPES)], _NAMES)
 
