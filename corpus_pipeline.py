@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all documents its predecessor kept;
 all but the last return the columns of ``documents``. The label model, the disclosure counts and
 the packing plan are fitted on the stage's own input, which plain SQL cannot express, so
-there is no oracle: the stages are tested against brute force.
+there is no oracle: README says what each stage is tested against.
 """
 
 from __future__ import annotations
