@@ -154,6 +154,14 @@ def test_simhash_keeps_one_of_each(spark):
     assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, "a b c d"), (2, "other words stand here"), (None, "quite new text of rows")])
 
 
+def test_repeated_ids_follow_their_own_text(spark):
+    a, b = "a b c d e f g", "quite other words stand in this one"
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, "nothing like the others at all")]
+    assert Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(build(spark, rows)).collect()) == Counter([(3, a), (7, b), rows[4]])
+    clean = decontam.clean_documents(build(spark, rows), spark.createDataFrame([(1, a)], "item_id long, text string"))
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter([(7, b), (7, b), rows[4]])
+
+
 def test_license_scan(spark):
     rows = [
         (1, "Some text\nReleased under the MIT License.\nall rights RESERVED"), (2, None), (3, ""), (4, "cc\nby cc-by general public license"),

@@ -76,8 +76,7 @@ def item_sketches(items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFra
     return base.withColumn("sketch", F.expr("slice(hashes, 1, q - need + 1)"))
 
 
-def contained_items(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """Pairs with at least ``percent`` % of the item's shingles in the document: doc_id, item_id, n_shingles, n_matched, containment."""
+def _contained(docs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     known = item_sketches(items, percent)
     probes = known.select("item_key", F.explode("sketch").alias("hash"))
     if (known.agg(F.sum(F.size("sketch"))).first()[0] or 0) <= BROADCAST_ROWS:
@@ -87,23 +86,27 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_
     stream = keyed.select("doc_key", F.explode(shingle_hashes(plain_words(F.col("text")))).alias("hash"))
     pairs = stream.join(probes, "hash").select("doc_key", "item_key").distinct()
     normal = F.concat(F.lit(" "), F.array_join(plain_words(F.col("text")), " "), F.lit(" "))
-    found = (
+    return (
         keyed.join(pairs, "doc_key")
         .join(known.select("item_id", "item_key", "shingles", "q", "need"), "item_key")
         .select(
-            "doc_id", "item_id", "q", "need",
+            "doc_id", "doc_key", "item_id", "q", "need",
             let(normal, lambda d: F.size(F.filter("shingles", lambda s: F.contains(d, s)))).alias("hit"),
         )
         .filter("hit >= need")
     )
-    return found.select(
+
+
+def contained_items(docs: DataFrame, items: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """Pairs with at least ``percent`` % of the item's shingles in the document: doc_id, item_id, n_shingles, n_matched, containment."""
+    return _contained(docs, items, percent).select(
         "doc_id", "item_id", F.col("q").cast("long").alias("n_shingles"), F.col("hit").cast("long").alias("n_matched"),
         (F.col("hit") / F.col("q")).alias("containment"),
     ).distinct()
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents (all columns) that hold no benchmark item; ids are compared null-safe."""
-    ids = contained_items(docs, items).select(F.col("doc_id").alias("leaked")).distinct()
-    held = as_rows(docs)
-    return held.join(ids, F.col("row.doc_id").eqNullSafe(F.col("leaked")), "left_anti").select("row.*")
+    """The documents (all columns) that hold no benchmark item; a row goes for its own text only, ids are compared null-safe."""
+    found = _contained(docs, items, THRESHOLD_PERCENT).select(F.col("doc_id").alias("leaked"), "doc_key").distinct()
+    held = as_rows(docs).withColumn("own", F.xxhash64("row.doc_id", F.coalesce("row.text", F.lit(""))))
+    return held.join(found, F.col("row.doc_id").eqNullSafe(F.col("leaked")) & (F.col("own") == F.col("doc_key")), "left_anti").select("row.*")

@@ -57,14 +57,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+    """(doc_id, key, fp): key is a hash of the text, fp a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column("t").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(fp.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _segments(fps: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, hot: int = HOT
 ) -> DataFrame:
-    """One row per document: doc_id, fp (signed long), n_links (different linked fingerprints), component_id."""
+    """One row per document: doc_id, key (hash of the text), fp (signed long), n_links (different linked fingerprints), root (names the component), component_id."""
     own = materialize(fingerprints(docs, id_col, text, shingle))
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("low"))
     pairs = materialize(links(nodes.select("fp"), max_bits, hot))
@@ -125,20 +125,22 @@ def near_duplicates(
     root = components(pairs)
     named = nodes.join(root.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.join(least, "root").join(degree, "fp", "left").select("fp", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "n_links", "component_id")
+    classes = named.join(least, "root").join(degree, "fp", "left").select("fp", F.coalesce("n_links", F.lit(0)).alias("n_links"), "root", "component_id")
+    return own.join(classes, "fp").select("doc_id", "key", "fp", "n_links", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The documents (all columns) that represent their component: the smallest doc_id stays.
 
-    Of several rows with that same id the one with the smallest text stays. Documents without an
+    Each row follows the component of its own text, also when its id is repeated with other texts.
+    Of several rows of a component with that same id the one with the smallest text stays. Documents without an
     id only stay when their component has no id at all, again one row.
     """
     found = near_duplicates(docs, "doc_id", "text", shingle, max_bits)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay")).distinct()
-    order = Window.partitionBy("stay").orderBy("row.text")
-    held = as_rows(docs).join(stay, F.col("row.doc_id") == F.col("stay"))
+    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay"), "key", "root").distinct()
+    order = Window.partitionBy("stay", "root").orderBy("row.text")
+    rows = as_rows(docs).withColumn("own", F.xxhash64("row.text"))
+    held = rows.join(stay, (F.col("row.doc_id") == F.col("stay")) & (F.col("own") == F.col("key")))
     kept = held.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
     if docs.filter("doc_id IS NULL").isEmpty():
         return kept
@@ -154,5 +156,5 @@ def nearest_known(marked: DataFrame, known: DataFrame, max_bits: int) -> DataFra
     fps = marked.select("fp").union(known).distinct()
     root = components(links(fps, max_bits)).withColumnRenamed("node", "fp")
     name = lambda d: d.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    free = name(marked).join(name(known).select("root").distinct(), "root", "left_anti")
+    free = name(marked.select("doc_id", "fp")).join(name(known).select("root").distinct(), "root", "left_anti")
     return free.groupBy("root").agg(F.min("doc_id").alias("no")).select("no")
