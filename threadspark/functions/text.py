@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,10 +60,19 @@ def ascii_replace(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
 
 
+#: Looked for one by one; only other characters are split apart.
+_COMMON = " \n\t.,;:!?'\"()<>/-=&#_"
+
+
 def nonalnum_distinct(text: Column) -> Column:
     """Number of distinct characters that are neither letters nor digits."""
-    rest = F.regexp_replace(text, r"[\p{L}\p{N}]", "")
-    return F.size(F.array_distinct(F.regexp_extract_all(rest, F.lit("(?s)."), 0)))
+    rest = F.regexp_replace(F.regexp_replace(text, "[A-Za-z0-9]++", ""), r"[\p{L}\p{N}]++", "")
+
+    def count(r: Column) -> Column:
+        rare = F.size(F.array_distinct(F.regexp_extract_all(F.translate(r, _COMMON, ""), F.lit("(?s)."), 0)))
+        return reduce(lambda n, c: n + F.contains(r, F.lit(c)).cast("int"), _COMMON, rare)
+
+    return F.element_at(F.transform(F.array(rest), count), 1)  # a lambda variable is computed once
 
 
 def char_length(text: Column) -> Column:

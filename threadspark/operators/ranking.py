@@ -1,61 +1,132 @@
 """Ranking operators (R2-R6): min/average ranks, quality ranking, trial scoring.
 
-A rank over a whole table is a distributed value histogram, at every size. Distinct
-values are counted (partial aggregation), range-partitioned, prefix-summed inside
-each partition, offset by the per-partition totals (one row per partition, a
-broadcast of proven size) and joined back on the value. No step holds the whole table
-in one task, and a value shared by many rows is one histogram row.
+All metrics of a query are ranked by one histogram. Rows are unpivoted to (metric, value) and
+counted (partial aggregation: a value shared by many rows is one histogram row). Every metric's distinct values
+are cut into ranges of about equal size, summed inside each range and offset by the ranges
+before it, so no step holds a whole metric in one task. Ranks are then looked up in one
+pass over the rows: from a broadcast histogram while its counted size allows, else by
+one shuffled join per metric. The result does not depend on which.
+
+Values are numeric. Null and NaN have no rank.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadspark.session import ensure_checkpoint_dir, materialize
+from threadspark.session import materialize
+
+#: Histograms of at most this many rows (some 50 bytes each) are broadcast to the lookup.
+BROADCAST_VALUES = 200_000
+
+
+@dataclass(frozen=True)
+class Rank:
+    """Rank ``out`` of the numeric column ``col``; ``method`` is 'min' or 'average'; nulls may be filled with the column's 'min' or 'max'."""
+
+    col: str
+    out: str
+    ascending: bool = True
+    method: str = "min"
+    fill: str | None = None
 
+    def __post_init__(self):
+        if self.method not in ("min", "average"):
+            raise ValueError(f"unknown rank method {self.method!r}")
 
-def _order(c: Column, ascending: bool) -> Column:
-    return c.asc_nulls_last() if ascending else c.desc_nulls_last()
+    def key(self) -> Column:
+        """The value in ascending sort order; null where there is no rank."""
+        v = F.nanvl(F.col(self.col).cast("double"), F.lit(None).cast("double"))
+        return v if self.ascending else -v
 
 
-def value_ranks(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
-    """Histogram of non-null ``col`` values: ``(value, cnt, below)``.
+def value_counts(df: DataFrame, ranks: list[Rank]) -> DataFrame:
+    """``(metric, value, cnt)``: distinct values of every metric (null is one), from one scan of ``df``."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), r.key().alias("value")) for k, r in enumerate(ranks)]))
+    return df.select(cells.alias("c")).groupBy("c.metric", "c.value").agg(F.count(F.lit(1)).alias("cnt"))
 
-    ``below`` = number of rows strictly before the value in the sort order.
+
+def fill_keys(counts: DataFrame, ranks: list[Rank]) -> dict[int, float]:
+    """Per filled metric the sort key its nulls take: two numbers per metric from the histogram."""
+    if not any(r.fill for r in ranks):
+        return {}
+    ends = {e["metric"]: e for e in counts.groupBy("metric").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    return {k: ends[k]["low" if (r.fill == "min") == r.ascending else "high"] for k, r in enumerate(ranks) if r.fill and k in ends}
+
+
+def value_places(counts: DataFrame, n_ranges: int) -> DataFrame:
+    """``(metric, value, cnt, below)``: ``below`` = rows of the metric with a smaller value.
+
+    ``counts`` is read twice and should be materialised. ``n_ranges - 1`` cut points per
+    metric come to the driver; they are plain literals, so a recomputed task cuts alike.
+    """
+    counts = counts.where(F.col("value").isNotNull())
+    share = F.array(*[F.lit(k / n_ranges) for k in range(1, n_ranges)])
+    cuts = {}
+    if n_ranges > 1:
+        for row in counts.groupBy("metric").agg(F.percentile_approx("value", share).alias("cut")).collect():
+            cuts[row["metric"]] = sorted(set(row["cut"]))
+    part = F.col("metric") * n_ranges
+    for metric, cut in cuts.items():
+        inside = F.size(F.filter(F.array(*[F.lit(c) for c in cut]), lambda c: c <= F.col("value")))
+        part = F.when(F.col("metric") == metric, metric * n_ranges + inside).otherwise(part)
+    placed = counts.withColumn("part", part)
+    before = lambda by, order: Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda c, by, order: F.coalesce(F.sum(c).over(before(by, order)), F.lit(0))
+    totals = placed.groupBy("part").agg(F.first("metric").alias("metric"), F.sum("cnt").alias("total"))
+    starts = totals.select("part", earlier("total", "metric", "part").alias("start"))
+    # the window is by part alone: a filter on metric stays above it, so all metrics share one shuffle
+    inner = placed.withColumn("inner", earlier("cnt", "part", "value"))
+    return inner.join(F.broadcast(starts), "part").select("metric", "value", "cnt", (F.col("start") + F.col("inner")).alias("below"))
+
+
+class Histogram:
+    """Places of every value of ``ranks`` over ``df``; :meth:`add` looks them up for rows that have the columns.
+
+    ``counts`` (default: a checkpoint of :func:`value_counts`) is small beside ``df`` and read a few times.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hist = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    # Range bounds come from a sample; checkpoint so partition ids stay fixed on recompute.
-    hist = hist.repartitionByRange(n, _order(F.col("_v"), ascending)).withColumn("_pid", F.spark_partition_id())
-    hist = materialize(hist)
-    w = Window.partitionBy("_pid").orderBy(_order(F.col("_v"), ascending)).rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_local", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    totals = hist.groupBy("_pid").agg(F.sum("_c").alias("_t"))
-    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(wo), F.lit(0)).alias("_off"))
-    hist = hist.join(F.broadcast(offsets), "_pid")  # one row per partition id
-    return hist.select(F.col("_v").alias("value"), F.col("_c").alias("cnt"), (F.col("_off") + F.col("_local")).alias("below"))
-
-
-def add_rank(
-    df: DataFrame, col: str, out: str, ascending: bool = True, method: str = "min"
-) -> DataFrame:
-    """Add ``out`` = rank of ``col`` (``method`` 'min' or 'average'; null stays null)."""
-    if method not in ("min", "average"):
-        raise ValueError(f"unknown rank method {method!r}")
-    h = value_ranks(df, col, ascending)
-    r = F.col("below") + 1.0 if method == "min" else F.col("below") + (F.col("cnt") + 1) / 2.0
-    h = h.select(F.col("value").alias("_rv"), r.cast("double").alias(out))
-    return df.join(h, df[col] == h["_rv"], "left").drop("_rv")  # nulls get no rank
-
-
-def fill_nulls(df: DataFrame, col: str, how: str) -> Column:
-    """Null -> the column's min or max over the whole table (scalar subquery)."""
-    agg = F.min(col) if how == "min" else F.max(col)
-    return F.coalesce(F.col(col), df.select(agg).scalar())
+
+    def __init__(self, df: DataFrame, ranks: list[Rank], broadcast_values: int = BROADCAST_VALUES, counts: DataFrame | None = None):
+        counts = counts if counts is not None else materialize(value_counts(df, ranks))
+        self.ranks, self.fills = ranks, fill_keys(counts, ranks)
+        self.small = counts.count() <= broadcast_values
+        if self.fills:
+            filled = F.coalesce("value", *[F.when(F.col("metric") == k, F.lit(v)) for k, v in self.fills.items()])
+            counts = counts.groupBy("metric", filled.alias("value")).agg(F.sum("cnt").alias("cnt"))
+        self.places = value_places(counts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def add(self, df: DataFrame, outs: list[str] | None = None) -> DataFrame:
+        """``df`` with the ranks ``outs`` (default: all)."""
+        for k, r in enumerate(self.ranks):
+            if outs is not None and r.out not in outs:
+                continue
+            value = F.col("below") + 1.0 if r.method == "min" else F.col("below") + (F.col("cnt") + 1) / 2.0
+            own = self.places.where(F.col("metric") == k).select(F.col("value").alias(f"_v{k}"), value.cast("double").alias(r.out))
+            key = F.coalesce(r.key(), F.lit(self.fills.get(k)).cast("double"))
+            df = df.join(F.broadcast(own) if self.small else own, key == F.col(f"_v{k}"), "left").drop(f"_v{k}")
+        return df
+
+
+def rank_columns(df: DataFrame, ranks: list[Rank], broadcast_values: int = BROADCAST_VALUES) -> DataFrame:
+    """``df`` with all ``ranks``; one checkpoint (the histogram), ``df`` is read for it and for the lookup."""
+    return Histogram(df, ranks, broadcast_values).add(df)
+
+
+def add_rank(df: DataFrame, col: str, out: str, ascending: bool = True, method: str = "min") -> DataFrame:
+    """R2/R3 for one column."""
+    return rank_columns(df, [Rank(col, out, ascending, method)])
+
+
+def rank_product(df: DataFrame, factors: list[str], out: str, method: str) -> DataFrame:
+    """``out`` = rank of the product of ``factors``, ascending; ``df`` is written out once, its narrow rows counted from there."""
+    product = reduce(lambda a, b: a * b, [F.col(c) for c in factors])
+    held = materialize(df.withColumn("_product", product))
+    ranks = [Rank("_product", out, True, method)]
+    return Histogram(held, ranks, counts=value_counts(held, ranks)).add(held).drop("_product")
 
 
 # Trial metrics, how their nulls are filled and rank direction (ascending?).
@@ -72,22 +143,13 @@ TRIAL_RANKS = [
 def rank_trials(trials: DataFrame, directions: dict[str, bool] | None = None) -> DataFrame:
     """Trial scoring.
 
-    Each metric's nulls are filled with its column min or max, ranked (average
-    rank, per-metric direction), the six ranks multiplied, and the product
+    Each metric's nulls (NaN counts as null) are filled with its column min or max, ranked
+    (average rank, per-metric direction), the six ranks multiplied, and the product
     average-ranked ascending into ``total_score`` (high = good), sorted ascending.
     """
     directions = directions or {}
-    df = trials
-    for metric, out, fill, asc in TRIAL_RANKS:
-        df = df.withColumn("_f_" + metric, fill_nulls(trials, metric, fill))
-    for metric, out, fill, asc in TRIAL_RANKS:
-        df = add_rank(df, "_f_" + metric, out, directions.get(metric, asc), "average")
-    prod = None
-    for _, out, _, _ in TRIAL_RANKS:
-        prod = F.col(out) if prod is None else prod * F.col(out)
-    df = df.withColumn("_prod", prod)
-    df = add_rank(df, "_prod", "total_score", True, "average")
-    return df.drop("_prod", *["_f_" + m for m, *_ in TRIAL_RANKS]).orderBy("total_score")
+    df = rank_columns(trials, [Rank(m, out, directions.get(m, asc), "average", fill) for m, out, fill, asc in TRIAL_RANKS])
+    return rank_product(df, [out for _, out, _, _ in TRIAL_RANKS], "total_score", "average").orderBy("total_score")
 
 
 def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_rank: int = 50) -> DataFrame:
@@ -99,24 +161,19 @@ def quality_rank(units: DataFrame, nonalnum, min_source_len: int = 25, max_text_
     product of the four ranks; sorted by ``rank``.
     """
     df = units.where(F.col("source_text").isNotNull() & (F.length("source_text") > min_source_len))
-    df = df.select(
-        "*",
-        F.length("source_text").alias("_sl"),
-        F.length("text").alias("_tl"),
-        nonalnum(F.col("source_text")).alias("_sn"),
-        nonalnum(F.col("text")).alias("_tn"),
-    )
-    df = add_rank(df, "_sl", "source_text_char_rank", True)
-    df = add_rank(df, "_tl", "text_char_rank", True)
-    df = add_rank(df, "_sn", "source_text_nonalnum_rank", False)
-    df = add_rank(df, "_tn", "text_nonalnum_rank", False)
-    df = df.where(F.col("text_char_rank") < max_text_rank)
-    df = df.withColumn(
-        "_prod",
-        F.col("source_text_char_rank") * F.col("text_char_rank") * F.col("source_text_nonalnum_rank") * F.col("text_nonalnum_rank"),
-    )
-    df = add_rank(df, "_prod", "rank", True)
-    return df.drop("_sl", "_tl", "_sn", "_tn", "_prod").orderBy("rank")
+    lengths = df.withColumns({"_sl": F.length("source_text"), "_tl": F.length("text")})
+    marks = lambda d: d.withColumns({"_sn": nonalnum(F.col("source_text")), "_tn": nonalnum(F.col("text"))})
+    ranks = [
+        Rank("_sl", "source_text_char_rank"),
+        Rank("_tl", "text_char_rank"),
+        Rank("_sn", "source_text_nonalnum_rank", False),
+        Rank("_tn", "text_nonalnum_rank", False),
+    ]
+    h = Histogram(marks(lengths), ranks)
+    # symbols are counted a second time only in rows that stay
+    df = marks(h.add(lengths, ["source_text_char_rank", "text_char_rank"]).where(F.col("text_char_rank") < max_text_rank))
+    df = h.add(df, ["source_text_nonalnum_rank", "text_nonalnum_rank"]).drop("_sl", "_tl", "_sn", "_tn")
+    return rank_product(df, [r.out for r in ranks], "rank", "min").orderBy("rank")
 
 
 def column_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
