@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threadspark.session import materialize
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+`` (Java regular expression).
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
@@ -49,3 +51,33 @@ def ship_code(spark: SparkSession) -> None:
 def as_rows(docs: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so added columns cannot clash with the input's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def numbered(df: DataFrame, order: list[str | Column], out: str, salt: str | None = None) -> DataFrame:
+    """``df`` with ``out`` = place of the row (from 0) in ``order``, nulls first.
+
+    Rows are range-partitioned and sorted inside each partition; one row per partition is broadcast
+    as its offset. ``salt``, a column that tells equal rows apart and is the same whenever a task is repeated, lets a
+    value that many rows share be cut into several tasks. The result is written out, as a second
+    sampling of the ranges could number rows otherwise.
+    """
+    keys = [F.col(c).asc() if isinstance(c, str) else c for c in [*order, *([salt] if salt else [])]]
+    ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), *keys)
+    held = materialize(ranged.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    totals = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.join(F.broadcast(starts), part == F.col("_part")).withColumn(out, place).drop("_at", "_part", "_start")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` (distinct in ``order``) with ``out`` = sum of ``value`` over the rows before, nulls first; cut as in :func:`numbered`."""
+    ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), *[F.col(c).asc() for c in order])
+    held = materialize(ranged.withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_part").orderBy(*[F.col(c).asc() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.groupBy("_part").agg(F.sum(value).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(offsets), F.lit(0)).alias("_start"))
+    inner = held.withColumn("_inner", F.coalesce(F.sum(value).over(before), F.lit(0)))
+    return inner.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_inner")).drop("_part", "_start", "_inner")

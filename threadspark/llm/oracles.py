@@ -112,3 +112,73 @@ prior AS (SELECT coalesce(sum(good) / nullif(sum(lab), 0), 1.0) AS p FROM shapes
 pure AS (SELECT host, template, (sum(good) + {SMOOTHING}::DOUBLE * any_value(p)) / (sum(lab) + {SMOOTHING}::DOUBLE) AS purity FROM {last}, prior GROUP BY host, template)
 SELECT page_id, host, path, {fits} AS rule, coalesce({acts}, CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template
 FROM page JOIN {last} USING (host, shape) JOIN pure USING (host, template)"""
+
+
+#: CRC-32 bit by bit: a byte enters, then eight shifts (marked -1) follow.
+CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(0, len(hex(encode({0}))) // 2), "
+    "lambda i: list_prepend(('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT, [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[])))), "
+    "lambda c, e: CASE WHEN e >= 0 THEN xor(c, e) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END), 4294967295::BIGINT)"
+)
+
+
+def merkle_manifest(heights: tuple[int, int] = (6, 3)) -> str:
+    """Trees level by level, up to 8**6 leaves a language and 8**3 languages."""
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = []
+
+    def tree(name: str, key: str, height: int) -> None:
+        for k in range(height):
+            steps.append(f"""
+{name}g{k} AS (SELECT {key}, slot // 8 AS up, list(h ORDER BY slot) AS hs, any_value(n) > 1 AS more FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM {name}{k}) GROUP BY ALL),
+{name}{k + 1} AS (SELECT {key}, up AS slot, CASE WHEN more THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM {name}g{k})""")
+
+    def climb(source: str, name: str, key: str, height: int) -> str:
+        for k in range(height):
+            at = f"(d.slot // {8**k})"
+            before, after = f"array_to_string(hs[1:{at} % 8], '')", f"array_to_string(hs[{at} % 8 + 2:8], '')"
+            steps.append(f"""
+{name}c{k} AS (SELECT d.* REPLACE (CASE WHEN more THEN d.proof || {before} || {after} ELSE d.proof END AS proof, CASE WHEN more THEN sha256({before} || d.f || {after}) ELSE d.f END AS f)
+  FROM {source} d JOIN {name}g{k} g ON g.{key} IS NOT DISTINCT FROM d.{key} AND g.up = d.slot // {8 ** (k + 1)})""")
+            source = f"{name}c{k}"
+        return source
+
+    tree("t", "lang", heights[0])
+    steps.append(f"""
+r0 AS (SELECT 0 AS one, lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS slot, h FROM t{heights[0]})""")
+    tree("r", "one", heights[1])
+    low = climb("d0", "t", "lang", heights[0])
+    steps.append(f"""
+u0 AS (SELECT d.* REPLACE (r0.slot AS slot), 0 AS one, r0.h AS subroot FROM {low} d JOIN r0 ON r0.lang IS NOT DISTINCT FROM d.lang)""")
+    top = climb("u0", "r", "one", heights[1])
+    return rf"""
+WITH l AS (SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN {CRC32.format("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS f FROM documents),
+d0 AS (SELECT doc_id, lang, leaf, f, '' AS proof, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS slot FROM l),
+t0 AS (SELECT lang, slot, leaf AS h FROM d0),{",".join(steps)}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified
+FROM {top}, (SELECT h AS root FROM r{heights[1]})"""
+
+
+def importance(buckets: int = 10_000) -> str:
+    runs = "list_concat(w, " + ", ".join(
+        f"list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))" for k in (2, 3)
+    ) + ")"
+    return rf"""
+WITH d AS (SELECT doc_id, {PLAIN.format(LOWER)} AS w FROM documents),
+df AS (SELECT doc_id, unnest({runs}) AS f FROM d),
+bf AS (SELECT unnest({runs}) AS f FROM (SELECT {PLAIN.format(LOWER)} AS w FROM benchmark)),
+b AS (SELECT f, {CRC32.format("f")} % {buckets} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN b USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN b USING (f) GROUP BY bucket),
+total AS (SELECT (SELECT count(*) FROM df) AS all_s, (SELECT count(*) FROM bf) AS all_t),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (all_s + {buckets}) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (all_t + {buckets}) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range({buckets})) AS bucket) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), total),
+weight AS (SELECT doc_id, count(*) AS n_features, sum(gain) AS weight FROM df JOIN b USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+score AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS able,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score
+  FROM d LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY able) AS n FROM score)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN able AND place <= 5 * n // 100 THEN CAST(place AS BIGINT) END AS rank FROM ranked"""

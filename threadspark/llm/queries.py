@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadspark.llm import decontam, fmindex, license, packing, pii, quality, repeats, runlength, simhash, tokencodes, urltree
+from threadspark.llm import decontam, fmindex, importance, license, merkle, packing, pii, quality, repeats, runlength, sharding, simhash, tokencodes, urltree
 from threadspark.llm import oracles as sql
 from threadspark.llm.common import ship_code, table
 from threadspark.llm.encoder import vocabulary_path
@@ -84,6 +84,20 @@ def op10_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents shuffled into 16 shards whose row counts are at most one apart."""
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle tree of all documents by language, each leaf checked against the root."""
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn by how much their features look like the benchmark's."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
 
 def _shipped(query):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +112,7 @@ QUERIES = {
     for f in (
         op1_license_scan, op2_run_length_dedup, op3_simhash_dedup, op4_fm_index_dedup, op5_url_templates,
         op6_benchmark_containment, op7_token_codes, op8_best_fit_packing, op9_disclosure, op10_quality_votes,
+        op11_uniform_shards, op12_merkle_manifest, op13_importance_resampling,
     )
 }
 ORACLES = {
@@ -106,4 +121,6 @@ ORACLES = {
     "op4_fm_index_dedup": sql.WORD_REPEATS,
     "op5_url_templates": sql.url_templates(),
     "op6_benchmark_containment": sql.CONTAINED,
+    "op12_merkle_manifest": sql.merkle_manifest(),
+    "op13_importance_resampling": sql.importance(),
 }
