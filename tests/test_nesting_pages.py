@@ -32,7 +32,7 @@ def _f1():
 def _write_f1(tmp):
     os.makedirs(os.path.join(tmp, "sub"), exist_ok=True)
     with open(os.path.join(tmp, "sub", "p1.json"), "w") as f:
-        json.dump(_f1(), f)
+        json.dump(_f1(), f, indent=1)  # a document of many lines
     bad = _unit("q1", None, "x", "<p>q</p>", True, "Q")
     del bad["date"]  # missing required field -> rejected row
     with open(os.path.join(tmp, "q1.json"), "w") as f:
@@ -164,3 +164,82 @@ def test_render_parse_roundtrip(spark):
     back = TPG.parse_thread_pages(TPG.render_thread_pages(u))
     expected = u.withColumn("user", F.coalesce("user", F.lit(TPG.NO_USER))).withColumn("text", F.concat(F.lit('<div class="md">'), F.col("text"), F.lit("</div>")))
     assert back.exceptAll(expected).count() == 0 and expected.exceptAll(back).count() == 0
+
+
+def test_fragments_join_to_the_documents(spark):
+    """Row fragments against documents built by recursion: bushes, a line, single posts, an orphan, order by another column."""
+    import random
+
+    from threadspark.schemas import CONTENT_SCHEMA
+
+    rnd = random.Random(6)
+    rows, ids = [], []
+    for k in range(160):
+        post = k % 40 == 0 or k > 150
+        parent = None if post else (ids[-1] if k % 40 > 30 else rnd.choice(ids[k // 40 * 40 :]))
+        ids.append(f"u{rnd.randint(0, 9999):04d}-{k}")
+        rows.append(dict(_unit(ids[-1], parent, rnd.choice(["ann", None]), 'q "x" \\ \n é', post, "T" if post else None), upvotes=rnd.randint(0, 3)))
+    units = spark.createDataFrame([tuple(r[f.name] for f in CONTENT_SCHEMA.fields) for r in [*rows, _unit("lost", "gone", "x", "t")]], CONTENT_SCHEMA)
+    for order in ("id", "upvotes"):
+        def build(r):
+            kids = sorted((c for c in rows if c["parent_id"] == r["id"] and not c["is_post"]), key=lambda c: (c[order], c["id"]))
+            return {**{c: r[c] for c in CONTENT_COLUMNS}, "replies": [build(c) for c in kids]}
+
+        got = {r.id: json.loads(r.json) for r in N.nest_threads(units, order).collect()}
+        assert got == {r["id"]: build(r) for r in rows if r["is_post"]}
+    assert N.nest_fragments(units).count() == len(rows)
+    assert N.nest_threads(units.limit(0)).collect() == []
+    tmp = tempfile.mkdtemp(prefix="ts-frag-")
+    WR.write_thread_documents(units, f"{tmp}/t", fmt="files")
+    back = RD.read_threads(spark, f"{tmp}/t", suffix=".txt").select(*CONTENT_COLUMNS)
+    assert back.exceptAll(units).isEmpty() and back.count() == len(rows)
+
+
+def test_load_keeps_every_reject_with_its_reason(spark):
+    bad = _unit("c9", "c8", "x", "<p>n</p>")
+    below = _unit("c8", "p9", "x", "<p>b</p>", replies=[bad, None])
+    wrong = {**_unit("p9", None, "x", "<p>t</p>", True), "is_post": "perhaps", "replies": [below, 7]}
+    docs = [("1", "[1]"), ("2", "{oops"), ("3", None), ("4", json.dumps(_f1())), ("5", json.dumps(wrong)), ("6", "null"),
+            ("7", json.dumps({**_unit("p7", None, "x", "t", True), "replies": 5})), ("8", json.dumps({**_unit("p8", None, "x", "t", True), "date": None})), ("9", "{}")]
+    loaded = N.load_threads(spark.createDataFrame(docs, "thread string, value string")).collect()
+    reasons = {(r.thread, tuple(r.path)): r.reason for r in loaded if r.reason}
+    assert reasons == {
+        ("1", ()): "not a document", ("2", ()): "not JSON", ("3", ()): "missing document", ("5", ()): "ill-typed is_post",
+        ("5", (0,)): "below a rejected unit", ("5", (0, 0)): "below a rejected unit", ("5", (1,)): "not a document",
+        ("6", ()): "not a document", ("7", ()): "ill-typed replies", ("8", ()): "missing date", ("9", ()): "missing url",
+    }
+    assert len(loaded) == len(reasons) + 5  # units and rejects are all that the documents hold
+    assert sorted(r.id for r in loaded if r.reason is None) == ["c1", "c2", "c3", "c4", "p1"]
+
+
+def test_sample_reads_only_the_chosen_files(spark):
+    tmp = tempfile.mkdtemp(prefix="ts-sample-")
+    for k in range(30):
+        with open(f"{tmp}/t [{k}].json", "w") as f:
+            json.dump(_unit(f"p{k}", None, "x", "<p>t</p>", True, "T"), f)
+    listing = RD.list_files(spark, tmp)
+    assert listing.count() == 30 and "content" not in listing._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
+    docs = RD.sampled_thread_files(spark, tmp, 4, seed=3)
+    assert len(docs.inputFiles()) == 4 == docs.count()
+    assert {r.path for r in docs.collect()} == {r.path for r in RD.sampled_thread_files(spark, tmp, 4, seed=3).collect()}
+    assert RD.read_threads(spark, tmp, max_docs=100).count() == 30
+    empty = tempfile.mkdtemp(prefix="ts-none-")
+    assert RD.read_threads(spark, empty, max_docs=3).collect() == []
+
+
+NESTED = """<html><body><div class="top-matter"><p class="tagline"><a class="author">op</a></p></div>
+<div id="thing_t3_n1"><div class="md">post</div></div><div id="siteTable_t3_n1">
+<div data-type="comment" data-fullname="t1_a"><span class="flair">out &amp; <span class="flair">é in</span> 文</span>
+ <div class="md">outer é<div data-type="comment" data-fullname="t1_b"><span class="flair">b</span><div class="md"><i>文</i> inner</div></div>tail</div></div>
+<div data-type="comment" data-fullname="t1_c"><a class="author">unclosed é <div class="md">c</div></div>
+</div></body></html>"""
+
+
+def test_nested_elements_of_one_kind_have_their_own_text(spark):
+    """A comment inside another's body: both bodies and both flairs, by byte offsets over multi-byte text."""
+    pages = spark.createDataFrame([(1, "https://h/r/S/comments/n1/t/", "lead <!-- x -->" + NESTED)], "page_id long, url string, html string")
+    rows = {r.id: r for r in TPG.parse_thread_pages(pages).collect()}
+    assert rows["b"].text == '<div class="md"><i>文</i> inner</div>' and rows["b"].author_tag == "b" and rows["b"].parent_id == "a"
+    assert rows["a"].text.startswith('<div class="md">outer é<div data-type') and rows["a"].text.endswith("</div></div>tail</div>")
+    assert rows["a"].author_tag == "out & é in 文"
+    assert rows["c"].user == "unclosed é" and rows["c"].text == '<div class="md">c</div>'

@@ -69,3 +69,39 @@ def test_predictive_search(spark):
     assert preds == sorted(preds)
     assert set(S.seed_trials(out, 3).columns) == {"x", "y", "c"}
     assert set(TRIAL_PARAMS) == {n for n, _ in S.TRIAL_PARAM_FIELDS}
+
+
+def test_a_stopped_search_goes_on(spark, monkeypatch):
+    import pytest
+
+    from threadspark.sources import writers as WR
+
+    ran, stop_at = [], [5]
+
+    def trial(units, params, seed=0, **_):
+        if len(ran) == stop_at[0]:
+            raise KeyboardInterrupt
+        ran.append(params["trial_id"])
+        return {**{n: params[n] for n in TRIAL_PARAMS}, "status": "ok" if seed % 2 else "error"}
+
+    monkeypatch.setattr(S, "run_trial", trial)
+    units = spark.createDataFrame([("a", None, True)], "id string, parent_id string, is_post boolean")
+    log = tempfile.mkdtemp(prefix="ts-log-") + "/trials"
+    seeds = S.random_trials(spark, 3, seed=99).drop("trial")
+    go = lambda **k: S.run_search(units, log, n_trials=13, seeds=seeds, seed_count=3, seed=1, resume=True, batch=4, **k)
+    with pytest.raises(KeyboardInterrupt):
+        go()
+    assert len(ran) == 5 and RD.read_trials(spark, log).count() == 5  # what was finished is in the log
+    stop_at[0] = None
+    go(parallel=3)
+    plan = [r.trial_id for r in S.search_plan(spark, 13, seeds, 3, 1).orderBy("number").collect()]
+    assert sorted(ran) == sorted(plan) == sorted(r.trial_id for r in RD.read_trials(spark, log).collect()) and len(set(plan)) == 13
+    assert ran[:5] == plan[:5]
+    assert len(RD.read_trials(spark, log).inputFiles()) <= 5  # two batches and a rest before the stop, then two of four
+    go()
+    assert len(ran) == 13  # nothing left to do
+    S.run_search(units, log, n_trials=2, seed=1)
+    WR.compact_trials(spark, log, log + "-small")
+    small = RD.read_trials(spark, log + "-small")
+    assert len(small.inputFiles()) == 1 and small.count() == small.select("trial_id").distinct().count() == 15
+    assert small.select(*TRIAL_PARAMS).exceptAll(RD.read_trials(spark, log).select(*TRIAL_PARAMS)).isEmpty()

@@ -39,3 +39,14 @@ def test_model_and_table_sinks(spark):
     WR.write_link_map(links, f"{tmp}/links")
     WR.write_link_map(links.where("post_id = 'a'"), f"{tmp}/links")  # replaced as a whole
     assert [tuple(r) for r in RD.read_link_map(spark, f"{tmp}/links", fmt="parquet").collect()] == [("a", "u1")]
+
+
+def test_vectors_equal_the_counts(spark):
+    from threadspark.operators import vocab as VB
+
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "zz"]), (2, ["c"]), (3, []), (4, None), (None, ["b", "b"])], "doc_id long, tokens array<string>")
+    vocab = spark.createDataFrame([("a", 2, 1), ("b", 0, 2), ("c", 1, 1)], "term string, term_id int, df long")
+    got = {r.doc_id: (r.features.size, dict(zip(r.features.indices.tolist(), r.features.values.tolist()))) for r in VB.bow_vectors(docs, vocab).collect()}
+    assert got == {1: (3, {0: 1.0, 2: 2.0}), 2: (3, {1: 1.0}), 3: (3, {}), 4: (3, {}), None: (3, {0: 2.0})}
+    model = VB.vectorizer(vocab, "tokens").transform(docs.where("tokens IS NOT NULL"))
+    assert all(got[r.doc_id][1] == dict(zip(r.features.indices.tolist(), r.features.values.tolist())) for r in model.collect())

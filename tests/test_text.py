@@ -69,3 +69,17 @@ def test_splice_edits(spark):
     df = spark.createDataFrame([r[:3] for r in rows], "k int, t array<string>, e array<struct<pos:int,width:int,value:string>>")
     got = {r.k: r.o for r in df.select("k", X.splice(F.col("t"), F.col("e")).alias("o")).collect()}
     assert {k: None if v is None else list(v) for k, v in got.items()} == {k: o for k, _, _, o in rows}
+
+
+def test_encode_replace_equals_python(spark):
+    values = ["plain", "é à ß", "€ “q” …", "文字 かな", "\u0081\u00ad", "", None, "a" * 5000 + "é", "Ł 😀 \n"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, t string")
+    for codec in ("ascii", "latin-1", "cp1252", "utf-8", "shift_jis", "gb18030", "utf-16"):
+        got = {r.k: r.e for r in df.select("k", X.encode_replace(F.col("t"), codec).alias("e")).collect()}
+        assert got == {k: None if v is None else v.encode(codec, "replace").decode(codec) for k, v in enumerate(values)}
+    crossed = {r.k: r.e for r in df.select("k", X.encode_replace(F.col("t"), "latin-1", "utf-8").alias("e")).collect()}
+    assert crossed[0] == "plain" and crossed[1] is None and crossed[3] == "?? ??"
+    import pytest
+
+    with pytest.raises(LookupError):
+        X.encode_replace(F.col("t"), "no such codec")

@@ -82,3 +82,41 @@ def test_template_and_answers(spark):
     df = spark.createDataFrame([("c", "i", "x\nA1: 0.5\nA2: 1\nA3: n/a")], "chain_id string, id string, output string")
     r = L.parse_answers(df, n=3).first()
     assert (r.a1, r.a2, r.a3) == (0.5, 1.0, None)
+
+
+def test_deep_chain_takes_logarithmic_rounds(spark, monkeypatch):
+    """1,000 replies in a line beside bushes, an orphaned line and a cycle."""
+    n = 1000
+    rows = [("d0", None, True)] + [(f"d{k}", f"d{k - 1}", False) for k in range(1, n + 1)]
+    rows += [("b", None, True)] + [(f"b{k}", "b" if k < 5 else f"b{k - 5}", False) for k in range(40)]
+    rows += [(f"o{k}", "gone" if k == 0 else f"o{k - 1}", False) for k in range(60)]
+    rows += [(f"y{k}", f"y{(k + 1) % 7}", False) for k in range(7)]
+    units = spark.createDataFrame(rows, "id string, parent_id string, is_post boolean")
+    written = []
+    monkeypatch.setattr(T, "materialize", lambda df: written.append(1) or df.checkpoint())
+    r = T.reach(units, F.array("id"))
+    nodes = {x.id: x for x in r.nodes.collect()}
+    assert len(written) <= 12 + 1  # log2(1000) + 2 rounds and the units themselves
+    assert set(nodes) == {i for i, _, _ in rows if i[0] in "db"}
+    assert nodes["d1000"].depth == n and nodes["d1000"].value == [f"d{k}" for k in range(n + 1)] and nodes["d1000"].root == "d0"
+    assert nodes["b39"].depth == 8 and nodes["b39"].value == ["b", "b4", "b9", "b14", "b19", "b24", "b29", "b34", "b39"]
+    chains = {}
+    for m in T.chain_members(units, r).where("chain_id IN ('d1000', 'b37')").collect():
+        chains.setdefault(m.chain_id, {})[m.chain_rank] = m.id
+    assert chains["d1000"] == {k: f"d{k}" for k in range(n + 1)}
+    assert chains["b37"] == dict(enumerate(["b", "b2", "b7", "b12", "b17", "b22", "b27", "b32", "b37"]))
+    assert {x.id for x in T.rejects(units, r).collect()} == {i for i, _, _ in rows if i[0] in "oy"}
+
+
+def test_reach_of_few_units(spark):
+    schema = "id string, parent_id string, is_post boolean"
+    assert T.chain_members(spark.createDataFrame([], schema)).collect() == []
+    only = spark.createDataFrame([("a", None, True), ("b", "z", True), ("c", None, False), ("e", "a", None)], schema)
+    assert sorted((r.chain_id, r.chain_rank, r.id) for r in T.chain_members(only).collect()) == [("b", 0, "b")]
+    assert sorted((r.id, r.root, r.depth) for r in T.reach(only).nodes.collect()) == [("a", "a", 0), ("b", "b", 0)]
+
+
+def test_prompts_look_up_no_ancestor_text(spark):
+    """Prompts grow along the pointers: the plan of the reach holds no explode and no grouping of lines."""
+    plan = L.unit_prompts(_units(spark, F1))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "explode" not in plan.lower()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,27 @@ def ascii_replace(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
 
 
+def encode_replace(text: Column, encoding: str, decoding: str | None = None) -> Column:
+    """The text encoded with '?' for what ``encoding`` cannot hold, then decoded again.
+
+    ``decoding`` defaults to the same codec; with another one a text whose bytes it cannot
+    read is null. Any Python codec; one Arrow batch at a time. ``ascii`` has its own expression, :func:`ascii_replace`.
+    """
+    out = codecs.lookup(decoding or encoding).name  # an unknown codec fails here, not in a task
+    codecs.lookup(encoding)
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else t.encode(encoding, "replace").decode(out)
+        except UnicodeDecodeError:
+            return None
+
+    def run(batch: pa.Array) -> pa.Array:
+        return pa.array([one(t) for t in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 #: Looked for one by one; only other characters are split apart.
 _COMMON = " \n\t.,;:!?'\"()<>/-=&#_"
 

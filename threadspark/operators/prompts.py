@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadspark.functions.html import html_to_source
-from threadspark.operators.threads import chain_members, ordered_join, reach_paths
+from threadspark.operators.threads import Reach, chain_members, reach
 
 # Prompt line formats (rank 0, then every later rank).
 ROOT_LINE = ("Post by ", ", title: ", ", initial comment: ", " \n")
@@ -22,39 +22,35 @@ def _txt(c: Column, null_text: str) -> Column:
     return F.coalesce(c.cast("string"), F.lit(null_text))
 
 
-def unit_lines(units: DataFrame, null_text: str = "nan") -> DataFrame:
-    """Both prompt lines of every unit, with the HTML rendered to source once per unit."""
+def unit_line(user: Column, title: Column, source: Column, is_post: Column, null_text: str = "nan") -> Column:
+    """The prompt line of a unit: a post opens a chain, any other unit responds."""
     a, b, c, d = ROOT_LINE
     e, f, g = REPLY_LINE
-    rendered = units.select("id", "user", "title", html_to_source(F.col("text")).alias("_src"))  # once per unit
-    user, src = _txt(F.col("user"), null_text), F.col("_src")
-    return rendered.select(
-        F.col("id").alias("_lid"),
-        F.concat(F.lit(a), user, F.lit(b), _txt(F.col("title"), null_text), F.lit(c), src, F.lit(d)).alias("_root"),
-        F.concat(F.lit(e), user, F.lit(f), src, F.lit(g)).alias("_reply"),
-    )
+    user = _txt(user, null_text)
+    root = F.concat(F.lit(a), user, F.lit(b), _txt(title, null_text), F.lit(c), source, F.lit(d))
+    return F.when(is_post, root).otherwise(F.concat(F.lit(e), user, F.lit(f), source, F.lit(g)))
 
 
-def unit_prompts(units: DataFrame, paths: DataFrame | None = None, null_text: str = "nan") -> DataFrame:
-    """L1 per unit: ``(id, prompt)`` = lines of the unit's root-to-unit path.
+def reach_prompts(units: DataFrame, null_text: str = "nan") -> Reach:
+    """Reach of ``units`` whose ``value`` is the prompt: the lines of the root-to-unit path.
 
-    Every chain through a unit shares that prefix, so each prompt is built once
-    per unit (group size = the unit's depth), not once per chain row.
+    The HTML is rendered once per unit; prompts grow by pointer doubling (the ancestor's lines
+    before the own ones), so no ancestor's text is looked up per descendant.
     """
-    paths = paths if paths is not None else reach_paths(units)
-    steps = paths.select(F.col("id").alias("_node"), F.posexplode("path").alias("_pos", "_anc"))
-    lines = unit_lines(units, null_text)
-    joined = steps.join(lines, steps["_anc"] == lines["_lid"])
-    line = F.when(F.col("_pos") == 0, F.col("_root")).otherwise(F.col("_reply"))
-    return joined.groupBy(F.col("_node").alias("id")).agg(ordered_join(F.col("_pos"), line).alias("prompt"))
+    lines = units.select("id", "parent_id", "is_post", "user", "title", html_to_source(F.col("text")).alias("_src"))
+    return reach(lines, unit_line(F.col("user"), F.col("title"), F.col("_src"), F.col("is_post"), null_text))
+
+
+def unit_prompts(units: DataFrame, reached: Reach | None = None, null_text: str = "nan") -> DataFrame:
+    """L1 per unit: ``(id, prompt)``; every chain through a unit shares that prefix."""
+    return (reached or reach_prompts(units, null_text)).nodes.select("id", F.col("value").alias("prompt"))
 
 
 def chain_prompts(units: DataFrame, null_text: str = "nan") -> DataFrame:
     """L1 per chain row: ``(chain_id, id, chain_rank, prompt)``."""
-    paths = reach_paths(units)
-    members = chain_members(units, paths)
-    prompts = unit_prompts(units, paths, null_text)
-    return members.join(prompts, "id").select("chain_id", "id", "chain_rank", "prompt")
+    reached = reach_prompts(units, null_text)
+    members = chain_members(units, reached)
+    return members.join(unit_prompts(units, reached), "id").select("chain_id", "id", "chain_rank", "prompt")
 
 
 def apply_template(prompts: DataFrame, template: str, col: str = "prompt", out: str = "model_input") -> DataFrame:

@@ -14,7 +14,6 @@ import itertools
 import math
 import time
 import traceback
-import uuid
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -29,7 +28,7 @@ from threadspark.operators import phrases as PH
 from threadspark.operators import topics as TP
 from threadspark.operators import vocab as VB
 from threadspark.operators.pages import hash_order
-from threadspark.operators.threads import reach_paths
+from threadspark.operators.threads import reach
 from threadspark.schemas import TRIAL_METRICS, TRIAL_PARAM_FIELDS, TRIAL_PARAMS, TRIAL_SCHEMA
 from threadspark.session import materialize
 
@@ -95,7 +94,7 @@ def random_trials(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 def thread_ids(units: DataFrame) -> DataFrame:
     """``units`` + ``thread_id`` (the root post of each reachable unit)."""
-    roots = reach_paths(units).select(F.col("id").alias("_tid_id"), F.element_at("path", 1).alias("thread_id"))
+    roots = reach(units).nodes.select(F.col("id").alias("_tid_id"), F.col("root").alias("thread_id"))
     return units.join(roots, units["id"] == roots["_tid_id"]).drop("_tid_id")
 
 
@@ -119,12 +118,12 @@ def corpus_docs(units: DataFrame, dataset: str, min_len: int, max_len: int) -> D
     return d
 
 
-def train_and_measure(tokens: DataFrame, p: dict, seed: int = 0, bow_source: str = "raw") -> dict:
-    """M5-M13 on a tokenised corpus ``(doc_key, tokens)``: returns the six metrics."""
+def train_and_measure(tokens: DataFrame, p: dict, seed: int = 0, bow_source: str = "raw", keep_n: int | None = VB.KEEP_N) -> dict:
+    """M5-M13 on a tokenised corpus ``(doc_key, tokens)``: returns the six metrics. ``keep_n``: vocabulary cap, None for all terms."""
     t0 = time.perf_counter()
     phrases = PH.learn_phrases(tokens, "doc_key", "tokens", p["phraser_min_count"], p["phraser_threshold"], p["phraser_scorer"])
     phrased = materialize(PH.apply_phrases(tokens, phrases, "doc_key", "tokens", "phrased"))
-    vocab = materialize(VB.build_vocabulary(phrased, "phrased", p["no_below"], p["no_above"], VB.KEEP_N))
+    vocab = materialize(VB.build_vocabulary(phrased, "phrased", p["no_below"], p["no_above"], keep_n))
     if vocab.isEmpty():
         raise _TrialFailure("empty_vocab", "no term passed the frequency filter")
     source = tokens if bow_source == "raw" else phrased.withColumnRenamed("phrased", "tokens")
@@ -163,7 +162,7 @@ class _TrialFailure(Exception):
         self.status = status
 
 
-def run_trial(units: DataFrame, params: dict, seed: int = 0, thread_col: str = "thread_id", bow_source: str = "raw") -> dict:
+def run_trial(units: DataFrame, params: dict, seed: int = 0, thread_col: str = "thread_id", bow_source: str = "raw", keep_n: int | None = VB.KEEP_N) -> dict:
     """One trial record (16 parameters, 6 metrics or nulls, ``status``, ``error``).
 
     ``units`` must carry ``thread_col`` (see :func:`thread_ids`).
@@ -184,7 +183,7 @@ def run_trial(units: DataFrame, params: dict, seed: int = 0, thread_col: str = "
         tokens = materialize(docs.select("doc_key", tokenize(F.col("doc")).alias("tokens")))
         if tokens.isEmpty():
             raise _TrialFailure("empty_corpus", "no document passed the length filter")
-        rec.update(train_and_measure(tokens, p, seed, bow_source))
+        rec.update(train_and_measure(tokens, p, seed, bow_source, keep_n))
         rec["status"], rec["error"] = "ok", None
     except _TrialFailure as e:
         rec["status"], rec["error"] = e.status, str(e)
@@ -212,50 +211,79 @@ def trial_frame(spark: SparkSession, records: list[dict]) -> DataFrame:
 # ------------------------------------------------------------------ H2: search loop
 
 
+def search_plan(spark: SparkSession, n_trials: int, seeds: DataFrame | None = None, seed_count: int = 0, seed: int = 0) -> DataFrame:
+    """``(number, trial_id, parameters...)``: seed trials first, then random ones, ``n_trials`` in all.
+
+    The id is a hash of seed, number and parameters, so the same search plans the same ids wherever it runs.
+    """
+    columns = [F.col(n).cast(t) for n, t in TRIAL_PARAM_FIELDS]
+    seed_rows = []
+    if seeds is not None and seed_count:
+        seed_rows = seeds.limit(min(seed_count, n_trials)).select(*columns).collect()  # bounded by seed_count
+    drawn = random_trials(spark, max(n_trials - len(seed_rows), 0), seed)
+    plan = drawn.select((F.col("trial") + len(seed_rows)).alias("number"), *columns)
+    if seed_rows:
+        first = spark.createDataFrame([(k, *r) for k, r in enumerate(seed_rows)], plan.schema)
+        plan = first.unionByName(plan)
+    named = F.to_json(F.struct(F.lit(seed).alias("seed"), "number", *TRIAL_PARAMS), {"ignoreNullFields": "false"})
+    return plan.select("number", F.md5(named).alias("trial_id"), *TRIAL_PARAMS)
+
+
 def run_search(units: DataFrame, log_path: str, n_trials: int = SEARCH_BUDGET, seeds: DataFrame | None = None,
-               seed_count: int = 0, seed: int = 0, parallel: int = 1) -> None:
+               seed_count: int = 0, seed: int = 0, parallel: int = 1, resume: bool = False, batch: int = 20) -> None:
     """H2: seeds first, then random trials; every record is added under ``log_path`` (Parquet).
 
-    The log is append-only: earlier runs' records stay, also when the same seed is used again.
+    The log is append-only: earlier runs' records stay, also when the same seed is used again. With ``resume``
+    trials whose id the log holds are left out (an anti-join of :func:`search_plan` with the log), so a stopped
+    search goes on where it ended. Records are committed ``batch`` at a time, one file each, and once more
+    when the run ends or is stopped: a killed driver loses fewer than ``batch`` finished trials, which run again.
 
     Each trial is a set of Spark jobs; the loop itself only proposes parameters.
     With ``parallel > 1`` up to that many trials run at once from a bounded thread
     pool, each worker in its own scheduler pool (``spark.scheduler.pool``; fair
-    sharing needs ``spark.scheduler.mode=FAIR``). Every trial then writes its own
-    sub-folder, named by a run id, because concurrent appends into one folder are not safe with the
-    default file committer; :func:`threadspark.sources.readers.read_trials` reads both layouts.
+    sharing needs ``spark.scheduler.mode=FAIR``); only the calling thread writes the log.
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    from threadspark.sources.readers import read_trials
     from threadspark.sources.writers import append_trials
 
-    spark, run_id = units.sparkSession, uuid.uuid4().hex
+    spark = units.sparkSession
     units = materialize(thread_ids(units))
-    seed_rows = []
-    if seeds is not None and seed_count:
-        seed_rows = [r.asDict() for r in seeds.limit(seed_count).collect()]  # bounded by seed_count
-    proposals = random_trials(spark, max(n_trials - len(seed_rows), 0), seed)
-    plan = itertools.islice(itertools.chain(seed_rows, (r.asDict() for r in proposals.toLocalIterator())), n_trials)
+    plan = search_plan(spark, n_trials, seeds, seed_count, seed)
+    if resume:
+        plan = plan.join(read_trials(spark, log_path).select("trial_id"), "trial_id", "left_anti")
+    todo = (r.asDict() for r in plan.orderBy("number").toLocalIterator())
+    records: list[dict] = []
 
-    def one(i: int, params: dict) -> None:
+    def one(params: dict) -> dict:
         if parallel > 1:
-            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trials-{i % parallel}")
-        rec = run_trial(units, params, seed=seed + i)
-        out = trial_frame(spark, [rec])
-        append_trials(out, f"{log_path}/run-{run_id}-trial-{i:06d}" if parallel > 1 else log_path)
-
-    if parallel <= 1:
-        for i, params in enumerate(plan):
-            one(i, params)
-        return
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        pending = []
-        for i, params in enumerate(plan):
-            pending.append(pool.submit(one, i, params))
-            if len(pending) >= 2 * parallel:  # keep the queue bounded
-                pending.pop(0).result()
-        for f in pending:
-            f.result()
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trials-{params['number'] % parallel}")
+        return {**run_trial(units, params, seed=seed + params["number"]), "trial_id": params["trial_id"]}
+
+    def commit(least: int) -> None:
+        if len(records) >= least:
+            append_trials(trial_frame(spark, records).coalesce(1), log_path)
+            records.clear()
+
+    try:
+        if parallel <= 1:
+            for params in todo:
+                records.append(one(params))
+                commit(batch)
+            return
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            pending = []
+            for params in todo:
+                pending.append(pool.submit(one, params))
+                if len(pending) >= 2 * parallel:  # keep the queue bounded
+                    records.append(pending.pop(0).result())
+                    commit(batch)
+            for f in pending:
+                records.append(f.result())
+                commit(batch)
+    finally:
+        commit(1)
 
 
 # ------------------------------------------------------------------ H3-H8: model-guided search

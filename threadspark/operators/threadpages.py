@@ -12,9 +12,9 @@ is window functions over that stream, partitioned by page:
   (open comments - 1). Both are *as-of* lookups (union of openers and queries,
   then ``last(..., ignorenulls)`` over the page order), so no comment x comment
   or element x tag pairs are formed;
-* the text and markup of an element come from all tags up to its end: per kind of field (title,
-  author, flair ...) a running maximum of (end, start) over the page order says which outermost
-  element a tag lies in, and one aggregation joins their pieces;
+* an element is a span: running sums of byte lengths say where its markup and its text begin and
+  end in the page's tags and in the page's text, each laid end to end. Only the spans of the elements
+  chosen as fields are cut out, by offset, when the rows are complete;
 * fields are the first matching element in the comment's own tags
   (``scope='own'``, default) or anywhere in its sub-tree (``scope='subtree'``,
   which is how the original selectors behaved);
@@ -48,20 +48,37 @@ def _attr(tag: Column, name: str, decode: bool = True) -> Column:
     return F.when(raw != "", decode_entities(unquoted) if decode else unquoted)
 
 
+def _elements(html: Column) -> Column:
+    """Every tag with the text after it."""
+    return F.regexp_extract_all(F.regexp_replace(html, NOISE_RE, ""), F.lit(ELEMENT_RE), 0)
+
+
+def page_bytes(pages: DataFrame) -> DataFrame:
+    """``(page_id, markup, words)``: all elements, and all text between tags, laid end to end as bytes, so a span is cut out in time of its own length."""
+    held = pages.select("page_id", _elements(F.col("html")).alias("e"))
+    text = F.transform("e", lambda e: F.regexp_extract(e, "^<" + ATTRS + ">([^<]*)", 1))
+    return held.select("page_id", F.array_join("e", "").cast("binary").alias("markup"), F.array_join(text, "").cast("binary").alias("words"))
+
+
+def _markup(span: Column) -> Column:
+    return F.substring("markup", (span["m0"] + 1).cast("int"), (span["m1"] - span["m0"]).cast("int")).cast("string")
+
+
+def _words(span: Column) -> Column:
+    return strip(decode_entities(F.substring("words", (span["t0"] + 1).cast("int"), (span["t1"] - span["t0"]).cast("int")).cast("string")))
+
+
 def element_stream(pages: DataFrame) -> DataFrame:
-    """``(page_id, pos, el, tag, text, name, closing, cls, lvl, fin, ...)`` for every tag of every page."""
-    clean = F.regexp_replace(F.col("html"), NOISE_RE, "")
+    """``(page_id, pos, tag, name, closing, cls, lvl, fin, span, ...)`` for every tag of every page."""
     # One shuffle of whole pages by page id, before they grow into tags.
-    s = pages.repartition("page_id").select(
-        "page_id", F.posexplode(F.regexp_extract_all(clean, F.lit(ELEMENT_RE), 0)).alias("pos", "el")
-    )
+    s = pages.repartition("page_id").select("page_id", F.posexplode(_elements(F.col("html"))).alias("pos", "el"))
     tag = F.regexp_extract("el", "^(<" + ATTRS + ">)", 1)
-    s = s.select(
-        "page_id", "pos", "el", tag.alias("tag"),
-        F.regexp_extract("el", "^<" + ATTRS + ">([^<]*)", 1).alias("text"),
-    )
+    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.select("page_id", "pos", tag.alias("tag"), F.octet_length("el").alias("el_size"), F.octet_length(tag).alias("tag_size"))
     s = s.select(
         "*",
+        F.coalesce(F.sum("el_size").over(before), F.lit(0)).alias("at"),
+        F.coalesce(F.sum(F.col("el_size") - F.col("tag_size")).over(before), F.lit(0)).alias("text_at"),
         F.lower(F.regexp_extract("tag", r"^<\s*/?\s*([A-Za-z][A-Za-z0-9-]*)", 1)).alias("name"),
         F.col("tag").rlike(r"^<\s*/").alias("closing"),
         F.col("tag").rlike(r"/\s*>$").alias("selfclosing"),
@@ -73,9 +90,14 @@ def element_stream(pages: DataFrame) -> DataFrame:
     run = F.sum(delta).over(Window.partitionBy("page_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     s = s.withColumn("lvl", F.when(tracked & ~F.col("closing"), run).when(tracked & F.col("closing"), run + 1))
     same = Window.partitionBy("page_id", "name", "lvl").orderBy("pos")
-    return s.withColumn("fin", F.when(F.col("lvl").isNotNull() & ~F.col("closing"), F.lead("pos").over(same))).withColumn(
-        "opener_pos", F.when(F.col("lvl").isNotNull() & F.col("closing"), F.lag("pos").over(same))
+    end = F.lead(F.struct("pos", (F.col("at") + F.col("tag_size")).alias("markup"), F.col("text_at").alias("text"))).over(same)
+    s = s.withColumn("_end", F.when(F.col("lvl").isNotNull() & ~F.col("closing"), end))
+    # an unclosed element is its own tag and the text after it
+    span = F.struct(
+        F.col("at").alias("m0"), F.coalesce(F.col("_end.markup"), F.col("at") + F.col("el_size")).alias("m1"),
+        F.col("text_at").alias("t0"), F.coalesce(F.col("_end.text"), F.col("text_at") + F.col("el_size") - F.col("tag_size")).alias("t1"),
     )
+    return s.withColumn("fin", F.col("_end.pos")).withColumn("span", span).drop("_end", "el_size", "tag_size", "at", "text_at")
 
 
 def _has(*classes: str) -> Column:
@@ -105,27 +127,6 @@ def _inside(cond: Column) -> Column:
     return F.when(span["fin"] >= F.col("pos"), span)
 
 
-def _with_element_text(s: DataFrame, kinds: list[Column]) -> DataFrame:
-    """``s`` with ``el_text`` (decoded, stripped text) and ``el_html`` (outer markup) on the open tag of every
-    outermost element matching one of ``kinds``."""
-    spans = F.array_distinct(F.filter(F.array(*[_inside(k) for k in kinds]), lambda x: x.isNotNull()))
-    piece = F.struct(
-        "pos",
-        F.when(F.col("pos") < F.col("span.fin"), F.col("text")).otherwise(F.lit("")).alias("text"),
-        F.when(F.col("pos") < F.col("span.fin"), F.col("el")).otherwise(F.col("tag")).alias("el"),
-    )
-    parts = s.select("page_id", "pos", "el", "tag", "text", spans.alias("spans")).select(
-        "page_id", "pos", "el", "tag", "text", F.explode("spans").alias("span")
-    )
-    whole = parts.groupBy("page_id", F.col("span.start").alias("pos")).agg(F.array_sort(F.collect_list(piece)).alias("p"))
-    whole = whole.select(
-        "page_id", "pos",
-        strip(decode_entities(F.array_join(F.transform("p", lambda r: r["text"]), ""))).alias("el_text"),
-        F.array_join(F.transform("p", lambda r: r["el"]), "").alias("el_html"),
-    )
-    return s.join(whole, ["page_id", "pos"], "left")
-
-
 def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -> DataFrame:
     """Content rows (post + comments) of every stored thread page ``(page_id, url, html)``."""
     if scope not in ("own", "subtree"):
@@ -166,7 +167,6 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     def in_first(cond: Column) -> Column:
         return F.coalesce(F.first(F.when(cond & closed, F.col("fin")), ignorenulls=True).over(first_so_far) > F.col("pos"), F.lit(False))
 
-    s = _with_element_text(s, [m_title, m_author, m_score, m_flair, m_label, m_source, m_md, m_body, m_form])
     s = s.withColumn("in_top", in_first(_has("top-matter"))).withColumn(
         "in_thing", in_first(F.coalesce(F.col("id_attr").startswith("thing_t3_"), F.lit(False)))
     ).withColumn("in_tagline", _inside(_has("tagline")).isNotNull())
@@ -195,15 +195,15 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     def first(cond: Column, val: Column) -> Column:
         return F.min_by(F.when(cond, val), F.when(cond, F.col("pos")))
 
-    txt, markup = F.col("el_text"), F.col("el_html")
+    span = F.col("span")
     if scope == "own":
         own = tags.where(F.col("owner").isNotNull()).groupBy("page_id", "owner").agg(
-            first(m_author, txt).alias("c_user"),
-            first(m_score, txt).alias("c_score"),
+            first(m_author, span).alias("c_user"),
+            first(m_score, span).alias("c_score"),
             first(m_time, _attr(F.col("tag"), "title")).alias("c_date"),
-            first(m_flair, txt).alias("c_flair"),
-            first(m_source, txt).alias("src_text"),
-            first(m_md, markup).alias("md_html"),
+            first(m_flair, span).alias("c_flair"),
+            first(m_source, span).alias("src_text"),
+            first(m_md, span).alias("md_html"),
         )
     else:
         after = page_order.rowsBetween(0, Window.unboundedFollowing)
@@ -213,9 +213,9 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
 
         sub = s.select(
             "page_id", "pos", "fin", "copen",
-            nxt(m_author, txt).alias("n_user"), nxt(m_score, txt).alias("n_score"),
-            nxt(m_time, _attr(F.col("tag"), "title")).alias("n_date"), nxt(m_flair, txt).alias("n_flair"),
-            nxt(m_source, txt).alias("n_src"), nxt(m_md, markup).alias("n_md"),
+            nxt(m_author, span).alias("n_user"), nxt(m_score, span).alias("n_score"),
+            nxt(m_time, _attr(F.col("tag"), "title")).alias("n_date"), nxt(m_flair, span).alias("n_flair"),
+            nxt(m_source, span).alias("n_src"), nxt(m_md, span).alias("n_md"),
         ).where("copen")
 
         def inside(c: str) -> Column:
@@ -235,20 +235,22 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
 
     # ---- post fields: first match anywhere on the page
     post = s.groupBy("page_id").agg(
-        first(m_title, txt).alias("title"),
-        first(m_author & F.col("in_tagline"), txt).alias("p_user"),
+        first(m_title, span).alias("title"),
+        first(m_author & F.col("in_tagline"), span).alias("p_user"),
         first(m_time, _attr(F.col("tag"), "title")).alias("date"),
-        first(m_score, txt).alias("p_score"),
-        first(m_source, txt).alias("src_text"),
-        F.coalesce(first(m_body, markup), first(m_form, markup), first(m_md & F.col("in_thing"), markup)).alias("body_html"),
-        first(F.col("in_top") & m_label & _has("flairrichtext", "flaircolorlight"), txt).alias("t1"),
-        first(F.col("in_top") & m_label & _has("flairrichtext", "flaircolorlight", "res-flairSearch"), txt).alias("t2"),
-        first(F.col("in_top") & m_label, txt).alias("t3"),
-        first(F.col("in_top") & m_flair, txt).alias("p_flair"),
+        first(m_score, span).alias("p_score"),
+        first(m_source, span).alias("src_text"),
+        F.coalesce(first(m_body, span), first(m_form, span), first(m_md & F.col("in_thing"), span)).alias("body_html"),
+        first(F.col("in_top") & m_label & _has("flairrichtext", "flaircolorlight"), span).alias("t1"),
+        first(F.col("in_top") & m_label & _has("flairrichtext", "flaircolorlight", "res-flairSearch"), span).alias("t2"),
+        first(F.col("in_top") & m_label, span).alias("t3"),
+        first(F.col("in_top") & m_flair, span).alias("p_flair"),
     )
     post = post.where(F.col("body_html").isNotNull())
-    meta = pages.select("page_id", "url")
-    post = post.join(meta, "page_id")
+    content = page_bytes(pages)
+    words = {c: _words(F.col(c)) for c in ("title", "p_user", "p_score", "src_text", "t1", "t2", "t3", "p_flair")}
+    post = post.join(content, "page_id").withColumns({**words, "body_html": _markup(F.col("body_html"))}).drop("markup", "words")
+    post = post.join(pages.select("page_id", "url"), "page_id")
     post_id = F.replace(url_post_id(F.col("url")), F.lit("t1_"), F.lit(""))
     post_rows = post.select(
         F.col("url"),
@@ -267,7 +269,8 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
         "page_id",
     )
     kept_pages = post_rows.select("page_id", F.col("id").alias("_post_id"), F.col("url").alias("_purl"))
-    c = c.join(kept_pages, "page_id")
+    words = {c: _words(F.col(c)) for c in ("c_user", "c_score", "c_flair", "src_text")}
+    c = c.join(kept_pages, "page_id").join(content, "page_id").withColumns({**words, "md_html": _markup(F.col("md_html"))}).drop("markup", "words")
     comment_rows = c.select(
         F.concat(F.lit(site), F.coalesce(F.col("permalink"), F.lit("None"))).alias("url"),
         F.col("src_text").alias("source_text"),
@@ -303,11 +306,10 @@ def render_thread_pages(units: DataFrame, site: str = SITE) -> DataFrame:
     Comment permalinks are the path of the comment's ``url`` after the site;
     ``text`` is placed inside ``<div class="md">``.
     """
-    from threadspark.operators.threads import reach_paths
+    from threadspark.operators.threads import reach
 
-    paths = reach_paths(units)
-    u = units.join(paths.select(F.col("id").alias("_pid_"), "depth", F.element_at("path", 1).alias("root")),
-                   units["id"] == F.col("_pid_")).drop("_pid_")
+    nodes = reach(units).nodes.select(F.col("id").alias("_pid_"), "depth", "root")
+    u = units.join(nodes, units["id"] == F.col("_pid_")).drop("_pid_")
     max_d = u.agg(F.max("depth")).first()[0]
     if max_d is None:
         return units.sparkSession.createDataFrame([], "page_id string, url string, html string")

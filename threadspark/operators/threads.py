@@ -2,9 +2,9 @@
 
 The content table has one row per unit with ``id``, ``parent_id`` and ``is_post``.
 A *chain* is the root-to-leaf path of a leaf: walk parent pointers from the leaf
-up to the first post. Chains are built top-down, one join per tree level (a
-frontier loop), so each level is a distributed equi-join whose lineage is cut
-with a reliable checkpoint; there is no per-row Python and nothing is collected.
+up to the first post. Chains are built by pointer doubling: the joins number
+the logarithm of the deepest tree, their lineage is cut with reliable checkpoints,
+there is no per-row Python and nothing is collected.
 
 Skew: a single post may own a large share of all rows. Joins on ``parent_id``
 and on ancestor ids are plain shuffle joins, which AQE's skew-join splits; the
@@ -15,8 +15,8 @@ parent is as large as that parent's fan-out.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,63 +84,95 @@ def leaves(units: DataFrame) -> DataFrame:
     return units.join(parents, units["id"] == parents["_pid"], "left_anti")
 
 
-def reach_paths(units: DataFrame) -> DataFrame:
-    """Root-to-node path of every unit reachable from a post.
+@dataclass(frozen=True)
+class Reach:
+    """What :func:`reach` found: ``nodes`` (id, root, depth and, if asked for, value) and the jump tables.
+
+    ``jumps[k]`` holds (id, anc) with ``anc`` the ancestor 2**k steps up, for units at least that deep.
+    """
+
+    nodes: DataFrame
+    jumps: list[DataFrame]
+
+
+def reach(units: DataFrame, value: Column | None = None) -> Reach:
+    """Every unit reachable from a post, by pointer doubling: log2(depth) + 2 joins at most, however deep the trees are.
 
-    Returns ``(id, path ARRAY<STRING>, depth INT)``. Level 0 are the posts; level
-    d+1 are the non-post units whose parent is on level d. Each level is
-    materialised with a reliable checkpoint, and the loop stops at the first
-    empty level, however deep (ids are unique, so cycles are never reached from a post).
+    A unit knows an ancestor and the steps to it; each round it takes over the ancestor's own ancestor, so
+    the distance doubles, until the ancestor is a post. ``value`` is concatenated from the post down
+    to the unit the same way (strings or arrays): it moves once per round, not once per ancestor.
+    A round that brings no unit to a post ends the loop: what is left hangs on a cycle or
+    a missing parent. Rounds are written with a reliable checkpoint; joins are on unit ids, and those on a hot
+    ancestor are split by AQE.
     """
     ensure_checkpoint_dir(units.sparkSession)
-    nodes = units.select("id", "parent_id", "is_post")
-    edges = nodes.where(~F.col("is_post") & F.col("parent_id").isNotNull()).select("id", "parent_id")
-    edges = materialize(edges)
-    frontier = materialize(
-        nodes.where(F.col("is_post")).select("id", F.array(F.col("id")).alias("path"), F.lit(0).alias("depth"))
+    more = [] if value is None else ["value"]
+    at_post = F.col("is_post")
+    base = units.where(at_post | F.col("parent_id").isNotNull()).select(
+        "id", F.when(at_post, F.col("id")).otherwise(F.col("parent_id")).alias("anc"), F.when(at_post, 0).otherwise(1).alias("hops"),
+        at_post.alias("done"), *([] if value is None else [value.alias("value")]),
     )
-    levels = [frontier]
-    for depth in count(1):
-        up = frontier.select(F.col("id").alias("_pid"), F.col("path").alias("_ppath"))
-        nxt = materialize(
-            edges.join(up, edges["parent_id"] == up["_pid"]).select(
-                "id", F.concat(F.col("_ppath"), F.array(F.col("id"))).alias("path"), F.lit(depth).alias("depth")
-            )
+    base = materialize(base.where(F.col("done").isNotNull()))
+    finished, active = [base.where("done")], base.where("NOT done")
+    jumps = [active.select("id", "anc")]
+    while True:
+        up = reduce(DataFrame.unionByName, [*finished, active]).alias("u")
+        new = active.alias("a").join(up, F.col("a.anc") == F.col("u.id")).select(
+            "a.id", "u.anc", (F.col("a.hops") + F.col("u.hops")).alias("hops"), "u.done", *[F.concat(f"u.{c}", f"a.{c}").alias(c) for c in more]
         )
-        if nxt.isEmpty():
+        new = materialize(new)
+        n_done, n_all = new.agg(F.count_if("done"), F.count(F.lit(1))).first()
+        if n_done:
+            finished.append(new.where("done"))
+        if n_done in (0, n_all):
             break
-        levels.append(nxt)
-        frontier = nxt
-    return reduce(DataFrame.unionByName, levels)
+        active = new.where("NOT done")
+        jumps.append(active.select("id", "anc"))
+    nodes = reduce(DataFrame.unionByName, finished).select("id", F.col("anc").alias("root"), F.col("hops").alias("depth"), *more)
+    return Reach(nodes, jumps)
 
 
-def chain_members(units: DataFrame, paths: DataFrame | None = None) -> DataFrame:
-    """``(chain_id, chain_rank, id)`` for every chain; chain_id = leaf id, rank 0 = root."""
-    paths = paths if paths is not None else reach_paths(units)
+def reach_paths(units: DataFrame) -> DataFrame:
+    """Root-to-node path of every unit reachable from a post: ``(id, path ARRAY<STRING>, depth INT)``."""
+    return reach(units, F.array("id")).nodes.select("id", F.col("value").alias("path"), "depth")
+
+
+def chain_members(units: DataFrame, reached: Reach | None = None) -> DataFrame:
+    """``(chain_id, chain_rank, id)`` for every chain; chain_id = leaf id, rank 0 = root.
+
+    Starting from each leaf, the rows double with each jump table, largest jump first: a row at some
+    distance from the leaf adds the one 2**k further up. No path is held in a row, and the
+    rows moved add up to about twice the result.
+    """
+    reached = reached or reach(units)
     leaf_ids = leaves(units).select(F.col("id").alias("_leaf"))
-    leaf_paths = paths.join(leaf_ids, paths["id"] == leaf_ids["_leaf"], "left_semi")
-    return leaf_paths.select(
-        F.col("id").alias("chain_id"), F.posexplode("path").alias("chain_rank", "_member")
-    ).select("chain_id", F.col("chain_rank").cast("int").alias("chain_rank"), F.col("_member").alias("id"))
+    rows = reached.nodes.join(leaf_ids, reached.nodes["id"] == leaf_ids["_leaf"], "left_semi").select(
+        F.col("id").alias("chain_id"), "depth", F.col("id").alias("node"), F.lit(0).alias("hop")
+    )
+    for k in reversed(range(len(reached.jumps))):
+        jump = reached.jumps[k].select(F.col("id").alias("_from"), "anc")
+        both = F.array(F.struct("node", "hop"), F.struct(F.col("anc").alias("node"), (F.col("hop") + 2**k).alias("hop")))
+        rows = rows.join(jump, F.col("node") == F.col("_from"), "left").select("chain_id", "depth", F.explode(both).alias("s"))
+        rows = rows.where(F.col("s.node").isNotNull()).select("chain_id", "depth", "s.node", "s.hop")
+    return rows.select("chain_id", (F.col("depth") - F.col("hop")).cast("int").alias("chain_rank"), F.col("node").alias("id"))
 
 
-def chain_table(units: DataFrame, with_children_ids: bool = False, paths: DataFrame | None = None) -> DataFrame:
+def chain_table(units: DataFrame, with_children_ids: bool = False, reached: Reach | None = None) -> DataFrame:
     """The chain table = unit columns + child_count [+ children_ids] + chain_id + chain_rank.
 
     ``units`` must already be unique per id (see :func:`dedupe_units`).
     """
-    members = chain_members(units, paths)
+    members = chain_members(units, reached)
     enriched = with_children(units, with_ids=with_children_ids)
     out = members.join(enriched, "id")
     extra = (["children_ids"] if with_children_ids else []) + ["child_count", "chain_id", "chain_rank"]
     return out.select(*units.columns, *extra)
 
 
-def rejects(units: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def rejects(units: DataFrame, reached: Reach | None = None) -> DataFrame:
     """Units never reached from a post (orphans, cycles, their descendants)."""
-    paths = paths if paths is not None else reach_paths(units)
-    reached = paths.select(F.col("id").alias("_rid"))
-    return units.join(reached, units["id"] == reached["_rid"], "left_anti")
+    ids = (reached or reach(units)).nodes.select(F.col("id").alias("_rid"))
+    return units.join(ids, units["id"] == ids["_rid"], "left_anti")
 
 
 def ordered_list(order: Column, value: Column) -> Column:

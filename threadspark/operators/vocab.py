@@ -4,15 +4,17 @@ The vocabulary keeps terms with ``no_below <= df <= floor(no_above * N)`` (df =
 number of documents containing the term, N = number of documents), then, when
 ``keep_n`` is given, that many most frequent by df (ties by term). Term ids are
 assigned by that order, so they are deterministic. All tokens of a document count
-unless ``max_tokens`` is given. A vectoriser holds the vocabulary as a list: callers
-of the vector form pass ``keep_n`` to bound it.
+unless ``max_tokens`` is given. Vectors are put together from (term id, count) rows;
+only :func:`vectorizer`, the MLlib model form, holds the vocabulary as a list.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from threadspark.session import materialize
 
@@ -76,7 +78,19 @@ def vectorizer(vocab: DataFrame, tokens_col: str = "bow_tokens", out_col: str =
 
 def bow_vectors(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
                 max_tokens: int | None = None) -> DataFrame:
-    """M4 (vector): ``(id, features SparseVector)`` over all tokens (or the first ``max_tokens``)."""
-    model = vectorizer(vocab)
-    clipped = docs.select(F.col(id_col), _tokens(tokens_col, max_tokens).alias("bow_tokens"))
-    return model.transform(clipped).select(id_col, "features")
+    """M4 (vector): ``(id, features SparseVector)`` over all tokens (or the first ``max_tokens``), one row per id.
+
+    Each document's (term_id, count) rows become its sparse vector; the vocabulary is a join and one
+    number (its size), never a list on the driver or in a task. A document without a known term has the zero vector.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct("term_id", F.col("cnt").cast("double").alias("cnt"))))
+    held = bag_of_words(docs, vocab, id_col, tokens_col, max_tokens).groupBy(F.col(id_col).alias("_id")).agg(pairs.alias("_p"))
+    size = vocab.agg(F.coalesce(F.max("term_id") + 1, F.lit(0)).cast("int")).first()[0]
+    empty = F.array().cast("array<struct<term_id: int, cnt: double>>")
+    # the stored form of a sparse vector (type 0), read through the vector type's own JSON reader
+    stored = F.struct(
+        F.lit(0).alias("type"), F.lit(size).alias("size"), F.transform("_q", lambda x: x["term_id"]).alias("indices"), F.transform("_q", lambda x: x["cnt"]).alias("values")
+    )
+    rows = docs.select(id_col).distinct().join(held, F.col(id_col).eqNullSafe(F.col("_id")), "left").withColumn("_q", F.coalesce("_p", empty))
+    schema = StructType([StructField("v", VectorUDT())])
+    return rows.select(id_col, F.from_json(F.to_json(F.struct(stored.alias("v"))), schema)["v"].alias("features"))

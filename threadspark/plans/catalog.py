@@ -232,6 +232,21 @@ def q_lemmas(spark, sf_dir):
     return LX.lemmatize_text(V.table(spark, sf_dir, "documents"))
 
 
+_CP1252_HIGH = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"  # fixed values: what cp1252 holds beyond latin-1's printable part
+
+
+@register(
+    "encode_replace",
+    f"""SELECT doc_id, regexp_replace(text, '[^\\x{{00}}-\\x{{FF}}]', '?', 'g') AS latin1, regexp_replace(text, '[^\\x{{00}}-\\x{{7F}}\\x{{A0}}-\\x{{FF}}{_CP1252_HIGH}]', '?', 'g') AS cp1252,
+  text AS utf8, text AS gb18030, CASE WHEN NOT regexp_matches(text, '[\\x{{80}}-\\x{{FF}}]') THEN regexp_replace(text, '[^\\x{{00}}-\\x{{7F}}]', '?', 'g') END AS mixed FROM documents""",
+)
+def q_encode_replace(spark, sf_dir):
+    """Latin-1, cp1252, utf-8, a multi-byte codec, and latin-1 bytes read as utf-8 (null where they cannot be)."""
+    t = F.col("text")
+    same = [X.encode_replace(t, c).alias(n) for c, n in (("latin-1", "latin1"), ("cp1252", "cp1252"), ("utf-8", "utf8"), ("gb18030", "gb18030"))]
+    return V.table(spark, sf_dir, "documents").select("doc_id", *same, X.encode_replace(t, "latin-1", "utf-8").alias("mixed"))
+
+
 @register("ascii_replace", f"SELECT doc_id, {D.ascii_replace('text')} AS ascii_text FROM documents")
 def q_ascii_replace(spark, sf_dir):
     """Encode to ASCII with '?' replacement."""
@@ -875,7 +890,22 @@ from threadspark.operators import nesting as N  # noqa: E402
 from threadspark.schemas import CONTENT_COLUMNS  # noqa: E402
 
 
-@register("nest_threads")
+def _duck_nest(units_sql: str) -> str:
+    fields = ", ".join(f"'{c}', u.\"{c}\"" for c in CONTENT_COLUMNS)
+    return f"""WITH RECURSIVE u AS ({units_sql}),
+walk(id, root, path) AS (
+  SELECT id, id, [id] FROM u WHERE is_post
+  UNION ALL
+  SELECT c.id, w.root, list_append(w.path, c.id) FROM u c JOIN walk w ON c.parent_id = w.id WHERE NOT c.is_post
+),
+line AS (SELECT root, path, len(path) AS d, CAST(json_object({fields}) AS VARCHAR) AS own FROM walk w JOIN u ON u.id = w.id),
+near AS (SELECT *, lag(d) OVER p AS before, lead(d) OVER p AS after FROM line WINDOW p AS (PARTITION BY root ORDER BY path)),
+piece AS (SELECT root, path, CASE WHEN before >= d THEN ',' ELSE '' END || left(own, -1) || ',"replies":['
+  || repeat(']}}', CAST(greatest(d - coalesce(after, 1) + 1, 0) AS BIGINT)) AS t FROM near)
+SELECT root AS id, string_agg(t, '' ORDER BY path) AS json FROM piece GROUP BY root"""
+
+
+@register("nest_threads", _duck_nest(V.duck_forest()))
 def q_nest_threads(spark, sf_dir):
     """One nested JSON document per forest thread."""
     return N.nest_threads(V.forest(spark, sf_dir))
@@ -895,6 +925,60 @@ def q_flatten_forest(spark, sf_dir):
     return N.flatten_threads(docs, json_col="json", key_col="thread").select(*CONTENT_COLUMNS)
 
 
+# ------------------------------------------------------------------ thread files
+
+
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _thread_of(path: str):
+    return F.regexp_extract(path, r"thread=([^/]+)/", 1)
+
+
+@register("thread_files", V.duck_conv())
+def q_thread_files(spark, sf_dir):
+    """K4 + S1/S3/S5: conversation threads written as one file each and all read back."""
+    path = _folder(spark, "threads")
+    WR.write_thread_documents(V.conv(spark, sf_dir), path, fmt="files")
+    return RD.read_threads(spark, path, suffix=".txt").select(*CONTENT_COLUMNS)
+
+
+@register(
+    "thread_file_sample",
+    f"""WITH u AS ({V.duck_conv()}), pick AS (SELECT id FROM u WHERE is_post ORDER BY md5('7:' || id), id LIMIT 20)
+SELECT p.id AS thread, u.id, u.parent_id, u.text FROM u JOIN pick p ON split_part(u.id, '-', 1) = split_part(p.id, '-', 1)""",
+)
+def q_thread_file_sample(spark, sf_dir):
+    """20 thread files sampled from the listing; only those are read."""
+    path = _folder(spark, "threads")
+    WR.write_thread_documents(V.conv(spark, sf_dir), path, fmt="files")
+    rows = RD.read_threads(spark, path, max_docs=20, seed=7, suffix=".txt", key=_thread_of("path"))
+    return rows.select(_thread_of("thread").alias("thread"), "id", "parent_id", "text")
+
+
+@register(
+    "thread_load",
+    """WITH c AS (SELECT CAST(conv_id AS VARCHAR) AS cid, conv_id % 5 AS k, turn FROM conversations)
+SELECT CASE WHEN k NOT IN (1, 2) THEN cid || '-0' END AS thread, CASE WHEN k NOT IN (1, 2) THEN cid || '-' || turn END AS id,
+  CASE WHEN k = 1 THEN 'not JSON' WHEN k = 2 THEN 'not a document' WHEN k = 3 AND turn > 0 THEN 'ill-typed is_post'
+    WHEN k = 4 AND turn = 1 THEN 'missing date' WHEN k = 4 AND turn > 1 THEN 'below a rejected unit' END AS reason
+FROM c WHERE k NOT IN (1, 2) OR turn = 0""",
+)
+def q_thread_load(spark, sf_dir):
+    """Thread documents, four fifths of them damaged in four ways, written and loaded with every reject and its reason."""
+    units = V.conv(spark, sf_dir)
+    k = F.substring_index("id", "-", 1).cast("long") % 5
+    units = units.withColumn("date", F.when((k == 4) & F.col("id").endswith("-1"), F.lit(None)).otherwise(F.col("date")))
+    damaged = (
+        F.when(k == 1, F.expr("substring(json, 1, length(json) DIV 2)")).when(k == 2, F.lit("[1]"))
+        .when(k == 3, F.replace("json", F.lit('"is_post":false'), F.lit('"is_post":"maybe"'))).otherwise(F.col("json"))
+    )
+    path = _folder(spark, "damaged")
+    N.nest_threads(units).select(damaged.alias("value")).write.text(path)
+    return RD.load_files(spark, path, fmt="lines").select("thread", "id", "reason")
+
+
 # ------------------------------------------------------------------ batch scoring and incremental ingest
 import uuid  # noqa: E402
 

@@ -65,4 +65,5 @@ TRIAL_SCHEMA = T.StructType(
     [T.StructField(n, t, True) for n, t in TRIAL_PARAM_FIELDS]
     + [T.StructField(m, T.DoubleType(), True) for m in TRIAL_METRICS]
     + [T.StructField("status", T.StringType(), True), T.StructField("error", T.StringType(), True)]
+    + [T.StructField("trial_id", T.StringType(), True)]
 )

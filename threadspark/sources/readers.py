@@ -6,11 +6,13 @@ nothing is read on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadspark.operators.nesting import flatten_threads
+from threadspark.operators.nesting import load_threads
 from threadspark.operators.pages import hash_order
 from threadspark.schemas import CHAIN_EXTRA, CONTENT_SCHEMA, TRIAL_SCHEMA
 
@@ -24,23 +26,41 @@ def _path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def thread_files(spark: SparkSession, directory: str, suffix: str = ".json") -> DataFrame:
-    """Every file under ``directory`` (recursive) whose name ends with ``suffix``:
+def list_files(spark: SparkSession, directory: str, suffix: str = ".json") -> DataFrame:
+    """S1 without content: ``(path, length)`` of every file under ``directory`` (recursive) whose name ends with ``suffix``.
+
+    The binary source reads a file only when its content column is asked for, so this is a listing.
+    """
+    return (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
+        .load(directory).select("path", "length")
+    )
+
+
+def thread_files(spark: SparkSession, directory: str | list[str], suffix: str = ".json") -> DataFrame:
+    """Every file under ``directory`` (recursive; or the files named in a list) whose name ends with ``suffix``:
     ``(path, value)`` with the whole file text in ``value``."""
     return (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", f"*{suffix}")
-        .option("wholetext", "true")
-        .text(directory)
+        .text(directory, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
 
 
-def sample_files(files: DataFrame, n: int | None, seed: int = 0) -> DataFrame:
-    """``min(n, N)`` files without replacement by seeded hash order (all when ``n`` is None)."""
+def sample_files(files: DataFrame, n: int | None, seed: int = 0, key: Column | None = None) -> DataFrame:
+    """``min(n, N)`` rows of a listing without replacement by seeded hash order of ``key`` (default: the path; all when ``n`` is None)."""
     if n is None:
         return files
-    return files.orderBy(hash_order(F.col("path"), seed), "path").limit(n)
+    return files.orderBy(hash_order(F.col("path") if key is None else key, seed), "path").limit(n)
+
+
+def sampled_thread_files(spark: SparkSession, directory: str, n: int, seed: int = 0, suffix: str = ".json", key: Column | None = None) -> DataFrame:
+    """S1 + S4: the text of ``n`` sampled files. The sample is drawn from the listing; its ``n`` names come to the driver and only those files are read."""
+    names = [r["path"] for r in sample_files(list_files(spark, directory, suffix), n, seed, key).collect()]
+    if not names:
+        return spark.createDataFrame([], "path string, value string")
+    return thread_files(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in names], suffix)
 
 
 def thread_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -52,21 +72,31 @@ def thread_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.try_variant_get(F.try_parse_json("value"), "$.id", "string").alias("path"), "value")
 
 
-def read_threads(spark: SparkSession, directory: str, max_docs: int | None = None, seed: int = 0, fmt: str = "files") -> DataFrame:
-    """All (or a sample of) thread documents, flattened and validated.
+def load_files(
+    spark: SparkSession, directory: str, max_docs: int | None = None, seed: int = 0, fmt: str = "files", suffix: str = ".json", key: Column | None = None
+) -> DataFrame:
+    """Every unit of all (or a sample of) thread documents with ``reason``, null unless the row is rejected.
 
-    ``fmt``: ``files`` (one document per ``*.json`` file) or ``lines`` (JSON Lines, as K4 writes them).
+    ``fmt``: ``files`` (one document per file) or ``lines`` (JSON Lines, as K4 writes them).
     Rows carry ``thread`` (the file path, or the post's id) and ``path`` (child ordinals from the
-    root); ordering by both gives the pre-order of every tree. An empty
-    directory gives an empty table.
+    root); ordering by both gives the pre-order of every tree. An empty directory gives an empty table.
     """
-    source = {"files": thread_files, "lines": thread_lines}[fmt]
-    files = sample_files(source(spark, directory), max_docs, seed)
-    if files.isEmpty():
+    if fmt == "files" and max_docs is not None:
+        docs = sampled_thread_files(spark, directory, max_docs, seed, suffix, key)
+    elif fmt == "files":
+        docs = thread_files(spark, directory, suffix)
+    else:
+        docs = sample_files(thread_lines(spark, directory), max_docs, seed, key)
+    if docs.isEmpty():
         return spark.createDataFrame([], CONTENT_SCHEMA).select(
-            "*", F.lit(None).cast("string").alias("thread"), F.array().cast("array<int>").alias("path")
+            F.lit(None).cast("string").alias("thread"), F.array().cast("array<int>").alias("path"), "*", F.lit(None).cast("string").alias("reason")
         )
-    return flatten_threads(files, json_col="value", key_col="path")
+    return load_threads(docs, json_col="value", key_col="path")
+
+
+def read_threads(spark: SparkSession, directory: str, max_docs: int | None = None, seed: int = 0, fmt: str = "files", **options) -> DataFrame:
+    """The accepted units of :func:`load_files`."""
+    return load_files(spark, directory, max_docs, seed, fmt, **options).where(F.col("reason").isNull()).drop("reason")
 
 
 def read_chain_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -104,7 +134,7 @@ def read_link_map(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
         return spark.createDataFrame([], "post_id string, url string")
     if fmt == "parquet":
         return spark.read.schema("post_id string, url string").parquet(path)
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("post_id", "url"))
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import LocalLDAModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadspark.operators.nesting import nest_threads
+from threadspark.operators.nesting import nest_fragments, nest_threads
+from threadspark.sources.readers import read_trials
 
 
 def write_chain_table(chains: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -25,15 +26,34 @@ def append_trials(trials: DataFrame, path: str) -> None:
     trials.write.mode("append").parquet(path)
 
 
+def compact_trials(spark: SparkSession, path: str, target: str, files: int = 1) -> None:
+    """K2: the trial log at ``path`` as a new log of ``files`` files at ``target``; a trial logged twice stays once (its ``ok`` record if it has one)."""
+    log = read_trials(spark, path)
+    order = [(F.col("status") == "ok").desc_nulls_last(), F.xxhash64(*log.columns)]
+    known = log.where(F.col("trial_id").isNotNull())
+    once = known.withColumn("_k", F.row_number().over(Window.partitionBy("trial_id").orderBy(*order))).where("_k = 1").drop("_k")
+    once.unionByName(log.where(F.col("trial_id").isNull())).repartition(files).write.mode("errorifexists").parquet(target)
+
+
 def write_predictions(pred: DataFrame, path: str, fmt: str = "parquet") -> None:
     """K3: predicted parameter table."""
     w = pred.write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
 
-def write_thread_documents(units: DataFrame, path: str, order_col: str | None = None) -> None:
-    """K4: one nested JSON document per post, one per line (JSON Lines)."""
-    nest_threads(units, order_col).select("json").write.mode("overwrite").text(path)
+def write_thread_documents(units: DataFrame, path: str, order_col: str | None = None, fmt: str = "lines") -> None:
+    """K4: nested JSON documents, one per post.
+
+    ``lines``: JSON Lines, a document per row. ``files``: a text file per post below ``path``/thread=<id>, written
+    unit by unit from the sorted fragments, so a thread of any size streams to its file.
+    """
+    if fmt == "lines":
+        nest_threads(units, order_col).select("json").write.mode("overwrite").text(path)
+        return
+    # a partition column that may be null is rewritten before the write, which would sort again by it alone and lose the order of paths
+    rows = nest_fragments(units, order_col).withColumn("thread", F.coalesce("thread", F.lit("")))
+    rows = rows.repartition("thread").sortWithinPartitions("thread", "path")
+    rows.select("thread", "fragment").write.mode("overwrite").partitionBy("thread").text(path)
 
 
 def write_pages(pages: DataFrame, path: str, partition_col: str | None = None) -> None:
