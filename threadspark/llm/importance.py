@@ -7,8 +7,9 @@ from a hash of its id turns the highest scores into a draw without replacement i
 
 CRCs come from length-bucketed matrices: the distinct features of a portion of text are grouped by byte
 length into two-dimensional uint8 arrays, one column of bytes per array row, all CRCs of a group are
-updated column by column, and the buckets are scattered back to the features' places. Features over
-``LONGEST`` bytes, of which a group would hold one or two, go through zlib's CRC-32, the same function.
+updated column by column, and the buckets are scattered back to the features' places. A group with fewer than ``FEW``
+strings per byte of length (long features, rare lengths) is no matrix worth its columns: its strings go one by
+one through zlib's CRC-32, the same function.
 
 Both passes (corpus counts, then weights) read the texts where they lie and shuffle none of them: the first
 sends at most one count per bucket and task, the second one narrow row per document. The gains, one number per
@@ -28,6 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -38,8 +40,8 @@ from threadspark.session import materialize
 
 BUCKETS = 10_000
 LONGEST_RUN = 3
-PORTION = 4_000_000
-LONGEST = 1_024
+PORTION = 1_000_000
+FEW = 4
 
 _BYTES = np.arange(256)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -70,7 +72,7 @@ def slice_crcs(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     order = np.argsort(size, kind="stable")
     sizes, first = np.unique(size[order], return_index=True)
     for n, group in zip(sizes.tolist(), np.split(order, first[1:])):
-        if n > LONGEST:
+        if len(group) < FEW * n:
             out[group] = [zlib.crc32(data[a : a + n].tobytes()) for a in start[group]]
             continue
         rows = max(1, PORTION // max(n, 1))
@@ -80,12 +82,11 @@ def slice_crcs(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return out
 
 
-def _codes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code of every value and the first place of every code."""
-    codes = values.dictionary_encode().indices.to_numpy().astype(np.int64)
-    first = np.zeros(codes.max() + 1 if len(codes) else 0, np.int64)
+def _first(codes: np.ndarray, n: int) -> np.ndarray:
+    """The first place of every code."""
+    first = np.zeros(n, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    return codes, first
+    return first
 
 
 class Words:
@@ -113,17 +114,17 @@ class Words:
         n = len(self.size)
         offsets = np.append(self.start, len(self.data))
         held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.data)])
-        words, _ = _codes(held)
+        words = held.dictionary_encode().indices.to_numpy().astype(np.int64)
         runs = words
         for k in range(1, LONGEST_RUN + 1):
             if n < k:
                 return
             if k > 1:  # the codes of the run one word shorter and of its last word
-                runs, _ = _codes(pa.array(runs[: n - k + 1] * (n + 1) + words[k - 1 :]))
+                runs = pd.factorize(runs[: n - k + 1] * (n + 1) + words[k - 1 :])[0]
             own = np.flatnonzero(self.text[: n - k + 1] == self.text[k - 1 :])
             own = own[own >= carried - k + 1]
-            codes, first = _codes(pa.array(runs[own]))
-            at = own[first]
+            codes, known = pd.factorize(runs[own])
+            at = own[_first(codes, len(known))]
             crc = slice_crcs(self.data, self.start[at], self.start[at + k - 1] + self.size[at + k - 1] - self.start[at])
             yield self.text[own], crc[codes]
 
