@@ -5,8 +5,8 @@ a text are the ids of its white-space pieces in order. A batch is cut and
 dictionary-encoded with Arrow; only its distinct pieces are looked up, in a bounded
 table of the worker, and only unknown ones reach the tokenizer. A trailing run of
 ASCII punctuation is a piece of its own for both tokenizers and is looked up apart.
-A text whose cut would differ from the tokenizer's (runs of white space in byte
-mode) is encoded whole.
+A text whose cut would differ from the tokenizer's (an added token such as an end mark written
+in the text, runs of white space in byte mode) is encoded whole.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.plain.get_added_tokens_decoder().values()]
         self.mode, self.most, self.new, self.old = mode, most, {}, {}
 
     def whole(self, text: str) -> bytes:
@@ -112,13 +112,16 @@ class WordEncoder:
         return np.concatenate(chunks), np.cumsum([len(c) for c in chunks])
 
     def _odd(self, texts, pieces, index, ends) -> np.ndarray:
-        """Texts to encode whole: in byte mode a piece that ends in white space, or a NUL, hides a run of white space."""
-        if self.mode == "word":
-            return np.zeros(0, np.int64)
-        bad = np.fromiter((p[-1:].isspace() for p in pieces), bool, len(pieces))
-        docs = np.searchsorted(ends, np.flatnonzero(bad[index]), "right") if bad.any() else np.zeros(0, np.int64)
-        nul = np.flatnonzero(pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False))
-        return np.unique(np.concatenate((docs, nul)))
+        """Texts to encode whole: those with an added token of the vocabulary, in any case; in byte mode also
+        those where a piece that ends in white space, or a NUL, hides a run of white space."""
+        lower = pc.ascii_lower(texts)
+        odd = [np.flatnonzero(pc.match_substring(lower, t).to_numpy(zero_copy_only=False)) for t in self.added]
+        if self.mode == "byte":
+            bad = np.fromiter((p[-1:].isspace() for p in pieces), bool, len(pieces))
+            if bad.any():
+                odd.append(np.searchsorted(ends, np.flatnonzero(bad[index]), "right"))
+            odd.append(np.flatnonzero(pc.match_substring(texts, "\x00").to_numpy(zero_copy_only=False)))
+        return np.unique(np.concatenate(odd)) if odd else np.zeros(0, np.int64)
 
 
 def encoder(path: str, mode: str) -> WordEncoder:
