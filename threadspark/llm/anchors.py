@@ -106,6 +106,14 @@ def shard_key(anchor: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> U(33)) % U(shards)) << U(32) | (h & U(0xFFFFFFFF))
 
 
+def strong_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """128-bit hashes of the byte ranges a..b, as two columns; these stand for equality, so no polynomial will do."""
+    from xxhash import xxh3_128_digest
+
+    view = memoryview(data)
+    return np.frombuffer(b"".join([xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())]), U).reshape(-1, 2)
+
+
 def prefix_hash(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running polynomial sums and inverse powers for ``range_hash``."""
     with np.errstate(over="ignore"):
@@ -119,7 +127,7 @@ def prefix_hash(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def range_hash(sums: np.ndarray, inverse: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the symbol ranges a..b, independent of where they stand."""
+    """64-bit hashes of the symbol ranges a..b, independent of where they stand; different ranges may share one, so they only choose anchors."""
     with np.errstate(over="ignore"):
         return mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(U) * _M[1])
 

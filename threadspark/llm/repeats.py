@@ -16,8 +16,8 @@ documents (reused), so a lost executor costs a recomputation and nothing else.
 Edge cases: null or empty texts have no windows; a null id ranks after all others and never
 counts as smaller; rows with equal ids do not remove each other; repeated rows are answered each;
 long texts stay in one bucket, long repetitions are cut into segments of at most two windows;
-other columns are not read; an empty table gives an empty result. Equality of segments and words
-inside a shard is equality of 64-bit hashes.
+other columns are not read; an empty table gives an empty result. Segments are equal when their
+128-bit hashes are, words inside a shard when their bytes are.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.llm.anchors import Segments, byte_grams, gather, prefix_hash, range_hash, shard_key, super_windows, symbol_grams
+from threadspark.llm.anchors import Segments, byte_grams, gather, prefix_hash, range_hash, shard_key, strong_hashes, super_windows, symbol_grams
 from threadspark.llm.common import shuffle_parts
 
 #: Buckets of documents and shards of anchors per shuffle partition. There is at most one row per pair, so
@@ -51,21 +51,20 @@ class Bucket:
     ends: np.ndarray
     begin: np.ndarray | None
     stop: np.ndarray | None
-    symbols: np.ndarray
-    sums: np.ndarray
-    inverse: np.ndarray
     segments: Segments
 
+    def span(self, s: Segments, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Byte range of segments."""
+        last = s.start + s.count + length - 1
+        return (s.start, last) if self.begin is None else (self.begin[s.start], self.stop[last - 1])
+
     def hashes(self, s: Segments, length: int) -> np.ndarray:
-        return range_hash(self.sums, self.inverse, s.start, s.start + s.count + length - 1)
+        return strong_hashes(self.data, *self.span(s, length))
 
     def content(self, s: Segments, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of segments, one after the other (words each followed by white space), and their lengths."""
-        if self.begin is None:
-            n = s.count + length - 1
-            return gather(self.data, s.start, n), n
-        a = self.begin[s.start]
-        n = self.stop[s.start + s.count + length - 2] + 1 - a
+        a, b = self.span(s, length)
+        n = b - a + (self.begin is not None)
         return gather(self.data, a, n), n
 
 
@@ -76,11 +75,32 @@ def split_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
 
 
+def one_blank(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of ``data`` with one blank after each, their begins and ends: equal runs of words are equal bytes."""
+    begin, stop = split_words(data)
+    size = stop - begin
+    first = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    letters = np.ones(len(out), bool)
+    letters[first + size] = False
+    out[letters] = data[~_SPACE[data]]
+    return out, first, first + size
+
+
 def word_symbols(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Words as 64-bit numbers for the choice of anchors; different words may share one."""
     sums, inverse = prefix_hash(data.astype(np.uint64))
     return range_hash(sums, inverse, begin, stop)
 
 
+def word_codes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each distinct word of ``data`` (words with one blank after each) and where every word begins."""
+    begin = np.concatenate(([0], np.flatnonzero(data == 32)[:-1] + 1)) if len(data) else np.zeros(0, np.int64)
+    offsets = np.append(begin, len(data)).astype(np.int64)
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return held.dictionary_encode().indices.to_numpy().astype(np.int64), begin
+
+
 def load(table: pa.Table, words: bool, length: int, gram: int, windows: bool = True) -> Bucket:
     texts = [(t or "").encode() for t in table.column("text").to_pylist()]
     ids = np.array([LAST_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
@@ -89,17 +109,15 @@ def load(table: pa.Table, words: bool, length: int, gram: int, windows: bool = T
     ends = np.cumsum([len(t) + len(pad) for t in texts])
     begin = stop = None
     if words:
-        begin, stop = split_words(data)
-        symbols = word_symbols(data, begin, stop)
-        ends = np.searchsorted(begin, ends)
-        grams = lambda a, b: symbol_grams(symbols, a, b, gram)
-    else:
-        symbols = data[: int(ends[-1])].astype(np.uint64) if len(ends) else data[:0].astype(np.uint64)
-        grams = lambda a, b: byte_grams(data, a, b)
-    sums, inverse = prefix_hash(symbols)
+        ends = np.searchsorted(split_words(data)[0], ends)
+        data, begin, stop = one_blank(data)
     none = np.zeros(0, np.int64)
-    segments = super_windows(grams, ends, length, gram) if windows else Segments(none, none, none, none.astype(np.uint64))
-    return Bucket(data, ids, ends, begin, stop, symbols, sums, inverse, segments)
+    segments = Segments(none, none, none, none.astype(np.uint64))
+    if windows:
+        symbols = word_symbols(data, begin, stop) if words else None
+        grams = (lambda a, b: symbol_grams(symbols, a, b, gram)) if words else (lambda a, b: byte_grams(data, a, b))
+        segments = super_windows(grams, ends, length, gram)
+    return Bucket(data, ids, ends, begin, stop, segments)
 
 
 def _by_shard(keys: np.ndarray) -> list[tuple[int, int, int]]:
@@ -167,8 +185,8 @@ def send_segments(docs: pa.Table, answers: pa.Table, shards: int, words: bool, l
     chosen = np.flatnonzero(wanted[at] == keys)
     s, keys = bucket.segments.pick(chosen), keys[chosen]
     hashes, ids = bucket.hashes(s, length), bucket.ids[s.doc]
-    order = np.lexsort((hashes, keys >> np.uint64(32)))
-    new = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+    order = np.lexsort((hashes[:, 1], hashes[:, 0], keys >> np.uint64(32)))
+    new = np.flatnonzero(np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]).any(axis=1))))
     low, high = np.minimum.reduceat(ids[order], new), np.maximum.reduceat(ids[order], new)
     first = order[new]
     s, keys, hashes = s.pick(first), keys[first], hashes[first]
@@ -186,13 +204,13 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     """Step 4: (bucket, hashes, from, to, owner): windows from..to of a segment also start in document ``owner``."""
     names, kinds = ["bucket", "hashes", "from", "to", "owner"], [pa.int32(), *[pa.binary()] * 4]
     read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-    own = read("hashes", np.uint64)
+    own = [x.reshape(-1, 2) for x in read("hashes", np.uint64)]
     unpacked = lambda c, t, counts: [_unpack(x, k, t) for x, k in zip(table.column(c).to_pylist(), counts)]
     low, high, sizes = (unpacked(c, t, map(len, own)) for c, t in (("low", np.int64), ("high", np.int64), ("sizes", np.int32)))
     content = unpacked("content", np.uint8, (int(x.sum(dtype=np.int64)) for x in sizes))
     prints, every = np.concatenate(read("prints", np.uint32)), np.concatenate(own)
-    order = np.lexsort((every, prints))
-    new = np.concatenate(([True], (every[order][1:] != every[order][:-1]) | (prints[order][1:] != prints[order][:-1])))
+    order = np.lexsort((every[:, 1], every[:, 0], prints))
+    new = np.concatenate(([True], (every[order][1:] != every[order][:-1]).any(axis=1) | (prints[order][1:] != prints[order][:-1])))
     first, back = order[new], np.empty(len(order), np.int64)
     back[order] = np.cumsum(new) - 1
     owners = np.minimum.reduceat(np.concatenate(low)[order], np.flatnonzero(new))
@@ -203,8 +221,8 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     for a, b in _portions(size, prints, index.portion):
         text = gather(data, begin[a:b], size[a:b])
         if words:
-            w0, w1 = split_words(text)
-            codes = np.unique(word_symbols(text, w0, w1), return_inverse=True)[1] + 1
+            codes, w0 = word_codes(text)
+            codes += 1
             n = np.diff(np.concatenate(([0], np.searchsorted(w0, np.cumsum(size[a:b])))))
         else:
             codes, n = np.unique(text, return_inverse=True)[1] + 1, size[a:b]
@@ -235,7 +253,7 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
         keep = owner[runs] < np.repeat(top, n)
         runs = runs[keep]
         if len(runs):
-            rows.append((b, np.repeat(h, n)[keep].tobytes(), start[runs].astype(np.int32).tobytes(), stop[runs].astype(np.int32).tobytes(), owner[runs].tobytes()))
+            rows.append((b, np.repeat(h, n, axis=0)[keep].tobytes(), start[runs].astype(np.int32).tobytes(), stop[runs].astype(np.int32).tobytes(), owner[runs].tobytes()))
     return _table(rows, names, kinds)
 
 
@@ -259,19 +277,19 @@ def mark(docs: pa.Table, answers: pa.Table, words: bool, length: int, gram: int)
     if not len(docs):
         return _table([], names, kinds)
     bucket = load(docs, words, length, gram, windows=len(answers) > 0)
-    gone = np.zeros(len(bucket.symbols) + 1, np.int32)
+    gone = np.zeros((int(bucket.ends[-1]) if len(bucket.ends) else 0) + 1, np.int32)
     if len(answers):
         read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in answers.column(c).to_pylist()])
-        known, start, stop, owner = read("hashes", np.uint64), read("from", np.int32), read("to", np.int32), read("owner", np.int64)
-        order = np.argsort(known, kind="stable")
+        known, start, stop, owner = read("hashes", np.uint64).reshape(-1, 2), read("from", np.int32), read("to", np.int32), read("owner", np.int64)
+        order = np.argsort(known[:, 0], kind="stable")
         known, start, stop, owner = known[order], start[order], stop[order], owner[order]
         hashes = bucket.hashes(bucket.segments, length)
-        a, b = np.searchsorted(known, hashes, "left"), np.searchsorted(known, hashes, "right")
+        a, b = np.searchsorted(known[:, 0], hashes[:, 0], "left"), np.searchsorted(known[:, 0], hashes[:, 0], "right")
         hit = np.flatnonzero(b > a)
         n = b[hit] - a[hit]
         runs, which = gather(np.arange(len(known)), a[hit], n), np.repeat(hit, n)
         s = bucket.segments.pick(which)
-        keep = owner[runs] < bucket.ids[s.doc]
+        keep = (owner[runs] < bucket.ids[s.doc]) & (known[runs, 1] == hashes[which, 1])
         first, runs = s.start[keep], runs[keep]
         np.add.at(gone, first + start[runs], 1)
         np.add.at(gone, first + stop[runs] + length - 1, -1)
