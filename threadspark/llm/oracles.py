@@ -8,8 +8,8 @@ SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 CONTAINED = rf"""
 WITH item AS (
-  SELECT item_id, text, list_distinct(list_transform(range(1, len(w) - 3), lambda i: ' ' || array_to_string(w[i:i+4], ' ') || ' ')) AS s
-  FROM (SELECT DISTINCT item_id, text, {PLAIN.format(LOWER)} AS w FROM benchmark) WHERE len(w) >= 5
+  SELECT item_id, text, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: ' ' || array_to_string(w[i:i+4], ' ') || ' ')) AS s
+  FROM (SELECT DISTINCT item_id, text, {PLAIN.format(LOWER)} AS w FROM benchmark) WHERE len(w) >= 1
 ), doc AS (SELECT doc_id, ' ' || array_to_string({PLAIN.format(LOWER)}, ' ') || ' ' AS t FROM documents),
 hit AS (
   SELECT doc_id, item_id, len(s) AS n_shingles, len(list_filter(s, lambda x: contains(t, x))) AS n_matched FROM doc, item
