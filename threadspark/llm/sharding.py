@@ -27,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadspark.llm.common import shuffle_parts
 from threadspark.session import materialize
 
 WAYS = 16
@@ -130,7 +131,8 @@ def communication_matrix(blocks: DataFrame, levels: int, places: list[int], seed
                 F.concat(a["out"], F.array(F.struct(b["child"].alias("child"), d.alias("sends")))).alias("out"),
             ))
 
-        handed = nodes.join(own, "node").select(F.explode(F.aggregate("branches", zero, hand, lambda a: a["out"])).alias("b"))
+        # the draws are work, not bytes: an explicit number of partitions keeps them from being merged into one task
+        handed = nodes.join(own, "node").repartition(shuffle_parts(spark), "node").select(F.explode(F.aggregate("branches", zero, hand, lambda a: a["out"])).alias("b"))
         nodes = materialize(handed.select(F.col("b.child").alias("node"), F.col("b.sends").alias("left")))
     return nodes.select(F.col("node").alias("block"), F.col("left").alias("sends"))
 
@@ -180,8 +182,6 @@ def shard_table(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 42) -> None:
     """All columns of ``docs`` as Parquet below ``path``/shard=k, each file a run of slots in order."""
-    from threadspark.llm.common import shuffle_parts
-
     done = shuffle_rows(docs, "doc_id", shards, seed)
     parts = shuffle_parts(docs.sparkSession)
     done.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
