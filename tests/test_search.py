@@ -105,3 +105,16 @@ def test_a_stopped_search_goes_on(spark, monkeypatch):
     small = RD.read_trials(spark, log + "-small")
     assert len(small.inputFiles()) == 1 and small.count() == small.select("trial_id").distinct().count() == 15
     assert small.select(*TRIAL_PARAMS).exceptAll(RD.read_trials(spark, log).select(*TRIAL_PARAMS)).isEmpty()
+
+
+def test_predictive_search_on_the_trial_columns(spark):
+    """H5/H8 with all 16 parameters: 12 numeric ones with their products and 4 categorical ones."""
+    trials = S.random_trials(spark, 90, seed=5)
+    score = F.col("lda_num_topics") * 2.0 + F.when(F.col("dataset") == "chain", 40.0).otherwise(0.0)
+    out = S.predictive_search(trials.withColumn("total_score", score), {"passes": 3, "eta": "auto"}, iterations=60, ascending=False, max_iter=4, max_depth=3)
+    rows = out.collect()
+    assert len(rows) == 60 and set(out.columns) == {*TRIAL_PARAMS, "predicted_score"} and all(r.passes == 3 and r.eta == "auto" for r in rows)
+    preds = [r.predicted_score for r in rows]
+    assert preds == sorted(preds, reverse=True) and rows[0].dataset == "chain" and rows[-1].dataset != "chain"
+    plan = S.search_plan(spark, 5, out, 2, seed=1).collect()
+    assert len(plan) == 5 and len({r.trial_id for r in plan}) == 5

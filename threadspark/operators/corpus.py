@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadspark.functions.html import html_to_paragraphs, html_to_source
-from threadspark.operators.threads import chain_members, ordered_join
+from threadspark.operators.threads import leaves, reach
 
 # Separators used when rendering corpus documents.
 TITLE_SEP = " \n "
@@ -44,30 +44,22 @@ def source_corpus(units: DataFrame, min_len: int = 50, max_len: int = 1000) -> D
     return docs.where((n >= min_len) & (n <= max_len)).orderBy("doc")
 
 
-def chain_corpus(
-    units: DataFrame, min_len: int = 50, max_len: int = 1000, members: DataFrame | None = None, null_text: str = "None"
-) -> DataFrame:
+def chain_corpus(units: DataFrame, min_len: int = 50, max_len: int = 1000, null_text: str = "None") -> DataFrame:
     """C4: one document per chain: ``{root user} says:`` then, per unit in rank order,
     ``\\n {title}`` when present and ``\\n {source}``; inclusive bounds; duplicates kept.
 
-    The source text is rendered once per unit before the chain join; each group
-    is one chain (its size is the chain's depth).
+    The source text is rendered once per unit and a chain's body grows from its post down
+    (:func:`threads.reach`), so no unit's text is looked up once per chain through it.
     """
-    members = members if members is not None else chain_members(units)
-    piece = F.concat(
-        F.when(F.col("title").isNotNull(), F.concat(F.lit(CHAIN_SEP), F.col("title"))).otherwise(F.lit("")),
-        F.lit(CHAIN_SEP),
-        html_to_source(F.col("text")),
-    )
-    rendered = units.select(F.col("id").alias("_uid"), F.col("user"), piece.alias("_piece"))
-    rows = members.join(rendered, members["id"] == rendered["_uid"])
-    chains = rows.groupBy("chain_id").agg(
-        F.min_by(F.coalesce(F.col("user"), F.lit(null_text)), F.col("chain_rank")).alias("_root_user"),
-        ordered_join(F.col("chain_rank"), F.col("_piece")).alias("_body"),
-    )
-    doc = F.concat(F.col("_root_user"), F.lit(CHAIN_HEAD), F.col("_body"))
-    n = F.length(doc)
-    return chains.select("chain_id", doc.alias("doc")).where((n >= min_len) & (n <= max_len))
+    rendered = units.select("id", "parent_id", "is_post", "title", html_to_source(F.col("text")).alias("_src"))
+    titled = F.when(F.col("title").isNotNull(), F.concat(F.lit(CHAIN_SEP), F.col("title"))).otherwise(F.lit(""))
+    nodes = reach(rendered, F.concat(titled, F.lit(CHAIN_SEP), F.col("_src"))).nodes
+    ends = leaves(units).select(F.col("id").alias("_leaf"))
+    chains = nodes.join(ends, nodes["id"] == ends["_leaf"], "left_semi").select(F.col("id").alias("chain_id"), "root", "value")
+    users = units.where("is_post").select(F.col("id").alias("_root"), F.coalesce(F.col("user"), F.lit(null_text)).alias("_user"))
+    docs = chains.join(users, chains["root"] == users["_root"]).select("chain_id", F.concat("_user", F.lit(CHAIN_HEAD), "value").alias("doc"))
+    n = F.length("doc")
+    return docs.where((n >= min_len) & (n <= max_len))
 
 
 BUILDERS = {

@@ -451,6 +451,20 @@ def q_corpus_chain(spark, sf_dir):
     return C.chain_corpus(V.conv(spark, sf_dir))
 
 
+@register(
+    "corpus_chain_forest",
+    _duck_walk(V.duck_forest())
+    + f""",
+line AS (SELECT id, "user", CASE WHEN title IS NOT NULL THEN chr(10) || ' ' || title ELSE '' END || chr(10) || ' ' || {D.html_to_source('text')} AS piece FROM u),
+docs AS (SELECT m.chain_id, coalesce(arg_min("user", m.chain_rank), 'None') || ' says:' || string_agg(piece, '' ORDER BY m.chain_rank) AS doc
+  FROM members m JOIN line l ON l.id = m.member GROUP BY m.chain_id)
+SELECT chain_id, doc FROM docs WHERE length(doc) BETWEEN 50 AND 1000000""",
+)
+def q_corpus_chain_forest(spark, sf_dir):
+    """C4: chain corpus over branching threads, bounds wide enough to keep nearly every chain."""
+    return C.chain_corpus(V.forest(spark, sf_dir), 50, 1_000_000)
+
+
 # ------------------------------------------------------------------ ranking
 
 
@@ -862,7 +876,17 @@ def q_interactions(spark, sf_dir):
     return S.interactions(V.trials(spark, sf_dir), _NUMERIC_V4)
 
 
-@register("trial_candidates")
+def _duck_draw(name: str, seed: int = 3) -> str:
+    return f"(CAST(CAST('0x' || substr(md5('{seed}:{name}:' || i), 1, 13) AS BIGINT) AS DOUBLE) / {16**13}::DOUBLE)"
+
+
+@register(
+    "trial_candidates",
+    f"""WITH p AS (SELECT count(*) AS n_lines, round(avg(l_extendedprice), 2) AS avg_price, max(l_quantity) AS max_qty, min(l_returnflag) AS flag FROM lineitem GROUP BY l_suppkey),
+b AS (SELECT {', '.join(f"CAST({f}({c}) AS DOUBLE) AS {c}_{f}" for c in ("n_lines", "avg_price", "max_qty") for f in ("min", "max"))}, list_sort(list(DISTINCT flag)) AS flags FROM p)
+SELECT {', '.join(f"{c}_min + {_duck_draw(c)} * ({c}_max - {c}_min) AS {c}" for c in ("n_lines", "avg_price", "max_qty"))},
+  flags[CAST(floor({_duck_draw('flag')} * len(flags)) AS BIGINT) + 1] AS flag FROM range(1000) AS t(i), b""",
+)
 def q_trial_candidates(spark, sf_dir):
     """H6: 1000 candidates drawn from the observed parameter ranges and categories."""
     return S.candidates(_trial_params(spark, sf_dir), SEARCH_PARAMS, 1000, seed=3)
@@ -998,10 +1022,17 @@ def _scored(spark, sf_dir):
     return L.score_prompts(inputs, stub_model)
 
 
-@register("stub_scoring")
+@register(
+    "stub_scoring",
+    "SELECT chain_id, id, CAST(length(model_input) AS BIGINT) AS input_chars, array_to_string(list_transform(range(1, 21), "
+    "lambda i: 'A' || i || ': ' || CAST(CAST((length(model_input) * i) % 101 AS DOUBLE) / 100 AS VARCHAR)), chr(10)) AS output FROM ("
+    + "SELECT chain_id, id, " + f"'{TEMPLATE}' || ' ' || chr(10) || ' ' || prompt AS model_input FROM ("
+    + _duck_prompts(V.duck_conv())
+    + "))",
+)
 def q_stub_scoring(spark, sf_dir):
-    """L3: every templated prompt scored in Arrow batches by a caller-supplied model."""
-    return _scored(spark, sf_dir)
+    """L3: every templated prompt scored in Arrow batches by a caller-supplied model (the seconds each took left out)."""
+    return _scored(spark, sf_dir).drop("seconds")
 
 
 @register(
