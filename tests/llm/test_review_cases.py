@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from threadspark.llm import decontam, fmindex, pii, repeats, runlength
+from threadspark.llm import decontam, fmindex, pii, repeats, runlength, urltree
 from threadspark.llm.encoder import WordEncoder, vocabulary_path
 from test_operators import brute_repeats, build
 
@@ -101,3 +101,15 @@ def test_word_codes_tell_words_apart():
     codes, at = repeats.word_codes(data)
     assert codes.tolist() == [0, 1, 0, 2] and at.tolist() == begin.tolist()
     assert [data[a:b].tobytes().decode() for a, b in zip(begin, stop)] == [PAIR[0], PAIR[1], PAIR[0], "x"]
+
+
+def test_long_paths_take_a_round_per_branching(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(urltree, "materialize", lambda df: written.append(1) or df.checkpoint())
+    long = "/".join(f"s{chr(97 + k % 26)}" for k in range(2_000))
+    rows = [(1, f"http://h/{long}"), (2, f"http://h/{long}/end"), (3, f"http://h/{long}/other/x"), (4, f"http://g/{long}"), (5, "http://h/a//b/"), (6, "http://k/")]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(1, 7)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["template"] for r in urltree.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()}
+    top = "/*/*" + long[5:]  # the first two segments merge with those of the short path
+    assert got == {1: top, 2: top + "/*", 3: top + "/*/*", 4: "/" + long, 5: "/*/*", 6: ""}
+    assert len(written) <= 10

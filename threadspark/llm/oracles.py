@@ -79,8 +79,9 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) A
 FROM pos LEFT JOIN best USING (doc_id)"""
 
 
-def url_templates() -> str:
-    from threadspark.llm.urltree import DEPTH, MANY_CHILDREN, MIN_PURITY, RULES, SMOOTHING, Z2
+def url_templates(levels: int = 8) -> str:
+    """The operator's rule with its levels written out, for paths of up to ``levels`` segments."""
+    from threadspark.llm.urltree import MANY_CHILDREN, MIN_PURITY, RULES, SMOOTHING, Z2
 
     fits, acts = "NULL", "NULL"
     for act, rule in sorted(RULES, key=lambda r: len(r[1])):
@@ -88,13 +89,13 @@ def url_templates() -> str:
         test = f"((host = '{h}' OR suffix(host, '.{h}')) AND prefix(path, '/{p}'))"
         fits, acts = f"CASE WHEN {test} THEN '{rule}' ELSE {fits} END", f"CASE WHEN {test} THEN '{act}' ELSE {acts} END"
     steps, last = [], "t0"
-    for k in range(DEPTH + 1):
+    for k in range(levels + 1):
         steps.append(f"""
 s{k} AS (SELECT *, coalesce(segs[{k + 1}], '') AS seg FROM {last}),
 k{k} AS (SELECT host, template, seg, sum(n) AS kn, sum(lab) AS kl, sum(good) AS kg FROM s{k} GROUP BY ALL),
-n{k} AS (SELECT *, count(*) OVER h AS kids, sum(kn) OVER h AS nn, sum(kl) OVER h AS nl, sum(kg) OVER h AS ng FROM k{k} WINDOW h AS (PARTITION BY host, template)),
+n{k} AS (SELECT *, count(*) OVER h AS kids, sum(CASE WHEN kn < 2 THEN 1 ELSE 0 END) OVER h AS few, sum(kl) OVER h AS nl, sum(kg) OVER h AS ng FROM k{k} WINDOW h AS (PARTITION BY host, template)),
 v{k} AS (SELECT *, kg / nullif(kl, 0) - (ng - kg) / nullif(nl - kl, 0) AS dif, ng / nullif(nl, 0) AS p FROM n{k}),
-m{k} AS (SELECT host, template, seg, template || CASE WHEN seg = '' THEN '' WHEN kids > 1 AND ((kids > {MANY_CHILDREN} AND 2 * kids > nn)
+m{k} AS (SELECT host, template, seg, template || CASE WHEN seg = '' THEN '' WHEN kids > 1 AND ((kn < 2 AND few > {MANY_CHILDREN})
   OR coalesce(dif * dif <= {Z2}::DOUBLE * p * (1 - p) * (1 / nullif(kl, 0) + 1 / nullif(nl - kl, 0)), true)) THEN '/*' ELSE '/' || seg END AS nxt FROM v{k}),
 t{k + 1} AS (SELECT host, shape, segs, n, lab, good, nxt AS template FROM s{k} JOIN m{k} USING (host, template, seg))""")
         last = f"t{k + 1}"
@@ -103,7 +104,7 @@ WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, ins
 hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(substr(rest, len(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 sg AS (SELECT *, list_filter(string_split(regexp_replace(path, '[0-9]+', '<n>', 'g'), '/'), lambda x: x <> '') AS ss FROM hp),
-page AS (SELECT page_id, host, path, array_to_string(CASE WHEN len(ss) > {DEPTH} THEN list_concat(ss[1:{DEPTH}], ['**']) ELSE ss END, '/') AS shape FROM sg),
+page AS (SELECT page_id, host, path, array_to_string(ss, '/') AS shape FROM sg),
 lab AS (SELECT doc_id, min(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) AS good FROM labels
   WHERE quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
 shapes AS (SELECT host, shape, count(*) AS n, count(good) AS lab, coalesce(sum(good), 0) AS good FROM page LEFT JOIN lab ON lab.doc_id = page.page_id GROUP BY ALL),

@@ -15,7 +15,9 @@ No Python runs on the executors.
 Edge cases: a null url or one without ``://`` has empty host and path (and forms
 one template); null or repeated labels count as one label per id (good only if all
 its rows are good, rows with a null label are ignored); a null page id is kept and is unlabelled;
-repeated pages are all returned; empty tables give empty results.
+repeated pages are all returned; very long paths are followed to their end, in rounds that number the branchings;
+of rules that fit equally long ones cannot tie, as a host has one rule per path; columns besides id and url are not
+read, so none can clash; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,8 +33,6 @@ from threadspark.session import materialize
 #: (action, rule); a rule is host + path prefix.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-#: Levels the SQL oracle is written out to; the operator follows every path to its end.
-DEPTH = 4
 MANY_CHILDREN = 20
 Z2 = 3.8416
 SMOOTHING = 10.0
@@ -64,19 +64,27 @@ def path_shape(path: Column) -> Column:
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
-    """(host, shape, n, lab, good) -> the same with ``template``, level by level to the end of the deepest path.
+    """(host, shape, n, lab, good) -> the same with ``template``, down to the last segment of every path.
 
-    A path takes part in the levels of its segments and, as the empty segment, in the next one.
+    The tree is path-compressed: what all paths of a node go on with is taken in one step, so a round is spent on
+    every branching along a path, not on every segment. A path that ends in a node is there as the empty segment.
     """
-    t = shapes.withColumn("segs", F.split("shape", "/")).withColumn("template", F.lit(""))
-    depth = t.agg(F.max(F.size("segs"))).first()[0] or 0
+    key = ["host", "template"]
+    t = shapes.withColumn("rest", F.filter(F.split("shape", "/"), lambda s: s != "")).withColumn("template", F.lit(""))
     ended = []
-    for level in range(depth):
-        seg = F.coalesce(F.get("segs", F.lit(level)), F.lit(""))
-        t = t.withColumn("seg", seg)
-        kids = t.groupBy("host", "template", "seg").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("good").alias("kg"))
+    while (t.agg(F.max(F.size("rest"))).first()[0] or 0) > 0:
+        # the least and the greatest of a node's paths share what all of them share
+        ends = t.groupBy(key).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        same = F.array_position(F.zip_with("lo", "hi", lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+        ends = ends.withColumn("shared", F.when(same > 0, same - 1).otherwise(F.size("lo")).cast("int"))
+        ends = ends.select(*key, "shared", F.array_join(F.transform(F.slice("lo", F.lit(1), F.col("shared")), lambda s: F.concat(F.lit("/"), s)), "").alias("common"))
+        t = t.join(ends, key).withColumns({
+            "template": F.concat("template", "common"), "rest": F.slice("rest", F.col("shared") + 1, F.greatest(F.size("rest") - F.col("shared"), F.lit(0)))
+        }).drop("shared", "common")
+        t = materialize(t.withColumn("seg", F.coalesce(F.get("rest", F.lit(0)), F.lit(""))))
+        kids = t.groupBy(*key, "seg").agg(F.sum("n").alias("kn"), F.sum("lab").alias("kl"), F.sum("good").alias("kg"))
         few = F.col("kn") < 2
-        node = kids.groupBy("host", "template").agg(
+        node = kids.groupBy(key).agg(
             F.count(F.lit(1)).alias("kids"), F.count(F.when(few, 1)).alias("few"), F.sum("kl").alias("nl"), F.sum("kg").alias("ng")
         )
         rate, rest = F.col("kg") / F.nullif(F.col("kl"), F.lit(0)), (F.col("ng") - F.col("kg")) / F.nullif(F.col("nl") - F.col("kl"), F.lit(0))
@@ -85,12 +93,12 @@ def template_tree(shapes: DataFrame) -> DataFrame:
         similar = F.coalesce((rate - rest) * (rate - rest) <= spread, F.lit(True))
         variable = few & (F.col("few") > MANY_CHILDREN)
         name = F.when(F.col("seg") == "", F.lit("")).when((F.col("kids") > 1) & (variable | similar), F.lit("/*")).otherwise(F.concat(F.lit("/"), F.col("seg")))
-        step = kids.join(node, ["host", "template"]).select("host", "template", "seg", F.concat("template", name).alias("next"))
-        # t feeds two branches of each level: without the checkpoint the plan would double at each
-        t = materialize(t.join(step, ["host", "template", "seg"]).drop("template").withColumnRenamed("next", "template"))
-        ended.append(t.filter(F.size("segs") <= level))
-        t = t.filter(F.size("segs") > level)
-    return reduce(DataFrame.union, ended, t).select("host", "shape", "template", "n", "lab", "good")
+        step = kids.join(node, key).select(*key, "seg", F.concat("template", name).alias("next"))
+        t = materialize(t.join(step, [*key, "seg"]).drop("template").withColumnRenamed("next", "template"))
+        ended.append(t.where("seg = ''").drop("seg"))
+        t = t.where("seg <> ''").withColumn("rest", F.slice("rest", F.lit(2), F.size("rest"))).drop("seg")
+    out = ["host", "shape", "template", "n", "lab", "good"]
+    return reduce(DataFrame.unionByName, [e.select(out) for e in ended], t.select(out))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", rules=RULES) -> DataFrame:
