@@ -110,8 +110,11 @@ def strong_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """128-bit hashes of the byte ranges a..b, as two columns; these stand for equality, so no polynomial will do."""
     from xxhash import xxh3_128_digest
 
-    view = memoryview(data)
-    return np.frombuffer(b"".join([xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())]), U).reshape(-1, 2)
+    view, out = memoryview(data), np.empty((len(a), 2), U)
+    for k in range(0, len(a), _CHUNK):  # the digests of a chunk are Python objects
+        some = zip(a[k : k + _CHUNK].tolist(), b[k : k + _CHUNK].tolist())
+        out[k : k + _CHUNK] = np.frombuffer(b"".join([xxh3_128_digest(view[x:y]) for x, y in some]), U).reshape(-1, 2)
+    return out
 
 
 def prefix_hash(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

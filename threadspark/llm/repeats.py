@@ -120,6 +120,13 @@ def load(table: pa.Table, words: bool, length: int, gram: int, windows: bool = T
     return Bucket(data, ids, ends, begin, stop, segments)
 
 
+def turns(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before (the first one does)."""
+    out = np.ones(len(values), bool)
+    out[1:] = values[1:] != values[:-1]
+    return out
+
+
 def _by_shard(keys: np.ndarray) -> list[tuple[int, int, int]]:
     """(shard, from, to) ranges of sorted shard keys."""
     shard = (keys >> np.uint64(32)).astype(np.int64)
@@ -172,9 +179,9 @@ def answer_fingerprints(table: pa.Table) -> pa.Table:
 
 
 def send_segments(docs: pa.Table, answers: pa.Table, shards: int, words: bool, length: int, gram: int) -> pa.Table:
-    """Step 3: (shard, bucket, distinct segments: anchor fingerprints, hashes, smallest and largest id, byte lengths, bytes; the last four compressed)."""
-    names = ["shard", "bucket", "prints", "hashes", "low", "high", "sizes", "content"]
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+    """Step 3: (shard, bucket, distinct segments: anchor fingerprints, smallest and largest id, byte lengths, bytes; the last four compressed)."""
+    names = ["shard", "bucket", "prints", "low", "high", "sizes", "content"]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     if not len(docs) or not len(answers):
         return _table([], names, kinds)
     number, bucket = docs.column("bucket")[0].as_py(), load(docs, words, length, gram)
@@ -186,15 +193,15 @@ def send_segments(docs: pa.Table, answers: pa.Table, shards: int, words: bool, l
     s, keys = bucket.segments.pick(chosen), keys[chosen]
     hashes, ids = bucket.hashes(s, length), bucket.ids[s.doc]
     order = np.lexsort((hashes[:, 1], hashes[:, 0], keys >> np.uint64(32)))
-    new = np.flatnonzero(np.concatenate(([True], (hashes[order][1:] != hashes[order][:-1]).any(axis=1))))
+    new = np.flatnonzero(turns(hashes[:, 0][order]) | turns(hashes[:, 1][order]))
     low, high = np.minimum.reduceat(ids[order], new), np.maximum.reduceat(ids[order], new)
     first = order[new]
-    s, keys, hashes = s.pick(first), keys[first], hashes[first]
+    s, keys = s.pick(first), keys[first]
     content, sizes = bucket.content(s, length)
     prints = keys.astype(np.uint32)
     stops = np.concatenate(([0], np.cumsum(sizes)))
     rows = [
-        (p, number, prints[a:b].tobytes(), hashes[a:b].tobytes(), _pack(low[a:b]), _pack(high[a:b]), _pack(sizes[a:b].astype(np.int32)), _pack(content[stops[a] : stops[b]]))
+        (p, number, prints[a:b].tobytes(), _pack(low[a:b]), _pack(high[a:b]), _pack(sizes[a:b].astype(np.int32)), _pack(content[stops[a] : stops[b]]))
         for p, a, b in _by_shard(keys)
     ]
     return _table(rows, names, kinds)
@@ -204,18 +211,19 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     """Step 4: (bucket, hashes, from, to, owner): windows from..to of a segment also start in document ``owner``."""
     names, kinds = ["bucket", "hashes", "from", "to", "owner"], [pa.int32(), *[pa.binary()] * 4]
     read = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
-    own = [x.reshape(-1, 2) for x in read("hashes", np.uint64)]
+    own = read("prints", np.uint32)
     unpacked = lambda c, t, counts: [_unpack(x, k, t) for x, k in zip(table.column(c).to_pylist(), counts)]
     low, high, sizes = (unpacked(c, t, map(len, own)) for c, t in (("low", np.int64), ("high", np.int64), ("sizes", np.int32)))
     content = unpacked("content", np.uint8, (int(x.sum(dtype=np.int64)) for x in sizes))
-    prints, every = np.concatenate(read("prints", np.uint32)), np.concatenate(own)
+    prints, size, data = np.concatenate(own), np.concatenate(sizes).astype(np.int64), np.concatenate(content)
+    at = np.cumsum(size) - size
+    every = strong_hashes(data, at, at + size - int(words))
     order = np.lexsort((every[:, 1], every[:, 0], prints))
-    new = np.concatenate(([True], (every[order][1:] != every[order][:-1]).any(axis=1) | (prints[order][1:] != prints[order][:-1])))
+    new = turns(every[:, 0][order]) | turns(every[:, 1][order]) | turns(prints[order])
     first, back = order[new], np.empty(len(order), np.int64)
     back[order] = np.cumsum(new) - 1
     owners = np.minimum.reduceat(np.concatenate(low)[order], np.flatnonzero(new))
-    size, data = np.concatenate(sizes).astype(np.int64), np.concatenate(content)
-    begin = (np.cumsum(size) - size)[first]
+    begin = at[first]
     size, prints = size[first], prints[first]
     seg, start, stop, owner = [], [], [], []
     for a, b in _portions(size, prints, index.portion):
@@ -245,7 +253,8 @@ def answer_segments(table: pa.Table, index, words: bool, length: int) -> pa.Tabl
     seg, start, stop, owner = map(np.concatenate, (seg, start, stop, owner))
     per = np.searchsorted(seg, np.arange(len(first) + 1))
     rows, done = [], 0
-    for b, h, top in zip(table.column("bucket").to_pylist(), own, high):
+    for b, top in zip(table.column("bucket").to_pylist(), high):
+        h = every[done : done + len(top)]
         k = back[done : done + len(h)]
         done += len(h)
         n = per[k + 1] - per[k]
@@ -326,7 +335,7 @@ def remove_repeats(docs: DataFrame, index, words: bool, length: int, gram: int,
     repeated = prints.groupBy("shard").applyInArrow(answer_fingerprints, "bucket int, shard int, prints binary")
     segments = base.groupBy("bucket").cogroup(repeated.groupBy("bucket")).applyInArrow(
         lambda d, a: send_segments(d, a, n, words, length, gram),
-        "shard int, bucket int, prints binary, hashes binary, low binary, high binary, sizes binary, content binary",
+        "shard int, bucket int, prints binary, low binary, high binary, sizes binary, content binary",
     )
     answers = segments.groupBy("shard").applyInArrow(
         lambda t: answer_segments(t, index, words, length), "bucket int, hashes binary, `from` binary, `to` binary, owner binary"
