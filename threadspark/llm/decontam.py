@@ -91,12 +91,12 @@ def _contained(docs: DataFrame, items: DataFrame, percent: int) -> tuple[DataFra
     hashes = let(plain_words(F.col("text")), lambda w: F.flatten(F.array(*[sized(shingle_hashes(w, n), n) for n in sizes])))
     stream = keyed.select("doc_key", F.explode(hashes).alias("s")).select("doc_key", "s.n", "s.hash")
     pairs = materialize(stream.join(probes, ["n", "hash"]).select("doc_key", "item_key").distinct())
-    # the texts stay where they are while the candidates are few
+    # the texts stay where they are while the candidates, two hashes each, are few; then only candidate texts meet the shingles
     few = pairs.count() <= BROADCAST_ROWS
-    candidates = pairs.join(known.select("item_id", "item_key", "shingles", "q", "need"), "item_key")
     normal = F.concat(F.lit(" "), F.array_join(plain_words(F.col("text")), " "), F.lit(" "))
     found = (
-        keyed.join(F.broadcast(candidates) if few else candidates, "doc_key")
+        keyed.join(F.broadcast(pairs) if few else pairs, "doc_key")
+        .join(known.select("item_id", "item_key", "shingles", "q", "need"), "item_key")
         .select(
             "doc_id", "doc_key", "item_id", "q", "need",
             let(normal, lambda d: F.size(F.filter("shingles", lambda s: F.contains(d, s)))).alias("hit"),
