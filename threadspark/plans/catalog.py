@@ -1114,3 +1114,57 @@ def q_chain_csv_roundtrip(spark, sf_dir):
 def q_chain_head(spark, sf_dir):
     """S6 head: the first 100 chain rows in (chain_id, chain_rank) order."""
     return RD.chain_head(T.chain_table(V.conv(spark, sf_dir)), 100).select("chain_id", "chain_rank", "id")
+
+
+@register("predictions_roundtrip", ORACLES["trial_candidates"])
+def q_predictions_roundtrip(spark, sf_dir):
+    """K3 + S8's reader: a table of drawn parameters written as predictions and read back."""
+    path, drawn = _folder(spark, "predictions"), q_trial_candidates(spark, sf_dir)
+    WR.write_predictions(drawn, path)
+    return RD.read_predictions(spark, path, drawn.schema)
+
+
+@register("pages_roundtrip", "SELECT CAST(page_id AS VARCHAR) AS page_id, html FROM pages")
+def q_pages_roundtrip(spark, sf_dir):
+    """K5 + S10: pages written by crawl batch and read back."""
+    path = _folder(spark, "pages")
+    batch = (F.col("page_id") % 5).alias("batch")
+    WR.write_pages(V.table(spark, sf_dir, "pages").select("page_id", "html", batch), path, partition_col="batch")
+    return RD.read_saved_pages(spark, path, fmt="parquet")
+
+
+@register("links_roundtrip", "SELECT CAST(page_id AS VARCHAR) AS post_id, url FROM pages")
+def q_links_roundtrip(spark, sf_dir):
+    """K6 + S9: the link map of all pages written and read back."""
+    path = _folder(spark, "links")
+    WR.write_link_map(V.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("post_id"), "url"), path)
+    return RD.read_link_map(spark, path, fmt="parquet")
+
+
+@register(
+    "trial_log_roundtrip",
+    f"WITH t AS ({V.DUCK_TRIALS}) SELECT {', '.join(m for m, *_ in R.TRIAL_RANKS)}, CASE WHEN trial_id % 3 = 0 THEN 'error' ELSE 'ok' END AS status FROM t",
+)
+def q_trial_log_roundtrip(spark, sf_dir):
+    """K2 + S7: all trials appended in two batches, the second batch twice, compacted and read back."""
+    metrics = [m for m, *_ in R.TRIAL_RANKS]
+    trials = V.trials(spark, sf_dir).withColumn("number", F.col("trial_id"))
+    plan = S.search_plan(spark, trials.agg(F.max("number") + 1).first()[0] or 0, seed=4).join(trials.select("number", *metrics), "number")
+    status = F.when(F.col("number") % 3 == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status")
+    log = plan.select(*S.TRIAL_PARAMS, *metrics, status, F.lit(None).cast("string").alias("error"), "trial_id", "number")
+    path, small = _folder(spark, "log"), _folder(spark, "log")
+    for odd in (0, 1, 1):
+        WR.append_trials(log.where(F.col("number") % 2 == odd).drop("number"), path)
+    WR.compact_trials(spark, path, small)
+    return RD.read_trials(spark, small).select(*metrics, "status")
+
+
+@register(
+    "corpus_by_name",
+    f"""SELECT 'post' AS dataset, doc FROM ({ORACLES["corpus_source"]}) UNION ALL SELECT 'post_html', doc FROM ({ORACLES["corpus_html"]})""",
+)
+def q_corpus_by_name(spark, sf_dir):
+    """Corpora of the forest by dataset name."""
+    units = V.forest(spark, sf_dir)
+    made = [C.build_corpus(units, name).select(F.lit(name).alias("dataset"), "doc") for name in ("post", "post_html")]
+    return made[0].unionByName(made[1])
