@@ -214,7 +214,7 @@ def brute_shards(ids, shards, seed):
 def test_shuffle_matches_brute_force(spark, n, shards):
     ids = random.Random(n).sample(range(-n, 9 * n), n)
     df = spark.createDataFrame([(i, "p") for i in ids], "doc_id long, payload string").repartition(3)
-    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shuffle_rows(df, "doc_id", shards).collect()}
+    got = {r["row"]["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shuffle_rows(df, "doc_id", shards).collect()}
     assert got == brute_shards(ids, shards, 42)
 
 
@@ -228,8 +228,9 @@ def test_shards_of_awkward_rows(spark):
     assert all(sorted(r["slot"] for r in got if r["shard"] == j) == list(range(counts[j])) for j in range(16))
     assert len({r["shard"] for r in got if r["doc_id"] == 7}) > 8  # one id's rows do not stay together
     assert sharding.shard_table(build(spark, [])).collect() == []
-    with pytest.raises(ValueError):
-        sharding.shuffle_rows(build(spark, rows).withColumnRenamed("slot_", "slot"), "doc_id", 4)
+    clash = build(spark, rows).withColumnsRenamed({"slot_": "slot", "lang": "shard", "bits": "row", "source": "key"})
+    again = sharding.shuffle_rows(clash, "doc_id", 4)
+    assert again.select("row.*").columns == clash.columns and again.select("row.doc_id", "row.shard").exceptAll(clash.select("doc_id", "shard")).isEmpty()
 
 
 def test_hypergeometric_law(spark):
@@ -246,7 +247,7 @@ def test_shuffle_is_uniform(spark):
     df = spark.range(64).withColumnRenamed("id", "doc_id")
     seen, together = np.zeros((64, 4)), 0
     for seed in range(40):
-        shard = {r["doc_id"]: r["shard"] for r in sharding.shuffle_rows(df, "doc_id", 4, seed).collect()}
+        shard = {r["row"]["doc_id"]: r["shard"] for r in sharding.shuffle_rows(df, "doc_id", 4, seed).collect()}
         for i, j in shard.items():
             seen[i, j] += 1
         together += sum(shard[i] == shard[i + 1] for i in range(63))
@@ -259,8 +260,8 @@ def test_written_shards(spark, tmp_path):
     rows = corpus()
     sharding.write_shards(build(spark, rows), f"{tmp_path}/out", 5)
     back = spark.read.parquet(f"{tmp_path}/out")
-    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((d, t) for d, t, *_ in rows)
-    assert set(back.columns) == {*build(spark, rows).columns, "shard", "slot"}
+    assert Counter((r["row"]["doc_id"], r["row"]["text"]) for r in back.collect()) == Counter((d, t) for d, t, *_ in rows)
+    assert set(back.columns) == {"row", "shard", "slot"} and back.select("row.*").columns == build(spark, rows).columns
 
 
 # ---------------------------------------------------------------- 13

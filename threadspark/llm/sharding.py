@@ -17,7 +17,7 @@ seed and id, so the result is the same on any partitioning and after any lost ta
 Edge cases: a null id or an id that several rows carry is told apart by its place in the written input (equal ids then
 spread over blocks and shards like any others, and only for those rows does the result depend on the layout); null
 and empty texts count as rows; a text's length plays no part; fewer rows than shards leave
-shards empty; an empty table gives no rows; columns named like those added are refused.
+shards empty; an empty table gives no rows; the input's columns travel as one struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -27,12 +27,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadspark.llm.common import shuffle_parts
+from threadspark.llm.common import as_rows, shuffle_parts
 from threadspark.session import materialize
 
 WAYS = 16
-ADDED = ("shard", "slot")
-_OWN = ("_row", "_key", "_block", "_part")
 
 
 def _number(c: Column) -> Column:
@@ -138,37 +136,33 @@ def communication_matrix(blocks: DataFrame, levels: int, places: list[int], seed
 
 
 def shuffle_rows(rows: DataFrame, id_column: str, shards: int, seed: int = 42) -> DataFrame:
-    """``rows`` with ``shard`` (0 to shards - 1, sizes at most one apart) and ``slot`` (gapless from 0): a uniform shuffle.
+    """``row`` (a struct of all columns of ``rows``), ``shard`` (0 to shards - 1, sizes at most one apart) and ``slot`` (gapless from 0): a uniform shuffle.
 
     The rows are written out twice and exchanged twice; pass only the columns needed.
     """
-    clash = [c for c in rows.columns if c in (*ADDED, *_OWN)]
-    if clash:
-        raise ValueError(f"columns {clash} are added by the shuffle: rename them first")
-    held = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    held = materialize(as_rows(rows).withColumns({"id": F.col(f"row.`{id_column}`"), "at_row": F.monotonically_increasing_id()}))
     total = held.count()
     levels = max(1, round(math.log(max(total, 2), WAYS) / 2))
-    several = held.groupBy(F.col(id_column).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col("_id").isNull())
-    salt = F.when(F.col("_n").isNotNull(), F.col("_row"))
-    keyed = held.join(several, F.col(id_column).eqNullSafe(F.col("_id")), "left").withColumn("_key", F.xxhash64(F.lit(seed), F.col(id_column), F.coalesce(salt, F.lit(-1).cast("long")))).drop("_id", "_n")
-    draw = lambda k: F.xxhash64(F.lit(k), F.col("_key"))
+    several = held.groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col("_id").isNull())
+    salt = F.when(F.col("n").isNotNull(), F.col("at_row"))
+    keyed = held.join(several, F.col("id").eqNullSafe(F.col("_id")), "left").withColumn("key", F.xxhash64(F.lit(seed), F.col("id"), F.coalesce(salt, F.lit(-1).cast("long")))).drop("_id", "n")
+    draw = lambda k: F.xxhash64(F.lit(k), F.col("key"))
     block = lambda k: F.pmod(draw(k), F.lit(WAYS**levels).cast("long"))
-    keyed = materialize(keyed.withColumn("_block", block(1)))
+    keyed = materialize(keyed.withColumn("block", block(1)))
 
     places = [total // shards + (j < total % shards) for j in range(shards)]
-    matrix = communication_matrix(keyed.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_block", "block"), levels, places, seed)
-    ends = matrix.select(F.col("block").alias("_block"), F.transform("sends", lambda _, j: F.aggregate(F.slice("sends", F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, x: a + x)).alias("_ends"))
-    tie = [F.col(id_column), F.col("_row")]
-    local = F.row_number().over(Window.partitionBy("_block").orderBy(draw(2), *tie)) - 1
-    sent = keyed.withColumn("_at", local).join(ends, "_block").withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col("_at"))))
-    sent = materialize(sent.drop("_at", "_ends", "_block").withColumn("_part", block(3)))
+    matrix = communication_matrix(keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")), levels, places, seed)
+    ends = matrix.select("block", F.transform("sends", lambda _, j: F.aggregate(F.slice("sends", F.lit(1), j + 1), F.lit(0).cast("long"), lambda a, x: a + x)).alias("ends"))
+    tie = ["id", "at_row"]
+    local = F.row_number().over(Window.partitionBy("block").orderBy(draw(2), *tie)) - 1
+    sent = keyed.withColumn("at", local).join(ends, "block").withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("at"))))
+    sent = materialize(sent.drop("at", "ends", "block").withColumn("part", block(3)))
 
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sent.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = parts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(draw(4), *tie)) - 1
-    placed = sent.withColumn("_at", inner).join(starts, ["shard", "_part"])
-    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], "shard", (F.col("_start") + F.col("_at")).cast("long").alias("slot"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sent.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("shard", "part").orderBy(draw(4), *tie)) - 1
+    return sent.withColumn("at", inner).join(starts, ["shard", "part"]).select("row", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"))
 
 
 def shard_table(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
@@ -176,12 +170,12 @@ def shard_table(docs: DataFrame, shards: int = 16, seed: int = 42) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     return shuffle_rows(narrow, "doc_id", shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
+        "row.*", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 42) -> None:
-    """All columns of ``docs`` as Parquet below ``path``/shard=k, each file a run of slots in order."""
+    """Parquet below ``path``/shard=k, each file a run of slots in order: ``row`` (all columns of ``docs``) and ``slot``."""
     done = shuffle_rows(docs, "doc_id", shards, seed)
     parts = shuffle_parts(docs.sparkSession)
     done.repartitionByRange(parts, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
