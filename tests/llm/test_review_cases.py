@@ -68,9 +68,14 @@ def test_long_runs_take_linear_time(text):
     assert time.perf_counter() - began < 8
 
 
+@pytest.mark.parametrize("portion", [1, 40, 2_000_000])
 @pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_written_end_marks_encode_as_the_library_does(name, mode):
+def test_written_end_marks_encode_as_the_library_does(monkeypatch, name, mode, portion):
     import pyarrow as pa
+
+    from threadspark.llm import encoder
+
+    monkeypatch.setattr(encoder, "PORTION", portion)
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocabulary_path(name))

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+PORTION = 2_000_000
+
 _ENCODERS: dict[tuple[str, str], "WordEncoder"] = {}
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -84,8 +86,24 @@ class WordEncoder:
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order and, per text, where its ids end. Null texts are empty."""
+        """All ids in order and, per text, where its ids end. Null texts are empty.
+
+        About ``PORTION`` bytes are taken at a time: the arrays of a portion are some 20 times its text.
+        """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids, ends, a, done = [], [], 0, 0
+        while a < len(texts):
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + PORTION, "right")))
+            some, end = self._encode(texts.slice(a, b - a))
+            ids.append(some)
+            ends.append(end + done)
+            a, done = b, done + len(some)
+        if not ids:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = self._cut(texts)
         flat, ends = lists.flatten(), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
         codes = flat.dictionary_encode()
