@@ -118,3 +118,15 @@ def test_long_paths_take_a_round_per_branching(spark, monkeypatch):
     top = "/*/*/*" + long[8:]  # the first two segments merge with those of the short path, the third with its end
     assert got == {1: top, 2: top + "/*", 3: top + "/*/*", 4: "/" + long, 5: "/*/*", 6: ""}
     assert len(written) <= 12  # two a round; 2,000 levels would take 2,000
+
+
+@pytest.mark.parametrize("name", ["op2_run_length_dedup", "op4_fm_index_dedup"])
+def test_negative_and_null_ids_in_repeats(spark, tmp_path, name):
+    """-1 once stood for "no match"; a null id has no smaller one, so its document stays whole."""
+    from threadspark.llm.queries import QUERIES
+
+    text = " ".join(f"word{k}" for k in range(30))
+    build(spark, [(-7, text), (-1, "own start " + text), (3, text), (None, text), (4, None)], extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    n = 30 if name.startswith("op4") else len(text)
+    got = {r["doc_id"]: r["n_removed"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {-7: 0, -1: n, 3: n, None: 0, 4: 0}
