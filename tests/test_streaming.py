@@ -68,3 +68,13 @@ def test_threads_ingested_newest_arrival_wins(spark):
     assert state() == (rows, links)
     Z.compact_threads(spark, f"{base}/out", f"{base}/table")
     assert spark.read.parquet(f"{base}/table").count() == len(rows)
+
+
+def test_incremental_pages_reads_a_folder_of_part_files(spark, tmp_path):
+    from threadspark.plans.catalog import QUERIES
+
+    rows = [(k % 40, f"u{k % 40}", f"<p>{k % 40}</p>") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["incremental_pages"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(set(rows))

@@ -1053,8 +1053,9 @@ def q_answer_parse(spark, sf_dir):
 def q_incremental_pages(spark, sf_dir):
     """Stored pages ingested by an availableNow stream, de-duplicated by page id."""
     base = f"{ensure_checkpoint_dir(spark)}/incremental-pages-{uuid.uuid4().hex}"
-    Z.ingest_pages(spark, sf_dir, f"{base}/out", f"{base}/state", glob="pages.parquet")
-    return spark.read.parquet(f"{base}/out")
+    source, glob = Z.table_files(spark, sf_dir, "pages.parquet")
+    Z.ingest_pages(spark, source, f"{base}/out", f"{base}/state", glob=glob)
+    return spark.read.schema(Z.PAGES_SCHEMA).parquet(f"{base}/out")
 
 
 # ------------------------------------------------------------------ thread pages

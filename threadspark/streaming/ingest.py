@@ -36,6 +36,13 @@ def page_stream(spark: SparkSession, source_dir: str, glob: str = "*.parquet", s
     return reader.parquet(source_dir)
 
 
+def table_files(spark: SparkSession, folder: str, name: str) -> tuple[str, str]:
+    """Where the files of the table ``folder``/``name`` lie, a file or a folder of part files: (source_dir, glob)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return (f"{folder}/{name}", "*") if status.isDirectory() else (folder, name)
+
+
 def ingest_pages(spark: SparkSession, source_dir: str, out_dir: str, checkpoint: str | None = None,
                  glob: str = "*.parquet", key: str = "page_id", event_time: str | None = None,
                  watermark: str = "1 day", schema: T.StructType = PAGES_SCHEMA) -> None:
