@@ -50,3 +50,25 @@ def test_vectors_equal_the_counts(spark):
     assert got == {1: (3, {0: 1.0, 2: 2.0}), 2: (3, {1: 1.0}), 3: (3, {}), 4: (3, {}), None: (3, {0: 2.0})}
     model = VB.vectorizer(vocab, "tokens").transform(docs.where("tokens IS NOT NULL"))
     assert all(got[r.doc_id][1] == dict(zip(r.features.indices.tolist(), r.features.values.tolist())) for r in model.collect())
+
+
+def test_lda_updates_once_per_two_chunks_of_a_core_and_uses_all_cores(spark, monkeypatch):
+    from threadspark.plans import catalog as K
+
+    fits = []
+
+    class Fit:
+        def __init__(self, **given):
+            self.given = given
+
+        def fit(self, vectors):
+            fits.append((self.given, vectors.rdd.getNumPartitions()))
+
+    monkeypatch.setattr(TP, "LDA", Fit)
+    monkeypatch.setattr(K, "LDA_PARAMS", {**K.LDA_PARAMS, "chunksize": 2})
+    K._lda_model(spark, "/root/testdata/sf0.001")
+    cores = spark.sparkContext.defaultParallelism
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    (given, parts), batch = fits[0], 2 * cores * 2
+    assert given["maxIter"] == K.LDA_PARAMS["passes"] * -(-n // batch) and given["subsamplingRate"] == min(1.0, batch / n)
+    assert parts >= 2 * cores

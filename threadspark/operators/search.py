@@ -127,11 +127,11 @@ def train_and_measure(tokens: DataFrame, p: dict, seed: int = 0, bow_source: str
     if vocab.isEmpty():
         raise _TrialFailure("empty_vocab", "no term passed the frequency filter")
     source = tokens if bow_source == "raw" else phrased.withColumnRenamed("phrased", "tokens")
-    vectors = materialize(VB.bow_vectors(source, vocab, "doc_key", "tokens"))
+    vectors = materialize(TP.spread(VB.bow_vectors(source, vocab, "doc_key", "tokens"), "doc_key"))
     n_docs = vectors.count()
     k = int(p["lda_num_topics"])
     est = dict(k=k, n_docs=n_docs, chunksize=int(p["chunksize"]), passes=int(p["passes"]), decay=float(p["decay"]),
-               alpha=p["alpha"], eta=p["eta"], features_col="features")
+               alpha=p["alpha"], eta=p["eta"], features_col="features", update_every=TP.chunks_per_update(tokens.sparkSession))
     model1 = TP.lda_estimator(seed=seed, **est).fit(vectors)
     training_time = time.perf_counter() - t0
     model2 = TP.lda_estimator(seed=seed + 1, **est).fit(vectors)

@@ -3,8 +3,10 @@
 Training uses MLlib's online variational-Bayes LDA (a distributed optimiser:
 each mini-batch is a treeAggregate over executors). Parameters map as:
 
-* ``chunksize`` -> ``subsamplingRate = min(1, chunksize / N)``;
-* ``passes``    -> ``maxIter = passes * ceil(N / chunksize)`` mini-batches;
+* ``chunksize`` -> a mini-batch of ``update_every`` chunks: ``subsamplingRate = min(1, update_every * chunksize / N)``.
+  The multicore trainer updates its model once per two chunks of every worker (:func:`chunks_per_update`),
+  and each update reads all vectors and moves the whole model, so one per chunk would cost N * N / chunksize;
+* ``passes``    -> ``maxIter = passes * ceil(N / (update_every * chunksize))`` mini-batches: every document as often, in the mean;
 * ``decay``     -> ``learningDecay``; offset 1.0 -> ``learningOffset``;
 * ``alpha``     -> ``docConcentration``: symmetric ``1/k`` or asymmetric
   ``1/(i + sqrt(k))`` normalised to sum 1;
@@ -23,7 +25,7 @@ import time
 
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # UMass smoothing, minimum topic probability kept per document, top-n sizes.
@@ -43,21 +45,33 @@ def alpha_vector(alpha: str, k: int) -> list[float]:
     raise ValueError(f"unsupported alpha {alpha!r}")
 
 
+def chunks_per_update(spark: SparkSession) -> int:
+    """Chunks the multicore trainer takes in between two updates of the model: two per worker, here per core."""
+    return 2 * max(1, spark.sparkContext.defaultParallelism)
+
+
+def spread(vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``vectors`` over at least two tasks per core: they are small for their work, and adaptive execution would leave them to a few tasks."""
+    spark = vectors.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return vectors.repartition(n, id_col)
+
+
 def lda_estimator(
     k: int, n_docs: int, chunksize: int = 1000, passes: int = 10, decay: float = 0.8,
-    alpha: str = "asymmetric", eta: str = "auto", seed: int = 0, features_col: str = "features",
+    alpha: str = "asymmetric", eta: str = "auto", seed: int = 0, features_col: str = "features", update_every: int = 1,
 ) -> LDA:
-    """M5: an MLlib online LDA configured from the reference's parameters."""
+    """M5: an MLlib online LDA configured from the reference's parameters; one update per ``update_every`` chunks."""
     if not (0.5 < decay <= 1.0):
         raise ValueError("decay must be in (0.5, 1.0]")
     if eta not in ("symmetric", "auto"):
         raise ValueError(f"unsupported eta {eta!r}")
-    n = max(n_docs, 1)
+    n, batch = max(n_docs, 1), update_every * chunksize
     return LDA(
         k=k,
         optimizer="online",
-        maxIter=max(1, passes * math.ceil(n / chunksize)),
-        subsamplingRate=min(1.0, chunksize / n),
+        maxIter=max(1, passes * math.ceil(n / batch)),
+        subsamplingRate=min(1.0, batch / n),
         learningDecay=decay,
         learningOffset=1.0,
         docConcentration=alpha_vector(alpha, k),

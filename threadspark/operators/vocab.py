@@ -44,8 +44,8 @@ def build_vocabulary(
         kept = kept.orderBy(F.desc("df"), F.asc("term")).limit(keep_n)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc("df"), F.asc("term")]
-    # range bounds come from a sample; the checkpoint keeps partition ids fixed
-    parts = materialize(kept.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
+    # range bounds come from a sample: held, the terms are not counted a second time for it; the second checkpoint keeps partition ids fixed
+    parts = materialize(materialize(kept).repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()))
     totals = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_t"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))

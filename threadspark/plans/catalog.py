@@ -783,13 +783,13 @@ LDA_PARAMS = dict(k=5, chunksize=1000, passes=2, decay=0.7, alpha="asymmetric",
 def _lda_inputs(spark, sf_dir):
     toks = _doc_tokens(spark, sf_dir).select("doc_id", "tokens")
     vocab = materialize(VB.build_vocabulary(toks, no_below=5, no_above=0.5, keep_n=VB.KEEP_N))
-    vectors = materialize(VB.bow_vectors(toks, vocab))
+    vectors = materialize(TP.spread(VB.bow_vectors(toks, vocab)))
     return vocab, vectors
 
 
 def _lda_model(spark, sf_dir, seed=0):
     vocab, vectors = _lda_inputs(spark, sf_dir)
-    est = TP.lda_estimator(n_docs=vectors.count(), seed=seed, **LDA_PARAMS)
+    est = TP.lda_estimator(n_docs=vectors.count(), seed=seed, update_every=TP.chunks_per_update(spark), **LDA_PARAMS)
     return est.fit(vectors), vocab, vectors
 
 
@@ -811,9 +811,9 @@ def q_lda_doc_topics(spark, sf_dir):
 def q_lda_metrics(spark, sf_dir):
     """Two fits with different seeds; coherence, perplexity, diversity, entropy, stability."""
     vocab, vectors = _lda_inputs(spark, sf_dir)
-    n = vectors.count()
-    m1 = TP.lda_estimator(n_docs=n, seed=0, **LDA_PARAMS).fit(vectors)
-    m2 = TP.lda_estimator(n_docs=n, seed=1, **LDA_PARAMS).fit(vectors)
+    n, every = vectors.count(), TP.chunks_per_update(spark)
+    m1 = TP.lda_estimator(n_docs=n, seed=0, update_every=every, **LDA_PARAMS).fit(vectors)
+    m2 = TP.lda_estimator(n_docs=n, seed=1, update_every=every, **LDA_PARAMS).fit(vectors)
     toks = _doc_tokens(spark, sf_dir).select("doc_id", "tokens")
     occ = TP.doc_terms(VB.bag_of_words(toks, vocab))
     k = LDA_PARAMS["k"]
