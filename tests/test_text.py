@@ -83,3 +83,32 @@ def test_encode_replace_equals_python(spark):
 
     with pytest.raises(LookupError):
         X.encode_replace(F.col("t"), "no such codec")
+
+
+def test_encode_replace_holds_a_slice_of_a_batch(spark, monkeypatch):
+    import pyarrow as pa
+
+    run, held = [], []
+    monkeypatch.setattr(X, "SLICE_ROWS", 3)
+    monkeypatch.setattr(X.F, "arrow_udf", lambda f, kind: lambda c: run.append(f))
+    X.encode_replace(None, "latin-1")
+    texts = ["é中", None, "", "a€"] * 5
+
+    class Batch:
+        """Tells how many texts are asked for at once."""
+
+        def __init__(self, values):
+            self.values = values
+
+        def __len__(self):
+            return len(self.values)
+
+        def slice(self, a, n):
+            return Batch(self.values[a : a + n])
+
+        def to_pylist(self):
+            held.append(len(self.values))
+            return self.values
+
+    assert run[0](Batch(texts)).to_pylist() == ["é?", None, "", "a?"] * 5 and max(held) == 3
+    assert run[0](pa.array([], pa.string())).to_pylist() == []

@@ -62,6 +62,10 @@ def ascii_replace(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x00-\x7F]", "?")
 
 
+#: Texts of an Arrow batch that are Python strings at a time.
+SLICE_ROWS = 64
+
+
 def encode_replace(text: Column, encoding: str, decoding: str | None = None) -> Column:
     """The text encoded with '?' for what ``encoding`` cannot hold, then decoded again.
 
@@ -78,7 +82,9 @@ def encode_replace(text: Column, encoding: str, decoding: str | None = None) ->
             return None
 
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([one(t) for t in batch.to_pylist()], pa.string())
+        # a slice at a time: as Python strings a text may take four times its bytes, twice
+        parts = [pa.array([one(t) for t in batch.slice(a, SLICE_ROWS).to_pylist()], pa.string()) for a in range(0, len(batch), SLICE_ROWS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
     return F.arrow_udf(run, "string")(text)
 
