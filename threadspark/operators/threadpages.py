@@ -131,7 +131,9 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
     """Content rows (post + comments) of every stored thread page ``(page_id, url, html)``."""
     if scope not in ("own", "subtree"):
         raise ValueError("scope must be 'own' or 'subtree'")
-    s = materialize(element_stream(pages))
+    # Plain tags (of paragraphs, mostly) end elements, which the stream has settled; what follows looks only at these.
+    telling = F.col("name").isin("div", "time") | F.col("id_attr").isNotNull() | (F.col("cls") != F.array(F.lit("")))
+    s = materialize(element_stream(pages).where(telling))
     page_order = Window.partitionBy("page_id").orderBy("pos")
     is_div = (F.col("name") == "div") & F.col("lvl").isNotNull()
     is_copen = is_div & ~F.col("closing") & (F.lower(F.coalesce(_attr(F.col("tag"), "data-type", decode=False), F.lit(""))) == "comment")
@@ -206,10 +208,12 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
             first(m_md, span).alias("md_html"),
         )
     else:
-        after = page_order.rowsBetween(0, Window.unboundedFollowing)
+        # the first match from here on is the last one of the pages read backwards: a frame that only grows
+        # is kept as rows come, one that shrinks is computed anew for every row
+        after = Window.partitionBy("page_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
 
         def nxt(cond: Column, val: Column) -> Column:
-            return F.first(F.when(cond, F.struct(F.col("pos").alias("p"), val.alias("v"))), ignorenulls=True).over(after)
+            return F.last(F.when(cond, F.struct(F.col("pos").alias("p"), val.alias("v"))), ignorenulls=True).over(after)
 
         sub = s.select(
             "page_id", "pos", "fin", "copen",
@@ -246,48 +250,44 @@ def parse_thread_pages(pages: DataFrame, scope: str = "own", site: str = SITE) -
         first(F.col("in_top") & m_label, span).alias("t3"),
         first(F.col("in_top") & m_flair, span).alias("p_flair"),
     )
-    post = post.where(F.col("body_html").isNotNull())
-    content = page_bytes(pages)
-    words = {c: _words(F.col(c)) for c in ("title", "p_user", "p_score", "src_text", "t1", "t2", "t3", "p_flair")}
-    post = post.join(content, "page_id").withColumns({**words, "body_html": _markup(F.col("body_html"))}).drop("markup", "words")
-    post = post.join(pages.select("page_id", "url"), "page_id")
-    post_id = F.replace(url_post_id(F.col("url")), F.lit("t1_"), F.lit(""))
-    post_rows = post.select(
-        F.col("url"),
-        F.coalesce(F.col("src_text"), F.lit("")).alias("source_text"),
-        url_community(F.col("url")).alias("subreddit"),
-        F.coalesce(F.col("p_flair"), F.lit("")).alias("author_tag"),
+    post = post.where(F.col("body_html").isNotNull()).withColumn("is_post", F.lit(True)).withColumnsRenamed(
+        {"p_user": "user", "p_score": "score", "p_flair": "flair"}
+    )
+    # comments of pages with a post body; a page id held twice counts as often as its pages
+    kept_pages = post.select("page_id").join(pages.select("page_id"), "page_id")
+    c = c.join(kept_pages, "page_id").select(
+        "page_id", "fullname", "permalink", "parent_fullname", F.col("c_user").alias("user"), F.col("c_score").alias("score"), F.col("c_date").alias("date"),
+        F.col("c_flair").alias("flair"), "src_text", F.col("md_html").alias("body_html"), F.lit(False).alias("is_post"),
+    )
+    # all spans of a page meet its bytes at once, in one row, so the bytes are not copied for every comment
+    rows = post.unionByName(c, allowMissingColumns=True)
+    plain = ["is_post", "fullname", "permalink", "parent_fullname", "date"]
+    texts = ["title", "user", "score", "src_text", "t1", "t2", "t3", "flair"]
+    spans = rows.groupBy("page_id").agg(F.collect_list(F.struct(*plain, *texts, "body_html")).alias("rows"))
+
+    def cut(r: Column) -> Column:
+        return F.struct(*[r[f].alias(f) for f in plain], *[_words(r[f]).alias(f) for f in texts], _markup(r["body_html"]).alias("body_html"))
+
+    rows = spans.join(page_bytes(pages), "page_id").select("page_id", F.inline(F.transform("rows", cut)))
+    rows = rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    is_post = F.col("is_post")
+    post_id = F.replace(url_post_id(F.col("page_url")), F.lit("t1_"), F.lit(""))
+    comment_id, above = (F.replace(F.col(f), F.lit("t1_"), F.lit("")) for f in ("fullname", "parent_fullname"))
+    return rows.select(
+        F.when(is_post, F.col("page_url")).otherwise(F.concat(F.lit(site), F.coalesce(F.col("permalink"), F.lit("None")))).alias("url"),
+        F.when(is_post, F.coalesce(F.col("src_text"), F.lit(""))).otherwise(F.col("src_text")).alias("source_text"),
+        url_community(F.col("page_url")).alias("subreddit"),
+        F.coalesce(F.col("flair"), F.lit("")).alias("author_tag"),
         F.coalesce(F.col("t1"), F.col("t2"), F.col("t3")).alias("tag"),
-        F.coalesce(F.col("p_user"), F.lit(NO_USER)).alias("user"),
+        F.coalesce(F.col("user"), F.lit(NO_USER)).alias("user"),
         F.col("body_html").alias("text"),
         F.col("date"),
-        first_integer(F.col("p_score")).alias("upvotes"),
-        post_id.alias("id"),
-        F.lit(None).cast("string").alias("parent_id"),
-        F.lit(True).alias("is_post"),
+        first_integer(F.col("score")).alias("upvotes"),
+        F.when(is_post, post_id).otherwise(comment_id).alias("id"),
+        F.when(~is_post, F.coalesce(above, post_id)).alias("parent_id"),
+        is_post.alias("is_post"),
         F.col("title"),
-        "page_id",
-    )
-    kept_pages = post_rows.select("page_id", F.col("id").alias("_post_id"), F.col("url").alias("_purl"))
-    words = {c: _words(F.col(c)) for c in ("c_user", "c_score", "c_flair", "src_text")}
-    c = c.join(kept_pages, "page_id").join(content, "page_id").withColumns({**words, "md_html": _markup(F.col("md_html"))}).drop("markup", "words")
-    comment_rows = c.select(
-        F.concat(F.lit(site), F.coalesce(F.col("permalink"), F.lit("None"))).alias("url"),
-        F.col("src_text").alias("source_text"),
-        url_community(F.col("_purl")).alias("subreddit"),
-        F.coalesce(F.col("c_flair"), F.lit("")).alias("author_tag"),
-        F.lit(None).cast("string").alias("tag"),
-        F.coalesce(F.col("c_user"), F.lit(NO_USER)).alias("user"),
-        F.col("md_html").alias("text"),
-        F.col("c_date").alias("date"),
-        first_integer(F.col("c_score")).alias("upvotes"),
-        F.replace(F.col("fullname"), F.lit("t1_"), F.lit("")).alias("id"),
-        F.coalesce(F.replace(F.col("parent_fullname"), F.lit("t1_"), F.lit("")), F.col("_post_id")).alias("parent_id"),
-        F.lit(False).alias("is_post"),
-        F.lit(None).cast("string").alias("title"),
-        "page_id",
-    )
-    return post_rows.unionByName(comment_rows).select(*CONTENT_COLUMNS)
+    ).select(*CONTENT_COLUMNS)
 
 
 # ------------------------------------------------------------------ renderer (inverse, for tests and round trips)
@@ -309,7 +309,7 @@ def render_thread_pages(units: DataFrame, site: str = SITE) -> DataFrame:
     from threadspark.operators.threads import reach
 
     nodes = reach(units).nodes.select(F.col("id").alias("_pid_"), "depth", "root")
-    u = units.join(nodes, units["id"] == F.col("_pid_")).drop("_pid_")
+    u = materialize(units.join(nodes, units["id"] == F.col("_pid_")).drop("_pid_"))  # read once per level
     max_d = u.agg(F.max("depth")).first()[0]
     if max_d is None:
         return units.sparkSession.createDataFrame([], "page_id string, url string, html string")
