@@ -19,7 +19,9 @@ positions only).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadspark.functions.text import splice
@@ -30,11 +32,10 @@ DELIMITER = "_"
 
 def _successor_pairs(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
     """``(id, pos, a, b)`` for every token ``a`` with its successor ``b`` (null after the last token)."""
-    toks = F.col(tokens_col)
-    nxt = F.filter(toks, lambda x, i: i > 0)
-    pairs = F.arrays_zip(toks.alias("a"), nxt.alias("b"))  # the shorter array is padded with null
-    return docs.select(F.col(id_col), F.posexplode(pairs).alias("pos", "p")).select(
-        id_col, "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b")
+    # the successor is looked up in the document's own array, so no array of pairs is built
+    held = docs.select(F.col(id_col), F.col(tokens_col).alias("_toks"))
+    return held.select(id_col, "_toks", F.posexplode("_toks").alias("pos", "a")).select(
+        id_col, "pos", "a", F.get("_toks", F.col("pos") + 1).alias("b")
     )
 
 
@@ -52,6 +53,28 @@ def _check_params(scoring: str, threshold: float) -> None:
         raise ValueError(f"unknown scoring {scoring!r}")
 
 
+def _vocabulary_size(uni: DataFrame, bi: DataFrame) -> Column:
+    """Number of distinct keys, unigrams and joined bigrams, as a scalar subquery.
+
+    Two keys are one only where a word holds the delimiter: a bigram of two words without it has one place to
+    be cut, so it equals no other bigram, and of the unigrams only the one cut there. So the words holding it and the
+    bigrams of such words are told apart as strings; all others are counted, less those that are a unigram as well.
+    """
+    word, a, b = F.col("w"), F.col("a"), F.col("b")
+    joined = F.concat(a, F.lit(DELIMITER), b)
+    plain = ~(a.contains(DELIMITER) | b.contains(DELIMITER))
+    marked = uni.where(word.contains(DELIMITER)).select(word.alias("k")).unionByName(bi.where(~plain).select(joined.alias("k")))
+    cut = F.split(word, DELIMITER, -1)
+    cuts = uni.where(F.size(cut) == 2).select(cut[0].alias("a"), cut[1].alias("b"))
+    counts = [
+        uni.where(~word.contains(DELIMITER)).select(F.count(F.lit(1)).alias("n")),
+        bi.where(plain).select(F.count(F.lit(1)).alias("n")),
+        marked.select(F.count_distinct("k").alias("n")),
+        bi.where(plain).join(cuts, ["a", "b"], "left_semi").select((-F.count(F.lit(1))).alias("n")),
+    ]
+    return reduce(DataFrame.unionByName, counts).select(F.sum("n")).scalar()
+
+
 def learn_phrases(
     docs: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
     min_count: int = 1, threshold: float = 10.0, scoring: str = "default",
@@ -64,11 +87,10 @@ def learn_phrases(
     )
     uni = counts.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n"))
     bi = counts.where(F.col("b").isNotNull()).select("a", "b", F.col("n").alias("n_ab"))
-    keys = uni.select(F.col("w").alias("k")).unionByName(
-        bi.select(F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("k"))
-    )
-    vocab_size = keys.select(F.count_distinct("k")).scalar()
+    vocab_size = _vocabulary_size(uni, bi)
     total = uni.select(F.sum("n")).scalar()
+    # a bigram met too seldom scores no more than 0 (default) or nothing (npmi), so only the others meet their words
+    bi = bi.where(F.col("n_ab") > min_count if scoring == "default" else F.col("n_ab") >= min_count)
     na = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     nb = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
     s = bi.join(na, "a").join(nb, "b")
