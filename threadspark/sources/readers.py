@@ -84,7 +84,8 @@ def load_files(
     if fmt == "files" and max_docs is not None:
         docs = sampled_thread_files(spark, directory, max_docs, seed, suffix, key)
     elif fmt == "files":
-        docs = thread_files(spark, directory, suffix)
+        # a scan packs few small files into a task, and every level of the trees has as many tasks as the scan
+        docs = thread_files(spark, directory, suffix).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions")))
     else:
         docs = sample_files(thread_lines(spark, directory), max_docs, seed, key)
     if docs.isEmpty():

@@ -53,7 +53,9 @@ def write_thread_documents(units: DataFrame, path: str, order_col: str | None =
     # a partition column that may be null is rewritten before the write, which would sort again by it alone and lose the order of paths
     rows = nest_fragments(units, order_col).withColumn("thread", F.coalesce("thread", F.lit("")))
     rows = rows.repartition("thread").sortWithinPartitions("thread", "path")
-    rows.select("thread", "fragment").write.mode("overwrite").partitionBy("thread").text(path)
+    # every task puts its own files in place: with the other committer the driver alone moves them all, one by one, at the end
+    out = rows.select("thread", "fragment").write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.partitionBy("thread").text(path)
 
 
 def write_pages(pages: DataFrame, path: str, partition_col: str | None = None) -> None:
