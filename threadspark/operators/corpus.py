@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadspark.functions.html import html_to_paragraphs, html_to_source
-from threadspark.operators.threads import leaves, reach
+from threadspark.operators.threads import reach, with_leaf
 
 # Separators used when rendering corpus documents.
 TITLE_SEP = " \n "
@@ -51,15 +51,18 @@ def chain_corpus(units: DataFrame, min_len: int = 50, max_len: int = 1000, null_
     The source text is rendered once per unit and a chain's body grows from its post down
     (:func:`threads.reach`), so no unit's text is looked up once per chain through it.
     """
-    rendered = units.select("id", "parent_id", "is_post", "title", html_to_source(F.col("text")).alias("_src"))
-    titled = F.when(F.col("title").isNotNull(), F.concat(F.lit(CHAIN_SEP), F.col("title"))).otherwise(F.lit(""))
-    nodes = reach(rendered, F.concat(titled, F.lit(CHAIN_SEP), F.col("_src"))).nodes
-    ends = leaves(units).select(F.col("id").alias("_leaf"))
-    chains = nodes.join(ends, nodes["id"] == ends["_leaf"], "left_semi").select(F.col("id").alias("chain_id"), "root", "value")
+    # a post meets its user before the chains grow, so no chain is shuffled for the head of its document
     users = units.where("is_post").select(F.col("id").alias("_root"), F.coalesce(F.col("user"), F.lit(null_text)).alias("_user"))
-    docs = chains.join(users, chains["root"] == users["_root"]).select("chain_id", F.concat("_user", F.lit(CHAIN_HEAD), "value").alias("doc"))
+    held = units.where("is_post").join(users, F.col("id") == F.col("_root")).drop("_root")
+    held = held.unionByName(units.where(~F.coalesce("is_post", F.lit(False))).withColumn("_user", F.lit(None).cast("string")))
+    # leaves are known by their ids before the chains grow, so no chain is shuffled to find out that it is whole
+    rendered = with_leaf(held, units).select("id", "parent_id", "is_post", "title", "_user", "_leaf", html_to_source(F.col("text")).alias("_src"))
+    head = F.when(F.col("is_post"), F.concat("_user", F.lit(CHAIN_HEAD))).otherwise(F.lit(""))
+    titled = F.when(F.col("title").isNotNull(), F.concat(F.lit(CHAIN_SEP), F.col("title"))).otherwise(F.lit(""))
+    nodes = reach(rendered, F.concat(head, titled, F.lit(CHAIN_SEP), F.col("_src")), leaf="_leaf").nodes
+    chains = nodes.where(F.col("_leaf") & F.col("id").isNotNull()).select(F.col("id").alias("chain_id"), F.col("value").alias("doc"))
     n = F.length("doc")
-    return docs.where((n >= min_len) & (n <= max_len))
+    return chains.where((n >= min_len) & (n <= max_len))
 
 
 BUILDERS = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadspark.functions.html import html_to_source
-from threadspark.operators.threads import Reach, chain_members, reach
+from threadspark.operators.threads import Reach, chain_members, reach, with_leaf
 
 # Prompt line formats (rank 0, then every later rank).
 ROOT_LINE = ("Post by ", ", title: ", ", initial comment: ", " \n")
@@ -37,8 +37,8 @@ def reach_prompts(units: DataFrame, null_text: str = "nan") -> Reach:
     The HTML is rendered once per unit; prompts grow by pointer doubling (the ancestor's lines
     before the own ones), so no ancestor's text is looked up per descendant.
     """
-    lines = units.select("id", "parent_id", "is_post", "user", "title", html_to_source(F.col("text")).alias("_src"))
-    return reach(lines, unit_line(F.col("user"), F.col("title"), F.col("_src"), F.col("is_post"), null_text))
+    lines = with_leaf(units).select("id", "parent_id", "is_post", "user", "title", "_leaf", html_to_source(F.col("text")).alias("_src"))
+    return reach(lines, unit_line(F.col("user"), F.col("title"), F.col("_src"), F.col("is_post"), null_text), leaf="_leaf")
 
 
 def unit_prompts(units: DataFrame, reached: Reach | None = None, null_text: str = "nan") -> DataFrame:

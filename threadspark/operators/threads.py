@@ -84,6 +84,12 @@ def leaves(units: DataFrame) -> DataFrame:
     return units.join(parents, units["id"] == parents["_pid"], "left_anti")
 
 
+def with_leaf(units: DataFrame, source: DataFrame | None = None) -> DataFrame:
+    """``units`` with ``_leaf``: true where no row of ``source`` (default: ``units``) has the id as parent. Only ids meet."""
+    parents = (source or units).where(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("_pid")).distinct()
+    return units.join(parents, F.col("id") == F.col("_pid"), "left").withColumn("_leaf", F.col("_pid").isNull()).drop("_pid")
+
+
 @dataclass(frozen=True)
 class Reach:
     """What :func:`reach` found: ``nodes`` (id, root, depth and, if asked for, value) and the jump tables.
@@ -95,30 +101,34 @@ class Reach:
     jumps: list[DataFrame]
 
 
-def reach(units: DataFrame, value: Column | None = None) -> Reach:
+def reach(units: DataFrame, value: Column | None = None, leaf: str | None = None) -> Reach:
     """Every unit reachable from a post, by pointer doubling: log2(depth) + 2 joins at most, however deep the trees are.
 
     A unit knows an ancestor and the steps to it; each round it takes over the ancestor's own ancestor, so
     the distance doubles, until the ancestor is a post. ``value`` is concatenated from the post down
     to the unit the same way (strings or arrays): it moves once per round, not once per ancestor.
+    ``leaf`` names a column that is true for units nobody has as parent: they are left out of the ancestors' side of the
+    joins, where most of the text would be theirs, and ``nodes`` keep the column.
     A round that brings no unit to a post ends the loop: what is left hangs on a cycle or
     a missing parent. Rounds are written with a reliable checkpoint; joins are on unit ids, and those on a hot
     ancestor are split by AQE.
     """
     ensure_checkpoint_dir(units.sparkSession)
     more = [] if value is None else ["value"]
+    own = [] if leaf is None else [leaf]
     at_post = F.col("is_post")
     base = units.where(at_post | F.col("parent_id").isNotNull()).select(
         "id", F.when(at_post, F.col("id")).otherwise(F.col("parent_id")).alias("anc"), F.when(at_post, 0).otherwise(1).alias("hops"),
-        at_post.alias("done"), *([] if value is None else [value.alias("value")]),
+        at_post.alias("done"), *([] if value is None else [value.alias("value")]), *own,
     )
     base = materialize(base.where(F.col("done").isNotNull()))
     finished, active = [base.where("done")], base.where("NOT done")
     jumps = [active.select("id", "anc")]
     while True:
-        up = reduce(DataFrame.unionByName, [*finished, active]).alias("u")
+        up = reduce(DataFrame.unionByName, [*finished, active])
+        up = (up if leaf is None else up.where(~F.col(leaf))).alias("u")
         new = active.alias("a").join(up, F.col("a.anc") == F.col("u.id")).select(
-            "a.id", "u.anc", (F.col("a.hops") + F.col("u.hops")).alias("hops"), "u.done", *[F.concat(f"u.{c}", f"a.{c}").alias(c) for c in more]
+            "a.id", "u.anc", (F.col("a.hops") + F.col("u.hops")).alias("hops"), "u.done", *[F.concat(f"u.{c}", f"a.{c}").alias(c) for c in more], *[F.col(f"a.{c}") for c in own]
         )
         new = materialize(new)
         n_done, n_all = new.agg(F.count_if("done"), F.count(F.lit(1))).first()
@@ -128,7 +138,7 @@ def reach(units: DataFrame, value: Column | None = None) -> Reach:
             break
         active = new.where("NOT done")
         jumps.append(active.select("id", "anc"))
-    nodes = reduce(DataFrame.unionByName, finished).select("id", F.col("anc").alias("root"), F.col("hops").alias("depth"), *more)
+    nodes = reduce(DataFrame.unionByName, finished).select("id", F.col("anc").alias("root"), F.col("hops").alias("depth"), *more, *own)
     return Reach(nodes, jumps)
 
 
