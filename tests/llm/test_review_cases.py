@@ -88,6 +88,58 @@ def test_written_end_marks_encode_as_the_library_does(monkeypatch, name, mode, p
     assert ids[: ends[0]].tolist() == ([64, 220, 50256, 275] if mode == "byte" else [320, 49407, 321])
 
 
+def _odd_texts(n):
+    rnd = random.Random(5)
+    signs = [*"abzAZ09 \n  .,'\"-_<|>\t\r\x0b\x00\x1c\x85\xa0é\u0338\u0301İς漢😀\u3000K=~^`", "'s", "'LL", " the", " Word,", "it's", "x'tis", "\n\n", " <|endoftext|>"]
+    words = ["the", "don't", "e.g.", "a@b.com", "(x)", "_y_", "1,000.5", "naïve.", "漢字,", "q\u0301.", "'tis", "A=B", "a\u200b.", "İ."]
+    mixed = ["".join(rnd.choice(signs) for _ in range(rnd.randint(0, 30))) for _ in range(n)]
+    prose = [" ".join(rnd.choice(words) + rnd.choice(["", ",", "'s", ")'"]) for _ in range(rnd.randint(1, 12))) for _ in range(n)]
+    return [*mixed, None, "", *prose]
+
+
+@pytest.mark.parametrize("portion,most", [(2_000_000, 500_000), (3_000, 200)])
+@pytest.mark.parametrize("name,mode", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_odd_texts_encode_as_the_library_does(monkeypatch, name, mode, portion, most):
+    """Also when the table of pieces is dropped again and again."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from threadspark.llm import encoder
+
+    monkeypatch.setattr(encoder, "PORTION", portion)
+    texts = _odd_texts(3_000)
+    plain = Tokenizer.from_file(vocabulary_path(name))
+    coder = WordEncoder(vocabulary_path(name), mode, most)
+    for some in (pa.array(texts), pa.array(texts).slice(1_000, 3_000), pa.array([], pa.string()), pa.array([None, ""])):
+        ids, ends = coder.encode(some)
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in some.to_pylist()]
+        assert ends.tolist() == list(itertools.accumulate(map(len, want)))
+        assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_unknown_pieces_reach_the_tokenizer_joined_and_once():
+    """One call's overhead per unknown piece was a third of the tokenizer's time."""
+    import pyarrow as pa
+
+    class Spy:
+        def __init__(self, plain):
+            self.plain, self.asked = plain, []
+
+        def encode_batch_fast(self, texts, **more):
+            self.asked += texts
+            return self.plain.encode_batch_fast(texts, **more)
+
+    coder = WordEncoder(vocabulary_path("byte_bpe_50k.json"), "byte")
+    coder.plain = spy = Spy(coder.plain)
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + j)}" for k in range(676)) + "." for j in range(20)]
+    want = [spy.plain.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        ids, ends = coder.encode(pa.array(texts))
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == list(itertools.accumulate(map(len, want)))
+        assert 0 < len(spy.asked) < 300  # 13,520 different words
+    assert sum(map(len, spy.asked)) < 1.1 * sum(map(len, texts))
+
+
 @pytest.mark.parametrize("bound", [500_000, 0])
 def test_short_items_are_found(spark, monkeypatch, bound):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", bound)
