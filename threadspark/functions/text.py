@@ -29,6 +29,7 @@ def tokenize(text: Column) -> Column:
     """ARRAY<STRING> of word tokens (case preserved)."""
     t = F.regexp_replace(text, CONTRACTION_RE, "$1 $2")
     t = F.regexp_replace(t, CLITIC_RE, "$1 $2")
+    t = F.when(text.contains("'"), t).otherwise(text)  # both patterns hold an apostrophe
     return F.regexp_extract_all(t, F.lit(TOKEN_RE), 0)
 
 

@@ -140,11 +140,12 @@ def train_and_measure(tokens: DataFrame, p: dict, seed: int = 0, bow_source: str
     top20 = TP.topic_terms(model1, vocab, TP.COHERENCE_TOPN)
     coh = TP.umass_coherence(top20, TP.doc_terms(bow, "doc_key"), n_docs, id_col="doc_key")
     avg_coherence = (coh.agg(F.sum("coherence")).first()[0] or 0.0) / k
-    perplexity = -model1.logPerplexity(vectors)
+    inferred = materialize(TP.doc_bounds(model1, vectors, "doc_key"))  # read twice
+    perplexity = -tokens.sparkSession.range(1).select(TP.log_perplexity(model1, inferred)).first()[0]
     top10a = TP.topic_terms(model1, vocab, TP.TOPIC_TOPN)
     top10b = TP.topic_terms(model2, vocab, TP.TOPIC_TOPN)
     diversity = TP.topic_diversity(top10a).first()[0]
-    entropy = TP.doc_entropy(model1, vectors, "doc_key").agg(F.avg("entropy")).first()[0]
+    entropy = TP.doc_entropy(model1, vectors, "doc_key", inferred).agg(F.avg("entropy")).first()[0]
     stability = TP.hellinger_min(top10a, top10b).agg(F.sum("min_hellinger")).first()[0] / k
     return {
         "avg_topic_coherence": float(avg_coherence),

@@ -22,10 +22,14 @@ from __future__ import annotations
 
 import math
 import time
+from concurrent.futures import ThreadPoolExecutor
+from types import FunctionType
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import LDA, LocalLDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # UMass smoothing, minimum topic probability kept per document, top-n sizes.
@@ -51,10 +55,12 @@ def chunks_per_update(spark: SparkSession) -> int:
 
 
 def spread(vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``vectors`` over at least two tasks per core: they are small for their work, and adaptive execution would leave them to a few tasks."""
-    spark = vectors.sparkSession
-    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return vectors.repartition(n, id_col)
+    """``vectors`` over two tasks per core: they are small for their work, and adaptive execution would leave them to a few tasks.
+
+    No more than that, however many vectors there are: a fit reads them as a stream, and every task of every update sends a
+    whole model (topics x terms).
+    """
+    return vectors.repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism, id_col)
 
 
 def lda_estimator(
@@ -143,12 +149,61 @@ def distribution_entropy(probs) -> F.Column:
     return F.aggregate(kept, F.lit(0.0).cast("double"), lambda s, p: s - p * F.log(p))
 
 
-def doc_entropy(model: LocalLDAModel, vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per-document entropy of the inferred topic distribution."""
-    dist = model.transform(vectors).select(id_col, vector_to_array("topicDistribution").alias("p"))
+def doc_entropy(model: LocalLDAModel, vectors: DataFrame, id_col: str = "doc_id", inferred: DataFrame | None = None) -> DataFrame:
+    """Per-document entropy of the inferred topic distribution (``inferred``: :func:`doc_bounds`, if at hand)."""
+    dist = inferred or model.transform(vectors).select(id_col, vector_to_array("topicDistribution").alias("p"))
     return dist.select(id_col, distribution_entropy(F.col("p")).alias("entropy"))
 
 
+def _digamma(x):
+    """Digamma of positive numbers: the asymptotic series, after steps up to 8."""
+    x = np.array(x, dtype=float)
+    less = np.zeros_like(x)
+    for _ in range(8):
+        low = x < 8
+        less += np.where(low, 1 / x, 0)
+        x += low
+    y = 1 / (x * x)
+    return np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132)))) - less
+
+
+def doc_bounds(model: LocalLDAModel, vectors: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id, p, bound, n)``: a document's topic distribution, its part of the variational bound and its tokens.
+
+    The bound is MLlib's: ``E[ln p(words | theta, beta)] + E[ln p(theta) - ln q(theta)]`` under the document's own gamma, which is
+    the distribution times (tokens + sum of alpha). MLlib's ``logPerplexity`` raises the whole model (topics x terms) per
+    document; here only the document's terms are looked up, in the broadcast ``E[ln beta]``.
+    """
+    alpha = np.array(model.estimatedDocConcentration().toArray())
+    lam = model.topicsMatrix().toArray()  # terms x topics
+    log_beta = vectors.sparkSession.sparkContext.broadcast(_digamma(lam) - _digamma(lam.sum(axis=0)))
+    digamma, lgamma = FunctionType(_digamma.__code__, {"np": np}), np.vectorize(math.lgamma, otypes=[float])  # sent by value
+
+    def bound(v, p):
+        if not len(v.indices):
+            return 0.0
+        gamma = np.array(p) * (v.values.sum() + alpha.sum())
+        log_theta = digamma(gamma) - digamma(gamma.sum())
+        z = log_beta.value[v.indices] + log_theta
+        top = z.max(axis=1)
+        words = v.values @ (top + np.log(np.exp(z - top[:, None]).sum(axis=1)))
+        own = ((alpha - gamma) * log_theta).sum() + (lgamma(gamma) - lgamma(alpha)).sum()
+        return float(words + own + lgamma(alpha.sum()) - lgamma(gamma.sum()))
+
+    found = model.transform(vectors).select(id_col, "features", vector_to_array("topicDistribution").alias("p"))
+    tokens = F.udf(lambda v: float(v.values.sum()), "double", useArrow=False)
+    return found.select(id_col, "p", F.udf(bound, "double", useArrow=False)("features", "p").alias("bound"), tokens("features").alias("n"))
+
+
+def log_perplexity(model: LocalLDAModel, bounds: DataFrame) -> Column:
+    """M8: minus the variational bound per token over the documents of ``bounds`` (:func:`doc_bounds`), as a scalar subquery."""
+    lam, eta = model.topicsMatrix().toArray(), model.getTopicConcentration()
+    lgamma, total = np.vectorize(math.lgamma, otypes=[float]), lam.sum(axis=0)
+    topics = ((eta - lam) * (_digamma(lam) - _digamma(total))).sum() + (lgamma(lam) - math.lgamma(eta)).sum()
+    topics += (math.lgamma(eta * len(lam)) - lgamma(total)).sum()
+    return bounds.select(-(F.coalesce(F.sum("bound"), F.lit(0.0)) + float(topics)) / F.sum("n")).scalar()
+
+
 def hellinger_min(run1: DataFrame, run2: DataFrame, topic_col: str = "topic", term_col: str = "term_id",
                   weight_col: str = "weight") -> DataFrame:
     """Per topic of run 1, the min Hellinger distance to any topic of run 2.
@@ -184,3 +239,12 @@ def fit_lda(vectors: DataFrame, estimator: LDA) -> tuple[LocalLDAModel, float]:
     t0 = time.perf_counter()
     model = estimator.fit(vectors)
     return model, time.perf_counter() - t0
+
+
+def fit_each(vectors: DataFrame, estimators: list[LDA]) -> list[LocalLDAModel]:
+    """The models of several estimators over the same vectors, fitted at the same time.
+
+    Between two updates of a model the cores would wait for the driver; another model's update fills that time.
+    """
+    with ThreadPoolExecutor(len(estimators)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(vectors.sparkSession)(e.fit), vectors) for e in estimators]]

@@ -4,8 +4,9 @@ The vocabulary keeps terms with ``no_below <= df <= floor(no_above * N)`` (df =
 number of documents containing the term, N = number of documents), then, when
 ``keep_n`` is given, that many most frequent by df (ties by term). Term ids are
 assigned by that order, so they are deterministic. All tokens of a document count
-unless ``max_tokens`` is given. Vectors are put together from (term id, count) rows;
-only :func:`vectorizer`, the MLlib model form, holds the vocabulary as a list.
+unless ``max_tokens`` is given. A vocabulary of at most LOOKUP_TERMS terms (counted) is sent to the
+documents, as a broadcast or as the list of :func:`vectorizer`, the MLlib model form; with a larger one
+vectors are put together from (term id, count) rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from threadspark.session import materialize
 # Library defaults a caller may pass (vocabulary cap, BoW token prefix).
 KEEP_N = 100_000
 MAX_TOKENS = 5000
+#: Terms up to which a vocabulary goes to the documents; beyond that the tokens are shuffled to the vocabulary.
+LOOKUP_TERMS = 200_000
 
 
 def doc_freq(docs: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -62,7 +65,9 @@ def bag_of_words(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", toke
                  max_tokens: int | None = None) -> DataFrame:
     """M4 (relational): ``(id, term_id, cnt)`` over all tokens (or the first ``max_tokens``); unknown terms dropped."""
     toks = docs.select(F.col(id_col), F.explode(_tokens(tokens_col, max_tokens)).alias("term"))
-    return toks.join(vocab.select("term", "term_id"), "term").groupBy(id_col, "term_id").agg(
+    known = vocab.select("term", "term_id")
+    known = F.broadcast(known) if known.limit(LOOKUP_TERMS + 1).count() <= LOOKUP_TERMS else known
+    return toks.join(known, "term").groupBy(id_col, "term_id").agg(
         F.count(F.lit(1)).alias("cnt")
     )
 
@@ -76,16 +81,27 @@ def vectorizer(vocab: DataFrame, tokens_col: str = "bow_tokens", out_col: str =
     return CountVectorizerModel.from_vocabulary(terms, inputCol=tokens_col, outputCol=out_col)
 
 
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    """Whether rows share an id (null counts as one); reads the ids only."""
+    return not docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+
+
 def bow_vectors(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
                 max_tokens: int | None = None) -> DataFrame:
     """M4 (vector): ``(id, features SparseVector)`` over all tokens (or the first ``max_tokens``), one row per id.
 
-    Each document's (term_id, count) rows become its sparse vector; the vocabulary is a join and one
-    number (its size), never a list on the driver or in a task. A document without a known term has the zero vector.
+    A vocabulary of at most LOOKUP_TERMS terms goes to the documents (:func:`vectorizer`), whose tokens are counted where they
+    are read. With a larger one, or where rows share an id, each document's (term_id, count) rows become its sparse vector; the
+    vocabulary is a join and one number (its size), never a list. A document without a known term has the zero vector.
     """
+    n_terms, n_ids, n_rows, size = vocab.agg(
+        F.count_distinct("term"), F.count_distinct("term_id"), F.count(F.lit(1)), F.coalesce(F.max("term_id") + 1, F.lit(0)).cast("int")
+    ).first()
+    if 0 < n_rows <= LOOKUP_TERMS and n_terms == n_ids == n_rows == size and not _repeats(docs, id_col):
+        counted = docs.select(id_col, F.coalesce(_tokens(tokens_col, max_tokens), F.array().cast("array<string>")).alias("_bow"))
+        return vectorizer(vocab, "_bow").transform(counted).select(id_col, "features")
     pairs = F.array_sort(F.collect_list(F.struct("term_id", F.col("cnt").cast("double").alias("cnt"))))
     held = bag_of_words(docs, vocab, id_col, tokens_col, max_tokens).groupBy(F.col(id_col).alias("_id")).agg(pairs.alias("_p"))
-    size = vocab.agg(F.coalesce(F.max("term_id") + 1, F.lit(0)).cast("int")).first()[0]
     empty = F.array().cast("array<struct<term_id: int, cnt: double>>")
     # the stored form of a sparse vector (type 0), read through the vector type's own JSON reader
     stored = F.struct(

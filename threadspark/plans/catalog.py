@@ -812,18 +812,20 @@ def q_lda_metrics(spark, sf_dir):
     """Two fits with different seeds; coherence, perplexity, diversity, entropy, stability."""
     vocab, vectors = _lda_inputs(spark, sf_dir)
     n, every = vectors.count(), TP.chunks_per_update(spark)
-    m1 = TP.lda_estimator(n_docs=n, seed=0, update_every=every, **LDA_PARAMS).fit(vectors)
-    m2 = TP.lda_estimator(n_docs=n, seed=1, update_every=every, **LDA_PARAMS).fit(vectors)
+    m1, m2 = TP.fit_each(vectors, [TP.lda_estimator(n_docs=n, seed=seed, update_every=every, **LDA_PARAMS) for seed in (0, 1)])
     toks = _doc_tokens(spark, sf_dir).select("doc_id", "tokens")
-    occ = TP.doc_terms(VB.bag_of_words(toks, vocab))
+    top = TP.topic_terms(m1, vocab, TP.COHERENCE_TOPN)
+    # coherence asks for the topics' top terms only; held, as it asks twice
+    occ = materialize(TP.doc_terms(VB.bag_of_words(toks, vocab.join(top, "term_id", "left_semi"))))
     k = LDA_PARAMS["k"]
-    coh = TP.umass_coherence(TP.topic_terms(m1, vocab, TP.COHERENCE_TOPN), occ, n).agg(F.sum("coherence") / k)
+    coh = TP.umass_coherence(top, occ, n).agg(F.sum("coherence") / k)
     div = TP.topic_diversity(TP.topic_terms(m1, vocab))
-    ent = TP.doc_entropy(m1, vectors).agg(F.avg("entropy"))
+    inferred = materialize(TP.doc_bounds(m1, vectors))  # read twice
+    ent = TP.doc_entropy(m1, vectors, inferred=inferred).agg(F.avg("entropy"))
     stab = TP.hellinger_min(TP.topic_terms(m1, vocab), TP.topic_terms(m2, vocab)).agg(F.sum("min_hellinger") / k)
     return spark.range(1).select(
         coh.scalar().alias("avg_topic_coherence"),
-        F.lit(-m1.logPerplexity(vectors)).alias("perplexity"),
+        (-TP.log_perplexity(m1, inferred)).alias("perplexity"),
         div.scalar().alias("diversity"),
         ent.scalar().alias("avg_entropy"),
         stab.scalar().alias("stability_score"),
