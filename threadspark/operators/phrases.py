@@ -25,9 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadspark.functions.text import splice
-from threadspark.session import materialize
+from threadspark.session import materialize, stored
 
 DELIMITER = "_"
+#: Phrases, or words holding the delimiter, up to which they are broadcast; beyond that the pairs are shuffled to them.
+LOOKUP_ROWS = 500_000
+
+
+def _lookup(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for broadcast while there are few of them."""
+    return F.broadcast(rows) if rows.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS else rows
 
 
 def _successor_pairs(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
@@ -70,7 +77,7 @@ def _vocabulary_size(uni: DataFrame, bi: DataFrame) -> Column:
         uni.where(~word.contains(DELIMITER)).select(F.count(F.lit(1)).alias("n")),
         bi.where(plain).select(F.count(F.lit(1)).alias("n")),
         marked.select(F.count_distinct("k").alias("n")),
-        bi.where(plain).join(cuts, ["a", "b"], "left_semi").select((-F.count(F.lit(1))).alias("n")),
+        bi.where(plain).join(_lookup(cuts), ["a", "b"], "left_semi").select((-F.count(F.lit(1))).alias("n")),
     ]
     return reduce(DataFrame.unionByName, counts).select(F.sum("n")).scalar()
 
@@ -82,10 +89,10 @@ def learn_phrases(
     """M1: ``(a, b, phrase, n_ab, n_a, n_b, score)`` for every bigram with score > threshold."""
     _check_params(scoring, threshold)
     # one pass over the tokens: (token, successor) counts; successor null = last token of a document
-    counts = materialize(
+    counts = stored(
         _successor_pairs(docs, id_col, tokens_col).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     )
-    uni = counts.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n"))
+    uni = materialize(counts.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n")))
     bi = counts.where(F.col("b").isNotNull()).select("a", "b", F.col("n").alias("n_ab"))
     vocab_size = _vocabulary_size(uni, bi)
     total = uni.select(F.sum("n")).scalar()
@@ -107,24 +114,26 @@ def learn_phrases(
     )
 
 
-def apply_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens",
+def apply_phrases(docs: DataFrame, phrases: DataFrame, id_col: str = "doc_id", tokens_col: str | Column = "tokens",
                   out_col: str = "phrased") -> DataFrame:
     """M2: greedy left-to-right phrase merge -> ``(id, out_col ARRAY<STRING>)``.
 
-    Documents keep their row even when empty.
+    Documents keep their row even when empty. ``tokens_col`` may be an expression over ``docs``, such as the tokens of a
+    text: it is computed where it is needed, so that texts are moved to their edits, not tokens, and phrases are looked up where
+    the texts are read.
     """
-    pairs = bigram_rows(docs, id_col, tokens_col)
-    known = phrases.select("a", "b").distinct()
-    flagged = pairs.join(known, ["a", "b"], "left_semi").select(id_col, "pos", "a", "b")
+    tokens = F.col(tokens_col) if isinstance(tokens_col, str) else tokens_col
+    pairs = bigram_rows(docs.select(id_col, tokens.alias("_held")), id_col, "_held")
+    known = _lookup(materialize(phrases.select("a", "b").distinct()))
+    value = F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("value")
+    flagged = pairs.join(known, ["a", "b"], "left_semi").select(id_col, "pos", value)
     w = Window.partitionBy(id_col, "_grp")
     runs = flagged.withColumn("_grp", F.col("pos") - F.row_number().over(Window.partitionBy(id_col).orderBy("pos")))
     runs = runs.withColumn("_off", F.col("pos") - F.min("pos").over(w))
     starts = runs.where(F.col("_off") % 2 == 0)
     # the starts of a document meet its tokens once, in one row
-    edit = F.struct(
-        "pos", F.lit(2).alias("width"), F.concat(F.col("a"), F.lit(DELIMITER), F.col("b")).alias("value")
-    )
+    edit = F.struct("pos", F.lit(2).alias("width"), "value")
     edits = starts.groupBy(F.col(id_col).alias("_eid")).agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
-    joined = docs.select(id_col, tokens_col).join(edits, F.col(id_col) == F.col("_eid"), "left")
-    merged = splice(F.col(tokens_col), F.col("_edits"))
+    joined = docs.join(edits, F.col(id_col) == F.col("_eid"), "left")
+    merged = splice(tokens, F.col("_edits"))
     return joined.select(id_col, F.coalesce(merged, F.array().cast("array<string>")).alias(out_col))

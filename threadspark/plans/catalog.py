@@ -633,9 +633,10 @@ FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def q_phrase_apply(spark, sf_dir):
     """M2: greedy phrase merge of every document with the learned phrases."""
-    toks = materialize(_doc_tokens(spark, sf_dir).select("doc_id", "tokens"))  # read by three passes
-    phr = PH.learn_phrases(toks, **PHRASE_APPLY)
-    out = PH.apply_phrases(toks, phr)
+    # texts are cut anew by each of three passes: held, their tokens would take several times the texts' disk
+    phr = PH.learn_phrases(_doc_tokens(spark, sf_dir), **PHRASE_APPLY)
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = PH.apply_phrases(docs, phr, tokens_col=X.tokenize(F.col("text")))
     return out.select("doc_id", F.size("phrased").alias("n_tokens"), F.array_join("phrased", " ").alias("phrased_text"))
 
 
