@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 from threadspark.functions.html import html_to_source
 from threadspark.operators.threads import Reach, chain_members, reach, with_leaf
+from threadspark.session import materialize
 
 # Prompt line formats (rank 0, then every later rank).
 ROOT_LINE = ("Post by ", ", title: ", ", initial comment: ", " \n")
 REPLY_LINE = ("Responded to by ", ", comment: ", " \n")
 TEMPLATE_SEP = " \n "
+#: Repeated leaf ids up to which they are broadcast.
+REPEATED_ROWS = 100_000
 
 
 def _txt(c: Column, null_text: str) -> Column:
@@ -49,8 +52,18 @@ def unit_prompts(units: DataFrame, reached: Reach | None = None, null_text: str
 def chain_prompts(units: DataFrame, null_text: str = "nan") -> DataFrame:
     """L1 per chain row: ``(chain_id, id, chain_rank, prompt)``."""
     reached = reach_prompts(units, null_text)
-    members = chain_members(units, reached)
-    return members.join(unit_prompts(units, reached), "id").select("chain_id", "id", "chain_rank", "prompt")
+    members = materialize(chain_members(units, reached))  # ids only, read twice
+    out = ["chain_id", "id", "chain_rank", "prompt"]
+    inner = reached.inner.select("id", F.col("value").alias("prompt"))
+    above = members.where(F.col("chain_id") != F.col("id")).join(inner, "id").select(*out)
+    # a leaf ends one chain, its own, so its prompt, the longest, is not moved to find it; only ids that repeat end more
+    ends = members.where(F.col("chain_id") == F.col("id")).groupBy(F.col("id").alias("_end")).agg(F.collect_list("chain_rank").alias("_ranks"))
+    ends = materialize(ends.where(F.size("_ranks") > 1))
+    ends = F.broadcast(ends) if ends.limit(REPEATED_ROWS + 1).count() <= REPEATED_ROWS else ends
+    tips = reached.tips.where(F.col("id").isNotNull()).join(ends, F.col("id") == F.col("_end"), "left")
+    ranks = F.coalesce("_ranks", F.array(F.col("depth").cast("int")))
+    own = tips.select(F.col("id").alias("chain_id"), "id", F.explode(ranks).alias("chain_rank"), F.col("value").alias("prompt"))
+    return above.unionByName(own.select(*out))
 
 
 def apply_template(prompts: DataFrame, template: str, col: str = "prompt", out: str = "model_input") -> DataFrame:

@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadspark.session import ensure_checkpoint_dir, materialize
+from threadspark.session import ensure_checkpoint_dir, materialize, stored
 
 
 def dedupe_units(units: DataFrame, key: str = "id", order: list[str] | None = None) -> DataFrame:
@@ -95,10 +95,13 @@ class Reach:
     """What :func:`reach` found: ``nodes`` (id, root, depth and, if asked for, value) and the jump tables.
 
     ``jumps[k]`` holds (id, anc) with ``anc`` the ancestor 2**k steps up, for units at least that deep.
+    With leaves marked, ``inner`` and ``tips`` are the nodes that are no leaves and those that are.
     """
 
     nodes: DataFrame
     jumps: list[DataFrame]
+    inner: DataFrame | None = None
+    tips: DataFrame | None = None
 
 
 def reach(units: DataFrame, value: Column | None = None, leaf: str | None = None) -> Reach:
@@ -108,11 +111,13 @@ def reach(units: DataFrame, value: Column | None = None, leaf: str | None = None
     the distance doubles, until the ancestor is a post. ``value`` is concatenated from the post down
     to the unit the same way (strings or arrays): it moves once per round, not once per ancestor.
     ``leaf`` names a column that is true for units nobody has as parent: they are left out of the ancestors' side of the
-    joins, where most of the text would be theirs, and ``nodes`` keep the column.
+    joins, where most of the text would be theirs, and ``nodes`` keep the column. Their own ``value`` stays out of the rounds
+    and meets their parent's once, after the last.
     A round that brings no unit to a post ends the loop: what is left hangs on a cycle or
-    a missing parent. Rounds are written with a reliable checkpoint; joins are on unit ids, and those on a hot
-    ancestor are split by AQE.
+    a missing parent. Rounds are written with a reliable checkpoint, those with a value as compressed tables; joins
+    are on unit ids, and those on a hot ancestor are split by AQE.
     """
+    cut = materialize if value is None else stored
     ensure_checkpoint_dir(units.sparkSession)
     more = [] if value is None else ["value"]
     own = [] if leaf is None else [leaf]
@@ -121,8 +126,10 @@ def reach(units: DataFrame, value: Column | None = None, leaf: str | None = None
         "id", F.when(at_post, F.col("id")).otherwise(F.col("parent_id")).alias("anc"), F.when(at_post, 0).otherwise(1).alias("hops"),
         at_post.alias("done"), *([] if value is None else [value.alias("value")]), *own,
     )
-    base = materialize(base.where(F.col("done").isNotNull()))
+    base = cut(base.where(F.col("done").isNotNull()))
     finished, active = [base.where("done")], base.where("NOT done")
+    if leaf is not None:
+        active = active.select(*[F.when(~F.col(leaf), F.col(c)).alias(c) if c in more else c for c in active.columns])
     jumps = [active.select("id", "anc")]
     while True:
         up = reduce(DataFrame.unionByName, [*finished, active])
@@ -130,7 +137,7 @@ def reach(units: DataFrame, value: Column | None = None, leaf: str | None = None
         new = active.alias("a").join(up, F.col("a.anc") == F.col("u.id")).select(
             "a.id", "u.anc", (F.col("a.hops") + F.col("u.hops")).alias("hops"), "u.done", *[F.concat(f"u.{c}", f"a.{c}").alias(c) for c in more], *[F.col(f"a.{c}") for c in own]
         )
-        new = materialize(new)
+        new = cut(new)
         n_done, n_all = new.agg(F.count_if("done"), F.count(F.lit(1))).first()
         if n_done:
             finished.append(new.where("done"))
@@ -138,8 +145,17 @@ def reach(units: DataFrame, value: Column | None = None, leaf: str | None = None
             break
         active = new.where("NOT done")
         jumps.append(active.select("id", "anc"))
-    nodes = reduce(DataFrame.unionByName, finished).select("id", F.col("anc").alias("root"), F.col("hops").alias("depth"), *more, *own)
-    return Reach(nodes, jumps)
+    out = ["id", F.col("anc").alias("root"), F.col("hops").alias("depth"), *more, *own]
+    if leaf is None:
+        return Reach(reduce(DataFrame.unionByName, finished).select(*out), jumps)
+    inner = reduce(DataFrame.unionByName, finished).where(~F.col(leaf))
+    tip, up = base.where(F.col(leaf) & ~F.col("done")).alias("a"), inner.alias("u")
+    tips = tip.join(up, F.col("a.anc") == F.col("u.id")).select(
+        "a.id", "u.anc", (F.col("a.hops") + F.col("u.hops")).alias("hops"), *[F.concat(f"u.{c}", f"a.{c}").alias(c) for c in more], f"a.{leaf}"
+    )
+    tips = base.where(F.col(leaf) & F.col("done")).select(*tips.columns).unionByName(tips)
+    inner, tips = inner.select(*out), tips.select(*out)
+    return Reach(inner.unionByName(tips), jumps, inner, tips)
 
 
 def reach_paths(units: DataFrame) -> DataFrame:
