@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from threadspark.functions.html import html_to_paragraphs, html_to_source
 from threadspark.operators.threads import reach, with_leaf
+from threadspark.session import stored
 
 # Separators used when rendering corpus documents.
 TITLE_SEP = " \n "
@@ -59,10 +60,10 @@ def chain_corpus(units: DataFrame, min_len: int = 50, max_len: int = 1000, null_
     rendered = with_leaf(held, units).select("id", "parent_id", "is_post", "title", "_user", "_leaf", html_to_source(F.col("text")).alias("_src"))
     head = F.when(F.col("is_post"), F.concat("_user", F.lit(CHAIN_HEAD))).otherwise(F.lit(""))
     titled = F.when(F.col("title").isNotNull(), F.concat(F.lit(CHAIN_SEP), F.col("title"))).otherwise(F.lit(""))
-    nodes = reach(rendered, F.concat(head, titled, F.lit(CHAIN_SEP), F.col("_src")), leaf="_leaf").nodes
-    chains = nodes.where(F.col("_leaf") & F.col("id").isNotNull()).select(F.col("id").alias("chain_id"), F.col("value").alias("doc"))
+    tips = reach(rendered, F.concat(head, titled, F.lit(CHAIN_SEP), F.col("_src")), leaf="_leaf").tips
+    chains = tips.where(F.col("id").isNotNull()).select(F.col("id").alias("chain_id"), F.col("value").alias("doc"))
     n = F.length("doc")
-    return chains.where((n >= min_len) & (n <= max_len))
+    return stored(chains.where((n >= min_len) & (n <= max_len)))  # whole, so a caller's further passes move no text
 
 
 BUILDERS = {
